@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .near_duplicates import near_duplicate_classes
+from .quality_classifier import quality_scores
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality score."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +22,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_quality_classifier": op7_quality_classifier,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
