@@ -60,13 +60,14 @@ def _place(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes & np.uint64(buckets - 1)).astype(np.int64)
 
 
-def _examples(features: Features, restore: Restore | None, buckets: int):
+def _examples(features: Features, restore: Restore | None, buckets: int, damped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = restore(batch.column("text")) if restore else batch.column("text")
             for i, j, data, offsets in blocks(texts):
                 hashes, doc, scale = features(data, offsets)
                 cell, count = np.unique(doc * buckets + _place(hashes, buckets), return_counts=True)
+                count = np.log1p(count) if damped else count
                 of = cell // buckets
                 ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=j - i))]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in ((cell % buckets).astype(np.int32), (count * scale[of]).astype(np.float32))]
@@ -75,13 +76,14 @@ def _examples(features: Features, restore: Restore | None, buckets: int):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, features: Features, restore: Restore | None = None, model: Ftrl | None = None, sample: int = SAMPLE) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, features: Features, restore: Restore | None = None, model: Ftrl | None = None, sample: int = SAMPLE, damped: bool = False) -> np.ndarray:
     """Weights from ``docs`` (id, text) and ``labels`` (id, label).
 
     Rows of the held-out fold, null ids and null labels are left out; an id labelled more than once counts once,
     with its greatest label. Training uses ``sample`` rows of each class at most (least id hash first), each
     weighted by its class's size, so the driver and the model see a bounded number of rows. With no labelled rows
-    every weight is 0."""
+    every weight is 0. ``damped``: a feature's value is the logarithm of 1 + its count, else the count; either
+    is multiplied by the text's scale."""
     model = model or Ftrl()
     known = labels.select("id", F.col("label").cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
@@ -94,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, features: Features, restore: Resto
     picked = chosen[0] if len(chosen) == 1 else chosen[0].union(chosen[1])
     texts = docs.join(F.broadcast(picked), "id").dropDuplicates(["id"])
     kind = docs.schema["id"].dataType.simpleString()
-    rows = texts.select("id", "label", "importance", "text").mapInArrow(_examples(features, restore, model.buckets), f"id {kind}, label int, importance double, at array<int>, value array<float>")
+    rows = texts.select("id", "label", "importance", "text").mapInArrow(_examples(features, restore, model.buckets, damped), f"id {kind}, label int, importance double, at array<int>, value array<float>")
     got = rows.orderBy(F.xxhash64("id", F.lit(1)), "id").toArrow().combine_chunks()
     examples = []
     for k in range(got.num_rows):
@@ -103,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, features: Features, restore: Resto
     return model.fit(examples)
 
 
-def scored(docs: DataFrame, weights: np.ndarray, features: Features, restore: Restore | None = None) -> DataFrame:
+def scored(docs: DataFrame, weights: np.ndarray, features: Features, restore: Restore | None = None, damped: bool = False) -> DataFrame:
     """``id, score`` of every row of ``docs`` (id, text); score is the probability of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     kind = docs.schema["id"].dataType.simpleString()
@@ -114,7 +116,13 @@ def scored(docs: DataFrame, weights: np.ndarray, features: Features, restore: Re
             texts = restore(batch.column("text")) if restore else batch.column("text")
             for i, j, data, offsets in blocks(texts):
                 hashes, doc, scale = features(data, offsets)
-                dot = np.bincount(doc, weights=w[_place(hashes, len(w) - 1)], minlength=j - i) * scale + w[-1]
+                at = _place(hashes, len(w) - 1)
+                weight = w[at]
+                if damped:  # counts are needed of the features only that have a weight
+                    some = np.flatnonzero(weight)
+                    cell, count = np.unique(doc[some] * len(w) + at[some], return_counts=True)
+                    doc, weight = cell // len(w), w[cell % len(w)] * np.log1p(count)
+                dot = np.bincount(doc, weights=weight, minlength=j - i) * scale + w[-1]
                 score = 1.0 / (1.0 + np.exp(-np.clip(dot, -35, 35)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(score)], ["id", "score"])
 
