@@ -8,10 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .near_duplicates import near_duplicate_classes
+from .packing import packed
 from .quality_classifier import quality_scores
 from .toxicity import toxicity_scores
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of packed sequences."""
+    import public_tokenizers
+
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its quality score."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -30,6 +38,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_toxicity": op8_toxicity,
+    "op9_packing": op9_packing,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
