@@ -11,6 +11,7 @@ from .decontamination import contaminated
 from .near_duplicates import near_duplicate_classes
 from .packing import packed
 from .quality_classifier import quality_scores
+from .quality_rules import quality_rules
 from .toxicity import toxicity_scores
 
 
@@ -19,6 +20,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its rule counts and verdict; the documents labelled good are the trusted target."""
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of packed sequences."""
     import public_tokenizers
@@ -43,6 +49,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op6_quality_rules": op6_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
