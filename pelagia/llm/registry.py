@@ -13,6 +13,7 @@ from .packing import packed
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .toxicity import toxicity_scores
+from .url_filter import url_verdicts
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
 
 
+#: host, path prefix, action
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its verdict."""
+    return url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of packed sequences."""
     import public_tokenizers
@@ -49,6 +59,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_url_filter": op2_url_filter,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_toxicity": op8_toxicity,
