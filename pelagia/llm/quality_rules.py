@@ -95,7 +95,8 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     documents the target is uniform over the buckets. Rows with a null id are rated and count as raw text. Repeated
     rows give equal rows. Other columns are not read. An empty table gives an empty table."""
     held = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
-    target = held.join(trusted.select(trusted[id_col].alias("id")).distinct(), "id", "left_semi")
+    # the trusted ids grow with the corpus: they are never broadcast, whatever their size looks like
+    target = held.join(trusted.select(trusted[id_col].alias("id")).distinct().hint("merge"), "id", "left_semi")
     ratios = F.split(F.lit(",".join(map(repr, log_ratios(held, target, buckets)))), ",").cast("array<double>")
 
     def mean_ratio(grams: Column) -> Column:
