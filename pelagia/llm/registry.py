@@ -11,6 +11,7 @@ from .decontamination import contaminated
 from .line_dedup import deduplicated_lines
 from .near_duplicates import near_duplicate_classes
 from .packing import packed
+from .pii import personal_data, span_digests
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .toxicity import toxicity_scores
@@ -22,6 +23,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its spans of personal data."""
+    return span_digests(personal_data(table(spark, sf_dir, "documents")))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated lines."""
     return deduplicated_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
@@ -66,6 +72,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
+    "op4_pii": op4_pii,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
