@@ -174,26 +174,60 @@ def _matches(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, in
                 yield text, i, 0, at, at + len(pattern)
 
 
-def _searcher(shared, item_type: pa.DataType):
+def _found(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int]]:
+    """The matches of a batch, searched in runs of whole texts of about CHUNK characters."""
+    out, i = [], 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK):
+            size += len(texts[j])
+            j += 1
+        out += [(i + text, *rest) for text, *rest in _matches(texts[i:j], items)]
+        i = j
+    return out
+
+
+def _reporter(shared, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK):
-                    size += len(texts[j])
-                    j += 1
-                if found := list(_matches(texts[i:j], items)):
-                    doc, item, *rest = zip(*found, strict=True)
-                    ids = pa.array([items.ids[k] for k in item], item_type)
-                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.array(doc) + i)), ids, *(pa.array(np.array(x, np.int64)) for x in rest)], ["id", "item_id", "edits", "start", "end"])
-                i = j
+            if found := _found(batch.column("text").to_pylist(), items):
+                text, item, *rest = zip(*found, strict=True)
+                ids = pa.array([items.ids[k] for k in item], item_type)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(text)), ids, *(pa.array(x, pa.int64()) for x in rest)], ["id", "item_id", "edits", "start", "end"])
 
     return run
 
 
+def _keeper(shared, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for text, *_ in _found([t or "" for t in batch.column(text_col).to_pylist()], shared.value):
+                clean[text] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, q: int, edit_rate: float) -> Iterator:
+    """The items, a broadcast of bounded size at a time."""
+    kept = benchmark.select(benchmark[item_col].alias("item"), text_of(benchmark, item_text).alias("body")).where("body <> ''").distinct()
+    total = kept.agg(F.sum(F.length("body"))).first()[0] or 0
+    n_blocks = max(1, -(-int(total) // BLOCK_CHARS))
+    for block in range(n_blocks):
+        rows = kept.where(F.pmod(F.xxhash64("item", "body"), F.lit(n_blocks)) == block).orderBy("item", "body").collect()
+        if rows:
+            yield benchmark.sparkSession.sparkContext.broadcast(Items([r["item"] for r in rows], [plain(r["body"]) for r in rows], q, edit_rate))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = Q, edit_rate: float = EDIT_RATE) -> DataFrame:
+    """The rows of ``docs`` that hold no item, as ``contaminated`` defines it, in one pass without a shuffle."""
+    for shared in _blocks(benchmark, item_col, item_text, q, edit_rate):
+        docs = docs.mapInArrow(_keeper(shared, text_col), docs.schema)
+    return docs
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = Q, edit_rate: float = EDIT_RATE) -> DataFrame:
     """One row per document row and item found in it: id, ``item_id``, ``edits`` and the code points ``start`` and
     ``end`` of the best region (fewest edits, then first).
@@ -203,18 +237,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Case and the kind of white space do not count. Null and empty texts hold nothing; a null document id is
     reported as null; repeated rows are reported each; items with a null id are found like others. Other columns
     are not read. Items are held in blocks of bounded size, one pass over the documents each."""
-    spark = docs.sparkSession
-    kept = benchmark.select(benchmark[item_col].alias("item"), text_of(benchmark, item_text).alias("body")).where("body <> ''").distinct()
-    kind, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
-    total = kept.agg(F.sum(F.length("body"))).first()[0] or 0
-    n_blocks = max(1, -(-int(total) // BLOCK_CHARS))
-    held = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
-    out = spark.createDataFrame([], f"id {kind}, item_id {item_type.simpleString()}, edits bigint, start bigint, end bigint")
     from pyspark.sql.pandas.types import to_arrow_type
 
-    for block in range(n_blocks):
-        rows = kept.where(F.pmod(F.xxhash64("item", "body"), F.lit(n_blocks)) == block).orderBy("item", "body").collect()
-        if rows:
-            shared = spark.sparkContext.broadcast(Items([r["item"] for r in rows], [plain(r["body"]) for r in rows], q, edit_rate))
-            out = out.union(held.mapInArrow(_searcher(shared, to_arrow_type(item_type)), out.schema))
+    kind, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
+    held = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
+    out = docs.sparkSession.createDataFrame([], f"id {kind}, item_id {item_type.simpleString()}, edits bigint, start bigint, end bigint")
+    for shared in _blocks(benchmark, item_col, item_text, q, edit_rate):
+        out = out.union(held.mapInArrow(_reporter(shared, to_arrow_type(item_type)), out.schema))
     return out.withColumnRenamed("id", id_col)

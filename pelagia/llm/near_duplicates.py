@@ -190,3 +190,11 @@ def _can_be_alike(mine: str, other: str, threshold: float) -> Column:
     n, m = F.col(f"{mine}.n"), F.col(f"{other}.n")
     apart = sum((F.bit_count(F.col(f"{mine}.{b}").bitwiseXOR(F.col(f"{other}.{b}"))) for b in _BITS), F.lit(0))
     return (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m)) & (apart <= F.lit((1 - threshold) / (1 + threshold)) * (n + m) + F.lit(1e-6))
+
+
+def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each class, the one of the least id. Rows that repeat an id are one document.
+    Rows without an id all stay, as nothing tells them apart."""
+    classes = near_duplicate_classes(docs, id_col, text_col, **options)
+    first = classes.where(F.col(id_col) == F.col("class_id")).select(id_col).distinct().hint("merge")
+    return docs.join(first, id_col, "left_semi").dropDuplicates([id_col]).union(docs.where(docs[id_col].isNull())).select(*docs.columns)

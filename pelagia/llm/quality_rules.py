@@ -87,13 +87,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> l
     return [round(log(t / r) + shift, 5) for t, r in zip(target, raw, strict=True)]
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """One row per document: id, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``,
-    ``base_failed``, ``kept`` and ``log_ratio``. ``trusted`` is a table of ids whose documents are the target corpus.
-
-    Null and empty texts have no words: all counts are 0, the base rules fail, ``log_ratio`` is 0. Without trusted
-    documents the target is uniform over the buckets. Rows with a null id are rated and count as raw text. Repeated
-    rows give equal rows. Other columns are not read. An empty table gives an empty table."""
+def rated(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """``docs`` with the struct ``_rating`` of the columns that ``quality_rules`` describes."""
     held = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
     # the trusted ids grow with the corpus: they are never broadcast, whatever their size looks like
     target = held.join(trusted.select(trusted[id_col].alias("id")).distinct().hint("merge"), "id", "left_semi")
@@ -103,16 +98,29 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
         total = F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.get(ratios, _bucket(g, buckets)))
         return F.when(F.size(grams) == 0, 0.0).otherwise(total / F.size(grams))
 
-    text = F.col("text")
-    counts = _let(F.transform(_words(text), lambda w: F.xxhash64(w)), lambda h: F.struct(F.size(h).cast("bigint").alias("n_words"), _repeat_words(h).cast("bigint").alias("n_repeat_words")))
-    rated = held.select(
-        "id",
-        counts.alias("c"),
+    text = text_of(docs, text_col)
+    counts = F.struct(
+        _let(F.transform(_words(text), lambda w: F.xxhash64(w)), lambda h: F.struct(F.size(h).cast("bigint").alias("n_words"), _repeat_words(h).cast("bigint").alias("n_repeat_words"))).alias("c"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         _dup_lines(text).cast("bigint").alias("n_dup_lines"),
         _let(ngrams(text), mean_ratio).alias("log_ratio"),
     )
-    rated = rated.select(F.col("id").alias(id_col), "c.n_words", "word_chars", "n_symbols", "n_dup_lines", "c.n_repeat_words", "log_ratio")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return rated.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("log_ratio") >= threshold))
+
+    def verdict(x: Column) -> Column:
+        failed = (x["c"]["n_words"] < MIN_WORDS) | (100 * x["c"]["n_repeat_words"] > MAX_REPEAT_PERCENT * x["c"]["n_words"])
+        names = {c: x[c] for c in ("word_chars", "n_symbols", "n_dup_lines")}
+        columns = {"n_words": x["c"]["n_words"], **names, "n_repeat_words": x["c"]["n_repeat_words"], "base_failed": failed, "kept": ~failed & (x["log_ratio"] >= threshold), "log_ratio": x["log_ratio"]}
+        return F.struct(*(c.alias(name) for name, c in columns.items()))
+
+    return docs.select(*docs.columns, _let(counts, verdict).alias("_rating"))
+
+
+def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """One row per document: id, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``,
+    ``base_failed``, ``kept`` and ``log_ratio``. ``trusted`` is a table of ids whose documents are the target corpus.
+
+    Null and empty texts have no words: all counts are 0, the base rules fail, ``log_ratio`` is 0. Without trusted
+    documents the target is uniform over the buckets. Rows with a null id are rated and count as raw text. Repeated
+    rows give equal rows. Other columns are not read. An empty table gives an empty table."""
+    return rated(docs.select(id_col, text_col), trusted, id_col, text_col, threshold, buckets).select(id_col, "_rating.*")
