@@ -14,6 +14,7 @@ from .packing import packed
 from .pii import personal_data, span_digests
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
+from .suffix_dedup import without_repeats
 from .toxicity import toxicity_scores
 from .url_filter import url_verdicts
 
@@ -23,6 +24,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes without strings that occur twice, as counts and a digest."""
+    return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its spans of personal data."""
     return span_digests(personal_data(table(spark, sf_dir, "documents")))
@@ -72,6 +78,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_pii": op4_pii,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
