@@ -317,9 +317,9 @@ def a1b(spark, d):
 _A2 = " UNION ALL ".join(f"SELECT deployment_id, '{f}' AS field, CAST({f} AS DOUBLE) AS v FROM v_telemetry" for f in ("x", "y", "z", "heading", "pitch", "roll"))
 
 
-@query("a2_described_telemetry", f"SELECT deployment_id, field, count(v) AS n, CASE WHEN count(v) >= 2 THEN round(round(quantile_cont(v, 0.5), 4), 3) END AS median, CASE WHEN count(v) >= 2 THEN round(round(stddev_samp(v), 4), 3) END AS std_dev FROM ({_A2}) WHERE v IS NOT NULL GROUP BY 1, 2", "v_telemetry")
+@query("a2_described_telemetry", f"SELECT deployment_id, field, count(v) AS n, CASE WHEN count(v) >= 2 THEN round(quantile_cont(v, 0.5), 4) END AS median, CASE WHEN count(v) >= 2 THEN round(stddev_samp(v), 4) END AS std_dev FROM ({_A2}) WHERE v IS NOT NULL GROUP BY 1, 2", "v_telemetry")
 def a2(spark, d):
-    return quality.described_telemetry(_t(spark, d)).select(DEP, "field", "n", F.round("median", 3).alias("median"), F.round("std_dev", 3).alias("std_dev"))
+    return quality.described_telemetry(_t(spark, d)).select(DEP, "field", "n", "median", "std_dev")
 
 
 def _videos(spark, d):

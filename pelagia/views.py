@@ -54,4 +54,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def duck(sql: str, *names: str) -> str:
     """DuckDB SQL that may use the named views."""
-    return f"WITH {', '.join(_with(names, _DUCK))} {sql}"
+    return f"WITH {', '.join(_with(names, _DUCK))} {sql}" if names else sql
