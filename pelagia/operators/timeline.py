@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pelagia.functions.normalize import any_time, bearing, to_number
 
 DEP = "deployment_id"
-TRACK = Window.partitionBy(DEP).orderBy("ts", "row_no")
+
+
+def track_order() -> WindowSpec:
+    """The one order of a deployment's rows."""
+    return Window.partitionBy(DEP).orderBy("ts", "row_no")
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:
@@ -35,7 +39,7 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
 
 def intervals(track: DataFrame) -> DataFrame:
     """Each row but the first with the seconds since the one before."""
-    return track.withColumn("gap_s", seconds_between(F.col("ts"), F.lag("ts").over(TRACK))).where("gap_s is not null")
+    return track.withColumn("gap_s", seconds_between(F.col("ts"), F.lag("ts").over(track_order()))).where("gap_s is not null")
 
 
 def median_interval(track: DataFrame, positive_only: bool = False) -> DataFrame:
@@ -92,9 +96,9 @@ def track_heading(track: DataFrame, constant: float | None = None, from_track: b
     A stationary row is not carried."""
     if not from_track:
         return track.withColumn("heading", F.coalesce("heading", F.lit(constant).cast("double")))
-    nx, ny = F.lead("x").over(TRACK), F.lead("y").over(TRACK)
-    step = track.select("*", F.coalesce("heading", bearing(F.col("x"), F.col("y"), nx, ny)).alias("_h"), F.lead("row_no").over(TRACK).isNull().alias("_last"))
-    carried = step.withColumn("_h", F.when(F.col("_last") & F.col("_h").isNull(), F.lag("_h").over(TRACK)).otherwise(F.col("_h")))
+    nx, ny = F.lead("x").over(track_order()), F.lead("y").over(track_order())
+    step = track.select("*", F.coalesce("heading", bearing(F.col("x"), F.col("y"), nx, ny)).alias("_h"), F.lead("row_no").over(track_order()).isNull().alias("_last"))
+    carried = step.withColumn("_h", F.when(F.col("_last") & F.col("_h").isNull(), F.lag("_h").over(track_order())).otherwise(F.col("_h")))
     return carried.withColumn("heading", F.coalesce("_h", F.lit(constant).cast("double"))).drop("_h", "_last")
 
 
@@ -124,7 +128,7 @@ def resampled(track: DataFrame, interval_s: float) -> DataFrame:
     us = F.unix_micros("ts")
     whole = Window.partitionBy(DEP)
     columns = [c for c in track.columns if c not in (DEP, "row_no", "ts", "x", "y", "z", "heading")]
-    seg = track.select("*", us.alias("_t"), F.lead(us).over(TRACK).alias("_u"), *(F.lead(c).over(TRACK).alias(f"_{c}") for c in "xyz"), F.min(us).over(whole).alias("_t0"), F.max(us).over(whole).alias("_t1"), F.row_number().over(TRACK).alias("_n"))
+    seg = track.select("*", us.alias("_t"), F.lead(us).over(track_order()).alias("_u"), *(F.lead(c).over(track_order()).alias(f"_{c}") for c in "xyz"), F.min(us).over(whole).alias("_t0"), F.max(us).over(whole).alias("_t1"), F.row_number().over(track_order()).alias("_n"))
     same = seg.where("_t0 = _t1").select(DEP, "row_no", "ts", "x", "y", "z", "heading", *columns)
     low = F.when(F.col("_n") == 1, 0).otherwise(F.floor((F.col("_t") - F.col("_t0")) / step) + 1)
     high = F.floor((F.col("_u") - F.col("_t0")) / step)
@@ -138,7 +142,7 @@ def resampled(track: DataFrame, interval_s: float) -> DataFrame:
 
 def object_ids(track: DataFrame, first: int = 0) -> DataFrame:
     """Row number in time order from ``first``."""
-    return track.withColumn("object_id", F.row_number().over(TRACK) + F.lit(first - 1))
+    return track.withColumn("object_id", F.row_number().over(track_order()) + F.lit(first - 1))
 
 
 def sequence_order(rows: DataFrame, set_col: str = "set_id", time_col: str = "ts") -> DataFrame:

@@ -120,7 +120,7 @@ _BEARING = "CASE WHEN x2 <> x1 OR y2 <> y1 THEN ((degrees(atan2(x2 - x1, y2 - y1
 
 @query("n17_bearing", f"SELECT row_no, round({_BEARING.replace('x1', 'x').replace('y1', 'y').replace('x2', 'nx').replace('y2', 'ny')}, 6) AS bearing FROM (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM v_telemetry WINDOW w AS (PARTITION BY deployment_id ORDER BY ts, row_no))", "v_telemetry")
 def n17(spark, d):
-    step = _t(spark, d).select("row_no", "x", "y", F.lead("x").over(timeline.TRACK).alias("nx"), F.lead("y").over(timeline.TRACK).alias("ny"))
+    step = _t(spark, d).select("row_no", "x", "y", F.lead("x").over(timeline.track_order()).alias("nx"), F.lead("y").over(timeline.track_order()).alias("ny"))
     return step.select("row_no", F.round(n.bearing(*(F.col(c) for c in ("x", "y", "nx", "ny"))), 6).alias("bearing"))
 
 
