@@ -29,6 +29,8 @@ LOOK_ALIKES = {
 }
 #: Negative log-likelihoods of the channel's acts: a look-alike for a letter, a repeated letter, a spaced word's gap.
 SWAP, REPEAT, GAP, KEEP = 1.5, 2.0, 0.7, 6.0
+#: The same for a mark, not a blank, between two single characters that hides nothing.
+DIVIDED = 3.0
 
 # Symbols of the language model: 0 word boundary, 1-26 letters, 27 digit, 28 other ASCII, 29 other letters.
 SYMBOLS = 30
@@ -117,7 +119,9 @@ def decode(stretch: str, costs: np.ndarray) -> str:
     left as it is."""
     if _SPACED.fullmatch(stretch):
         joined = _viterbi(_lattice(stretch[::2]), costs)
-        return min((joined[0] + GAP * (len(stretch) // 2), joined[1]), _viterbi([[(ch, 0.0)] for ch in stretch], costs))[1]
+        left = DIVIDED * sum(ch != " " for ch in stretch[1::2])
+        as_it_is = _viterbi([[(ch, 0.0)] for ch in stretch], costs)
+        return min((joined[0] + GAP * (len(stretch) // 2), joined[1]), (as_it_is[0] + left, as_it_is[1]))[1]
     return _viterbi(_lattice(stretch), costs)[1]
 
 

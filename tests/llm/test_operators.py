@@ -235,7 +235,7 @@ def test_quality_rules(spark):
     bad = [(100 + k, " ".join(w + "%%%" for w in prose(rng, 80).split())) for k in range(10)]
     rows = good + bad + EDGE + [(300, (prose(rng, 30) + "\n") * 4), (301, "# a\n# a\n\n|b|")]
     trusted = spark.createDataFrame([(k,) for k, _ in good[:25]], "doc_id bigint")
-    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs(spark, rows), trusted).collect()}
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs(spark, rows), trusted, threshold=-1.0).collect()}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -274,7 +274,7 @@ def test_toxicity_restores_and_scores(spark):
                 words.insert(rng.randrange(len(words)), rng.choice(bad))
         rows.append((k, " ".join(words)))
     hidden = [(500, "m0r0n"), (501, "i d i o t"), (502, "traaaash"), (503, "1d1ot"), (504, "m.o.r.o.n")]
-    rows2 = rows + [(i, prose(rng, 20) + f" {t} {t} " + prose(rng, 20)) for i, t in hidden] + EDGE
+    rows2 = rows + [(i, prose(rng, 20) + f" {t} stone {t} river {t} " + prose(rng, 20)) for i, t in hidden] + EDGE
     labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows], "doc_id bigint, toxic int")
     out = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs(spark, rows2), labels).collect()}
     assert all(out[i]["predicted"] == 1 for i, _ in hidden)
