@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .timeline import DEP
 
-_HIT = "struct<t:bigint,row_no:bigint>"
 
 
 def _nearest(tagged: DataFrame, keys: list[str]) -> DataFrame:
