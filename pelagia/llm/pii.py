@@ -25,7 +25,8 @@ HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Share of a value's information from which on a term discloses it, and the documents that must hold both.
 SHARE, SUPPORT = 0.8, 3
 MIN_TERM = 4
-BROADCAST_TERMS = 200_000
+#: Terms, and rows with their terms, that a broadcast holds at most; more are shuffled.
+BROADCAST_TERMS, BROADCAST_ROWS = 200_000, 20_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -99,22 +100,24 @@ def line_terms(found: DataFrame) -> DataFrame:
 
 
 def disclosing(found: DataFrame, terms: DataFrame, share: float, support: int) -> DataFrame:
-    """``kind, value, term``: pairs whose mutual information reaches the share of the value's information. Counts
-    are of documents with different texts: those with the value, with the term, with both in one line."""
-    texts = found.where("text <> ''").select(F.xxhash64("text").alias("t")).distinct().count()
-    same = found.select("row", F.xxhash64("text").alias("t"))
-    both = terms.select("row", "kind", "value", "term").distinct().join(same, "row").groupBy("kind", "value", "term").agg(F.count_distinct("t").alias("both"))
-    both = materialise(both.where(F.col("both") >= support))
-    values = found.select(F.xxhash64("text").alias("t"), F.explode("spans").alias("s")).select("t", "s.kind", "s.value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_value"))
+    """``kind, value, term``: pairs whose mutual information reaches the share of the value's information, by the
+    documents with the value, with the term, and with both in one line. Pairs need ``support`` different texts with
+    both, so that copies of one document tell nothing."""
+    texts = found.count()
+    same = found.where(F.size("spans") > 0).select("row", F.xxhash64("text").alias("t"))
+    both = terms.select("row", "kind", "value", "term").distinct().join(same, "row").groupBy("kind", "value", "term").agg(F.count("*").alias("both"), F.count_distinct("t").alias("texts"))
+    values = found.select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("s")).groupBy("s.kind", "s.value").agg(F.count("*").alias("n_value"))
+    information = F.log(F.lit(float(max(texts, 1))) / F.col("n_value"))
+    tells = lambda n_term: (information > 0) & (F.log(F.col("both") * F.lit(float(max(texts, 1))) / (F.col("n_value") * F.col(n_term))) >= F.lit(share) * information)
+    # a term is in as many documents at least as have it beside a value: most pairs fail by that count alone
+    beside = terms.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
+    both = materialise(both.where(F.col("texts") >= support).join(values, ["kind", "value"]).join(beside, "term").where(tells("n_beside")))
     wanted = both.select("term").distinct()
     # a checked number of terms is sent to the words; more of them meet the words in a shuffle
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted.hint("merge")
-    words = found.select(F.xxhash64("text").alias("t"), F.explode(F.array_distinct(F.split("text", SPACE, -1))).alias("word")).select("t", _term(F.col("word")).alias("term"))
-    known = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    rated = both.join(values, ["kind", "value"]).join(known, "term")
-    information = F.log(F.lit(float(max(texts, 1))) / F.col("n_value"))
-    mutual = F.log(F.col("both") * F.lit(float(max(texts, 1))) / (F.col("n_value") * F.col("n_term")))
-    return rated.where((information > 0) & (mutual >= F.lit(share) * information)).select("kind", "value", "term")
+    words = found.select(F.explode(F.array_distinct(F.transform(F.split("text", SPACE, -1), _term))).alias("term"))
+    known = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    return both.join(known, "term").where(tells("n_term")).select("kind", "value", "term")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, support: int = SUPPORT) -> DataFrame:
@@ -123,7 +126,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     where spans overlap at one place.
 
     Offsets are code points, ends exclusive. Null and empty texts have no spans. Rows with a null id and repeated
-    rows are searched each; equal texts count once in the statistics. Other columns are kept. An empty table gives
+    rows are searched and counted each; equal texts count once as support. Other columns are kept. An empty table gives
     an empty table."""
     held = docs.select(*docs.columns, F.monotonically_increasing_id().alias("_row"))
     text = text_of(held, text_col)
@@ -132,6 +135,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     terms = materialise(line_terms(narrow))
     pairs = disclosing(narrow, terms, share, support)
     told = terms.join(pairs, ["kind", "value", "term"], "left_semi").groupBy("row").agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value")))).alias("_terms"))
+    told = materialise(told)
+    told = F.broadcast(told) if told.count() <= BROADCAST_ROWS else told.hint("merge")
     done = found.join(told, found["_row"] == told["row"], "left").withColumn("spans", F.concat("_spans", F.coalesce("_terms", F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))))
     return done.withColumn("sanitised", _sanitised(text_of(done, text_col), F.col("spans"))).select(*docs.columns, "spans", "sanitised")
 
