@@ -289,8 +289,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     held = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text")).withColumn("h", F.xxhash64("id", "text"))
     rows = materialise(held.select("id", "h", "text").mapInArrow(_segment_rows(length, gram), f"id {kind}, h bigint, start bigint, windows bigint, mini bigint, seg bigint"))
-    twice = rows.groupBy("mini").agg(F.count("*").alias("c")).where("c > 1").select("mini").hint("merge")
-    met = materialise(rows.join(twice, "mini"))
+    # written first, so that the join reads two plain shuffles and Spark can split a hot minimiser
+    twice = materialise(rows.groupBy("mini").agg(F.count("*").alias("c")).where("c > 1").select("mini"))
+    met = materialise(rows.join(twice.hint("merge"), "mini"))
     distinct = materialise(met.groupBy("mini", "seg").agg(F.count("*").alias("n"), F.first("id").alias("id"), F.first("h").alias("h"), F.first("start").alias("start"), F.first("windows").alias("windows")))
     several = distinct.groupBy("mini").agg(F.count("*").alias("c")).where("c > 1").withColumn("parts", F.ceil(F.col("c") / SPLIT).cast("int"))
     chosen = distinct.join(several.hint("merge"), "mini")
