@@ -141,7 +141,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = rows_in.where("id is not null").mapInArrow(_buckets(size, bands, rows), f"id {kind}, n bigint, keys array<bigint>, {", ".join(f"{b} bigint" for b in _BITS)}")
     drawn = materialise(drawn.join(reps, "id", "left_semi").dropDuplicates(["id"]))
     bucketed = drawn.select("id", F.explode("keys").alias("key"))
-    shared = bucketed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    # written first, so that the join reads two plain shuffles and Spark can split a hot bucket
+    shared = materialise(bucketed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
     member = materialise(bucketed.join(shared, "key"))
     wanted = member.select("id").distinct()
     facts = materialise(drawn.drop("keys").join(wanted, "id"))
