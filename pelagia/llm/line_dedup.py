@@ -1,9 +1,9 @@
 """Fuzzy line deduplication in built-in functions only: MinHash, banding, exact Jaccard, connected components.
 
-Lines are compared in lower case with single blanks, as sets of the character shingles that begin at their words.
-A line's signature holds the least masked hash of its shingles for each of several masks; bands of the signature
-propose pairs; a pair that agrees in enough registers is verified by the Jaccard similarity of the sets. Texts are never shuffled for the signatures: the
-map side reduces each line to its hashes.
+Lines are compared in lower case with single blanks, as sets of all their character shingles. A line's signature
+holds the least masked hash of its shingles for each of several masks; bands of the signature propose pairs; a pair
+that sizes and parity bits do not rule out is verified by the Jaccard similarity of the sets. Texts are never shuffled
+for the signatures: the map side reduces each line to its hashes.
 """
 
 from __future__ import annotations
@@ -15,13 +15,12 @@ from .common import materialise, text_of
 from .components import components
 
 BANDS, ROWS = 5, 2
-#: A shingle is the characters from the start of a word on, this many or up to the line's end.
-SHINGLE = 8
+#: Every run of this many characters is a shingle.
+SHINGLE = 5
 THRESHOLD = 0.8
-#: Registers that a pair must share to be verified; at the threshold 1 pair in 150 shares fewer.
-AGREE = 5
 #: Shorter lines are left alone.
 MIN_CHARS = 20
+_BITS = [f"b{i}" for i in range(4)]
 
 
 #: White space that is not one blank.
@@ -43,7 +42,7 @@ def plain_lines(text: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(rf"(?<![^ ])(?=(.{{1,{SHINGLE}}}))"), 1)
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), 1)
 
 
 def _masks(n: int) -> list[int]:
@@ -59,49 +58,51 @@ def line_signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     return grams.groupBy(F.col("line_id").alias("id")).agg(F.min("id").alias("owner"), F.count_if(F.col("at") == 0).alias("n"), *least)
 
 
-def _sketch(registers: int) -> list[Column]:
-    """The last 10 bits of each register, six registers to a number."""
-    parts = [[f"m{r}" for r in range(i, min(i + 6, registers))] for i in range(0, registers, 6)]
-    return [sum((F.shiftleft(F.col(m).bitwiseAND(1023), 10 * k) for k, m in enumerate(part)), F.lit(0).cast("bigint")).alias(f"s{i}") for i, part in enumerate(parts)]
-
-
-def _agree(registers: int, least: int) -> Column:
-    """Whether two sketches (m.s0 ..., o.s0 ...) share enough registers."""
-    same = lambda r: F.shiftright(F.col(f"m.s{r // 6}").bitwiseXOR(F.col(f"o.s{r // 6}")), 10 * (r % 6)).bitwiseAND(1023) == 0
-    return sum((same(r).cast("int") for r in range(registers)), F.lit(0)) >= min(least, registers)
-
-
 def _members(signed: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``key, id, low, high, s0...``: the lines of buckets that hold two lines or more, with the least and greatest."""
+    """``key, id, low, high``: the lines of buckets that hold two lines or more, with the least and greatest."""
     keys = [F.xxhash64(F.lit(b), *(f"m{b * rows + r}" for r in range(rows))) for b in range(bands)]
     placed = signed.select("id", F.explode(F.array(*keys)).alias("key"))
     # written first, so that the join reads two plain shuffles and Spark can split a hot bucket
     lead = materialise(placed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"))
-    return placed.join(lead, "key").join(signed.select("id", *_sketch(bands * rows)), "id")
+    return placed.join(lead, "key")
+
+
+def _facts(lines: DataFrame) -> DataFrame:
+    """``id, n, b0...``: the size of each line's shingle set, and 256 bits of which bit k is the parity of how many
+    shingles hash to k. Two sets differ in at least as many shingles as their bits differ."""
+    grams = lines.select("id", F.explode(F.array_distinct(shingles(F.col("line")))).alias("gram")).select("id", F.xxhash64("gram").alias("h"))
+    bit, word = F.expr("shiftleft(1L, cast(h & 63 AS int))"), F.shiftright("h", 6).bitwiseAND(len(_BITS) - 1)
+    return grams.groupBy("id").agg(F.count("*").alias("n"), *(F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(b) for k, b in enumerate(_BITS)))
+
+
+def _can_be_alike(threshold: float) -> Column:
+    """False only for pairs (m, o) that cannot have the similarity: their sizes or their parity bits differ too much."""
+    n, m = F.col("m.n"), F.col("o.n")
+    apart = sum((F.bit_count(F.col(f"m.{b}").bitwiseXOR(F.col(f"o.{b}"))) for b in _BITS), F.lit(0))
+    return (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m)) & (apart <= F.lit((1 - threshold) / (1 + threshold)) * (n + m) + F.lit(1e-6))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("m.id", "o.id").alias("u"), F.least("m.id", "o.id").alias("v")).distinct()
 
 
-def _pivot_pairs(members: DataFrame, registers: int, agree: int) -> DataFrame:
-    """Every line of a bucket with the bucket's least and greatest line, if enough registers agree."""
+def _pivot_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """Every line of a bucket with the bucket's least and greatest line, if they can be alike."""
     other = members.where("id = low OR id = high")
-    met = members.alias("m").join(other.alias("o"), (F.col("m.key") == F.col("o.key")) & (F.col("m.id") != F.col("o.id")) & _agree(registers, agree))
+    met = members.alias("m").join(other.alias("o"), (F.col("m.key") == F.col("o.key")) & (F.col("m.id") != F.col("o.id")) & _can_be_alike(threshold))
     return _ordered(met)
 
 
-def _rest(members: DataFrame, label: DataFrame, registers: int, agree: int) -> DataFrame:
-    """What the pivots have left: every pair of one bucket in two components, if enough registers agree. Lines
-    outside their bucket's largest component are held against the others."""
+def _rest(members: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
+    """What the pivots have left: every pair of one bucket in two components, if they can be alike. Lines outside their bucket's largest component are held against the others."""
     known = members.join(label, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
     sizes = label.groupBy("component").agg(F.count("*").alias("size"))
     several = known.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("key")
     known = materialise(known.join(several, "key").join(sizes, F.col("class") == F.col("component"), "left"))
     main = known.groupBy("key").agg(F.max_by("class", F.struct(F.coalesce("size", F.lit(1)), "class")).alias("main"))
-    known = known.select("key", "id", "class", *(c for c in known.columns if c.startswith("s") and c[1:].isdigit())).join(main, "key")
+    known = known.select("key", "id", "class", "n", *_BITS).join(main, "key")
     apart = F.expr("m.class <> o.class AND (o.class = o.main OR m.id < o.id)")
-    return _ordered(known.where("class <> main").alias("m").join(known.alias("o"), (F.col("m.key") == F.col("o.key")) & apart & _agree(registers, agree)))
+    return _ordered(known.where("class <> main").alias("m").join(known.alias("o"), (F.col("m.key") == F.col("o.key")) & apart & _can_be_alike(threshold)))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
@@ -132,9 +133,10 @@ def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signed = materialise(line_signatures(held, bands, rows))
     members = materialise(_members(signed, bands, rows))
     lines = materialise(_lines_of(held, signed.select("id", "owner").join(members.select("id").distinct(), "id")))
-    links = materialise(_verified(materialise(_pivot_pairs(members, bands * rows, AGREE)), lines, threshold))
+    members = materialise(members.join(_facts(lines), "id"))
+    links = materialise(_verified(materialise(_pivot_pairs(members, threshold)), lines, threshold))
     label = materialise(components(links).withColumnRenamed("node", "id"))
-    rest = materialise(_rest(members, label, bands * rows, AGREE))
+    rest = materialise(_rest(members, label, threshold))
     found = materialise(components(links.union(_verified(rest, lines, threshold))))
     # lines that go everywhere, and lines that stay in one document
     gone = found.where("node <> component").select(F.col("node").alias("id"), F.lit(None).cast(held.schema["id"].dataType).alias("owner"))

@@ -133,6 +133,33 @@ def test_line_dedup_against_all_pairs(spark):
     assert line_dedup.deduplicated_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_compares_all_characters(spark):
+    rng = random.Random(14)
+    token = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    base = [f"https://{token(12)}.org/{token(30)}" for _ in range(8)] + ["data:image/png;base64," + token(60) for _ in range(4)]
+    base += ["".join(chr(0x4E00 + x) for x in [*range(8), *rng.sample(range(20, 900), 40)]) for _ in range(4)] + [f"internationalisation{k} {token(9)} {token(70)}" for k in range(4)]
+    near = [x[:-4] + token(4) for x in base]
+    rows = [(k, x) for k, x in enumerate(base + near + base)]
+    plain = sorted(set(base + near))
+    sets = {x: {x[i : i + 5] for i in range(len(x) - 4)} for x in plain}
+    parent = {x: x for x in plain}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in plain:
+        for y in plain:
+            if x < y and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                parent[find(y)] = find(x)
+    got = collections.Counter(r["text"] for r in line_dedup.deduplicated_lines(docs(spark, rows)).collect() if r["text"])
+    assert max(got.values()) == 1
+    comps = collections.Counter(map(find, got))
+    assert set(comps) == set(map(find, plain)) and len(comps) >= len(base)
+    assert sum(n > 1 for n in comps.values()) <= 1  # a pair may miss every band
+
+
 def test_suffix_array_and_repeats(spark, monkeypatch):
     rng = random.Random(5)
     for _ in range(60):
