@@ -95,11 +95,12 @@ def _lattice(stretch: str) -> list[list[tuple[str, float]]]:
 
 
 def _viterbi(places: list[list[tuple[str, float]]], costs: np.ndarray) -> tuple[float, str]:
-    """The cheapest path through a lattice between word boundaries; states are the last two symbols."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The cheapest path through a lattice between word boundaries; states are the last two symbols, and a path is
+    kept as its last reading and the path before."""
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for readings in [*places, [(" ", 0.0)]]:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (so_far, text) in best.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (so_far, path) in best.items():
             for reading, cost in readings:
                 p, q, total = a, b, so_far + cost
                 for ch in reading:
@@ -108,46 +109,88 @@ def _viterbi(places: list[list[tuple[str, float]]], costs: np.ndarray) -> tuple[
                     p, q = q, r
                 old = after.get((p, q))
                 if old is None or total < old[0]:
-                    after[p, q] = (total, text + reading)
+                    after[p, q] = (total, (path, reading))
         best = after
-    cost, text = min(best.values())
-    return cost, text[:-1]
+    cost, path = min(best.values(), key=lambda found: found[0])
+    parts = []
+    while path:
+        path, reading = path
+        parts.append(reading)
+    return cost, "".join(reversed(parts))[:-1]
+
+
+#: Letters and digits of any script; the marks that look like letters; the marks that divide letters.
+_ALNUM, _MARKS, _DIVIDERS = r"[^\W_]", r"@$!|+(*#€£", r".\-_"
+_LETTER = r"[^\W\d_]"
+_DIVIDER = rf"(?:[ \t]+(?:[{_DIVIDERS}]+[ \t]+)?|[{_DIVIDERS}*]+[ \t]*)"
+_SINGLE = rf"(?:{_ALNUM}|[{_MARKS}])"
+#: Where the channel may have acted: single characters in a row; runs of letters, look-alikes and dividers that are
+#: not plain words. Every other mark, and white space, ends a run.
+_SPACED = re.compile(rf"(?<!{_ALNUM})(?<!{_ALNUM}[{_DIVIDERS}*'’/:@]){_SINGLE}(?:{_DIVIDER}{_SINGLE}(?!{_ALNUM})){{2,}}")
+_RUN = rf"[\w{_MARKS}.\-]"
+_STRETCH = re.compile(rf"(?P<spaced>{_SPACED.pattern})|(?<!{_RUN})(?![{_MARKS}](?:{_SPACED.pattern}))(?={_RUN}*?(?:[\d_{_MARKS}.\-]|({_LETTER})\2\2)){_RUN}+")
+#: What makes a run suspicious: letters around or behind or before look-alikes or dividers, or a letter three times.
+_HIDDEN = re.compile(rf"{_LETTER}[\d{_MARKS}{_DIVIDERS}]+{_LETTER}|^[\d{_MARKS}]+{_LETTER}|{_LETTER}[\d@$!|+(]$|({_LETTER})\1\1")
+#: Runs without any letter that are no words: numbers with their marks, one mark repeated.
+_NUMERAL = re.compile(rf"[{_MARKS}]*\d[\d.\-_]*[{_MARKS}]*")
+_SUSPECT = (
+    r"\pL[0-9@$!|+(*#\x{20ac}\x{a3}._\-]+\pL|(?:^|[^\pL\pN])[0-9@$!|+(*#\x{20ac}\x{a3}]+\pL|\pL[0-9@$!|+(]|[^\x00-\x7f]{3}"
+    r"|[@$!|+(*#\x{20ac}\x{a3}][0-9@$!|+(*#\x{20ac}\x{a3}]|[0-9][@$!|+(*#\x{20ac}\x{a3}]"
+    r"|(?:^|[^\pL\pN])[\pL\pN@$!|+(*#\x{20ac}\x{a3}][ \t.\-_*]+[\pL\pN@$!|+(*#\x{20ac}\x{a3}][ \t.\-_*]+[\pL\pN@$!|+(*#\x{20ac}\x{a3}]|"
+) + "|".join(f"{c}{{3}}" for c in "abcdefghijklmnopqrstuvwxyz")
+
+
+def _decode_spaced(stretch: str, costs: np.ndarray) -> str:
+    """One spaced word, or the row of single characters as it is. A divider counts once, however long it is."""
+    letters, dividers, at = [stretch[0]], [], 1
+    for found in re.finditer(rf"({_DIVIDER})({_SINGLE})(?!{_ALNUM})", stretch[1:]):
+        dividers.append(found[1].strip(" \t")[:1] or " ")
+        letters.append(found[2])
+    joined = _viterbi(_lattice("".join(letters)), costs)
+    plain = letters[0] + "".join(map("".join, zip(dividers, letters[1:], strict=True)))
+    as_it_is = _viterbi([[(ch, 0.0)] for ch in plain], costs)
+    left = as_it_is[0] + DIVIDED * sum(ch != " " for ch in dividers)
+    return joined[1] if joined[0] + GAP * len(dividers) <= left else stretch
 
 
 def decode(stretch: str, costs: np.ndarray) -> str:
     """The likeliest reading of one stretch (lower case). A row of single characters is one spaced word or is
-    left as it is."""
+    left as it is; marks at the ends that only divide or enclose stay; a run that hides nothing stays."""
     if _SPACED.fullmatch(stretch):
-        joined = _viterbi(_lattice(stretch[::2]), costs)
-        left = DIVIDED * sum(ch != " " for ch in stretch[1::2])
-        as_it_is = _viterbi([[(ch, 0.0)] for ch in stretch], costs)
-        return min((joined[0] + GAP * (len(stretch) // 2), joined[1]), (as_it_is[0] + left, as_it_is[1]))[1]
-    return _viterbi(_lattice(stretch), costs)[1]
-
-
-#: Where the channel may have acted: one-character words in a row; a letter beside look-alikes or dividers within
-#: a word; a letter three times in a row.
-_SPACED = re.compile(r"(?:\S[ .\-_*])+\S")
-_STRETCH = re.compile(
-    r"(?<!\S)[^\s](?:[ .\-_*][^\s](?!\w)){2,}(?!\S)"
-    r"|(?<!\S)(?=\S*[a-z])(?=\S*(?:[a-z][0-9@$!|+(*#€£.\-_]+[a-z]|(?<!\S)[0-9@$!|+(*#€£]+[a-z]|[a-z][0-9@$!|+(](?!\S)|([a-z])\1\1))[a-z0-9@$!|+(*#€£.\-_]{3,24}(?=[,;:?\"')\]}.]*(?!\S))"
-)
-_SUSPECT = r"[a-zA-Z][0-9@$!|+(*#\x{20ac}\x{a3}._\-]+[a-zA-Z]|(?:^|\s)[0-9@$!|+(*#]+[a-zA-Z]|[a-zA-Z][0-9@$!|+(](?:\s|$)|a{3}|b{3}|c{3}|d{3}|e{3}|f{3}|g{3}|h{3}|i{3}|j{3}|k{3}|l{3}|m{3}|n{3}|o{3}|p{3}|q{3}|r{3}|s{3}|t{3}|u{3}|v{3}|w{3}|x{3}|y{3}|z{3}|(?:^|\s)\S[ .\-_*]\S[ .\-_*]\S(?:\s|$|[ .\-_*]\S)"
+        return _decode_spaced(stretch, costs)
+    core = stretch.strip("._-")
+    if not core:
+        return stretch
+    at = stretch.index(core)
+    head, tail = stretch[:at], stretch[at + len(core) :]
+    if re.search(_LETTER, core):
+        hidden = _HIDDEN.search(core)
+    else:
+        hidden = len(set(core)) > 1 and len(core) > 2 and any(ch in LOOK_ALIKES and not ch.isdigit() for ch in core) and not _NUMERAL.fullmatch(core)
+    return head + _viterbi(_lattice(core), costs)[1] + tail if hidden else stretch
 
 
 def restorer(costs: np.ndarray):
     """A function from a batch of texts to their restored, lower-case forms; readings are remembered per task."""
     known: dict[str, str] = {}
 
-    def reading(match: re.Match[str]) -> str:
-        stretch = match[0]
+    def read(stretch: str) -> str:
         found = known.get(stretch)
         if found is None:
             if len(known) > 200_000:
                 known.clear()
-            known[stretch] = found = decode(stretch, costs)
+            found = decode(stretch, costs)
+            if len(stretch) <= 64:
+                known[stretch] = found
         return found
 
+    def reading(match: re.Match[str]) -> str:
+        stretch = match[0]
+        # an opening bracket is a look-alike too, but not where it is closed again
+        if stretch[0] == "(" and not match["spaced"] and match.string[match.end() : match.end() + 1] == ")":
+            return "(" + read(stretch[1:]) if len(stretch) > 1 else stretch
+        return read(stretch)
+
     def restore(texts: pa.Array) -> pa.Array:
         texts = pc.utf8_lower(pc.fill_null(texts, ""))
         suspects = np.flatnonzero(pc.match_substring_regex(texts, _SUSPECT).to_numpy(zero_copy_only=False))

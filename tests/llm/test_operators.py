@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,6 +311,20 @@ def test_toxicity_restores_and_scores(spark):
     assert toxicity.toxicity_scores(empty(spark), labels).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("hidden", "read"),
+    [("stup" + 30 * "i" + "d", "stupid"), ('"1d10t"', '"idiot"'), ("'1d10t'", "'idiot'"), ("[1d10t]", "[idiot]"), ("(1d10t)", "(idiot)"), ("5tup1d/m0r0n", "stupid/moron"), ("x\u20141d10t", "x\u2014idiot"), ("5t\u00fcp1d", "st\u00fcpid"), ("s  t  u  p  i  d", "stupid"),
+     ("s t u p i d.", "stupid."), ("s t u p i d, so", "stupid, so"), ("(s t u p i d)", "(stupid)"), ("@$$", "ass"), ("$100, 2024 (2019) +1 ### ---", "$100, 2024 (2019) +1 ### ---")],
+)
+def test_toxicity_reads_hidden_words(spark, hidden, read):
+    rng = random.Random(15)
+    words = [*WORDS, "stupid", "idiot", "moron", "ass"]
+    texts = [" ".join(rng.choice(words) for _ in range(20_000))]
+    held = spark.createDataFrame([(t,) for t in texts], "text string")
+    restore = toxicity.restorer(toxicity.character_model(held))
+    assert restore(pa.array([f"the {hidden} stone"])).to_pylist() == [f"the {read} stone"]
+
+
 def test_first_fit_decreasing_against_a_plain_search():
     rng = np.random.default_rng(11)
     for n in (0, 1, 2, 50, 200):
