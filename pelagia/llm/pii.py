@@ -1,13 +1,13 @@
 """Personal data and the terms that give it away, in built-in functions only.
 
-Patterns find the base kinds. A term, a word of a line that holds such a value, discloses the value where their
+Patterns find the base kinds. A term, a word of a text that holds such a value, discloses the value where their
 pointwise mutual information over the corpus reaches a share of the value's own information: then seeing the term
-tells nearly as much as the value. Disclosing terms beside the value are spans of kind ``term``.
+tells nearly as much as the value. Disclosing terms are spans of kind ``term`` at every place of a text with the value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, materialise, text_of
@@ -24,7 +24,6 @@ KINDS = tuple(PATTERNS)
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Share of a value's information from which on a term discloses it, and the documents that must hold both.
 SHARE, SUPPORT = 0.8, 3
-MIN_TERM = 4
 #: Terms, and rows with their terms, that a broadcast holds at most; more are shuffled.
 BROADCAST_TERMS, BROADCAST_ROWS = 200_000, 20_000
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -88,36 +87,56 @@ def _term(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
 
 
-def line_terms(found: DataFrame) -> DataFrame:
-    """``row, kind, value, start, end, term`` for the words of lines that hold a value; ``found`` has row, text, spans."""
-    lines = found.where(F.size("spans") > 0).select("row", "spans", F.posexplode(_placed(F.col("text"), r"[^\n]+")).alias("n", "line"))
-    held = F.filter("spans", lambda s: (s["start"] >= F.col("line.start")) & (s["start"] < F.col("line.end")))
-    lines = lines.select("row", "line", held.alias("here"), "spans").where(F.size("here") > 0)
-    words = lines.select("row", "here", "spans", F.col("line.start").alias("base"), F.explode(_placed(F.col("line.value"), _WORD)).alias("word"))
-    words = words.select("row", "here", "spans", (F.col("base") + F.col("word.start")).alias("start"), (F.col("base") + F.col("word.end")).alias("end"), _term(F.col("word.value")).alias("term"))
-    words = words.where(F.length("term") >= MIN_TERM).where(~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
-    return words.select("row", "start", "end", "term", F.explode("here").alias("v")).select("row", "start", "end", "term", F.col("v.kind").alias("kind"), F.col("v.value").alias("value"))
-
-
-def disclosing(found: DataFrame, terms: DataFrame, share: float, support: int) -> DataFrame:
-    """``kind, value, term``: pairs whose mutual information reaches the share of the value's information, by the
-    documents with the value, with the term, and with both in one line. Pairs need ``support`` different texts with
-    both, so that copies of one document tell nothing."""
-    texts = found.count()
-    same = found.where(F.size("spans") > 0).select("row", F.xxhash64("text").alias("t"))
-    both = terms.select("row", "kind", "value", "term").distinct().join(same, "row").groupBy("kind", "value", "term").agg(F.count("*").alias("both"), F.count_distinct("t").alias("texts"))
-    values = found.select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("s")).groupBy("s.kind", "s.value").agg(F.count("*").alias("n_value"))
+def _pairs_of(spans: Column) -> Column:
+    return F.array_distinct(F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
+
+
+def text_terms(found: DataFrame, texts: int, support: int) -> tuple[DataFrame, DataFrame]:
+    """``kind, value, n_value`` of the values that a term can disclose, and ``t, copies, vs, term``: the different
+    words of each different text that holds such values, without words that touch a base span. ``found`` has row, t,
+    text, spans; ``t`` stands for the text."""
+    held = found.where(F.size("spans") > 0)
+    reps = held.groupBy("t").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+    each = held.join(reps, ["t", "row"]).select("t", "copies", "row", F.explode(_pairs_of(F.col("spans"))).alias("v"))
+    values = each.groupBy("v").agg(F.sum("copies").alias("n_value"), F.count("*").alias("texts")).where((F.col("texts") >= support) & (F.col("n_value") < texts))
+    values = materialise(values.select("v", "n_value"))
+    wanted = each.join(values.select("v"), "v", "left_semi").groupBy("row", "copies").agg(F.collect_list("v").alias("vs"))
+    masked = found.join(wanted.hint("merge"), "row").select("t", "copies", "vs", _sanitised(F.translate("text", "\ue000", " "), F.col("spans"), "\ue000").alias("text"))
+    words = F.filter(F.split("text", SPACE, -1), lambda w: ~w.contains("\ue000"))
+    terms = masked.select("t", "copies", "vs", F.explode(F.array_distinct(F.transform(words, _term))).alias("term"))
+    return values, materialise(terms.where(F.length("term") > 0))
+
+
+def disclosing(found: DataFrame, values: DataFrame, terms: DataFrame, texts: int, share: float, support: int) -> DataFrame:
+    """``v, term``: pairs whose mutual information reaches the share of the value's information, by the documents with
+    the value, with the term, and with both. Pairs need ``support`` different texts with both, so that copies of one
+    document tell nothing."""
+    both = terms.select("term", "copies", F.explode("vs").alias("v")).groupBy("v", "term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts"))
     information = F.log(F.lit(float(max(texts, 1))) / F.col("n_value"))
     tells = lambda n_term: (information > 0) & (F.log(F.col("both") * F.lit(float(max(texts, 1))) / (F.col("n_value") * F.col(n_term))) >= F.lit(share) * information)
     # a term is in as many documents at least as have it beside a value: most pairs fail by that count alone
-    beside = terms.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
-    both = materialise(both.where(F.col("texts") >= support).join(values, ["kind", "value"]).join(beside, "term").where(tells("n_beside")))
+    beside = terms.groupBy("term").agg(F.sum("copies").alias("n_beside"))
+    both = materialise(both.where(F.col("texts") >= support).join(values, "v").join(beside, "term").where(tells("n_beside")))
     wanted = both.select("term").distinct()
     # a checked number of terms is sent to the words; more of them meet the words in a shuffle
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted.hint("merge")
     words = found.select(F.explode(F.array_distinct(F.transform(F.split("text", SPACE, -1), _term))).alias("term"))
     known = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    return both.join(known, "term").where(tells("n_term")).select("kind", "value", "term")
+    return both.join(known, "term").where(tells("n_term")).select("v", "term")
+
+
+def told_places(found: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``row, _terms``: the spans of disclosing terms at all their places in every text that holds the value."""
+    told = terms.select("t", "term", F.explode("vs").alias("v")).join(pairs, ["v", "term"], "left_semi").groupBy("t").agg(F.collect_set("term").alias("told"))
+    held = found.where(F.size("spans") > 0).join(materialise(told).hint("merge"), "t")
+    pieces = held.select("row", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), 0)).alias("at", "piece"))
+    ends = Window.partitionBy("row").orderBy("at")
+    words = pieces.select("row", F.regexp_extract("piece", _WORD, 0).alias("word"), F.sum(F.length("piece")).over(ends).cast("int").alias("end"))
+    words = words.select("row", (F.col("end") - F.length("word")).alias("start"), "end", _term(F.col("word")).alias("term"))
+    words = words.join(held.select("row", F.explode("told").alias("term")), ["row", "term"])
+    words = words.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value")))).alias("places"))
+    free = lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
+    return words.join(found.select("row", "spans"), "row").select("row", F.filter("places", free).alias("_terms"))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, support: int = SUPPORT) -> DataFrame:
@@ -131,22 +150,24 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held = docs.select(*docs.columns, F.monotonically_increasing_id().alias("_row"))
     text = text_of(held, text_col)
     found = materialise(held.withColumn("_spans", F.concat(*(_named(base_spans(text, kind), kind) for kind in KINDS))))
-    narrow = found.select(F.col("_row").alias("row"), text_of(found, text_col).alias("text"), F.col("_spans").alias("spans"))
-    terms = materialise(line_terms(narrow))
-    pairs = disclosing(narrow, terms, share, support)
-    told = terms.join(pairs, ["kind", "value", "term"], "left_semi").groupBy("row").agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value")))).alias("_terms"))
+    narrow = found.select(F.col("_row").alias("row"), text_of(found, text_col).alias("text"), F.col("_spans").alias("spans")).withColumn("t", F.xxhash64("text"))
+    texts = narrow.count()
+    values, terms = text_terms(narrow, texts, support)
+    pairs = disclosing(narrow, values, terms, texts, share, support)
+    told = told_places(narrow, terms, pairs)
     told = materialise(told)
     told = F.broadcast(told) if told.count() <= BROADCAST_ROWS else told.hint("merge")
     done = found.join(told, found["_row"] == told["row"], "left").withColumn("spans", F.concat("_spans", F.coalesce("_terms", F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))))
     return done.withColumn("sanitised", _sanitised(text_of(done, text_col), F.col("spans"))).select(*docs.columns, "spans", "sanitised")
 
 
-def _sanitised(text: Column, spans: Column) -> Column:
+def _sanitised(text: Column, spans: Column, mark: str | None = None) -> Column:
+    """The text with each span as ``mark``, or as its kind in brackets."""
     order = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        next_one = F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("["), x["kind"], F.lit("]")).alias("out"))
+        next_one = F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), *([F.lit(mark)] if mark else [F.lit("["), x["kind"], F.lit("]")])).alias("out"))
         return F.when(x["start"] >= s["at"], next_one).otherwise(s)
 
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(order, state, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))))

@@ -257,6 +257,19 @@ def test_pii_base_and_terms(spark):
     assert pii.personal_data(empty(spark)).count() == 0
 
 
+def test_pii_terms_of_the_whole_text(spark):
+    rng = random.Random(16)
+    rows = [(k, f"Quorvex\n\nby Wu, {k}\nmail <w@quorvex.org> or quorvex.\n{prose(rng, 30)}\n\n(QUORVEX) and Wu") for k in range(8)]
+    rows += [(8, rows[0][1])] + [(20 + k, prose(rng, 60) + " mail once" + str(k) + "@a.org by hand") for k in range(60)] + [(90, "Wu alone"), *EDGE]
+    found = {r["doc_id"]: r for r in pii.personal_data(docs(spark, rows)).collect()}
+    texts = dict(rows)
+    for k in range(9):
+        spans = sorted((s["start"], s["end"]) for s in found[k]["spans"] if s["kind"] == "term" and s["value"] in ("quorvex", "wu"))
+        assert spans == [m.span() for m in re.finditer(r"\S+", texts[k]) if m[0].strip("(),.").lower() in ("quorvex", "wu")] and len(spans) == 5
+        assert not re.search("quorvex|wu", found[k]["sanitised"].lower())
+    assert not any(s["kind"] == "term" for i in (20, 90) for s in found[i]["spans"])
+
+
 def test_quality_rules(spark):
     rng = random.Random(8)
     good = [(k, prose(rng, 80)) for k in range(40)]
