@@ -1,8 +1,8 @@
-"""Near-duplicate documents by ProbMinHash over weighted word shingles.
+"""Near-duplicate documents by ProbMinHash over word shingles.
 
 A signature register holds the shingle whose Poisson process, of a rate that is the shingle's weight, arrives
-first in that register; two documents agree in a register with their probability Jaccard similarity. Bands of
-registers propose links, each is verified by the exact Jaccard similarity of the shingle sets, and connected
+first in that register; all shingles of a text weigh the same, however often it repeats them, so that two documents
+agree in a register with the Jaccard similarity that is verified. Bands of registers propose links, each is verified by the exact Jaccard similarity of the shingle sets, and connected
 components give the classes.
 
 Groups of copies of any size stay cheap: equal texts are collapsed first by a map-side aggregation; within a
@@ -89,12 +89,12 @@ def _buckets(size: int, bands: int, rows: int):
         for batch in batches:
             texts = pc.utf8_lower(batch.column("text"))
             for i, j, data, offsets in blocks(texts):
-                values, doc, count = _weighted(data, offsets, size)
+                values, doc, _ = _weighted(data, offsets, size)
                 sizes = np.bincount(doc, minlength=j - i)
                 some = np.flatnonzero(sizes)
                 if not len(some):
                     continue
-                signature = signatures(values, doc, 1.0 + np.log(count), j - i, bands * rows)[some]
+                signature = signatures(values, doc, np.ones(len(values)), j - i, bands * rows)[some]
                 keys = np.stack(bucket_keys(signature, bands, rows), axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
                 bits = _parities(values, doc, j - i)[some]

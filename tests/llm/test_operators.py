@@ -84,6 +84,17 @@ def test_near_duplicates_against_all_pairs(spark):
     assert len(kept) == len(set(cls.values())) + 1
 
 
+def test_near_duplicates_with_a_repeated_block(spark):
+    rng = random.Random(17)
+    rows = []
+    for k in range(24):
+        words = [f"w{k}x{rng.randrange(10**6)}" for _ in range(95)]
+        block = words[60:]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:60] + block * 60))]
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicate_classes(docs(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     values = rng.integers(0, 2**63, 300, dtype=np.uint64)
