@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word and the next one; only the first is consumed, so that the next one begins a pair too.
+PAIR = rf"(?<![^\x20\x09-\x0D])(?=({WORD}+{SPACE}{WORD}+)){WORD}+"
 SYMBOLS = "[#*$%&|<>]+"
 WINDOW = 8
 BUCKETS = 10_000
@@ -64,8 +66,8 @@ def _shape(text: Column) -> Column:
 
 
 def ngrams(text: Column) -> Column:
-    """The n-grams of a text: its words, and the shapes of its words taken by twos."""
-    return F.concat(_words(text), F.regexp_extract_all(_shape(text), F.lit(f"({WORD}{SPACE}{WORD})")))
+    """The n-grams of a text: its words, and the shapes of every two words that follow each other."""
+    return F.concat(_words(text), F.regexp_extract_all(_shape(text), F.lit(PAIR)))
 
 
 def _bucket(ngram: Column, buckets: int) -> Column:

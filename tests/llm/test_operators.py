@@ -301,6 +301,14 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(docs(spark, rows), trusted.limit(0)).count() == len(rows)
 
 
+def test_quality_rules_take_every_pair_of_shapes(spark):
+    texts = ["Ab c9 dd E", "x Ab c9 dd E", "one", "", "a\nB  9\n", "#" * 20_000]
+    got = [r["g"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").orderBy("k").select(quality_rules.ngrams(F.col("text")).alias("g")).collect()]
+    assert got[0] == ["Ab", "c9", "dd", "E", "Xx x9", "x9 x", "x X"]
+    assert got[1] == ["x", "Ab", "c9", "dd", "E", "x Xx", "Xx x9", "x9 x", "x X"]
+    assert got[2:] == [["one"], [], ["a", "B", "9", "x\nX", "X  9"], ["#" * 20_000]]
+
+
 def test_quality_classifier_learns_and_holds_out(spark):
     rng = random.Random(9)
     rows = [(k, prose(rng, 60) if k % 2 else prose(rng, 60).upper()) for k in range(200)]
