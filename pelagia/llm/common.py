@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,12 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests, local runs) a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="pelagia-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which executors share too."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/pelagia-work"
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -32,7 +27,19 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pelagia-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete the files of frames that ``materialise`` gave and that nothing reads any more; other frames are left alone."""
+    for df in written:
+        path = getattr(df, "written_to", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,4 +35,5 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         state = (now["n"], now["x"])
-        edges = materialise(_small_star(_large_star(edges)))
+        before, edges = edges, materialise(_small_star(_large_star(edges)))
+        discard(before)

@@ -1,9 +1,10 @@
 """Fuzzy line deduplication in built-in functions only: MinHash, banding, exact Jaccard, connected components.
 
-Lines are compared in lower case with single blanks, as sets of all their character shingles. A line's signature
-holds the least masked hash of its shingles for each of several masks; bands of the signature propose pairs; a pair
-that sizes and parity bits do not rule out is verified by the Jaccard similarity of the sets. Texts are never shuffled
-for the signatures: the map side reduces each line to its hashes.
+Lines are compared in lower case with single blanks, as sets of all their character shingles. Each register of a
+line's signature holds its shingle hash that is nearest to the register's mark, the least one under XOR with it. Bands
+are runs of registers of which any two share one register, so that few registers make many bands; equal bands propose
+pairs. A pair that sizes and parity bits do not rule out is verified by the Jaccard similarity of the sets. Texts are
+never shuffled for the signatures: the map side reduces each line to its registers.
 """
 
 from __future__ import annotations
@@ -11,29 +12,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
-from .components import components
+from .common import discard, materialise, text_of
+from .similar import linked_classes, members, parity_words
 
-BANDS, ROWS = 5, 2
-#: Every run of this many characters is a shingle.
+#: Every run of this many characters is a shingle; a shorter line is one shingle.
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Shorter lines are left alone.
-MIN_CHARS = 20
-_BITS = [f"b{i}" for i in range(4)]
-
-
+#: Registers of a signature, and the registers of the first band. All differences of two places are different modulo
+#: REGISTERS, so any two of the bands, which follow by shifting, share exactly one register.
+REGISTERS = 21
+FIRST_BAND = (3, 6, 7, 12, 14)
+#: Bands in use, REGISTERS at most. A pair at exactly the threshold misses them all with a probability of 0.05.
+BANDS = 12
+_CODE = 4  # bytes of a character in UTF-32
 #: White space that is not one blank.
 _WIDE = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 
 
-def plain_line(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, _WIDE, " ")))
+def _let(value: Column, body) -> Column:
+    """``body`` over a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def line_id(line: Column) -> Column:
-    """64-bit hash of the plain line; null for a line that is left alone."""
-    return F.when(F.length(line) >= MIN_CHARS, F.xxhash64(line))
+def plain_line(line: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(line, _WIDE, " ")))
 
 
 def plain_lines(text: Column) -> Column:
@@ -41,130 +43,117 @@ def plain_lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), plain_line)
 
 
-def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), 1)
+def line_id(line: Column) -> Column:
+    """64-bit hash of the plain line; null for a line without text."""
+    return F.when(line != "", F.xxhash64(line))
+
+
+def shingle_set(line: Column) -> Column:
+    """The different shingles of a plain line, each as its 64-bit hash."""
+
+    def hashes(coded: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.octet_length(coded) - (SHINGLE - 1) * _CODE, F.lit(1)), F.lit(_CODE))
+        return F.transform(starts, lambda at: F.xxhash64(F.substring(coded, at, F.lit(SHINGLE * _CODE))))
+
+    return F.array_distinct(_let(F.encode(line, "UTF-32"), hashes))
 
 
-def _masks(n: int) -> list[int]:
-    """n masks whose leading bits differ, so that each prefers other hashes."""
+def _marks(n: int) -> list[int]:
+    """n 64-bit numbers whose leading bits are spread evenly, so that each register prefers other hashes."""
     return [((i * 2**64 // n) ^ (0x9E3779B97F4A7C15 * (i + 1) % 2**56)) - 2**63 for i in range(n)]
 
 
-def line_signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``id, owner, n, m0...``: each distinct line with the least document id, its occurrences and its signature."""
-    lines = docs.select("id", F.explode(plain_lines(F.col("text"))).alias("line")).where(F.length("line") >= MIN_CHARS).select("id", "line", F.xxhash64("line").alias("line_id"))
-    grams = lines.select("id", "line_id", F.posexplode(shingles(F.col("line"))).alias("at", "gram")).select("id", "line_id", "at", F.xxhash64("gram").alias("h"))
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks(bands * rows))]
-    return grams.groupBy(F.col("line_id").alias("id")).agg(F.min("id").alias("owner"), F.count_if(F.col("at") == 0).alias("n"), *least)
+def signatures(lines: DataFrame, bands: int = BANDS) -> DataFrame:
+    """``id, doc, n, keys``: each different line of ``lines`` (doc, line) with one row that has it, its occurrences
+    and its band keys."""
+    coded = lines.select("doc", F.xxhash64("line").alias("id"), F.encode("line", "UTF-32").alias("coded"))
+    starts = F.sequence(F.lit(1), F.greatest(F.octet_length("coded") - (SHINGLE - 1) * _CODE, F.lit(1)), F.lit(_CODE))
+    placed = coded.select("doc", "id", "coded", F.explode(starts).alias("at"))
+    hashed = placed.select("doc", "id", "at", F.xxhash64(F.substring("coded", F.col("at"), F.lit(SHINGLE * _CODE))).alias("h"))
+    nearest = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"r{i}") for i, m in enumerate(_marks(REGISTERS))]
+    signed = hashed.groupBy("id").agg(F.min("doc").alias("doc"), F.count_if(F.col("at") == 1).alias("n"), *nearest)
+    band = lambda b: F.xxhash64(F.lit(b), *(f"r{(place + b) % REGISTERS}" for place in FIRST_BAND))
+    return signed.select("id", "doc", "n", F.array(*map(band, range(bands))).alias("keys"))
 
 
-def _members(signed: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``key, id, low, high``: the lines of buckets that hold two lines or more, with the least and greatest."""
-    keys = [F.xxhash64(F.lit(b), *(f"m{b * rows + r}" for r in range(rows))) for b in range(bands)]
-    placed = signed.select("id", F.explode(F.array(*keys)).alias("key"))
-    # written first, so that the join reads two plain shuffles and Spark can split a hot bucket
-    lead = materialise(placed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"))
-    return placed.join(lead, "key")
+def _lines_of(held: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id, line`` of the wanted lines (id, doc), each read in the row that was noted for it."""
+    by_doc = wanted.groupBy("doc").agg(F.collect_set("id").alias("ids")).hint("merge")
+    found = held.join(by_doc, "doc").select("doc", "ids", F.explode(F.array_distinct(plain_lines(F.col("text")))).alias("line"))
+    named = found.where("line <> ''").select("ids", "line", F.xxhash64("line").alias("id"))
+    return named.where(F.array_contains("ids", F.col("id"))).select("id", "line").dropDuplicates(["id"])
 
 
 def _facts(lines: DataFrame) -> DataFrame:
-    """``id, n, b0...``: the size of each line's shingle set, and 256 bits of which bit k is the parity of how many
-    shingles hash to k. Two sets differ in at least as many shingles as their bits differ."""
-    grams = lines.select("id", F.explode(F.array_distinct(shingles(F.col("line")))).alias("gram")).select("id", F.xxhash64("gram").alias("h"))
-    bit, word = F.expr("shiftleft(1L, cast(h & 63 AS int))"), F.shiftright("h", 6).bitwiseAND(len(_BITS) - 1)
-    return grams.groupBy("id").agg(F.count("*").alias("n"), *(F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(b) for k, b in enumerate(_BITS)))
-
-
-def _can_be_alike(threshold: float) -> Column:
-    """False only for pairs (m, o) that cannot have the similarity: their sizes or their parity bits differ too much."""
-    n, m = F.col("m.n"), F.col("o.n")
-    apart = sum((F.bit_count(F.col(f"m.{b}").bitwiseXOR(F.col(f"o.{b}"))) for b in _BITS), F.lit(0))
-    return (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m)) & (apart <= F.lit((1 - threshold) / (1 + threshold)) * (n + m) + F.lit(1e-6))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.greatest("m.id", "o.id").alias("u"), F.least("m.id", "o.id").alias("v")).distinct()
-
-
-def _pivot_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Every line of a bucket with the bucket's least and greatest line, if they can be alike."""
-    other = members.where("id = low OR id = high")
-    met = members.alias("m").join(other.alias("o"), (F.col("m.key") == F.col("o.key")) & (F.col("m.id") != F.col("o.id")) & _can_be_alike(threshold))
-    return _ordered(met)
-
-
-def _rest(members: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
-    """What the pivots have left: every pair of one bucket in two components, if they can be alike. Lines outside their bucket's largest component are held against the others."""
-    known = members.join(label, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
-    sizes = label.groupBy("component").agg(F.count("*").alias("size"))
-    several = known.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("key")
-    known = materialise(known.join(several, "key").join(sizes, F.col("class") == F.col("component"), "left"))
-    main = known.groupBy("key").agg(F.max_by("class", F.struct(F.coalesce("size", F.lit(1)), "class")).alias("main"))
-    known = known.select("key", "id", "class", "n", *_BITS).join(main, "key")
-    apart = F.expr("m.class <> o.class AND (o.class = o.main OR m.id < o.id)")
-    return _ordered(known.where("class <> main").alias("m").join(known.alias("o"), (F.col("m.key") == F.col("o.key")) & apart & _can_be_alike(threshold)))
-
-
-def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose shingle sets have the similarity; ``lines`` has id and line."""
-    held = pairs.join(lines.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(lines.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
-    sets = held.select("u", "v", F.array_distinct(shingles(F.col("a"))).alias("a"), F.array_distinct(shingles(F.col("b"))).alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return sets.where(both >= F.lit(threshold) * (F.size("a") + F.size("b") - both)).select("u", "v")
-
-
-def _lines_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``id, line`` of the wanted lines (id, owner), each read in its owner."""
-    by_doc = wanted.groupBy("owner").agg(F.collect_set("id").alias("ids")).hint("merge")
-    found = docs.join(by_doc, docs["id"] == by_doc["owner"]).select("ids", F.explode(plain_lines(F.col("text"))).alias("line"))
-    found = found.where(F.length("line") >= MIN_CHARS).select("ids", "line", F.xxhash64("line").alias("id"))
-    return found.where(F.array_contains("ids", F.col("id"))).select("id", "line").dropDuplicates(["id"])
-
-
-def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``docs`` with repeated lines taken out of the text, and ``n_lines`` and ``n_removed``.
-
-    Lines of at least MIN_CHARS characters that are equal, or linked through lines of the similarity, form a
-    component; one line of it stays in the whole table: the first one of the line with the least hash, in the
-    document of the least id that has it. Shorter lines stay. Null and empty texts have one empty line and stay as
-    they are. Rows without an id keep their lines, and do not count. Rows that repeat an id are one document and
-    are treated alike. Other columns are kept as they are. An empty table gives an empty table."""
-    held = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
-    signed = materialise(line_signatures(held, bands, rows))
-    members = materialise(_members(signed, bands, rows))
-    lines = materialise(_lines_of(held, signed.select("id", "owner").join(members.select("id").distinct(), "id")))
-    members = materialise(members.join(_facts(lines), "id"))
-    links = materialise(_verified(materialise(_pivot_pairs(members, threshold)), lines, threshold))
-    label = materialise(components(links).withColumnRenamed("node", "id"))
-    rest = materialise(_rest(members, label, threshold))
-    found = materialise(components(links.union(_verified(rest, lines, threshold))))
-    # lines that go everywhere, and lines that stay in one document
-    gone = found.where("node <> component").select(F.col("node").alias("id"), F.lit(None).cast(held.schema["id"].dataType).alias("owner"))
-    stay = signed.where("n > 1").select("id", "owner").join(gone.select("id"), "id", "left_anti")
-    rule = gone.union(stay)
-    placed = held.select("id", F.explode(F.array_distinct(plain_lines(F.col("text")))).alias("line")).where(F.length("line") >= MIN_CHARS).select("id", F.xxhash64("line").alias("line_id"))
-    met = placed.join(rule.select(F.col("id").alias("line_id"), "owner"), "line_id")
-    verdict = met.groupBy("id").agg(F.collect_set(F.when(F.col("owner").isNull() | (F.col("owner") != F.col("id")), F.col("line_id"))).alias("_drop"), F.collect_set(F.when(F.col("owner") == F.col("id"), F.col("line_id"))).alias("_once"))
+    """``id``, the size ``n`` of each line's shingle set and its parity words."""
+    each = lines.select("id", F.explode(shingle_set(F.col("line"))).alias("h"))
+    return each.groupBy("id").agg(F.count("*").alias("n"), *parity_words(F.col("h"), 4))
+
+
+def _verifier(lines: DataFrame, threshold: float):
+    def verify(pairs: DataFrame) -> DataFrame:
+        a, b = (lines.select(F.col("id").alias(i), F.col("line").alias(name)).hint("merge") for i, name in (("u", "a"), ("v", "b")))
+        sets = pairs.join(a, "u").join(b, "v").select("u", "v", shingle_set(F.col("a")).alias("a"), shingle_set(F.col("b")).alias("b"))
+        both = F.size(F.array_intersect("a", "b"))
+        return sets.where(both >= F.lit(threshold) * (F.size("a") + F.size("b") - both)).select("u", "v")
+
+    return verify
+
+
+def line_classes(held: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
+    """``id, n`` of the different lines of ``held`` (doc, text) that occur more than once, and ``id, class`` of those
+    that share a bucket with another: lines linked by the similarity have one class, the least id."""
+    lines = held.select("doc", F.explode(plain_lines(F.col("text"))).alias("line")).where("line <> ''")
+    signed = materialise(signatures(lines, bands))
+    member = members(signed.select("id", F.explode("keys").alias("key")))
+    repeated = materialise(signed.where("n > 1").select("id", "n"))
+    texts = materialise(_lines_of(held, signed.select("id", "doc").join(member.select("id").distinct(), "id")))
+    discard(signed)
+    facts = materialise(_facts(texts))
+    label = linked_classes(member, facts, _verifier(texts, threshold), threshold)
+    discard(member, texts, facts)
+    return repeated, label
+
+
+def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
+    """``docs`` with repeated lines taken out of the text, and ``n_lines`` and ``n_removed`` (also where ``docs`` has
+    columns of these names: those give way).
+
+    Lines of any length that are equal, or linked through lines of the similarity, form a component; one line of it
+    stays in the whole table: its line with the least hash, at its first place in the row of the least id (then least
+    text hash) that has it. Lines without text stay. Null and empty texts have one empty line and stay as they are.
+    Rows without an id keep their lines, and do not count. Rows that repeat an id and its text are one and are treated
+    alike; rows that repeat an id with another text are rows of their own. Other columns are kept as they are, whatever
+    their names. An empty table gives an empty table."""
+    text = text_of(docs, text_col)
+    held = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("id"), F.xxhash64(docs[id_col], text).alias("doc"), text.alias("text"))
+    repeated, label = line_classes(held.select("doc", "text"), threshold, bands)
+    # a line that is not its component's least one goes everywhere; another one that is repeated stays in one place
+    gone = label.where("id <> class").select("id", F.lit(True).alias("gone"))
+    rule = materialise(gone.union(repeated.join(gone, "id", "left_anti").select("id", F.lit(False))))
+    places = held.select("id", "doc", F.posexplode(plain_lines(F.col("text"))).alias("at", "line")).where("line <> ''")
+    places = places.select(F.xxhash64("line").alias("line"), "id", "doc", "at")
+    met = places.join(rule.hint("merge").withColumnRenamed("id", "line"), "line")
+    met = materialise(met.groupBy("line", "gone", "id", "doc").agg(F.min("at").alias("first"), F.collect_set("at").alias("ats")))
+    home = materialise(met.where("not gone").groupBy("line").agg(F.min(F.struct("id", "doc")).alias("home")))
+    settled = met.join(home.hint("merge"), "line", "left")
+    drop = F.when(F.col("home.doc") == F.col("doc"), F.array_remove("ats", F.col("first"))).otherwise(F.col("ats"))
+    verdict = settled.select("doc", drop.alias("ats")).where(F.size("ats") > 0).groupBy("doc").agg(F.flatten(F.collect_list("ats")).alias("drop"))
     return _rewritten(docs, verdict, id_col, text_col)
 
 
 def _rewritten(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    names = docs.columns
-    verdict = verdict.select(F.col("id").alias("_id"), "_drop", "_once").hint("merge")
-    joined = docs.join(verdict, docs[id_col] == verdict["_id"], "left")
-    lines = F.split(text_of(joined, text_col), "\n", -1)
-    none = F.array().cast("array<bigint>")
-    drop, once = F.coalesce("_drop", none), F.coalesce("_once", none)
-
-    def kept(pair: Column) -> Column:
-        ids = pair["ids"]
-        gone = lambda x, i: F.array_contains(drop, x) | (F.array_contains(once, x) & (F.array_position(ids, x) <= i))
-        return F.filter(pair["lines"], lambda line, i: ~F.coalesce(gone(F.get(ids, i), i), F.lit(False)))
-
-    ids = F.transform(F.transform(lines, plain_line), line_id)
-    left = F.get(F.transform(F.array(F.struct(lines.alias("lines"), ids.alias("ids"))), kept), F.lit(0))
-    touched = F.col("_id").isNotNull()
-    done = joined.withColumns({"_lines": F.size(lines).cast("bigint"), "_left": F.when(touched, left)})
-    text = F.when(touched, F.array_join("_left", "\n")).otherwise(joined[text_col])
-    n_removed = F.when(touched, F.col("_lines") - F.size("_left")).otherwise(0).cast("bigint")
-    return done.select(*(text.alias(c) if c == text_col else joined[c] for c in names), F.col("_lines").alias("n_lines"), n_removed.alias("n_removed"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    text = text_of(docs, text_col)
+    # the columns of the table stay in a struct, so that none can clash with what is joined
+    held = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), F.when(docs[id_col].isNotNull(), F.xxhash64(docs[id_col], text)).alias("doc"))
+    joined = held.join(verdict.hint("merge"), "doc", "left")
+    lines = F.split(F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")), "\n", -1)
+
+    def kept(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "drop")
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    new = F.when(F.col("drop").isNotNull(), _let(lines, kept)).otherwise(F.col("row")[text_col])
+    columns = [new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names]
+    return joined.select(*columns, F.size(lines).cast("bigint").alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("bigint").alias("n_removed"))

@@ -1,13 +1,10 @@
-"""Near-duplicate documents by ProbMinHash over word shingles.
+"""Near-duplicate documents by ProbMinHash over weighted word shingles.
 
-A signature register holds the shingle whose Poisson process, of a rate that is the shingle's weight, arrives
-first in that register; all shingles of a text weigh the same, however often it repeats them, so that two documents
-agree in a register with the Jaccard similarity that is verified. Bands of registers propose links, each is verified by the exact Jaccard similarity of the shingle sets, and connected
-components give the classes.
-
-Groups of copies of any size stay cheap: equal texts are collapsed first by a map-side aggregation; within a
-bucket every member is first held against pivots that an aggregation chooses, and only then are the members
-of different classes held against each other, where sizes and parity bits do not rule the pair out.
+A signature register holds the shingle whose Poisson process, of a rate that is the shingle's weight, arrives first in
+that register: two texts agree in a register with their probability Jaccard similarity. A shingle weighs
+1 + ln(occurrences). Links are verified by the plain Jaccard similarity of the shingle sets, so a text that repeats
+shingles is also drawn with equal weights; where no shingle repeats, both draws are the same. Bands of registers propose
+links, and connected components give the classes. Equal texts are collapsed first by a map-side aggregation.
 """
 
 from __future__ import annotations
@@ -17,17 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
-from .components import components
+from .common import discard, materialise, text_of
+from .similar import bits, linked_classes, members
 from .words import blocks, counted, mix, powers, shingles, words
 
 SIZE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
-_BITS = [f"b{i}" for i in range(8)]
+_BITS = bits(8)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,21 +81,32 @@ def _parities(values: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     return np.packbits(bits.reshape(n_docs, 512), axis=1).view(np.int64)
 
 
+def _drawn_keys(values: np.ndarray, doc: np.ndarray, count: np.ndarray, n_docs: int, bands: int, rows: int) -> list[np.ndarray]:
+    """The bucket keys of each text: of the weighted draw, and of the equal one too where a shingle is repeated."""
+    keys = np.stack(bucket_keys(signatures(values, doc, 1.0 + np.log(count), n_docs, bands * rows), bands, rows), axis=1)
+    repeats = np.zeros(n_docs, bool)
+    repeats[doc[count > 1]] = True
+    some = repeats[doc]
+    number = np.cumsum(repeats) - 1
+    equal = np.stack(bucket_keys(signatures(values[some], number[doc[some]], np.ones(int(some.sum())), int(repeats.sum()), bands * rows), bands, rows), axis=1)
+    return [np.concatenate([k, equal[number[i]]]) if repeats[i] else k for i, k in enumerate(keys)]
+
+
 def _buckets(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.utf8_lower(batch.column("text"))
             for i, j, data, offsets in blocks(texts):
-                values, doc, _ = _weighted(data, offsets, size)
+                values, doc, count = _weighted(data, offsets, size)
                 sizes = np.bincount(doc, minlength=j - i)
                 some = np.flatnonzero(sizes)
                 if not len(some):
                     continue
-                signature = signatures(values, doc, np.ones(len(values)), j - i, bands * rows)[some]
-                keys = np.stack(bucket_keys(signature, bands, rows), axis=1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
-                bits = _parities(values, doc, j - i)[some]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i).take(pa.array(some)), pa.array(sizes[some]), lists, *map(pa.array, bits.T)], ["id", "n", "keys", *_BITS])
+                keys = _drawn_keys(values, doc, count, j - i, bands, rows)
+                ends = np.concatenate([[0], np.cumsum([len(keys[k]) for k in some])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([keys[k] for k in some])))
+                parities = _parities(values, doc, j - i)[some]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i).take(pa.array(some)) for c in ("row", "id")), pa.array(sizes[some]), lists, *map(pa.array, parities.T)], ["row", "id", "n", "keys", *_BITS])
 
     return run
 
@@ -123,79 +131,47 @@ def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return held.where(both >= F.lit(threshold) * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """``given, row, id``: one row per row of ``docs``, with hashes of the row and of its text; ``id, class_id, home``:
+    the class of each different text with the least id of its rows, and one row that has it."""
+    text = text_of(docs, text_col)
+    read = docs.select(docs[id_col].alias("given"), F.xxhash64(docs[id_col], text).alias("row"), F.xxhash64(F.lower(text)).alias("id"), text.alias("text"))
+    keyed = materialise(read.drop("text"))
+    same = materialise(keyed.groupBy("id").agg(F.min("row").alias("row"), F.min(F.when(F.col("given").isNotNull(), F.struct("given", "row"))).alias("first")))
+    texts = read.select("row", "id", "text")
+    drawn = texts.mapInArrow(_buckets(size, bands, rows), f"row bigint, id bigint, n bigint, keys array<bigint>, {', '.join(f'{b} bigint' for b in _BITS)}")
+    drawn = materialise(drawn.join(same.select("row").hint("merge"), "row", "left_semi").drop("row").dropDuplicates(["id"]))
+    member = members(drawn.select("id", F.explode(F.array_distinct("keys")).alias("key")))
+    wanted = materialise(member.select("id").distinct())
+    facts = materialise(drawn.drop("keys").join(wanted, "id"))
+    discard(drawn)
+    rows_of = same.select("id", "row").join(wanted, "id").select("row").hint("merge")
+    sets = materialise(texts.join(rows_of, "row", "left_semi").select("id", "text").mapInArrow(_shingle_sets(size), "id bigint, set array<bigint>").dropDuplicates(["id"]))
+    label = linked_classes(member, facts, lambda pairs: _alike(pairs, sets, threshold), threshold)
+    discard(member, wanted, facts, sets)
+    placed = same.join(label, "id", "left").select("id", F.coalesce("class", "id").alias("class"), "first")
+    least = materialise(placed.groupBy("class").agg(F.min("first").alias("first")))
+    return keyed, materialise(placed.select("id", "class").join(least, "class").select("id", F.col("first.given").alias("class_id"), F.col("first.row").alias("home")))
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: the id and ``class_id``, the least id of its class.
 
     Two texts are linked if the Jaccard similarity of their sets of ``size``-word shingles (lower case) is at
     least ``threshold``; texts equal in lower case are linked always. A class is a connected component.
     Null and empty texts count as equal texts. A text of fewer words than ``size`` has one shingle of all of
-    them. Rows with a null id take part by their text only; where no row of that text has an id their class is
-    null. Repeated rows keep their places. Other columns are not read. An empty table gives an empty table.
-    """
-    rows_in = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
-    keyed = materialise(rows_in.select("id", F.md5(F.lower("text")).alias("key")))
-    same = keyed.groupBy("key").agg(F.min("id").alias("rep"))
-    reps = same.where("rep is not null").select(F.col("rep").alias("id")).distinct()
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    drawn = rows_in.where("id is not null").mapInArrow(_buckets(size, bands, rows), f"id {kind}, n bigint, keys array<bigint>, {", ".join(f"{b} bigint" for b in _BITS)}")
-    drawn = materialise(drawn.join(reps, "id", "left_semi").dropDuplicates(["id"]))
-    bucketed = drawn.select("id", F.explode("keys").alias("key"))
-    # written first, so that the join reads two plain shuffles and Spark can split a hot bucket
-    shared = materialise(bucketed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
-    member = materialise(bucketed.join(shared, "key"))
-    wanted = member.select("id").distinct()
-    facts = materialise(drawn.drop("keys").join(wanted, "id"))
-    sets = rows_in.where("id is not null").join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    sets = materialise(sets.mapInArrow(_shingle_sets(size), f"id {kind}, set array<bigint>"))
-    label = facts.select("id", F.col("id").alias("class"))
-    for propose in (_pivot_pairs, _pivot_pairs, _rest):
-        placed = materialise(member.join(label, "id").join(facts, "id"))
-        links = _alike(propose(placed, threshold), sets, threshold)
-        merged = components(_between(links, label), "cu", "cv")
-        label = materialise(label.join(merged, label["class"] == merged["node"], "left").select("id", F.coalesce("component", "class").alias("class")))
-    classes = same.join(label, same["rep"] == label["id"], "left").select("key", F.coalesce("class", "rep").alias("class_id"))
-    return keyed.join(classes, "key", "left").select(F.col("id").alias(id_col), "class_id")
-
-
-def _between(links: DataFrame, label: DataFrame) -> DataFrame:
-    """Links of documents as links of their classes."""
-    left, right = label.select(F.col("id").alias("u"), F.col("class").alias("cu")), label.select(F.col("id").alias("v"), F.col("class").alias("cv"))
-    return links.join(left, "u").join(right, "v").select("cu", "cv").distinct()
-
-
-def _pivot_pairs(placed: DataFrame, threshold: float, pivots: int = 2) -> DataFrame:
-    """The members of buckets that still hold several classes, each with members drawn as pivots."""
-    draws = [F.min_by(F.struct("id", "class", "n", *_BITS), F.xxhash64("id", "key", "class", F.lit(i))).alias(f"p{i}") for i in range(pivots)]
-    lead = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), *draws).where("low < high")
-    lead = lead.select("key", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(pivots))))).alias("p")).select("key", "p.*")
-    return _distinct_pairs(placed, lead, threshold, "m.class <> o.class")
-
-
-def _rest(placed: DataFrame, threshold: float) -> DataFrame:
-    """Every pair of one bucket in two classes, except what sizes and parity bits rule out: what the pivots
-    have left. Members outside their bucket's largest class are held against the others."""
-    sizes = placed.select("id", "class").distinct().groupBy("class").agg(F.count("*").alias("size"))
-    main = placed.join(sizes, "class").groupBy("key").agg(F.max_by("class", F.struct("size", "class")).alias("main"))
-    placed = placed.join(main, "key")
-    return _distinct_pairs(placed.where("class <> main"), placed, threshold, "m.class <> o.class AND (o.class = o.main OR m.id < o.id)")
-
-
-def _distinct_pairs(placed: DataFrame, other: DataFrame, threshold: float, apart: str) -> DataFrame:
-    pairs = placed.alias("m").join(other.alias("o"), (F.col("m.key") == F.col("o.key")) & F.expr(apart) & _can_be_alike("m", "o", threshold))
-    return materialise(pairs.select(F.greatest("m.id", "o.id").alias("u"), F.least("m.id", "o.id").alias("v")).distinct())
-
-
-def _can_be_alike(mine: str, other: str, threshold: float) -> Column:
-    """False only for pairs that cannot have the similarity: their sizes or their parity bits differ too much."""
-    n, m = F.col(f"{mine}.n"), F.col(f"{other}.n")
-    apart = sum((F.bit_count(F.col(f"{mine}.{b}").bitwiseXOR(F.col(f"{other}.{b}"))) for b in _BITS), F.lit(0))
-    return (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m)) & (apart <= F.lit((1 - threshold) / (1 + threshold)) * (n + m) + F.lit(1e-6))
-
-
-def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class, the one of the least id. Rows that repeat an id are one document.
-    Rows without an id all stay, as nothing tells them apart."""
-    classes = near_duplicate_classes(docs, id_col, text_col, **options)
-    first = classes.where(F.col(id_col) == F.col("class_id")).select(id_col).distinct().hint("merge")
-    return docs.join(first, id_col, "left_semi").dropDuplicates([id_col]).union(docs.where(docs[id_col].isNull())).select(*docs.columns)
+    them. Rows with a null id take part by their text only; where no row of a class has an id its ``class_id`` is
+    null. Rows that repeat an id are classed each by its own text. Other columns are not read. An empty table gives an
+    empty table."""
+    keyed, classes = _classes(docs, id_col, text_col, size, threshold, bands, rows)
+    return keyed.select("given", "id").join(classes.select("id", "class_id").hint("merge"), "id", "left").select(F.col("given").alias(id_col), "class_id")
+
+
+def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``docs`` with one document of each class, as ``near_duplicate_classes`` defines it: the one of the least id, and
+    of rows that repeat that id with other texts one of the class's. Rows without an id all stay, as nothing tells them
+    apart."""
+    _, classes = _classes(docs, id_col, text_col, size, threshold, bands, rows)
+    kept = classes.select(F.col("home").alias("row")).where("row is not null").distinct().hint("merge")
+    held = docs.where(docs[id_col].isNotNull()).select(F.struct(*(docs[c] for c in docs.columns)).alias("held"), F.xxhash64(docs[id_col], text_of(docs, text_col)).alias("row"))
+    return held.join(kept, "row", "left_semi").dropDuplicates(["row"]).select("held.*").union(docs.where(docs[id_col].isNull()))
