@@ -4,7 +4,8 @@ Windows of ``k`` bytes are dealt by their minimiser: the least hash of their ``m
 with one minimiser form a segment, so equal windows always meet in one shard, whatever documents they come from.
 Segments whose minimiser is found once hold no repeat; equal segments are collapsed; the distinct segments of a
 minimiser go to a shard, whose suffix array is built by induced sorting. Permuted common prefixes of neighbouring
-suffixes then tell the windows that occur twice.
+suffixes then tell the windows that occur twice. The segments of a minimiser with too many of them for one shard are
+texts of a next turn, which deals their windows by longer grams; the last turn's grams are whole windows.
 """
 
 from __future__ import annotations
@@ -17,12 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import discard, materialise, text_of
 from .words import _BYTE, blocks, mix, powers
 
 LENGTH, GRAM = 200, 32
-#: Bytes of a shard, and distinct segments of one minimiser from which on its shard is split into pairs of blocks.
+#: Bytes of a shard, and the distinct segments of one minimiser above which a next turn deals them by longer grams.
 SHARD_BYTES, SPLIT = 1 << 21, 3000
+#: Grams of the turns, as shares of what a window has beyond its first gram.
+TURNS = (0.0, 0.4, 0.8, 1.0)
+#: Alphabets up to this size are induced bucket by bucket, larger ones suffix by suffix.
+WIDE = 1024
 _BLOCK = 1 << 20
 _INVERSE = pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 _inverse_powers = np.ones(1, np.uint64)
@@ -67,6 +72,8 @@ def induce(text: np.ndarray, smaller: np.ndarray, marks: np.ndarray, symbols: in
     """All suffixes in order from the leftmost-smaller ones (``marks``) in order: larger ones are induced bucket by
     bucket upwards, then smaller ones downwards. A bucket's entries are handled together, those that they induce
     into their own bucket in the next turn."""
+    if symbols > WIDE:
+        return _induce_each(text, smaller, marks, symbols)
     size = np.bincount(text, minlength=symbols)
     tail = np.cumsum(size)
     head = tail - size
@@ -118,29 +125,53 @@ def induce(text: np.ndarray, smaller: np.ndarray, marks: np.ndarray, symbols: in
     return out
 
 
-def _order_by_names(names: np.ndarray, turns: int) -> np.ndarray:
-    """Order of the suffixes of the reduced text. Its alphabet is about as large as itself, so it is solved by naming
-    pairs of names, recursively: each turn's names stand for twice as many of the text's."""
-    rank = names.astype(np.int64)
-    width = 1
-    for _ in range(turns):
-        if rank.max() == len(rank) - 1:
-            break
-        second = np.zeros_like(rank)
-        second[:-width or None] = rank[width:] + 1
-        key = rank * (len(rank) + 1) + second
-        order = np.argsort(key, kind="stable")
-        rank = np.empty_like(rank)
-        rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[0]]) != 0)
-        width *= 2
-        if width >= len(rank):
-            break
-    return np.argsort(rank, kind="stable")
-
-
-def suffix_array(text: np.ndarray, symbols: int, turns: int = 64) -> np.ndarray:
-    """Suffix array by induced sorting; ``text`` ends with its only 0. Fewer ``turns`` order suffixes by their first
-    2 * 2**turns symbols at least."""
+def _induce_each(text: np.ndarray, smaller: np.ndarray, marks: np.ndarray, symbols: int) -> np.ndarray:
+    """``induce`` for a large alphabet, whose buckets hold few suffixes each."""
+    size = np.bincount(text, minlength=symbols)
+    tail = np.cumsum(size)
+    # the bucket that a suffix induces into, upwards and downwards; -1 for none, also at the place of no suffix (-1)
+    led, larger = np.append(text[:-1], -1), np.append(~smaller[:-1], False)
+    up, down = (np.append(-1, np.where(turn, led, -1)).tolist() for turn in (larger, ~larger))
+    codes, out, end = text.tolist(), [-1] * len(text), tail.tolist()
+    for place in marks[::-1].tolist():
+        c = codes[place]
+        end[c] -= 1
+        out[end[c]] = place
+    free = (tail - size).tolist()
+    for place in out:  # filled ahead of the place that is read
+        c = up[place]
+        if c >= 0:
+            out[free[c]] = place - 1
+            free[c] += 1
+    free = tail.tolist()
+    for place in reversed(out):
+        c = down[place]
+        if c >= 0:
+            free[c] -= 1
+            out[free[c]] = place - 1
+    out[0] = len(codes) - 1  # the end mark
+    return np.array(out, np.int64)
+
+
+def _names(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers of the strings ``text[starts:ends]``, which are in order: equal strings have one number."""
+    length = ends - starts
+    new = np.ones(len(starts), bool)
+    new[1:] = length[1:] != length[:-1]
+    like = np.flatnonzero(~new)  # as long as the one before: compared with it symbol by symbol
+    if len(like):
+        many = length[like]
+        first = np.cumsum(many) - many
+        place = np.arange(int(many.sum())) - np.repeat(first, many)
+        differs = text[np.repeat(starts[like], many) + place] != text[np.repeat(starts[like - 1], many) + place]
+        new[like] = np.add.reduceat(differs, first, dtype=np.int64) > 0
+    return np.cumsum(new) - 1
+
+
+def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
+    """Suffix array by induced sorting; ``text`` ends with its only 0. The leftmost-smaller substrings are sorted by
+    inducing, their names are a text whose suffix array gives the order of the leftmost-smaller suffixes, and these
+    induce all others."""
     if len(text) == 1:
         return np.zeros(1, np.int64)
     smaller = suffix_types(text)
@@ -152,30 +183,49 @@ def suffix_array(text: np.ndarray, symbols: int, turns: int = 64) -> np.ndarray:
     number = np.full(len(text), -1, np.int64)
     number[marks] = np.arange(len(marks))
     end = np.append(marks[1:] + 1, len(text))[number[sorted_marks]]
-    value = _runs(_prefix(mix(text.astype(np.uint64) + np.uint64(5))), sorted_marks, end)
-    names = np.empty(len(marks), np.int64)
-    names[number[sorted_marks]] = np.cumsum(np.diff(value, prepend=value[:1]) != 0)
-    if names.max() < len(marks) - 1:
-        sorted_marks = marks[_order_by_names(names, turns)]
+    names = _names(text, sorted_marks, end)
+    if names[-1] < len(marks) - 1:
+        reduced = np.empty(len(marks), np.int64)
+        reduced[number[sorted_marks]] = names
+        sorted_marks = marks[suffix_array(reduced, int(names[-1]) + 1)]
     return induce(text, smaller, sorted_marks, symbols)
 
 
-def permuted_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place, the suffix before it in the array and their common prefix, counted to ``most`` - 1."""
-    before = np.empty(len(text), np.int64)
+_PACK = 7  # symbols of 9 bits that a 63-bit word holds
+
+
+def permuted_prefixes(text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, the suffix before it in the array and their common prefix. Where the symbols before the two are
+    equal, the prefix is that of the place before less one; only the other places' suffixes are compared."""
+    n = len(text)
+    before = np.empty(n, np.int64)
     before[order[1:]], before[order[0]] = order[:-1], order[0]
-    prefix = _prefix(mix(text.astype(np.uint64) + np.uint64(9)))
-    place, common = np.arange(len(text)), np.zeros(len(text), np.int64)
-    limit = len(text) - np.maximum(place, before)
-    back, step = _unpower(len(prefix)), 1 << ((most - 1).bit_length() - 1)
-    while step:
-        a, b = place + common, before + common
-        fits = common + step <= limit
-        a, b = np.where(fits, a, 0), np.where(fits, b, 0)
-        c, d = np.where(fits, a + step, 0), np.where(fits, b + step, 0)
-        same = fits & ((prefix[c] - prefix[a]) * back[a] == (prefix[d] - prefix[b]) * back[b])
-        common += step * same
-        step //= 2
+    place = np.arange(n)
+    own = (place == 0) | (before == 0) | (text[place - 1] != text[before - 1])
+    own[order[0]] = True
+    word = np.zeros(n + _PACK, np.int64)
+    for k in range(_PACK):
+        word[: max(n - k, 0)] |= text[k:].astype(np.int64) << (9 * k)
+    at = np.flatnonzero(own & (place != order[0]))
+    common = np.zeros(n, np.int64)
+    a, b = at, before[at]
+    while len(at):  # whole words first, then the symbols of the first word that differs
+        same = word[a] == word[b]
+        common[at[same]] += _PACK
+        a, b, at = a[same] + _PACK, b[same] + _PACK, at[same]
+        on = (a < n) & (b < n)
+        a, b, at = a[on], b[on], at[on]
+    at = np.flatnonzero(own & (place != order[0]))
+    for _ in range(_PACK):
+        a, b = at + common[at], before[at] + common[at]
+        on = (a < n) & (b < n)
+        at, a, b = at[on], a[on], b[on]
+        same = text[a] == text[b]
+        at = at[same]
+        common[at] += 1
+    reach = np.where(own, common + place, 0)
+    last = np.maximum.accumulate(np.where(own, place, 0))
+    common = np.maximum(reach[last] - place, 0)
     common[order[0]] = 0
     return before, common
 
@@ -190,7 +240,7 @@ def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list[np.nda
     text[place] = np.frombuffer(b"".join(segments), np.uint8).astype(np.int16) + 2
     left = np.zeros(len(text), np.int64)
     left[place] = np.repeat(start + size, size) - place
-    before, common = permuted_prefixes(text, suffix_array(text, 258, turns=(2 * length).bit_length()), 2 * length)
+    before, common = permuted_prefixes(text, suffix_array(text, 258))
     again = np.flatnonzero((common >= length) & (left >= length) & (left[before] >= length))
     flag = np.zeros(len(text), bool)
     flag[again] = flag[before[again]] = True
@@ -231,10 +281,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
 def _segment_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in blocks(batch.column("text"), _BLOCK):
+            for i, j, data, offsets in blocks(batch.column("data").cast(pa.binary()).view(pa.string()), _BLOCK):
                 doc, start, windows, minimiser, value = segments(data, offsets, length, gram)
-                of = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i).take(of) for c in ("id", "h")] + [pa.array(start), pa.array(windows), pa.array(minimiser), pa.array(value)], ["id", "h", "start", "windows", "mini", "seg"])
+                yield pa.RecordBatch.from_arrays([batch.column("owner").slice(i, j - i).take(pa.array(doc)), pa.array(start), pa.array(windows), pa.array(minimiser), pa.array(value)], ["owner", "start", "windows", "mini", "seg"])
 
     return run
 
@@ -255,6 +304,42 @@ def _solve(length: int):
     return run
 
 
+def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, turn: int = 0) -> DataFrame:
+    """``owner, begin, end``: the windows of ``texts`` (owner, data) that begin at another place too, as ranges of their
+    first bytes. Rows with one owner are places of their own, with one text."""
+    step = gram + round(TURNS[turn] * (length - gram))
+    rows = materialise(texts.mapInArrow(_segment_rows(length, step), "owner bigint, start bigint, windows bigint, mini bigint, seg bigint"))
+    # written first, so that the join reads two plain shuffles and Spark can split a hot minimiser
+    twice = materialise(rows.groupBy("mini").agg(F.count("*").alias("c")).where("c > 1").select("mini"))
+    met = materialise(rows.join(twice.hint("merge"), "mini"))
+    discard(rows, twice)
+    distinct = materialise(met.groupBy("mini", "seg").agg(F.count("*").alias("n"), F.first("owner").alias("owner"), F.first("start").alias("start"), F.first("windows").alias("windows")))
+    several = materialise(distinct.groupBy("mini").agg(F.count("*").alias("c")).where("c > 1"))
+    chosen = distinct.join(several.hint("merge"), "mini")
+    whole = distinct.where("n > 1").select("mini", "seg", F.array(F.struct(F.lit(0).cast("bigint").alias("begin"), F.col("windows").alias("end"))).alias("found"))
+    if turn == len(TURNS) - 1:  # a minimiser is a window here: other segments of it do not exist
+        ranges = whole
+    else:
+        total = chosen.where(F.col("c") <= SPLIT).agg(F.sum(F.col("windows") + length)).first()[0] or 0
+        by_text = chosen.groupBy("owner").agg(F.collect_list(F.struct("mini", "seg", "start", "windows", "c")).alias("segs"))
+        cut = texts.join(by_text.hint("merge"), "owner").select("data", F.explode("segs").alias("s")).dropDuplicates(["s"])
+        cut = materialise(cut.select("s.mini", "s.seg", "s.c", F.substring("data", (F.col("s.start") + 1).cast("int"), (F.col("s.windows") + (length - 1)).cast("int")).alias("bytes")))
+        shard = F.pmod(F.xxhash64("mini"), F.lit(max(1, round(total / SHARD_BYTES))))
+        solved = cut.where(F.col("c") <= SPLIT).select("mini", "seg", "bytes", shard.alias("shard")).groupBy("shard").applyInArrow(_solve(length), "mini bigint, seg bigint, begin bigint, end bigint")
+        hot = cut.where(F.col("c") > SPLIT)
+        if not several.where(F.col("c") > SPLIT).isEmpty():
+            named = hot.select("mini", "seg", F.xxhash64("mini", "seg").alias("owner"), F.col("bytes").alias("data"))
+            deeper = repeated_ranges(named.select("owner", "data"), length, gram, turn + 1)
+            solved = solved.union(named.select("mini", "seg", "owner").join(deeper, "owner").select("mini", "seg", "begin", "end"))
+        solved = materialise(solved.groupBy("mini", "seg").agg(F.collect_set(F.struct("begin", "end")).alias("found")))
+        discard(cut)
+        ranges = whole.union(solved.join(distinct.where("n > 1").select("mini", "seg"), ["mini", "seg"], "left_anti").select("mini", "seg", "found"))
+    covered = met.join(ranges.hint("merge"), ["mini", "seg"]).select("owner", F.explode(F.transform("found", lambda r: F.struct((r["begin"] + F.col("start")).alias("begin"), (r["end"] + F.col("start")).alias("end")))).alias("cut"))
+    covered = materialise(covered.select("owner", "cut.begin", "cut.end"))
+    discard(met, distinct, several)
+    return covered
+
+
 def _removed(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,31 +372,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other ids; rows that repeat id and text are places of their own, so that each removes the other. Other columns
     are not read. An empty table gives an empty table."""
     kind = docs.schema[id_col].dataType.simpleString()
-    held = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text")).withColumn("h", F.xxhash64("id", "text"))
-    rows = materialise(held.select("id", "h", "text").mapInArrow(_segment_rows(length, gram), f"id {kind}, h bigint, start bigint, windows bigint, mini bigint, seg bigint"))
-    # written first, so that the join reads two plain shuffles and Spark can split a hot minimiser
-    twice = materialise(rows.groupBy("mini").agg(F.count("*").alias("c")).where("c > 1").select("mini"))
-    met = materialise(rows.join(twice.hint("merge"), "mini"))
-    distinct = materialise(met.groupBy("mini", "seg").agg(F.count("*").alias("n"), F.first("id").alias("id"), F.first("h").alias("h"), F.first("start").alias("start"), F.first("windows").alias("windows")))
-    several = distinct.groupBy("mini").agg(F.count("*").alias("c")).where("c > 1").withColumn("parts", F.ceil(F.col("c") / SPLIT).cast("int"))
-    chosen = distinct.join(several.hint("merge"), "mini")
-    total = chosen.agg(F.sum(F.col("windows") + length)).first()[0] or 0
-    shards = max(1, round(total / SHARD_BYTES))
-
-    by_doc = chosen.groupBy("id", "h").agg(F.collect_list(F.struct("mini", "seg", "start", "windows", "parts")).alias("segs")).withColumnsRenamed({"id": "sid", "h": "sh"})
-
-    cut = held.join(by_doc.hint("merge"), F.col("id").eqNullSafe(F.col("sid")) & (F.col("h") == F.col("sh"))).select(F.col("text").cast("binary").alias("data"), F.explode("segs").alias("s"))
-    cut = cut.select("s.mini", "s.seg", "s.parts", F.substring("data", (F.col("s.start") + 1).cast("int"), (F.col("s.windows") + (length - 1)).cast("int")).alias("bytes"))
-    part = F.pmod("seg", "parts").cast("int")
-    cut = cut.select("mini", "seg", "bytes", "parts", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    pair = F.xxhash64("mini", F.least("part", "other"), F.greatest("part", "other"))
-    shard = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("mini"), F.lit(shards))).otherwise(pair.bitwiseOR(F.lit(-(2**63))))
-    solved = cut.select("mini", "seg", "bytes", shard.alias("shard")).groupBy("shard").applyInArrow(_solve(length), "mini bigint, seg bigint, begin bigint, end bigint")
-    solved = materialise(solved.groupBy("mini", "seg").agg(F.collect_set(F.struct("begin", "end")).alias("found")))
-
-    whole = distinct.where("n > 1").select("mini", "seg", F.array(F.struct(F.lit(0).cast("bigint").alias("begin"), F.col("windows").alias("end"))).alias("found"))
-    ranges = whole.union(solved.join(distinct.where("n > 1").select("mini", "seg"), ["mini", "seg"], "left_anti").select("mini", "seg", "found"))
-    covered = met.join(ranges.hint("merge"), ["mini", "seg"]).select("id", "h", F.explode(F.transform("found", lambda r: F.struct((r["begin"] + F.col("start")).alias("begin"), (r["end"] + F.col("start")).alias("end")))).alias("cut"))
-    cuts = covered.groupBy("id", "h").agg(F.sort_array(F.collect_set("cut")).alias("cuts")).withColumnsRenamed({"id": "sid", "h": "sh"})
-    joined = held.join(cuts.hint("merge"), F.col("id").eqNullSafe(F.col("sid")) & (F.col("h") == F.col("sh")), "left").select("id", "text", "cuts")
+    text = text_of(docs, text_col)
+    held = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[id_col], text).alias("owner"), text.alias("text"))
+    covered = repeated_ranges(held.select("owner", F.col("text").cast("binary").alias("data")), length, gram)
+    cuts = covered.groupBy("owner").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("cuts"))
+    joined = held.join(cuts.hint("merge"), "owner", "left").select("id", "text", "cuts")
     return joined.mapInArrow(_removed(length), f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)

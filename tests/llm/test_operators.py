@@ -215,13 +215,19 @@ def test_line_bands_find_pairs(spark):
     assert found > 0.9  # pairs just above the threshold
 
 
-def test_suffix_array_and_repeats(spark, monkeypatch):
+@pytest.mark.parametrize("split", [2, 3000])
+def test_suffix_array_and_repeats(spark, monkeypatch, split):
     rng = random.Random(5)
-    for _ in range(60):
-        x = np.array([rng.randrange(rng.choice([1, 2, 4])) + 1 for _ in range(rng.randrange(1, 50))] + [0], np.int16)
+    for wide in (0, 3, 1024) * 30:  # suffix by suffix, bucket by bucket
+        monkeypatch.setattr(suffix_dedup, "WIDE", wide)
+        x = np.array([rng.randrange(rng.choice([1, 2, 4])) + 1 for _ in range(rng.randrange(1, 80))] + [0], np.int16)
         b = bytes(x.astype(np.uint8))
-        assert list(suffix_dedup.suffix_array(x, 258)) == sorted(range(len(b)), key=lambda i: b[i:])
-    monkeypatch.setattr(suffix_dedup, "SPLIT", 2)  # also the way of hot minimisers
+        order = sorted(range(len(b)), key=lambda i: b[i:])
+        assert list(suffix_dedup.suffix_array(x, 258)) == order
+        before, common = suffix_dedup.permuted_prefixes(x, np.array(order))
+        for i, j in zip(order[1:], order, strict=False):
+            assert before[i] == j and common[i] == next(k for k in range(len(b)) if b[i : i + k + 1] != b[j : j + k + 1])
+    monkeypatch.setattr(suffix_dedup, "SPLIT", split)  # 2: also the turns of hot minimisers
     shared = [prose(rng, 60) for _ in range(3)]
     rows = [(k, prose(rng, 30) + " é" + rng.choice(shared)[rng.randrange(40) :] + prose(rng, 20)) for k in range(25)]
     rows += [*EDGE, (50, "ab" * 300), (51, "y" * 199), (52, "z" * 200), (53, None)]
