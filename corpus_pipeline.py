@@ -15,7 +15,7 @@ from pelagia.llm.quality_rules import rated
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
-    return rated(docs, trusted).where("_rating.kept").select(*docs.columns)
+    return rated(docs, trusted).where("rating.kept").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

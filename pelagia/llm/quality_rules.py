@@ -1,7 +1,8 @@
 """Rule counts and a hashed n-gram log-likelihood ratio for every document, in built-in functions only.
 
-The ratio compares two multinomials over hashed word n-grams, one of a trusted target corpus and one of the raw
-corpus, both smoothed by one; a document's score is the mean of its n-grams' log ratios.
+The ratio compares two multinomials over hashed n-grams, one of a trusted target corpus and one of the raw corpus: the
+words, every two words that follow each other, and the shapes of every two. Both are smoothed alike, so that n-grams
+without evidence score nothing. A document's score is the mean of its n-grams' log ratios.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 from .common import SPACE, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: A word and the next one; only the first is consumed, so that the next one begins a pair too.
-PAIR = rf"(?<![^\x20\x09-\x0D])(?=({WORD}+{SPACE}{WORD}+)){WORD}+"
 SYMBOLS = "[#*$%&|<>]+"
 WINDOW = 8
-BUCKETS = 10_000
+BUCKETS = 1 << 16
+#: Occurrences of a bucket that both corpora are taken to have in proportion to their sizes, before any is seen.
+PRIOR = 10.0
 #: Documents whose mean log ratio is below this are rejected.
 THRESHOLD = -0.1
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -30,7 +31,17 @@ def _let(value: Column, body) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({WORD})"))
+    return F.filter(F.split(text, SPACE, -1), lambda w: w != "")
+
+
+def _hashes(text: Column) -> Column:
+    return F.transform(_words(text), lambda w: F.xxhash64(w))
+
+
+def _pairs(h: Column, kind: int) -> Column:
+    """Hash of every two hashes that follow each other."""
+    n = F.greatest(F.size(h) - 1, F.lit(0))
+    return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda a, b: F.xxhash64(F.lit(kind), a, b))
 
 
 def _repeat_words(h: Column) -> Column:
@@ -66,31 +77,33 @@ def _shape(text: Column) -> Column:
 
 
 def ngrams(text: Column) -> Column:
-    """The n-grams of a text: its words, and the shapes of every two words that follow each other."""
-    return F.concat(_words(text), F.regexp_extract_all(_shape(text), F.lit(PAIR)))
+    """Hashes of the n-grams of a text: its words, every two words in a row, and the shapes of every two."""
+    return F.concat(_let(_hashes(text), lambda h: F.concat(h, _pairs(h, 1))), _let(_hashes(_shape(text)), lambda h: _pairs(h, 2)))
 
 
 def _bucket(ngram: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(ngram), F.lit(buckets)).cast("int")
+    return F.pmod(ngram, F.lit(buckets)).cast("int")
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> list[float]:
     """Log ratio of every bucket: ``docs`` and ``trusted`` have a column ``text``. ``buckets`` bounds the result."""
 
     def counts(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.explode(ngrams(F.col("text"))).alias("g")).groupBy(_bucket(F.col("g"), buckets).alias("b")).agg(F.count("*").alias(name))
 
     both = counts(docs, "raw").join(counts(trusted, "target"), "b", "full").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
-    raw, target = [1] * buckets, [1] * buckets
+    raw, target = [0] * buckets, [0] * buckets
     for r in both.collect():
-        raw[r["b"]] += r["raw"]
-        target[r["b"]] += r["target"]
-    shift = log(sum(raw) / sum(target))
-    return [round(log(t / r) + shift, 5) for t, r in zip(target, raw, strict=True)]
+        raw[r["b"]] = r["raw"]
+        target[r["b"]] = r["target"]
+    share = sum(target) / max(sum(raw), 1)
+    if not share:
+        return [0.0] * buckets
+    return [round(log((t + prior * share) / ((r + prior) * share)), 5) for t, r in zip(target, raw, strict=True)]
 
 
 def rated(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """``docs`` with the struct ``_rating`` of the columns that ``quality_rules`` describes."""
+    """Rows of two structs: ``row``, the columns of ``docs``, and ``rating``, those that ``quality_rules`` describes."""
     held = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
     # the trusted ids grow with the corpus: they are never broadcast, whatever their size looks like
     target = held.join(trusted.select(trusted[id_col].alias("id")).distinct().hint("merge"), "id", "left_semi")
@@ -102,7 +115,7 @@ def rated(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
 
     text = text_of(docs, text_col)
     counts = F.struct(
-        _let(F.transform(_words(text), lambda w: F.xxhash64(w)), lambda h: F.struct(F.size(h).cast("bigint").alias("n_words"), _repeat_words(h).cast("bigint").alias("n_repeat_words"))).alias("c"),
+        _let(_hashes(text), lambda h: F.struct(F.size(h).cast("bigint").alias("n_words"), _repeat_words(h).cast("bigint").alias("n_repeat_words"))).alias("c"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         _dup_lines(text).cast("bigint").alias("n_dup_lines"),
@@ -115,7 +128,7 @@ def rated(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
         columns = {"n_words": x["c"]["n_words"], **names, "n_repeat_words": x["c"]["n_repeat_words"], "base_failed": failed, "kept": ~failed & (x["log_ratio"] >= threshold), "log_ratio": x["log_ratio"]}
         return F.struct(*(c.alias(name) for name, c in columns.items()))
 
-    return docs.select(*docs.columns, _let(counts, verdict).alias("_rating"))
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), _let(counts, verdict).alias("rating"))
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
@@ -123,6 +136,6 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     ``base_failed``, ``kept`` and ``log_ratio``. ``trusted`` is a table of ids whose documents are the target corpus.
 
     Null and empty texts have no words: all counts are 0, the base rules fail, ``log_ratio`` is 0. Without trusted
-    documents the target is uniform over the buckets. Rows with a null id are rated and count as raw text. Repeated
+    documents or words every ratio is 0. Rows with a null id are rated and count as raw text. Repeated
     rows give equal rows. Other columns are not read. An empty table gives an empty table."""
-    return rated(docs.select(id_col, text_col), trusted, id_col, text_col, threshold, buckets).select(id_col, "_rating.*")
+    return rated(docs.select(id_col, text_col), trusted, id_col, text_col, threshold, buckets).select(F.col("row")[id_col].alias(id_col), "rating.*")

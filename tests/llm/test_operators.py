@@ -350,12 +350,25 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(docs(spark, rows), trusted.limit(0)).count() == len(rows)
 
 
-def test_quality_rules_take_every_pair_of_shapes(spark):
-    texts = ["Ab c9 dd E", "x Ab c9 dd E", "one", "", "a\nB  9\n", "#" * 20_000]
-    got = [r["g"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").orderBy("k").select(quality_rules.ngrams(F.col("text")).alias("g")).collect()]
-    assert got[0] == ["Ab", "c9", "dd", "E", "Xx x9", "x9 x", "x X"]
-    assert got[1] == ["x", "Ab", "c9", "dd", "E", "x Xx", "Xx x9", "x9 x", "x X"]
-    assert got[2:] == [["one"], [], ["a", "B", "9", "x\nX", "X  9"], ["#" * 20_000]]
+def test_quality_rules_ratio_against_plain_counts(spark):
+    rng = random.Random(20)
+    texts = ["Ab c9 dd E", "x Ab c9 dd E", "one", "", None, " a\nB  9\n", "#" * 20_000, *(prose(rng, 40) for _ in range(30))]
+    shape = lambda w: re.sub("[0-9]+", "9", re.sub("[A-Z]+", "X", re.sub("[a-z]+", "x", w)))
+
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        return [*w, *zip(w, w[1:], strict=False), *(("shape", *p) for p in zip(map(shape, w), map(shape, w[1:]), strict=False))]
+
+    trusted = range(7, 20)
+    raw, target = (collections.Counter(g for i in which for g in grams(texts[i])) for which in (range(len(texts)), trusted))
+    share = sum(target.values()) / sum(raw.values())
+    score = lambda g: np.log((target[g] + 10 * share) / ((raw[g] + 10) * share))
+    df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id bigint, text string, rating int")
+    got = quality_rules.quality_rules(df, df.where(F.col("doc_id").isin(*trusted)), buckets=1 << 17).collect()
+    close = [abs(r["log_ratio"] - (np.mean([score(g) for g in grams(texts[r["doc_id"]])]) if grams(texts[r["doc_id"]]) else 0)) < 0.003 for r in got]
+    assert sum(close) >= len(texts) - 3  # two n-grams may share a bucket
+    kept = quality_rules.rated(df, df.where(F.col("doc_id").isin(*trusted))).select("row.*")
+    assert kept.columns == df.columns
 
 
 def test_quality_classifier_learns_and_holds_out(spark):
