@@ -1,5 +1,6 @@
 """The driver's entry points, with and without the corpus operators."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -22,7 +23,7 @@ def test_entry_without_parts(tmp_path, gone):
     for name in gone:
         there = tmp_path / name
         shutil.rmtree(there, ignore_errors=True) if there.is_dir() else there.unlink(missing_ok=True)
-    ran = subprocess.run([sys.executable, "-c", SEEN], cwd=tmp_path, capture_output=True, text=True, check=True)
+    ran = subprocess.run([sys.executable, "-c", SEEN], cwd=tmp_path, env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, check=True)
     n, n_sql, pipeline, corpus, matched = ran.stdout.split()[-5:]
     assert int(n) > 90 and int(n_sql) > 80 and matched == "True"
     assert corpus == str((tmp_path / "pelagia/llm").is_dir())
