@@ -23,8 +23,10 @@ EDIT_RATE = 0.08
 #: Characters of items that one pass over the documents holds; more items take more passes.
 BLOCK_CHARS = 1_000_000
 CHUNK = 1 << 20
+#: Hits, and cells of a band's table, that are held at a time.
+HITS, CELLS = 1 << 22, 1 << 18
 _STRIDE = 16
-_PLAIN = np.arange(1 << 16, dtype=np.uint16)
+_PLAIN = np.arange(1 << 16, dtype=np.uint32)
 for _c in range(1 << 16):
     _low = chr(_c).lower() if not 0xD800 <= _c < 0xE000 else chr(0)
     _PLAIN[_c] = 32 if chr(_c).isspace() else ord(_low) if len(_low) == 1 and ord(_low) < 1 << 16 else _c
@@ -32,15 +34,25 @@ _CODE = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(77))
 
 
 def plain(text: str) -> np.ndarray:
-    """One code per code point: lower case, white space as a blank, the rest as it is (modulo 2**16)."""
-    return _PLAIN[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32) & 0xFFFF]
+    """One code per code point: lower case, white space as a blank, the rest as it is; code points beyond the basic
+    plane keep their case."""
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    if len(codes) and codes.max() >= len(_PLAIN):
+        return np.where(codes < len(_PLAIN), _PLAIN[np.minimum(codes, len(_PLAIN) - 1)], codes)
+    return _PLAIN[codes]
+
+
+def _hashed(codes: np.ndarray) -> np.ndarray:
+    if len(codes) and codes.max() >= len(_CODE):
+        return mix(codes.astype(np.uint64) + np.uint64(77))
+    return _CODE[codes]
 
 
 def qgrams(codes: np.ndarray, q: int) -> np.ndarray:
     """Hash of the q-gram at every place, from hashes of 1, 2, 4, ... characters."""
     if len(codes) < q:
         return np.zeros(0, np.uint64)
-    part, width, total, done = _CODE[codes], 1, np.zeros(len(codes) + 1, np.uint64), 0
+    part, width, total, done = _hashed(codes), 1, np.zeros(len(codes) + 1, np.uint64), 0
     while True:
         if q & width:
             n = len(codes) - done - width + 1
@@ -103,11 +115,16 @@ def _bands(codes: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.
     at = _dense(items.seen[(grams >> items.shift).astype(np.int64)], items)
     low, high = np.searchsorted(items.key, grams[at], "left"), np.searchsorted(items.key, grams[at], "right")
     count = high - low
-    entry = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    item = items.item[entry]
-    diagonal = np.repeat(at, count) - items.place[entry] + (1 << 32)
-    band = diagonal // items.width[item]
-    cell, hits = np.unique(np.concatenate([item << 40 | band, item << 40 | (band - 1)]), return_counts=True)
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(count) // HITS)) + 1):
+        n, begin = count[some], low[some]
+        entry = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        item = items.item[entry]
+        diagonal = np.repeat(at[some], n) - items.place[entry] + (1 << 32)
+        band = diagonal // items.width[item]
+        parts.append(np.unique(np.concatenate([item << 40 | band, item << 40 | (band - 1)]), return_counts=True))
+    cell, which = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    hits = np.bincount(which, weights=np.concatenate([h for _, h in parts]), minlength=len(cell))
     cell = cell[hits >= items.bound[cell >> 40]]
     first = np.flatnonzero(np.diff(cell, prepend=-2) != 1)
     run = np.diff(np.append(first, len(cell)))
@@ -120,7 +137,7 @@ def aligned(patterns: list[np.ndarray], codes: np.ndarray, first: np.ndarray, wi
     the text. ``first`` and ``width`` give the band's diagonals, ``low`` and ``high`` bound the document."""
     one = np.int64(1) << np.int64(32)
     size = np.array([len(p) for p in patterns])
-    table = np.zeros((len(patterns), int(size.max())), np.uint16)
+    table = np.zeros((len(patterns), int(size.max())), np.uint32)
     for row, p in zip(table, patterns, strict=True):
         row[: len(p)] = p
     lanes = np.arange(int(width.max()))
@@ -144,7 +161,7 @@ def _matches(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, in
     parts = [plain(t) for t in texts]
     ends = np.cumsum([len(p) + 1 for p in parts])
     starts = ends - np.array([len(p) + 1 for p in parts])
-    codes = np.zeros(int(ends[-1]), np.uint16)
+    codes = np.zeros(int(ends[-1]), np.uint32)
     for p, s in zip(parts, starts, strict=True):
         codes[s : s + len(p)] = p
     item, diagonal, width = _bands(codes, items)
@@ -156,11 +173,17 @@ def _matches(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, in
         doc = np.repeat(doc - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         item, diagonal, width, size, budget = (np.repeat(x, count) for x in (item, diagonal, width, size, budget))
         fits = ends[doc] - 1 - starts[doc] >= size - budget
-        item, diagonal, width, doc, budget = item[fits], diagonal[fits], width[fits], doc[fits], budget[fits]
+        item, diagonal, width, doc, budget, size = item[fits], diagonal[fits], width[fits], doc[fits], budget[fits], size[fits]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for k in range(0, len(item), 256):
-            i, d, b = item[k : k + 256], doc[k : k + 256], budget[k : k + 256]
-            edits, start, end = aligned([items.codes[x] for x in i], codes, diagonal[k : k + 256], width[k : k + 256], starts[d], ends[d] - 1)
+        # candidates of about one size together, so many that their bands have CELLS lanes
+        order = np.lexsort((size, width))
+        item, diagonal, width, doc, budget = item[order], diagonal[order], width[order], doc[order], budget[order]
+        k = 0
+        while k < len(item):
+            part = slice(k, k + max(1, min(256, CELLS // int(width[min(k + 255, len(width) - 1)]))))
+            k = part.stop
+            i, d, b = item[part], doc[part], budget[part]
+            edits, start, end = aligned([items.codes[x] for x in i], codes, diagonal[part], width[part], starts[d], ends[d] - 1)
             for j in np.flatnonzero(edits <= b):
                 key, found = (int(d[j]), int(i[j])), (int(edits[j]), int(start[j] - starts[d[j]]), int(end[j] - starts[d[j]]))
                 best[key] = min(best.get(key, found), found)

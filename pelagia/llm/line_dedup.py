@@ -25,8 +25,8 @@ FIRST_BAND = (3, 6, 7, 12, 14)
 #: Bands in use, REGISTERS at most. A pair at exactly the threshold misses them all with a probability of 0.05.
 BANDS = 12
 _CODE = 4  # bytes of a character in UTF-32
-#: White space that is not one blank.
-_WIDE = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
+#: White space within a line, and what tells that a text has other than single blanks.
+_WIDE, _HINTS = r"[\x20\x09\x0B-\x0D]+", ("  ", "\t", "\r", "\x0b", "\x0c")
 
 
 def _let(value: Column, body) -> Column:
@@ -34,18 +34,13 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def plain_line(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, _WIDE, " ")))
-
-
 def plain_lines(text: Column) -> Column:
     """The plain lines of a text, as an array: exploding it computes each of them once."""
-    return F.transform(F.split(text, "\n", -1), plain_line)
-
-
-def line_id(line: Column) -> Column:
-    """64-bit hash of the plain line; null for a line without text."""
-    return F.when(line != "", F.xxhash64(line))
+    wide = text.contains(_HINTS[0])
+    for mark in _HINTS[1:]:
+        wide = wide | text.contains(mark)
+    single = F.when(wide, F.regexp_replace(text, _WIDE, " ")).otherwise(text)
+    return F.transform(F.split(F.lower(single), "\n", -1), lambda line: F.trim(line))
 
 
 def shingle_set(line: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, text_of
+from .common import SPACE, materialise
 
 # The patterns of the base kinds. A match begins where a run of its first characters begins or the
 # last match ended; saying so, and never giving back, keeps the search linear in long runs.
@@ -145,20 +145,21 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     where spans overlap at one place.
 
     Offsets are code points, ends exclusive. Null and empty texts have no spans. Rows with a null id and repeated
-    rows are searched and counted each; equal texts count once as support. Other columns are kept. An empty table gives
-    an empty table."""
-    held = docs.select(*docs.columns, F.monotonically_increasing_id().alias("_row"))
-    text = text_of(held, text_col)
-    found = materialise(held.withColumn("_spans", F.concat(*(_named(base_spans(text, kind), kind) for kind in KINDS))))
-    narrow = found.select(F.col("_row").alias("row"), text_of(found, text_col).alias("text"), F.col("_spans").alias("spans")).withColumn("t", F.xxhash64("text"))
+    rows are searched and counted each; equal texts count once as support. Other columns are kept, but for ones named
+    ``spans`` or ``sanitised``, which give way. An empty table gives an empty table."""
+    names = [c for c in docs.columns if c not in ("spans", "sanitised")]
+    # the columns of the table stay in a struct, so that none can clash with what is added
+    held = docs.select(F.struct(*(docs[c] for c in names)).alias("held"), F.monotonically_increasing_id().alias("row"))
+    text = F.coalesce(F.col("held")[text_col].cast("string"), F.lit(""))
+    found = materialise(held.withColumn("spans", F.concat(*(_named(base_spans(text, kind), kind) for kind in KINDS))))
+    narrow = found.select("row", text.alias("text"), "spans").withColumn("t", F.xxhash64("text"))
     texts = narrow.count()
     values, terms = text_terms(narrow, texts, support)
     pairs = disclosing(narrow, values, terms, texts, share, support)
-    told = told_places(narrow, terms, pairs)
-    told = materialise(told)
+    told = materialise(told_places(narrow, terms, pairs))
     told = F.broadcast(told) if told.count() <= BROADCAST_ROWS else told.hint("merge")
-    done = found.join(told, found["_row"] == told["row"], "left").withColumn("spans", F.concat("_spans", F.coalesce("_terms", F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))))
-    return done.withColumn("sanitised", _sanitised(text_of(done, text_col), F.col("spans"))).select(*docs.columns, "spans", "sanitised")
+    done = found.join(told, "row", "left").withColumn("spans", F.concat("spans", F.coalesce("_terms", F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))))
+    return done.select(*(F.col("held")[c].alias(c) for c in names), "spans", _sanitised(text, F.col("spans")).alias("sanitised"))
 
 
 def _sanitised(text: Column, spans: Column, mark: str | None = None) -> Column:
@@ -178,7 +179,8 @@ def _written(spans: Column) -> Column:
 
 
 def span_digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts and digests of the ``spans`` of ``personal_data``."""
+    """``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base_sha256`` and ``spans`` as text for each row of
+    ``personal_data``; a row without spans has zeros and the digest of the empty text."""
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("bigint").alias(f"n_{kind}") for kind in KINDS]
     return found.select(id_col, *counts, F.sha2(_written(F.filter("spans", lambda s: s["kind"] != "term")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))

@@ -1,10 +1,11 @@
 """Classes of similar sets from shared buckets, without ever gathering a bucket in one place.
 
-Members of a bucket are first held against pivots that an aggregation draws from it, round by round; most of a group
-of copies falls into one class that way. Only then are members of different classes in one bucket held against each
-other. In both steps the sizes and the parity bits of two sets rule out pairs that cannot have the similarity, and the
-caller verifies the rest exactly. Every side of a join on bucket keys is written first, so that the join reads plain
-shuffles and Spark can split a hot bucket.
+Members of a bucket are first held against pivots that an aggregation draws from it, round by round: first the member
+whose buckets are the largest, which in a group of copies is the one that they are copies of, then random ones. Most of
+a group falls into one class that way. Only then are members of different classes in one bucket held against each other.
+In all steps the sizes and the parity bits of two sets rule out pairs that cannot have the similarity, pairs that were
+proposed before are left out, and the caller verifies the rest exactly. Every side of a join on a hot key is written
+first, so that the join reads plain shuffles and Spark can split it.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ def parity_words(h: Column, n: int) -> list[Column]:
 
 
 def members(placed: DataFrame) -> DataFrame:
-    """The rows (id, key) of buckets that hold two rows or more, written."""
-    shared = materialise(placed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
+    """The rows (id, key) of buckets that hold two rows or more, with their number ``c``, written."""
+    shared = materialise(placed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
     member = materialise(placed.join(shared.hint("merge"), "key"))
     discard(shared)
     return member
@@ -50,15 +51,17 @@ def _can_be_alike(mine: str, other: str, names: list[str], threshold: float) ->
 
 def _pairs(placed: DataFrame, other: DataFrame, names: list[str], threshold: float, apart: str) -> DataFrame:
     met = placed.alias("m").join(other.hint("merge").alias("o"), (F.col("m.key") == F.col("o.key")) & F.expr(apart) & _can_be_alike("m", "o", names, threshold))
-    return materialise(met.select(F.greatest("m.id", "o.id").alias("u"), F.least("m.id", "o.id").alias("v")).distinct())
+    return met.select(F.greatest("m.id", "o.id").alias("u"), F.least("m.id", "o.id").alias("v")).distinct()
 
 
-def _pivot_pairs(placed: DataFrame, names: list[str], threshold: float, pivots: int = 2) -> DataFrame:
+def _pivot_pairs(placed: DataFrame, names: list[str], threshold: float, by_score: bool) -> DataFrame:
     """The members of buckets that still hold several classes, each with members drawn as pivots."""
-    draws = [F.min_by(F.struct("id", "class", "n", *names), F.xxhash64("id", "key", "class", F.lit(i))).alias(f"p{i}") for i in range(pivots)]
+    one = F.struct("id", "class", "n", *names)
+    draws = [F.max_by(one, F.struct("score", "id"))] if by_score else [F.min_by(one, F.xxhash64("id", "key", "class", F.lit(i))) for i in range(2)]
+    draws = [d.alias(f"p{i}") for i, d in enumerate(draws)]
     lead = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), *draws).where("low < high")
-    lead = materialise(lead.select("key", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(pivots))))).alias("p")).select("key", "p.*"))
-    found = _pairs(placed, lead, names, threshold, "m.class <> o.class")
+    lead = materialise(lead.select("key", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(len(draws)))))).alias("p")).select("key", "p.*"))
+    found = materialise(_pairs(placed, lead, names, threshold, "m.class <> o.class"))
     discard(lead)
     return found
 
@@ -66,11 +69,11 @@ def _pivot_pairs(placed: DataFrame, names: list[str], threshold: float, pivots:
 def _rest(placed: DataFrame, names: list[str], threshold: float) -> DataFrame:
     """Every pair of one bucket in two classes, except what sizes and parity bits rule out: what the pivots have
     left. Members outside their bucket's largest class are held against the others."""
-    sizes = placed.select("id", "class").distinct().groupBy("class").agg(F.count("*").alias("size"))
-    lead = placed.join(sizes, "class").groupBy("key").agg(F.max_by("class", F.struct("size", "class")).alias("main"), F.min("class").alias("low"), F.max("class").alias("high"))
-    lead = materialise(lead.where("low < high").select("key", "main"))
+    held = placed.groupBy("key", "class").agg(F.count("*").alias("size"))
+    lead = held.groupBy("key").agg(F.max_by("class", F.struct("size", "class")).alias("main"), F.count("*").alias("classes"))
+    lead = materialise(lead.where("classes > 1").select("key", "main"))
     several = materialise(placed.join(lead.hint("merge"), "key"))
-    found = _pairs(several.where("class <> main"), several, names, threshold, "m.class <> o.class AND (o.class = o.main OR m.id < o.id)")
+    found = materialise(_pairs(several.where("class <> main"), several, names, threshold, "m.class <> o.class AND (o.class = o.main OR m.id < o.id)"))
     discard(lead, several)
     return found
 
@@ -82,15 +85,20 @@ def _between(links: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def linked_classes(member: DataFrame, facts: DataFrame, verify: Verify, threshold: float) -> DataFrame:
-    """``id, class`` of every row of ``facts``: the least id that links of the similarity lead to. ``member`` has id
-    and key, every id in several buckets; ``facts`` has id, the set's size ``n`` and its parity words."""
+    """``id, class`` of every row of ``facts``: the least id that links of the similarity lead to. ``member`` has id,
+    key and the bucket's number of rows, every id in several buckets; ``facts`` has id, the set's size ``n`` and its
+    parity words."""
     names = [c for c in facts.columns if c not in ("id", "n")]
-    label = facts.select("id", F.col("id").alias("class"))
-    for propose in (_pivot_pairs, _pivot_pairs, _rest):
-        placed = materialise(member.join(label, "id").join(facts, "id"))
-        pairs = propose(placed, names, threshold)
-        merged = components(_between(verify(pairs), label), "cu", "cv")
-        now = materialise(label.join(merged, label["class"] == merged["node"], "left").select("id", F.coalesce("component", "class").alias("class")))
-        discard(placed, pairs, label)
+    known = materialise(facts.join(member.groupBy("id").agg(F.sum("c").alias("score")), "id"))
+    label, seen = known.select("id", F.col("id").alias("class")), None
+    for propose in (lambda p: _pivot_pairs(p, names, threshold, True), lambda p: _pivot_pairs(p, names, threshold, False), lambda p: _rest(p, names, threshold)):
+        placed = materialise(member.select("id", "key").join(label, "id").join(known, "id"))
+        pairs = propose(placed)
+        fresh = pairs if seen is None else pairs.join(seen.hint("merge"), ["u", "v"], "left_anti")
+        merged = materialise(components(_between(verify(fresh), label), "cu", "cv"))
+        now = materialise(label.join(merged.hint("merge"), label["class"] == merged["node"], "left").select("id", F.coalesce("component", "class").alias("class")))
+        seen = pairs if seen is None else seen.union(pairs)
+        discard(placed, label, merged)
         label = now
+    discard(known)
     return label

@@ -290,6 +290,9 @@ def _segment_rows(length: int, gram: int):
 
 def _solve(length: int):
     def run(shard: pa.Table) -> pa.Table:
+        # rows that repeat an owner and its text repeat its segments
+        own = {(m, s): k for k, (m, s) in enumerate(zip(shard.column("mini").to_pylist(), shard.column("seg").to_pylist(), strict=True))}
+        shard = shard.take(pa.array(list(own.values())))
         places = repeated_windows(shard.column("bytes").to_pylist(), length)
         row, begin, end = [], [], []
         for k, found in enumerate(places):
@@ -322,13 +325,13 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, tu
     else:
         total = chosen.where(F.col("c") <= SPLIT).agg(F.sum(F.col("windows") + length)).first()[0] or 0
         by_text = chosen.groupBy("owner").agg(F.collect_list(F.struct("mini", "seg", "start", "windows", "c")).alias("segs"))
-        cut = texts.join(by_text.hint("merge"), "owner").select("data", F.explode("segs").alias("s")).dropDuplicates(["s"])
+        cut = texts.join(by_text.hint("merge"), "owner").select("data", F.explode("segs").alias("s"))
         cut = materialise(cut.select("s.mini", "s.seg", "s.c", F.substring("data", (F.col("s.start") + 1).cast("int"), (F.col("s.windows") + (length - 1)).cast("int")).alias("bytes")))
         shard = F.pmod(F.xxhash64("mini"), F.lit(max(1, round(total / SHARD_BYTES))))
         solved = cut.where(F.col("c") <= SPLIT).select("mini", "seg", "bytes", shard.alias("shard")).groupBy("shard").applyInArrow(_solve(length), "mini bigint, seg bigint, begin bigint, end bigint")
         hot = cut.where(F.col("c") > SPLIT)
         if not several.where(F.col("c") > SPLIT).isEmpty():
-            named = hot.select("mini", "seg", F.xxhash64("mini", "seg").alias("owner"), F.col("bytes").alias("data"))
+            named = hot.select("mini", "seg", F.xxhash64("mini", "seg").alias("owner"), F.col("bytes").alias("data")).dropDuplicates(["mini", "seg"])
             deeper = repeated_ranges(named.select("owner", "data"), length, gram, turn + 1)
             solved = solved.union(named.select("mini", "seg", "owner").join(deeper, "owner").select("mini", "seg", "begin", "end"))
         solved = materialise(solved.groupBy("mini", "seg").agg(F.collect_set(F.struct("begin", "end")).alias("found")))

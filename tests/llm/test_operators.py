@@ -277,6 +277,21 @@ def test_decontamination(spark):
     assert decontamination.contaminated(empty(spark), bench).count() == 0 and decontamination.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_items_and_rare_letters(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "HITS", 50)
+    monkeypatch.setattr(decontamination, "CELLS", 200)
+    rng = random.Random(21)
+    astral = "".join(chr(0x10041 + i) for i in range(16))
+    long = prose(rng, 1500)
+    changed = list(long)
+    for _ in range(300):
+        changed[rng.randrange(len(changed))] = "q"
+    items = spark.createDataFrame([(1, astral), (2, long), (3, "abcdefghijklmnop" * 3), (4, "abcdefgh" * 40)], "item_id bigint, text string")
+    rows = [(1, "so " + astral + " it is"), (2, "abcdefghijklmnop"), (3, "x" * 500 + "".join(changed) + "y" * 500), (4, "abcdefghijklmnop" * 3), (5, "abcdefgh" * 60), (6, None)]
+    got = decontamination.contaminated(docs(spark, rows), items).collect()
+    assert {(r["doc_id"], r["item_id"], r["edits"] == 0) for r in got} == {(1, 1, True), (3, 2, False), (4, 3, True), (5, 4, True)}
+
+
 def test_alignment_band_against_full_table():
     rng = random.Random(7)
     for _ in range(40):
@@ -297,7 +312,9 @@ def test_pii_base_and_terms(spark):
     rows = [(k, f"note {k} alpha\nclient Quorvex pays with {secret} today {k}\nother line {prose(random.Random(k), 20)}") for k in range(8)]
     rows += [(20 + k, prose(random.Random(99 + k), 60)) for k in range(30)]
     rows += [*EDGE, (60, "é a@b.cd%e@f.gh 1.2.3.4.5.6.7.8 999.1.1.1 +1 (743) 555-3824 +12 1234567890123"), (61, "1" * 5000 + "@"), (62, "a" * 5000)]
-    found = pii.personal_data(docs(spark, rows))
+    clash = ["row", "_row", "_terms", "spans", "sanitised", "held", "t", "text_2"]
+    found = pii.personal_data(docs(spark, rows).select("*", *(F.lit(7).alias(c) for c in clash)))
+    assert sorted(found.columns) == sorted({*docs(spark, rows).columns, *clash})
     got = {r["doc_id"]: r for r in pii.span_digests(found).collect() if r["doc_id"] is not None}
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
