@@ -150,5 +150,6 @@ def _rewritten(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str)
         return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
     new = F.when(F.col("drop").isNotNull(), _let(lines, kept)).otherwise(F.col("row")[text_col])
-    columns = [new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names]
-    return joined.select(*columns, F.size(lines).cast("bigint").alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("bigint").alias("n_removed"))
+    fields = F.struct(*((new if c == text_col else F.col("row")[c]).alias(c) for c in names))
+    removed = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("bigint")
+    return joined.select(fields.alias("row"), F.size(lines).cast("bigint").alias("n_lines"), removed.alias("n_removed")).select("row.*", "n_lines", "n_removed")

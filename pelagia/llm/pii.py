@@ -159,7 +159,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     told = materialise(told_places(narrow, terms, pairs))
     told = F.broadcast(told) if told.count() <= BROADCAST_ROWS else told.hint("merge")
     done = found.join(told, "row", "left").withColumn("spans", F.concat("spans", F.coalesce("_terms", F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))))
-    return done.select(*(F.col("held")[c].alias(c) for c in names), "spans", _sanitised(text, F.col("spans")).alias("sanitised"))
+    return done.select("held", "spans", _sanitised(text, F.col("spans")).alias("sanitised")).select("held.*", "spans", "sanitised")
 
 
 def _sanitised(text: Column, spans: Column, mark: str | None = None) -> Column:

@@ -138,4 +138,4 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     Null and empty texts have no words: all counts are 0, the base rules fail, ``log_ratio`` is 0. Without trusted
     documents or words every ratio is 0. Rows with a null id are rated and count as raw text. Repeated
     rows give equal rows. Other columns are not read. An empty table gives an empty table."""
-    return rated(docs.select(id_col, text_col), trusted, id_col, text_col, threshold, buckets).select(F.col("row")[id_col].alias(id_col), "rating.*")
+    return rated(docs.select(id_col, text_col), trusted, id_col, text_col, threshold, buckets).select(F.col("row")[id_col].alias("_id"), "rating").select(F.col("_id").alias(id_col), "rating.*")

@@ -329,7 +329,8 @@ def test_pii_base_and_terms(spark):
             assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
             assert got[i]["n_email"] == sum(s[0] == "email" for s in spans)
     told = {r["doc_id"]: r["sanitised"] for r in found.collect()}
-    assert "Quorvex" not in told[3] and secret not in told[3] and "other line" in told[3]
+    # "other" and "line" stand in texts with the value only, so they disclose it too; the prose does not
+    assert "Quorvex" not in told[3] and secret not in told[3] and prose(random.Random(3), 20)[-40:] in told[3]
     assert "term" not in got[25]["spans"] and told[25] == dict(rows)[25]
     assert pii.personal_data(empty(spark)).count() == 0
 
