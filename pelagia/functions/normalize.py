@@ -121,12 +121,20 @@ def is_geographic(value: Column) -> Column:
 
 
 def path_key(path: Column) -> Column:
-    """A path for comparison: forward slashes, no ``.`` parts, ``..`` resolved one level, lower case."""
+    """A path for comparison: forward slashes, no empty or ``.`` parts, ``..`` resolved, lower case. What goes
+    above the beginning stays ``..`` in a relative path and is dropped in an absolute one."""
     slashed = F.regexp_replace(F.lower(path), r"\\", "/")
-    plain = F.regexp_replace(F.regexp_replace(slashed, r"/(\./)+", "/"), r"/{2,}", "/")
-    for _ in range(4):
-        plain = F.regexp_replace(plain, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return plain
+    absolute = slashed.startswith("/")
+
+    def step(done: Column, part: Column) -> Column:
+        up = part == ".."
+        back = up & (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")) != "..")
+        dropped = up & (F.size(done) == 0) & absolute
+        return F.when(back, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(dropped, done).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.filter(F.split(slashed, "/"), lambda p: (p != "") & (p != "."))
+    folded = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.when(absolute, "/").otherwise(""), F.when((F.size(folded) == 0) & ~absolute, ".").otherwise(F.array_join(folded, "/")))
 
 
 def basename(path: Column) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeline import DEP
-
+from .schema import TELEMETRY_NAMES, inferred_types, resolve, sanitised_names, typed_value, unique_names
+from .timeline import DEP, join_tolerance
 
 
 def _nearest(tagged: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,12 +54,52 @@ def nearest_rows_bucketed(queries: DataFrame, telemetry: DataFrame, bucket_s: fl
     return best.select(DEP, "row_no", F.col("hit.row_no").alias("match_row_no"), ((F.col("hit.t") - F.col("t")) / F.lit(1e6)).alias("delta_s"))
 
 
-def asof_join(queries: DataFrame, telemetry: DataFrame, tolerance: DataFrame | float, prefix: str = "m_") -> DataFrame:
+def asof_join(queries: DataFrame, telemetry: DataFrame, tolerance: DataFrame | float, prefix: str = "m_", bucket_s: float | None = None) -> DataFrame:
     """Every query row with the columns of its nearest telemetry row (``prefix`` + name, null on a miss),
-    ``delta_s`` and ``matched``. ``tolerance`` is in seconds, or a table of deployment_id, tolerance_s."""
-    near = nearest_rows(queries, telemetry)
+    ``delta_s`` and ``matched``; where the query rows have such a column, the new one gets _2, _3, ... ``tolerance``
+    is in seconds, or a table of deployment_id, tolerance_s. With ``bucket_s`` a deployment is split by time, for
+    one too large for a task."""
+    near = nearest_rows(queries, telemetry) if bucket_s is None else nearest_rows_bucketed(queries, telemetry, bucket_s)
     near = near.withColumn("tolerance_s", F.lit(float(tolerance))) if isinstance(tolerance, (int, float)) else near.join(tolerance, DEP, "left")
     near = near.select(DEP, "row_no", "delta_s", F.coalesce(F.abs("delta_s") <= F.col("tolerance_s"), F.lit(False)).alias("matched"), "match_row_no")
-    right = telemetry.select(F.col(DEP).alias("_dep"), F.col("row_no").alias("_row"), *(F.col(c).alias(f"{prefix}{c}") for c in telemetry.columns if c != DEP))
-    found = near.join(right, (near[DEP] == F.col("_dep")) & (F.col("match_row_no") == F.col("_row")) & F.col("matched"), "left").drop("_dep", "_row", "match_row_no")
-    return queries.join(found, [DEP, "row_no"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    columns = [c for c in telemetry.columns if c != DEP]
+    delta, matched, *names = unique_names(["delta_s", "matched", *(f"{prefix}{c}" for c in columns)], queries.columns)
+    right = telemetry.select(F.col(DEP).alias("_dep"), F.col("row_no").alias("_row"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_right"))
+    found = near.join(right, (near[DEP] == F.col("_dep")) & (F.col("match_row_no") == F.col("_row")) & F.col("matched"), "left")
+    found = found.select(F.col(DEP).alias("_dep"), F.col("row_no").alias("_no"), F.struct("delta_s", "matched", "_right").alias("_found"))
+    held = queries.select(F.col(DEP).alias("_key"), F.col("row_no").alias("_ask"), F.struct(*(F.col(f"`{c}`") for c in queries.columns)).alias("_left"))
+    joined = held.join(found, (F.col("_key") == F.col("_dep")) & (F.col("_ask") == F.col("_no")), "left")
+    return joined.select(
+        *(F.col("_left")[c].alias(c) for c in queries.columns), F.col("_found.delta_s").alias(delta), F.coalesce("_found.matched", F.lit(False)).alias(matched),
+        *(F.col("_found._right")[c].alias(name) for c, name in zip(columns, names, strict=True)),
+    )
+
+
+TIMES = TELEMETRY_NAMES["time"]
+
+
+def combined_table(primary: DataFrame, secondary: DataFrame | None = None, tolerance_s: float | None = None, bucket_s: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """J2 of whole tables: the primary rows, typed, with all columns of the nearest secondary row; and the table of
+    clean and raw column names. Both have deployment_id and row_no, and a column of times found by its name, as text
+    or as a timestamp; neither has to be clean.
+
+    The tolerance is half the deployment's median secondary interval, where none is given; a deployment without such
+    an interval, like a row without a time or a match, keeps nulls. Joined columns get unique names."""
+    keys = [DEP, "row_no"]
+    asked = resolve([c for c in primary.columns if c not in keys], TIMES, required=True)
+    raw, times = list(primary.columns), [asked]
+    rows = primary
+    if secondary is not None:
+        own = [c for c in secondary.columns if c not in keys]
+        clock = resolve(own, TIMES, required=True)
+        names = unique_names(own, primary.columns)
+        right = secondary.select(*keys, typed_value(secondary, clock, "DATE").alias("ts"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)))
+        asks = primary.select(*keys, typed_value(primary, asked, "DATE").alias("ts"))
+        tolerance = float(tolerance_s) if tolerance_s is not None else join_tolerance(right.where("ts is not null"))
+        met = asof_join(asks, right, tolerance, bucket_s=bucket_s).select(*keys, *(F.col(f"m__c{i}").alias(n) for i, n in enumerate(names)))
+        rows, raw = primary.join(met, keys, "left").select(*(f"`{c}`" for c in primary.columns), *(f"`{n}`" for n in names)), raw + names
+    values = [c for c in raw if c not in keys]
+    kinds = {r["column"]: r["kind"] for r in inferred_types(rows.select(*(f"`{c}`" for c in values)), times).collect()}
+    clean = sanitised_names(values, keys)
+    done = rows.select(*keys, *(typed_value(rows, c, kinds[c]).alias(n) for c, n in zip(values, clean, strict=True)))
+    return done, rows.sparkSession.createDataFrame(list(zip(clean, values, strict=True)), "clean string, raw string")

@@ -10,8 +10,9 @@ from pelagia.functions.normalize import basename, elapsed_milliseconds, join_key
 from .asof import asof_join
 from .timeline import DEP, match_tolerance, start_time
 
-FRAME_PATTERN = r"^(.+?)(_[0-9]+)(\.[A-Za-z0-9]+)$"
-#: Telemetry column -> column of the frame table that a match fills.
+# Fixed value: base, numbered ending and extension of a frame's name.
+FRAME_PATTERN = r"^(.+?)(_\d+)(\.[A-Za-z0-9]+)$"
+# Telemetry column -> column of the frame table that a match fills.
 MATCHED = {
     "heading": "CameraHeading", "pitch": "CameraPitch", "roll": "CameraRoll", "hfov": "HorizontalFieldOfView", "vfov": "VerticalFieldOfView",
     "near_distance": "NearDistance", "far_distance": "FarDistance", "camera_height": "CameraHeight", "sensor_azimuth": "SensorRelativeAzimuthAngle",
@@ -58,6 +59,13 @@ def matched_frames(frames: DataFrame, telemetry: DataFrame, earlier: DataFrame |
     )
 
 
+def matched_source_rows(frames: DataFrame, telemetry: DataFrame, tolerance_s: float | None = None) -> DataFrame:
+    """The telemetry's own rows and columns, one for each frame that matches."""
+    timed = frame_times(frames, start_time(telemetry)).select(DEP, "row_no", "ts").where("ts is not null")
+    near = asof_join(timed, telemetry, tolerance_s if tolerance_s is not None else match_tolerance(telemetry))
+    return near.where("matched").select(DEP, *(F.col(f"m_{c}").alias(c) for c in telemetry.columns if c != DEP))
+
+
 def appended(earlier: DataFrame | None, new: DataFrame) -> DataFrame:
     """O2/O3: earlier rows and new ones; columns that only one side has are null in the other."""
     return new if earlier is None else earlier.unionByName(new, allowMissingColumns=True)

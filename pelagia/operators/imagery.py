@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pelagia.functions.normalize import basename, clean, first_number, path_key, srs_part, table_time, to_number
 
 from .imageset import ALTITUDE
+from .schema import sanitised_names
 
 # Category, pitch, roll, fields of view, height, near and far distance.
 CATEGORIES = [
@@ -22,6 +25,25 @@ CATEGORIES = [
 ]
 
 
+# Source columns that have a column of their own; computed document fields and placeholder columns that
+# are not carried over.
+MAPPED_COLUMNS = ("Filename", "Raster", "CameraHeading", "CameraPitch", "CameraRoll", "HorizontalFieldOfView", "VerticalFieldOfView", "NearDistance", "FarDistance", "CameraHeight", "AcquisitionDate", "Precision Time Stamp", "SRS")
+COMPUTED_COLUMNS = (
+    "ifdo_image_latitude", "ifdo_image_longitude", "ifdo_image_altitude_meters", "ifdo_image_coordinate_reference_system", "ifdo_image_hash_sha256", "ifdo_image_uuid",
+    "ifdo_image_camera_yaw_degrees", "ifdo_image_camera_pitch_degrees", "ifdo_image_camera_roll_degrees",
+)
+#: Columns of the oriented table, whose names extra ones cannot take.
+ORIENTED = ("set_id", "row_no", "Name", "ImagePath", "AcquisitionDate", "CameraHeading", "CameraPitch", "CameraRoll", "CameraHeight", "height_source", "HorizontalFieldOfView", "VerticalFieldOfView", "NearDistance", "FarDistance", "OrientedImageryType", "x", "y", "z", "SourceHorizontalSRS", "SourceVerticalSRS", "CameraID", "SequenceOrder")
+PLACEHOLDER_COLUMNS = ("CenterX", "CenterY", "ZOrder")
+TEXT_LENGTH = 255
+
+
+def extra_columns(names: Sequence[str], taken: Sequence[str] = ()) -> dict[str, str]:
+    """Source columns that are kept as text, under unique clean names."""
+    kept = [c for c in names if c not in (*MAPPED_COLUMNS, *COMPUTED_COLUMNS, *PLACEHOLDER_COLUMNS)]
+    return dict(zip(kept, sanitised_names(kept, taken), strict=True))
+
+
 def category_defaults(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CATEGORIES, "category string, d_pitch double, d_roll double, d_hfov double, d_vfov double, d_height double, d_near double, d_far double")
 
@@ -52,17 +74,18 @@ def camera_height(df: DataFrame, default: Column) -> tuple[Column, Column]:
     return F.coalesce(own, alt, default), F.when(own.isNotNull(), "camera height").when(alt.isNotNull(), "altitude").otherwise("category")
 
 
-def oriented_rows(frames: DataFrame, category: str) -> DataFrame:
+def oriented_rows(frames: DataFrame, category: str, extra: bool = False) -> DataFrame:
     """The oriented imagery table of frames (set_id, row_no, Raster, Filename, PerspectiveX/Y/Z, heading
     resolved before). Row values, else the category's; rows without a position are left out; all rows carry the
-    set's first camera id; the sequence follows the acquisition time."""
+    set's first camera id; the sequence follows the acquisition time. ``extra`` keeps the other source columns."""
     d = category_defaults(frames.sparkSession).where(F.col("category") == category)
-    w = Window.partitionBy("set_id")
     rows = frames.join(F.broadcast(d), F.lit(category) == F.col("category"), "left")
     have = lambda c: to_number(F.col(c)) if c in frames.columns else F.lit(None).cast("double")
     height, source = camera_height(frames, F.col("d_height"))
     text = lambda c: clean(F.col(f"`{c}`")).cast("string") if c in frames.columns else F.lit(None).cast("string")
-    made = rows.withColumns({"_x": have("PerspectiveX"), "_y": have("PerspectiveY"), "_cam": F.min_by(text("CameraID"), "row_no").over(w)}).where("_x is not null and _y is not null")
+    camera = frames.groupBy("set_id").agg(F.min_by(text("CameraID"), "row_no").alias("_cam"))
+    made = rows.withColumns({"_x": have("PerspectiveX"), "_y": have("PerspectiveY")}).where("_x is not null and _y is not null").join(camera, "set_id")
+    others = extra_columns([c for c in frames.columns if c not in ("set_id", "row_no")], ORIENTED) if extra else {}
     out = made.select(
         "set_id", "row_no", F.coalesce(text("Filename"), basename(F.col("Raster"))).alias("Name"), F.col("Raster").alias("ImagePath"),
         table_time(F.coalesce(text("AcquisitionDate"), text("Precision Time Stamp"))).alias("AcquisitionDate"), have("heading").alias("CameraHeading"),
@@ -70,6 +93,7 @@ def oriented_rows(frames: DataFrame, category: str) -> DataFrame:
         F.coalesce(have("HorizontalFieldOfView"), "d_hfov").alias("HorizontalFieldOfView"), F.coalesce(have("VerticalFieldOfView"), "d_vfov").alias("VerticalFieldOfView"),
         F.coalesce(have("NearDistance"), "d_near").alias("NearDistance"), F.coalesce(have("FarDistance"), "d_far").alias("FarDistance"), F.lit(category).alias("OrientedImageryType"),
         F.col("_x").alias("x"), F.col("_y").alias("y"), F.coalesce(have("PerspectiveZ"), F.lit(0.0)).alias("z"), srs_part(text("SRS"), 1).alias("SourceHorizontalSRS"), srs_part(text("SRS"), 2).alias("SourceVerticalSRS"), F.col("_cam").alias("CameraID"),
+        *(F.left(F.col(f"`{c}`").cast("string"), F.lit(TEXT_LENGTH)).alias(n) for c, n in others.items()),
     )
     order = Window.partitionBy("set_id").orderBy(F.col("AcquisitionDate").asc_nulls_last(), "row_no")
     return out.withColumn("SequenceOrder", F.row_number().over(order))
@@ -90,6 +114,14 @@ def enriched(frames: DataFrame, per_image: DataFrame, set_document: DataFrame, x
     return frames.join(best.select("set_id", "filename", F.col("item").alias("ifdo")), ["set_id", "filename"], "left")
 
 
+def item_keys(*sources: DataFrame) -> list[str]:
+    """All keys of the sources' items in order: the vocabulary of the documents, which comes to the driver."""
+    every = sources[0].select("item")
+    for s in sources[1:]:
+        every = every.union(s.select("item"))
+    return [r["k"] for r in every.select(F.explode(F.map_keys("item")).alias("k")).distinct().orderBy("k").collect()]
+
+
 def item_columns(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The given keys of ``ifdo`` as ``ifdo_*`` columns."""
     return rows.select("*", *(F.element_at("ifdo", F.lit(k)).alias("ifdo_" + k.replace("-", "_")) for k in keys)).drop("ifdo")

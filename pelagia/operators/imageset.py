@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelagia.functions.normalize import any_time, clean, first_number, first_value, is_geographic, iso_time, to_number
+from pelagia.functions.normalize import any_time, basename, clean, first_number, first_value, is_geographic, iso_time, to_number
 
 # Source columns in order of preference.
 ALTITUDE = ["Sensor Altitude", "Platform Altitude", "Altitude", "PerspectiveZ"]
@@ -68,8 +68,9 @@ def orientation(df: DataFrame) -> Column:
     return F.when(F.coalesce(o, p, k).isNotNull(), made("omega_phi_kappa", o, p, k, none, none, none)).when(F.coalesce(y, i, r).isNotNull(), made("yaw_pitch_roll", none, none, none, y, i, r))
 
 
-def item_fields(df: DataFrame, keep: Sequence[str], pair: tuple[str, str] | None = None, srs: str | None = None) -> DataFrame:
-    """The document's item fields of each row."""
+def item_fields(df: DataFrame, keep: Sequence[str], pair: tuple[str, str] | None = None, srs: str | None = None, given: str | None = None) -> DataFrame:
+    """The document's item fields of each row. ``given`` names a map column of values that the user gives: they
+    count before computed ones; its other keys stay in ``image-other-fields``."""
     rows = df.select("*", lat_lon(df, pair, srs).alias("_ll"), orientation(df).alias("_o"))
     area = first_number(_present(df, AREA))
     fields = {
@@ -78,7 +79,12 @@ def item_fields(df: DataFrame, keep: Sequence[str], pair: tuple[str, str] | None
         "image-camera-yaw-degrees": F.col("_o.yaw"), "image-camera-pitch-degrees": F.col("_o.pitch"), "image-camera-roll-degrees": F.col("_o.roll"),
         "image-meters-above-ground": first_number(_present(df, TO_GROUND)), "image-area-square-meters": F.when(area > 0, area),
     }
-    return rows.select(*keep, *(c.alias(n) for n, c in fields.items()))
+    if not given:
+        return rows.select(*keep, *(c.alias(n) for n, c in fields.items()))
+    text = {"image-coordinate-reference-system", "image-datetime"}
+    own = lambda n: F.try_element_at(F.col(given), F.lit(n))
+    made = [F.coalesce(own(n) if n in text else to_number(own(n)), c).alias(n) for n, c in fields.items()]
+    return rows.select(*keep, *made, F.map_filter(given, lambda k, v: ~k.isin(*fields)).alias("image-other-fields"))
 
 
 def biigle_rows(df: DataFrame, items: DataFrame, key: Sequence[str], to_ground: float | None = None, area: float | None = None) -> DataFrame:
@@ -138,14 +144,43 @@ def last_items(items: DataFrame) -> DataFrame:
     return items.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def documents(items: DataFrame, headers: DataFrame, schema_url: str = "", max_items: int = 100_000) -> DataFrame:
-    """One JSON document for each set and run of ``max_items`` images: header and items by file name. ``items``
-    has set_id, filename and ``item`` (struct or map); ``headers`` has set_id and ``header``."""
+def first_headers(headers: DataFrame) -> DataFrame:
+    """Of a set's headers (set_id, table_no, header) that of the first table."""
+    return headers.groupBy("set_id").agg(F.min_by("header", "table_no").alias("header"))
+
+
+def documents(items: DataFrame, headers: DataFrame, schema_url: str = "") -> DataFrame:
+    """One JSON document for each set: header and items by file name. ``items`` has set_id, filename and ``item``
+    (struct or map); ``headers`` has set_id and ``header``. A document is one row; ``document_lines`` is the form for
+    sets too large for that."""
+    entry = F.struct("filename", F.to_json("item").alias("item"))
+    folded = items.groupBy("set_id").agg(F.sort_array(F.collect_list(entry)).alias("items"))
+    return folded.join(headers, "set_id", "left").select("set_id", F.size("items").alias("n_items"), F.concat(_opening(schema_url), F.array_join(F.transform("items", _entry), ","), F.lit("}}")).alias("document"))
+
+
+def _opening(schema_url: str) -> Column:
+    head = F.to_json(F.struct(F.lit(schema_url).alias("$schema"), F.col("header").alias("image-set-header")))
+    return F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"image-set-items":{'))
+
+
+def _entry(x: Column) -> Column:
+    return F.concat(F.regexp_extract(F.to_json(F.struct(x["filename"].alias("f"))), r'^\{"f":(.*)\}$', 1), F.lit(":"), x["item"])
+
+
+def document_lines(items: DataFrame, headers: DataFrame, schema_url: str = "") -> DataFrame:
+    """A9 for sets of any size: ``set_id, place, line``; a set's lines in order of place are its document. No set is
+    gathered: only the order within a set is needed, where the lines are written."""
     w = Window.partitionBy("set_id").orderBy("filename")
-    placed = items.withColumn("part", F.floor((F.row_number().over(w) - 1) / max_items).cast("int"))
-    folded = placed.groupBy("set_id", "part").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("filename", "item")))).alias("items"))
-    body = F.struct(F.lit(schema_url).alias("$schema"), F.col("header").alias("image-set-header"), F.col("items").alias("image-set-items"))
-    return folded.join(headers, "set_id", "left").select("set_id", "part", F.size("items").alias("n_items"), F.to_json(body).alias("document"))
+    placed = items.select("set_id", F.struct("filename", F.to_json("item").alias("item")).alias("x"), F.row_number().over(w).cast("bigint").alias("place"))
+    body = placed.select("set_id", "place", F.concat(F.when(F.col("place") > 1, ",").otherwise(""), _entry(F.col("x"))).alias("line"))
+    sets = items.select("set_id").distinct().join(headers, "set_id", "left")
+    return body.union(sets.select("set_id", F.lit(0).cast("bigint"), _opening(schema_url))).union(sets.select("set_id", F.lit(2**62), F.lit("}}")))
+
+
+def per_image_documents(items: DataFrame, headers: DataFrame, schema_url: str = "") -> DataFrame:
+    """One JSON document for each image: the set's header and the one item."""
+    one = F.struct("filename", F.to_json("item").alias("item"))
+    return items.join(headers, "set_id", "left").select("set_id", F.concat("filename", F.lit(".ifdo.json")).alias("name"), F.concat(_opening(schema_url), _entry(one), F.lit("}}")).alias("document"))
 
 
 def header_issues(headers: DataFrame, value: str = "header") -> DataFrame:

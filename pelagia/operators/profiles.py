@@ -49,6 +49,32 @@ def with_profile(df: DataFrame, overrides: DataFrame | None = None, template: Da
     return out
 
 
+def profile_templates(chosen: DataFrame) -> DataFrame:
+    """Each deployment's constants as a JSON template."""
+    names = [c for c in CONSTANTS if c in chosen.columns]
+    return chosen.select(DEP, F.to_json(F.struct(F.struct(*names).alias("profile"))).alias("template"))
+
+
+def from_templates(templates: DataFrame) -> DataFrame:
+    """The constants that each deployment's template gives, for ``with_profile``; ``valid`` is false for a text
+    without a profile object."""
+    kinds = dict(f.split(" ") for f in _PROFILE.split(", "))
+    read = F.from_json(F.get_json_object("template", "$.profile"), ", ".join(f"{c} {kinds[c]}" for c in CONSTANTS))
+    is_object = F.coalesce(F.get_json_object("template", "$.profile").rlike(r"^\s*\{"), F.lit(False))
+    return templates.select(DEP, is_object.alias("valid"), F.when(is_object, read).alias("p")).select(DEP, "valid", "p.*")
+
+
+def carried_mappings(source: DataFrame, mappings: Sequence[tuple[str, str]]) -> DataFrame:
+    """The rows with ``_mapped``, the source values that take the place of computed ones."""
+    return source.withColumn("_mapped", F.struct(*(coerce(F.col(f"`{c}`"), VIDEO_FIELDS[target]).alias(target) for c, target in mappings)))
+
+
+def mapped(table: DataFrame, mappings: Sequence[tuple[str, str]]) -> DataFrame:
+    """P6 for a table that carries ``_mapped``: a mapped value counts, a null one never does."""
+    targets = {target for _, target in mappings}
+    return table.select(*((F.coalesce(F.col("_mapped")[c], F.col(f"`{c}`")).alias(c) if c in targets else F.col(f"`{c}`")) for c in table.columns if c != "_mapped"))
+
+
 def video_metadata(track: DataFrame, crs: int = 4326, z_is_ellipsoid: bool = False, far_distance: bool = True) -> DataFrame:
     """The video metadata table of a track that carries camera constants. Elevation is measured from the
     horizon (pitch - 90), far distance in whole metres, half to even."""

@@ -44,8 +44,8 @@ def coverage(video: DataFrame, sensor: DataFrame) -> DataFrame:
     return both.withColumns({"overlap_start": F.when(meets, start), "overlap_end": F.when(meets, end), "coverage_pct": F.when(meets, F.round(share, 1)), "_share": F.when(meets, share)})
 
 
-def coverage_warnings(covered: DataFrame) -> DataFrame:
-    """Q2: one row per warning."""
+def warning_list(covered: DataFrame) -> Column:
+    """Q2: the warnings of a row of ``coverage``."""
     v, s = F.col("vs").isNotNull() & F.col("ve").isNotNull(), F.col("ss").isNotNull() & F.col("se").isNotNull()
     kinds: list[tuple[Column, str]] = [
         (F.col("vs").isNull() & F.col("ve").isNull(), "no video time"),
@@ -59,8 +59,12 @@ def coverage_warnings(covered: DataFrame) -> DataFrame:
         kinds.append((v & s & (F.col("start_source") == "sensor"), "start taken from the sensor"))
     if "n_gaps" in covered.columns:
         kinds.append((F.col("overlap_start").isNotNull() & (F.col("n_gaps") > 0), "sensor has gaps"))
-    found = F.filter(F.array(*(F.when(test, F.lit(kind)) for test, kind in kinds)), lambda x: x.isNotNull())
-    return covered.select(DEP, F.explode(found).alias("warning"))
+    return F.filter(F.array(*(F.when(test, F.lit(kind)) for test, kind in kinds)), lambda x: x.isNotNull())
+
+
+def coverage_warnings(covered: DataFrame) -> DataFrame:
+    """Q2: one row per warning."""
+    return covered.select(DEP, F.explode(warning_list(covered)).alias("warning"))
 
 
 def start_provenance(videos: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.functions.normalize import is_null_like, to_number
+from pelagia.functions.normalize import any_time, is_null_like, to_number
 
 # Column names by what they hold, in order of preference.
 TELEMETRY_NAMES = {
@@ -21,6 +21,7 @@ TELEMETRY_NAMES = {
     "roll": ["PlatformRoll", "Roll", "CameraRoll", "Platform Roll Angle (Full)"],
     "filename": ["Filename", "Frame", "Image", "ImageName", "FrameFile"],
 }
+# What a log must have.
 REQUIRED = ("x", "y", "time")
 # Names that a cross-reference table adds or narrows.
 CROSS_REFERENCE_NAMES = {
@@ -41,6 +42,7 @@ CROSS_REFERENCE_NAMES = {
     "camera_focal_length": ["CameraFocalLength", "FocalLength"],
     "camera_pixel_size": ["CameraPixelSize", "PixelSize"],
 }
+# Pairs of names for latitude and longitude.
 LAT_LON_NAMES = [("Platform Latitude", "Platform Longitude"), ("Latitude", "Longitude"), ("Lat", "Lon")]
 # Telemetry key -> name in a suggested mapping.
 SUGGESTED = {"time": "timestamp", "x": "longitude", "y": "latitude", "z": "depth", "heading": "heading", "pitch": "pitch", "roll": "roll"}
@@ -67,10 +69,15 @@ def resolve_telemetry(names: Sequence[str], overrides: dict[str, str] | None = N
     return {k: resolve(names, c, overrides.get(k), strict and k in REQUIRED) for k, c in TELEMETRY_NAMES.items()}
 
 
-def resolve_cross_reference(names: Sequence[str], time: str | None = None) -> dict[str, str | None]:
-    """The column of each cross-reference key; never raises, and only the time can be given."""
+def resolve_cross_reference(names: Sequence[str], time: str | None = None, strict: bool = False) -> dict[str, str | None]:
+    """The column of each cross-reference key; only the time can be given. ``strict`` raises where a required one
+    is missing, with all missing ones named."""
     have = {n.lower() for n in names}
-    return {k: resolve(names, c, time if k == "time" and time and time.lower() in have else None) for k, c in CROSS_REFERENCE_NAMES.items()}
+    found = {k: resolve(names, c, time if k == "time" and time and time.lower() in have else None) for k, c in CROSS_REFERENCE_NAMES.items()}
+    lacking = [k for k in REQUIRED if not found[k]]
+    if strict and lacking:
+        raise KeyError(f"no column for {', '.join(lacking)}")
+    return found
 
 
 def resolve_lat_lon(names: Sequence[str]) -> tuple[str, str] | None:
@@ -110,6 +117,18 @@ def suggested_mapping(spark: SparkSession, resolved: dict[str, str | None]) -> D
     return spark.createDataFrame([(SUGGESTED[k], c) for k, c in resolved.items() if c and k in SUGGESTED], "target string, source string")
 
 
+def unique_names(names: Sequence[str], taken: Iterable[str]) -> list[str]:
+    """N15 for joined columns: a name that is taken, whatever the case, gets _2, _3, ..."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        made, n = name, 2
+        while made.lower() in used:
+            made, n = f"{name}_{n}", n + 1
+        used.add(made.lower())
+        out.append(made)
+    return out
+
+
 def sanitised_names(names: Sequence[str], taken: Iterable[str] = ()) -> list[str]:
     """Letters, digits and underscores, no digit first, 64 at most; repeated names get _2, _3, ..."""
     used, out = {t.lower() for t in taken}, []
@@ -131,7 +150,13 @@ def inferred_types(df: DataFrame, time_columns: Sequence[str] = ()) -> DataFrame
         col = F.col(f"`{c}`")
         parts.append(F.struct(F.lit(c).alias("column"), F.count_if(~is_null_like(col)).alias("filled"), F.count_if(~is_null_like(col) & to_number(col).isNull()).alias("other"), F.max(F.length(col.cast("string"))).alias("longest")))
     one = df.agg(F.array(*parts).alias("all")).select(F.explode("all").alias("c")).select("c.*")
-    kind = F.when(F.col("column").isin(*time_columns), "DATE").when((F.col("filled") > 0) & (F.col("other") == 0), "DOUBLE").otherwise("TEXT")
+    kind = F.when(F.col("column").isin([*time_columns]), "DATE").when((F.col("filled") > 0) & (F.col("other") == 0), "DOUBLE").otherwise("TEXT")
     return one.select("column", kind.alias("kind"), F.when(kind == "TEXT", F.least(F.greatest(F.coalesce("longest", F.lit(1)), F.lit(1)), F.lit(512))).alias("length"))
 
 
+def typed_value(df: DataFrame, name: str, kind: str) -> Column:
+    """A column as DATE, DOUBLE or TEXT; null where null-like."""
+    value = F.col(f"`{name}`")
+    if kind == "DATE":
+        return value if df.schema[name].dataType.typeName() == "timestamp" else any_time(value)
+    return to_number(value) if kind == "DOUBLE" else F.when(~is_null_like(value), value.cast("string"))

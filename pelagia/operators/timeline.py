@@ -74,9 +74,16 @@ def start_time(track: DataFrame, override: DataFrame | None = None) -> DataFrame
 
 def gaps(track: DataFrame, absolute_s: float | None = None, factor: float = 5.0) -> DataFrame:
     """Intervals above the threshold: ``absolute_s``, else ``factor`` times the deployment's median."""
-    steps = intervals(track)
-    limit = steps.groupBy(DEP).agg(F.percentile("gap_s", 0.5).alias("median_s")).select(DEP, (F.lit(absolute_s) if absolute_s is not None else F.col("median_s") * factor).cast("double").alias("threshold_s"))
-    return steps.join(limit, DEP).where("gap_s > threshold_s").select(DEP, "row_no", F.col("ts").alias("gap_end"), "gap_s", "threshold_s")
+    return interval_summary(track, absolute_s, factor)[1]
+
+
+def interval_summary(track: DataFrame, absolute_s: float | None = None, factor: float = 5.0) -> tuple[DataFrame, DataFrame]:
+    """A3, A6 and W1 of one window: extent and median interval of each deployment, and its intervals above the
+    threshold. Both are partitioned by deployment, so joins of the two do not shuffle again."""
+    steps = track.select(DEP, "row_no", "ts", seconds_between(F.col("ts"), F.lag("ts").over(track_order())).alias("gap_s"))
+    whole = steps.groupBy(DEP).agg(F.count("*").alias("n_rows"), F.min("ts").alias("start"), F.max("ts").alias("end"), F.percentile("gap_s", 0.5).alias("median_s")).withColumn("duration_s", seconds_between(F.col("end"), F.col("start")))
+    limit = whole.select(DEP, (F.lit(absolute_s) if absolute_s is not None else F.col("median_s") * factor).cast("double").alias("threshold_s"))
+    return whole, steps.join(limit, DEP).where("gap_s > threshold_s").select(DEP, "row_no", F.col("ts").alias("gap_end"), "gap_s", "threshold_s")
 
 
 def packet_breaks(packets: DataFrame, multiplier: float = 3.0) -> DataFrame:

@@ -2,38 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pelagia.functions.normalize import to_number
 from pelagia.operators import frames as fr
-from pelagia.operators import imagery, imageset, profiles, quality, timeline
+from pelagia.operators import imagery, imageset, profiles, quality, schema, timeline
 from pelagia.operators.timeline import DEP
 from pelagia.sources import tables
 
 
+def telemetry(raw: DataFrame, resolved: dict[str, str | None], keep: Sequence[str] = ()) -> DataFrame:
+    """A raw log (deployment_id, row_no and its own columns) as a track; rows without a position or a
+    time are left out, and none left is an error. ``keep`` names source columns that stay as ``_src0``, ``_src1``, ..."""
+    kept = raw.select(DEP, "row_no", *((F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(k) for k, c in resolved.items()), *(F.col(f"`{c}`").alias(f"_src{i}") for i, c in enumerate(keep)))
+    rows = timeline.cleaned(kept).where("reject_reason IS NULL").drop("reject_reason", "time")
+    numbers = [k for k in resolved if k not in ("x", "y", "time", "filename", "camera_id")]
+    return timeline.require_rows(rows.withColumns({k: to_number(F.col(k)) for k in numbers}), "telemetry with position and time")
+
+
 def inspect(track: DataFrame, videos: DataFrame | None = None) -> DataFrame:
-    """One row for each deployment: extent, median interval, gaps and their statistics, coverage of a video
-    (``videos``: deployment_id, start, end), warnings."""
-    gap = timeline.gaps(track)
+    """One row for each deployment: extent, median interval, gaps and their statistics; with ``videos``
+    (deployment_id and either start and end, or the times that ``start_provenance`` chooses from) also where the start
+    is from, overlap, coverage and warnings."""
+    whole, gap = timeline.interval_summary(track)
     stats = quality.described(gap.select(DEP, F.col("gap_s").alias("value")), [DEP])
-    out = timeline.extent(track).join(timeline.median_interval(track), DEP, "left")
-    out = out.join(stats.select(DEP, F.col("n").alias("n_gaps"), F.col("min").alias("gap_min"), F.col("max").alias("gap_max"), F.col("mean").alias("gap_mean"), F.col("median").alias("gap_median")), DEP, "left").withColumn("n_gaps", F.coalesce("n_gaps", F.lit(0)))
+    out = whole.join(stats.select(DEP, F.col("n").alias("n_gaps"), *(F.col(c).alias(f"gap_{c}") for c in ("min", "max", "mean", "median", "std_dev"))), DEP, "left").withColumn("n_gaps", F.coalesce("n_gaps", F.lit(0)))
     if videos is None:
         return out
+    if "start" not in videos.columns:
+        videos = quality.start_provenance(videos.join(whole.select(DEP, F.col("start").alias("sensor_start")), DEP, "left"))
     covered = quality.coverage(videos, out.select(DEP, "start", "end", "n_gaps"))
-    warned = quality.coverage_warnings(covered).groupBy(DEP).agg(F.sort_array(F.collect_list("warning")).alias("warnings"))
-    return out.join(covered.select(DEP, "overlap_start", "overlap_end", "coverage_pct"), DEP, "left").join(warned, DEP, "left")
+    warned = F.sort_array(quality.warning_list(covered))
+    names = [c for c in ("start_source",) if c in covered.columns]
+    return out.join(covered.select(DEP, *names, "overlap_start", "overlap_end", "coverage_pct", warned.alias("warnings")), DEP, "full")
+
 
+def inspection_reports(raw: DataFrame, videos: DataFrame | None = None, overrides: dict[str, str] | None = None) -> DataFrame:
+    """E1 from a raw log to reports: JSON and text for each deployment, with the statistics of each field (A2) and the
+    suggested mapping of columns (P7)."""
+    resolved = schema.resolve_telemetry(raw.columns, overrides)
+    track = telemetry(raw, {k: c for k, c in resolved.items() if k != "filename"})
+    stats = quality.described_telemetry(track)
+    fields = stats.groupBy(DEP).agg(F.sort_array(F.collect_list(F.struct(*(c for c in stats.columns if c != DEP)))).alias("fields"))
+    pairs = [F.struct(F.lit(schema.SUGGESTED[k]).alias("target"), F.lit(c).alias("source")) for k, c in resolved.items() if c and k in schema.SUGGESTED]
+    return tables.reports(inspect(track, videos).join(fields, DEP, "left").withColumn("suggested_mapping", F.array(*pairs)))
 
-def build_video_metadata(track: DataFrame, deployments: DataFrame, interval_s: float | None = None, z: float | None = None, overrides: DataFrame | None = None, crs: int = 4326) -> DataFrame:
-    """The video metadata table. ``deployments`` names each deployment's profile."""
-    rows = timeline.constant_z(track, z)
+
+def build_video_metadata(track: DataFrame, deployments: DataFrame, interval_s: float | None = None, z: float | None = None, overrides: DataFrame | None = None, crs: int = 4326, mappings: Sequence[tuple[str, str]] = (), template: DataFrame | None = None) -> DataFrame:
+    """The video metadata table of a track. ``deployments`` names each deployment's profile; ``mappings`` are
+    pairs of a column of the track and the field whose computed value it replaces."""
+    rows = timeline.constant_z(profiles.carried_mappings(track, mappings) if mappings else track, z)
     rows = timeline.resampled(rows, interval_s) if interval_s else rows
-    rows = profiles.with_profile(rows.join(deployments, DEP, "left"), overrides)
-    moved = timeline.track_heading(rows)
-    own = F.when(F.col("heading_mode") == "from_track", F.col("_moved")).otherwise(F.col("heading"))
-    joined = moved.withColumnRenamed("heading", "_moved").join(rows.select(DEP, "row_no", "heading"), [DEP, "row_no"])
-    return profiles.video_metadata(joined.withColumn("heading", F.coalesce(own, "heading_constant")).drop("_moved"), crs)
+    rows = profiles.with_profile(rows.join(deployments, DEP, "left"), overrides, template)
+    moved = timeline.track_heading(rows.withColumn("_own", F.col("heading")))
+    heading = F.coalesce(F.when(F.col("heading_mode") == "from_track", F.col("heading")).otherwise(F.col("_own")), "heading_constant")
+    made = profiles.video_metadata(moved.withColumn("heading", heading), crs)
+    return profiles.mapped(made, mappings) if mappings else made
+
+
+def video_metadata_table(raw: DataFrame, deployments: DataFrame, path: str, mappings: Sequence[tuple[str, str]] = (), columns: dict[str, str] | None = None, **options) -> DataFrame:
+    """E2 from a raw log to files: the table as CSV below ``path``, a folder for each deployment, rows in order of
+    time. Returns the mappings that were dropped, with reasons."""
+    good, bad = schema.checked_mappings(mappings, raw.columns, list(profiles.VIDEO_FIELDS))
+    track = telemetry(raw, schema.resolve_telemetry(raw.columns, columns), [source for source, _ in good])
+    table = build_video_metadata(track, deployments, mappings=[(f"_src{i}", target) for i, (_, target) in enumerate(good)], **options)
+    tables.write_in_order(table, path, [DEP], ["Precision Time Stamp", "ObjectID"], [c for c in table.columns if c != DEP])
+    return raw.sparkSession.createDataFrame(bad, "source string, target string, reason string")
 
 
 def cross_reference(frames: DataFrame, telemetry: DataFrame, earlier: DataFrame | None = None, **options) -> DataFrame:
@@ -41,33 +78,83 @@ def cross_reference(frames: DataFrame, telemetry: DataFrame, earlier: DataFrame
     return fr.appended(earlier, fr.matched_frames(frames, telemetry, earlier, **options))
 
 
-def image_sets(frames: DataFrame, cameras: DataFrame, inventory: DataFrame, hashes: DataFrame, headers: DataFrame, earlier: DataFrame | None = None, **fields) -> dict[str, DataFrame]:
-    """``items``, ``documents``, ``issues``, ``biigle`` and ``skipped`` of image sets. ``frames`` has set_id,
-    row_no, path, filename and any source columns; ``headers`` has set_id and a map ``header``."""
+def cross_reference_tables(frames: DataFrame, raw: DataFrame, path: str, earlier: DataFrame | None = None, camera: dict[str, float] | None = None, **options) -> DataFrame:
+    """E3 from a raw metadata table to files: frame, camera and matched-row tables as CSV below ``path``, a folder for
+    each deployment. The position and time columns must be there, and both tables must have rows. Returns the totals
+    of the run."""
+    resolved = schema.resolve_cross_reference(raw.columns, strict=True)
+    track = telemetry(raw, {k: c for k, c in resolved.items()})
+    table = cross_reference(timeline.require_rows(frames, "frames"), track, earlier, **options)
+    cameras = fr.camera_table(track, {"NCols": "camera_ncols", "NRows": "camera_nrows", "FocalLength": "camera_focal_length", "PixelSize": "camera_pixel_size"}, camera or {})
+    tables.write_in_order(table, f"{path}/frames", [DEP], ["ObjectID"], [c for c in table.columns if c != DEP])
+    tables.write_in_order(cameras.withColumn("CameraID", F.lit(options.get("camera_id", 1))), f"{path}/cameras", [DEP], ["CameraID"], ["CameraID", "NCols", "NRows", "FocalLength", "PixelSize"])
+    matched = fr.matched_source_rows(frames, raw.join(track.select(DEP, "row_no", "ts"), [DEP, "row_no"]), options.get("tolerance_s"))
+    tables.write_in_order(matched, f"{path}/matched", [DEP], ["row_no"], [c for c in raw.columns if c not in (DEP, "row_no")])
+    return fr.run_totals(table)
+
+
+def image_sets(frames: DataFrame, cameras: DataFrame, inventory: DataFrame, hashes: DataFrame, headers: DataFrame, earlier: DataFrame | None = None, settings: str = "set", **fields) -> dict[str, DataFrame]:
+    """``items``, ``documents``, ``lines``, ``per_image``, ``issues``, ``biigle``, ``skipped``, ``joined``, ``xml``
+    and ``manifests`` of image sets. ``frames`` has set_id, row_no, path, filename, any source columns and, where a set
+    has several tables, table_no; ``headers`` has set_id, a map ``header`` and, likewise, table_no: the first table's
+    header and the last table's item count. ``earlier`` items (set_id, filename, uuid and item fields) give images
+    their ids, and stay where the image is still there but not made anew."""
     found = fr.existing_images(frames, inventory)
     skipped = found.where("not image_found").select("set_id", "filename")
-    rows = found.where("image_found").withColumn("table_no", F.lit(0))
-    items = imageset.item_fields(rows, ["set_id", "filename", "row_no", "table_no"], **fields)
+    rows = found.where("image_found")
+    rows = rows if "table_no" in frames.columns else rows.withColumn("table_no", F.lit(0))
+    items = imageset.item_fields(rows, ["set_id", "filename", "row_no", "table_no", "path"], **fields)
     items = imageset.with_identities(imageset.last_items(items), earlier)
-    items = items.join(rows.select("set_id", "filename", "path").dropDuplicates(["set_id", "filename"]).join(hashes, "path").select("set_id", "filename", "sha256"), ["set_id", "filename"], "left")
+    items = items.join(hashes.select("path", "sha256"), "path", "left").drop("path")
+    if earlier is not None:
+        there = inventory.select("set_id", imageset.basename(F.col("path")).alias("filename"))
+        items = imageset.carried_forward(items, earlier, there)
+    items = tables.written(items)  # read for the headers' defaults and again for each output
     defaults = imageset.header_defaults(items)
     names = [c for c in defaults.columns if c != "set_id"]
     pairs = F.map_from_entries(F.array(*(F.struct(F.lit(c), F.col(f"`{c}`").cast("string")) for c in names)))
-    made = headers.join(defaults, "set_id", "left").select("set_id", imageset.merged_header(F.col("header"), pairs).alias("header"))
-    keys = [c for c in items.columns if c.startswith("image-")]
+    given = imageset.first_headers(headers) if "table_no" in headers.columns else headers
+    made = given.join(defaults, "set_id", "left").select("set_id", imageset.merged_header(F.col("header"), pairs).alias("header"))
+    keys = [c for c in items.columns if c.startswith("image-") and c != "image-other-fields"]
     entry: list[tuple[str, Column]] = [*((c, F.col(f"`{c}`")) for c in keys), ("image-uuid", F.col("uuid")), ("image-hash-sha256", F.col("sha256")), ("image-handle", F.lit(""))]
     folded = items.select("set_id", "filename", F.struct(*(c.alias(n) for n, c in entry)).alias("item"))
     mapped = items.select("set_id", "filename", F.map_from_entries(F.array(*(F.struct(F.lit(n), c.cast("string")) for n, c in entry))).alias("item"))
     issues = imageset.header_issues(made).select("set_id", F.lit(None).cast("string").alias("filename"), "field", "issue").union(imageset.item_issues(mapped, made).select("set_id", "filename", "field", F.lit("missing required field")))
-    biigle = imageset.biigle_rows(rows.select("set_id", *(c for c in rows.columns if c != "set_id")), items.select("set_id", "filename", *(F.col(f"`{c}`") for c in keys)), ["set_id", "filename"])
-    return {"items": items, "documents": imageset.documents(folded, made), "issues": issues, "biigle": biigle, "skipped": skipped, "joined": fr.camera_join(rows, cameras)}
+    biigle = imageset.biigle_rows(imageset.last_items(rows), items.select("set_id", "filename", *(F.col(f"`{c}`") for c in keys)), ["set_id", "filename"])
+    xml = tables.image_xml(mapped.select("set_id", "filename", F.lit("iFDO").alias("domain"), F.lit(1).alias("version"), F.map_filter("item", lambda k, v: v.isNotNull()).alias("item")))
+    return {
+        "items": items, "documents": imageset.documents(folded, made), "lines": imageset.document_lines(folded, made), "per_image": imageset.per_image_documents(folded, made), "issues": issues, "biigle": biigle,
+        "skipped": skipped, "joined": fr.camera_join(rows, cameras), "xml": xml, "manifests": tables.manifests(rows.select("set_id", "filename", "path").distinct(), F.lit(settings)),
+    }
+
+
+def paired_cameras(frame_tables: DataFrame, camera_tables: DataFrame) -> DataFrame:
+    """J4 over contents: the rows of each frame table (folder, name, ...) keep ``camera_table``, the name of the table
+    that fits it, to read its cameras from."""
+    pairs = tables.table_pairs(frame_tables.select("folder", "name").distinct(), camera_tables.select("folder", "name").distinct())
+    return frame_tables.join(pairs, ["folder", "name"], "left")
+
+
+def write_image_sets(made: dict[str, DataFrame], path: str, layout: str | None = None) -> None:
+    """Documents of each set, or of each image where ``layout`` asks for that, annotation rows and manifests
+    below ``path``, a folder for each set."""
+    if tables.document_format(layout) == "per-image":
+        tables.write_in_order(made["per_image"], f"{path}/documents", ["set_id"], ["name"], ["name", "document"], form="json")
+    else:
+        tables.write_documents(made["lines"], f"{path}/documents")
+    tables.write_in_order(made["biigle"], f"{path}/biigle", ["set_id"], ["filename"], ["filename", "taken_at", "lng", "lat", "gps_altitude", "distance_to_ground", "area", "SUB_heading"])
+    tables.write_table(made["manifests"].select("set_id", F.col("manifest").alias("value")), f"{path}/manifests", ["value"], ["set_id"], form="text")
 
 
-def imagery_tables(frames: DataFrame, category: str, present: DataFrame | None = None, heading_offset: float = 0.0) -> dict[str, DataFrame]:
+def imagery_tables(frames: DataFrame, category: str, present: DataFrame | None = None, heading_offset: float = 0.0, sources: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
     """E5: ``catalogue`` and ``oriented`` rows of frames (set_id, row_no, path, x, y, heading, ...). Images that are
     in the dataset already (``present``: path) are left out of the oriented rows; sets in a geographic system are
-    rejected, as the boxes are in metres."""
+    rejected, as the boxes are in metres. ``sources``, as ``enrichment_sources`` gives them, add ``ifdo_*`` columns."""
+    if sources is not None:
+        named = frames if "filename" in frames.columns else frames.withColumn("filename", imageset.basename(F.col("path")))
+        frames = imagery.item_columns(imagery.enriched(named, *sources), imagery.item_keys(*sources))
     turned = timeline.carried_heading(frames.withColumn(DEP, F.col("set_id")), offset=heading_offset).drop(DEP)
     fine = turned.where(~imagery.srs_part(F.col("srs"), 1).isin("4326")) if "srs" in frames.columns else turned
     new = fine.withColumns({"Raster": F.col("path"), "PerspectiveX": F.col("x"), "PerspectiveY": F.col("y")})
-    return {"catalogue": imagery.catalogue_rows(fine), "oriented": imagery.oriented_rows(imagery.new_images(new, present) if present is not None else new, category), "rejected": turned.join(fine.select("set_id", "row_no"), ["set_id", "row_no"], "left_anti"), "manifest": tables.manifests(fine.select("set_id", F.col("path").alias("filename"), "path"), F.lit(category))}
+    oriented = imagery.oriented_rows(imagery.new_images(new, present) if present is not None else new, category, extra=sources is not None)
+    return {"catalogue": imagery.catalogue_rows(fine), "oriented": oriented, "rejected": turned.join(fine.select("set_id", "row_no"), ["set_id", "row_no"], "left_anti"), "manifest": tables.manifests(fine.select("set_id", F.col("path").alias("filename"), "path"), F.lit(category))}

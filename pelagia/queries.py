@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -112,7 +113,7 @@ def n14(spark, d):
 @query("n16_path_key", "SELECT path, lower(path) AS key, regexp_extract(path, '[^/]*$', 0) AS base FROM v_files", "v_files")
 def n16(spark, d):
     messy = F.replace(F.concat(F.lit("./x/../"), F.col("path")), F.lit("/img"), F.lit("/./IMG"))
-    return view(spark, d, "v_files").select("path", F.regexp_replace(n.path_key(messy), r"^\./", "").alias("key"), n.basename(F.col("path")).alias("base"))
+    return view(spark, d, "v_files").select("path", n.path_key(messy).alias("key"), n.basename(F.col("path")).alias("base"))
 
 
 _BEARING = "CASE WHEN x2 <> x1 OR y2 <> y1 THEN ((degrees(atan2(x2 - x1, y2 - y1)) % 360) + 360) % 360 END"
@@ -135,24 +136,64 @@ def s5(spark, d):
     return tables.content_hashes(view(spark, d, "v_files"))
 
 
-@query("s11_manifest", "SELECT set_id, count(*) AS n_images, min(path) AS first_path FROM v_files GROUP BY set_id", "v_files")
+@query("s11_manifest", "SELECT set_id, count(*) OVER (PARTITION BY set_id) AS n_images, regexp_extract(path, '[^/]*$', 0) AS filename, path, 'default' AS settings FROM v_files", "v_files")
 def s11(spark, d):
     made = tables.manifests(view(spark, d, "v_files").select("set_id", n.basename(F.col("path")).alias("filename"), "path"), F.lit("default"))
-    listed = F.from_json(F.get_json_object("manifest", "$.images"), "array<struct<path:string>>")
-    return made.select("set_id", "n_images", F.array_min(F.transform(listed, lambda i: i["path"])).alias("first_path"))
+    listed = F.from_json(F.get_json_object("manifest", "$.images"), "array<struct<filename:string,path:string>>")
+    return made.select("set_id", F.get_json_object("manifest", "$.n_images").cast("bigint").alias("n_images"), F.get_json_object("manifest", "$.settings").alias("settings"), F.explode(listed).alias("i")).select("set_id", "n_images", "i.filename", "i.path", "settings")
 
 
-@query("s14_image_xml")
+def _fresh(spark) -> str:
+    return f"{tables.shared_folder(spark)}/pelagia-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+@query("s14_image_xml", "SELECT set_id, regexp_extract(path, '[^/]*$', 0) AS filename, 'IFDO' AS domain, concat('<PAMDataset><Metadata domain=\"IFDO\"><MDI key=\"a&amp;b\">&lt;x&gt;</MDI><MDI key=\"image-set\">', set_id, '</MDI></Metadata></PAMDataset>') AS xml FROM v_files", "v_files")
 def s14(spark, d):
-    items = view(spark, d, "v_files").select("set_id", n.basename(F.col("path")).alias("filename"), F.lit("IFDO").alias("domain"), F.lit(1).alias("version"), F.create_map(F.lit("image-set"), F.col("set_id").cast("string")).alias("item"))
-    return tables.image_xml(items)
+    return tables.image_xml(_xml_items(spark, d))
+
+
+def _xml_items(spark, d):
+    item = F.create_map(F.lit("image-set"), F.col("set_id").cast("string"), F.lit("a&b"), F.lit("<x>"))
+    return view(spark, d, "v_files").select("set_id", n.basename(F.col("path")).alias("filename"), F.lit("IFDO").alias("domain"), F.lit(1).alias("version"), item.alias("item"))
+
+
+@query("s14_replaced_domain", "SELECT set_id, regexp_extract(path, '[^/]*$', 0) AS filename, concat('<PAMDataset>', CASE WHEN doc_no % 2 = 0 THEN '<Metadata domain=\"other\"><MDI key=\"k\">1</MDI></Metadata>' ELSE '' END, '<Metadata domain=\"IFDO\"><MDI key=\"a&amp;b\">&lt;x&gt;</MDI><MDI key=\"image-set\">', set_id, '</MDI></Metadata></PAMDataset>') AS xml FROM (SELECT *, CAST(regexp_extract(path, '_([0-9]+)', 1) AS BIGINT) AS doc_no FROM v_files)", "v_files")
+def s14b(spark, d):
+    items = _xml_items(spark, d)
+    number = F.regexp_extract("filename", "_([0-9]+)", 1).cast("bigint")
+    old = '<PAMDataset>\n  <Metadata domain="IFDO">\n<MDI key="image-set">old</MDI></Metadata><Metadata domain="other"><MDI key="k">1</MDI></Metadata>\n</PAMDataset>\n'
+    there = items.where(number % 2 == 0).select("set_id", "filename", F.lit(old).alias("xml"))
+    return tables.image_xml(items, there).select("set_id", "filename", "xml")
 
 
-@query("s15_xmp")
+_DEG = "concat(CAST(floor(abs({v})) AS BIGINT), ',', printf('%.6f', (abs({v}) - floor(abs({v}))) * 60), CASE WHEN {v} >= 0 THEN '{p}' ELSE '{m}' END)"
+
+
+@query("s15_xmp", "SELECT deployment_id AS set_id, concat(row_no, '.tif') AS filename, concat('<rdf:Description ', concat_ws(' ', concat('xmp:CreateDate=\"', strftime(ts, '%Y-%m-%dT%H:%M:%S'), '\"'), concat('exif:GPSLatitude=\"', " + _DEG.format(v="y", p="N", m="S") + ", '\"'), concat('exif:GPSLongitude=\"', " + _DEG.format(v="x", p="E", m="W") + ", '\"'), 'exif:GPSAltitude=\"' || CAST(round(abs(z) * 100) AS BIGINT) || '/100\"', 'exif:GPSAltitudeRef=\"' || CASE WHEN z < 0 THEN '1' WHEN z >= 0 THEN '0' END || '\"'), '><dc:description>frame</dc:description><payload>{}</payload></rdf:Description>') AS xmp FROM v_telemetry", "v_telemetry")
 def s15(spark, d):
     return tables.xmp_sidecars(_t(spark, d).select(F.col(DEP).alias("set_id"), F.concat(F.col("row_no"), F.lit(".tif")).alias("filename"), F.lit("frame").alias("description"), "ts", F.col("y").alias("lat"), F.col("x").alias("lon"), F.col("z").alias("altitude"), F.lit("{}").alias("payload")))
 
 
+@query("s1_log_files", "SELECT deployment_id, row_no, time_text, x_text FROM v_telemetry_raw", "v_telemetry_raw")
+def s1(spark, d):
+    path = _fresh(spark)
+    named = view(spark, d, "v_telemetry_raw").select(F.col("deployment_id").alias(" deployment_id"), F.col("row_no").alias("no"), "time_text", F.col("x_text").alias("x_text "))
+    named.write.option("header", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
+    return tables.read_log(spark, path).select(F.col("deployment_id").cast("bigint"), F.col("no").cast("bigint").alias("row_no"), "time_text", "x_text")
+
+
+@query("s12_reports", "SELECT deployment_id, count(*) AS n_rows, concat('deployment_id: ', deployment_id, chr(10), 'n_rows: ', count(*), chr(10), 'least: ', coalesce(CAST(CAST(min(pitch) AS BIGINT) AS VARCHAR), 'not available')) AS report_text FROM v_telemetry GROUP BY 1", "v_telemetry")
+def s12(spark, d):
+    made = tables.reports(_t(spark, d).groupBy(DEP).agg(F.count("*").alias("n_rows"), F.min("pitch").cast("bigint").alias("least")))
+    return made.select(DEP, F.get_json_object("report_json", "$.n_rows").cast("bigint").alias("n_rows"), "report_text")
+
+
+@query("s16_templates", "SELECT DISTINCT deployment_id AS set_id, 'again' AS description, concat('p', deployment_id) AS pi FROM v_telemetry", "v_telemetry")
+def s16(spark, d):
+    made = tables.templates(_t(spark, d).select(DEP).distinct().select(F.col(DEP).alias("set_id"), F.create_map(F.lit("image-pi"), F.concat(F.lit("p"), F.col(DEP))).alias("metadata")), "again")
+    return made.select("set_id", F.get_json_object("template", "$.description").alias("description"), F.get_json_object("template", "$.metadata.image-pi").alias("pi"))
+
+
 @query("p2_canonical_columns", "SELECT row_no, x, y, ts AS time FROM v_telemetry", "v_telemetry")
 def p2(spark, d):
     raw = _t(spark, d).select("row_no", F.col("x").alias("Easting"), F.col("y").alias("northing"), F.col("ts").alias("Timestamp"))
@@ -317,9 +358,12 @@ def a1b(spark, d):
 _A2 = " UNION ALL ".join(f"SELECT deployment_id, '{f}' AS field, CAST({f} AS DOUBLE) AS v FROM v_telemetry" for f in ("x", "y", "z", "heading", "pitch", "roll"))
 
 
-@query("a2_described_telemetry", f"SELECT deployment_id, field, count(v) AS n, CASE WHEN count(v) >= 2 THEN round(quantile_cont(v, 0.5), 4) END AS median, CASE WHEN count(v) >= 2 THEN round(stddev_samp(v), 4) END AS std_dev FROM ({_A2}) WHERE v IS NOT NULL GROUP BY 1, 2", "v_telemetry")
+_STATS4 = _STATS.replace("min(v)", "round(min(v), 4)", 1).replace("max(v)", "round(max(v), 4)", 1)
+
+
+@query("a2_described_telemetry", f"SELECT s.*, m.mode FROM (SELECT deployment_id, field, {_STATS4} FROM ({_A2}) WHERE v IS NOT NULL GROUP BY 1, 2) s JOIN (SELECT deployment_id, field, CASE WHEN sum(c) >= 2 THEN round(min(v) FILTER (c = m), 4) END AS mode FROM (SELECT deployment_id, field, v, count(*) AS c, max(count(*)) OVER (PARTITION BY deployment_id, field) AS m FROM ({_A2}) WHERE v IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2) m USING (deployment_id, field)", "v_telemetry")
 def a2(spark, d):
-    return quality.described_telemetry(_t(spark, d)).select(DEP, "field", "n", "median", "std_dev")
+    return quality.described_telemetry(_t(spark, d))
 
 
 def _videos(spark, d):
@@ -371,9 +415,21 @@ def j1b(spark, d):
     return asof.nearest_rows_bucketed(_timed(spark, d), _t(spark, d), 86400.0)
 
 
-@query("j2_asof_columns", f"SELECT n.deployment_id, n.row_no, delta_s, abs(delta_s) <= 3600 AS matched, CASE WHEN abs(delta_s) <= 3600 THEN t.pitch END AS m_pitch FROM ({_NEAR}) n LEFT JOIN v_telemetry t ON t.deployment_id = n.deployment_id AND t.row_no = n.match_row_no", "v_telemetry", "v_frames")
+@query("j2_asof_columns", f"SELECT n.deployment_id, n.row_no, delta_s, abs(delta_s) <= 3600 AS matched, t.ts IS NOT NULL AS has_ts, t.x AS m_x, t.y AS m_y, t.z AS m_z, t.heading AS m_heading, t.pitch AS m_pitch, t.roll AS m_roll, t.row_no AS m_row_no FROM ({_NEAR}) n LEFT JOIN v_telemetry t ON t.deployment_id = n.deployment_id AND t.row_no = n.match_row_no AND abs(delta_s) <= 3600", "v_telemetry", "v_frames")
 def j2(spark, d):
-    return asof.asof_join(_timed(spark, d), _t(spark, d), 3600.0).select(DEP, "row_no", "delta_s", "matched", "m_pitch")
+    return asof.asof_join(_timed(spark, d), _t(spark, d), 3600.0, bucket_s=30 * 86400.0).select(DEP, "row_no", "delta_s", "matched", F.col("m_ts").isNotNull().alias("has_ts"), *(f"m_{c}" for c in ("x", "y", "z", "heading", "pitch", "roll", "row_no")))
+
+
+_SECOND = "SELECT deployment_id, row_no, time_text, x_text, us FROM (SELECT r.*, CASE WHEN r.row_no % 5 = 0 THEN epoch_us(t.ts) WHEN r.row_no % 5 = 1 THEN epoch_us(t.ts) // 1000 * 1000 ELSE epoch_us(t.ts) // 1000000 * 1000000 END AS us FROM v_telemetry_raw r JOIN v_telemetry t USING (deployment_id, row_no)) WHERE row_no % 3 = 0 AND row_no % 20 <> 4"
+
+
+@query("j2_combined_table", f"SELECT * FROM (WITH s AS ({_SECOND}), w AS (SELECT deployment_id, greatest(quantile_cont(g, 0.5) / 2, 0.05) AS tol FROM (SELECT deployment_id, (us - lag(us) OVER (PARTITION BY deployment_id ORDER BY us, row_no)) / 1e6 AS g FROM s) WHERE g > 0 GROUP BY 1), p AS (SELECT deployment_id, row_no, epoch_us(ts) AS t FROM v_telemetry WHERE row_no % 2 = 0), b AS (SELECT p.*, k.us AS bt, k.row_no AS br FROM p ASOF LEFT JOIN s k ON p.deployment_id = k.deployment_id AND p.t > k.us), f AS (SELECT b.*, k.us AS ft, k.row_no AS fr FROM b ASOF LEFT JOIN s k ON b.deployment_id = k.deployment_id AND b.t <= k.us), h AS (SELECT *, CASE WHEN ft IS NULL OR (bt IS NOT NULL AND t - bt <= ft - t) THEN br ELSE fr END AS m, CASE WHEN ft IS NULL OR (bt IS NOT NULL AND t - bt <= ft - t) THEN t - bt ELSE ft - t END / 1e6 AS gap FROM f) SELECT h.deployment_id, h.row_no, h.t AS time_us, v.z AS x_text, CASE WHEN h.gap <= w.tol THEN k.us END AS second_us, TRY_CAST(trim(CASE WHEN h.gap <= w.tol THEN k.x_text END) AS DOUBLE) AS x_text_2 FROM h JOIN v_telemetry v ON v.deployment_id = h.deployment_id AND v.row_no = h.row_no LEFT JOIN w ON w.deployment_id = h.deployment_id LEFT JOIN s k ON k.deployment_id = h.deployment_id AND k.row_no = h.m)", "v_telemetry", "v_telemetry_raw")
+def j2b(spark, d):
+    first = _t(spark, d).where("row_no % 2 = 0").select(DEP, "row_no", F.col("ts").alias("UTC"), F.col("z").alias("x_text"))
+    second = view(spark, d, "v_telemetry_raw").where("row_no % 3 = 0 AND row_no % 20 <> 4").select(DEP, "row_no", F.col("time_text").alias("Time"), "x_text")
+    table, names = asof.combined_table(first, second)
+    assert [tuple(r) for r in names.collect()] == [("UTC", "UTC"), ("x_text", "x_text"), ("Time", "Time"), ("x_text_2", "x_text_2")]
+    return table.select(DEP, "row_no", F.unix_micros("UTC").alias("time_us"), "x_text", F.unix_micros(n.any_time(F.col("Time"))).alias("second_us"), "x_text_2")
 
 
 @query("j3_camera_join", "SELECT f.row_no AS \"Frame_row_no\", c.pixel_size AS \"Camera_pixel_size\" FROM v_frames f LEFT JOIN v_cameras c ON CAST(CAST(trim(f.camera_id) AS DOUBLE) AS BIGINT) = CAST(c.camera_id AS BIGINT)", "v_frames", "v_cameras")
@@ -381,24 +437,29 @@ def j3(spark, d):
     return frames.camera_join(_frames(spark, d), view(spark, d, "v_cameras")).select("Frame_row_no", "Camera_pixel_size")
 
 
-@query("j4_table_pairs")
+@query("j4_table_pairs", "SELECT CAST(deployment_id % 7 AS VARCHAR) AS folder, concat('dive', deployment_id, '_frames') AS name, (SELECT c FROM (SELECT concat('dive', o.deployment_id, '_cameras') AS c, length(p) AS size FROM (SELECT DISTINCT deployment_id FROM v_telemetry) o, (SELECT unnest([left(concat('dive', t.deployment_id, '_frames'), i) FOR i IN range(1, 40)]) AS p) x WHERE o.deployment_id % 2 = 0 AND o.deployment_id % 7 = t.deployment_id % 7 AND length(p) <= length(concat('dive', o.deployment_id, '_cameras')) AND starts_with(concat('dive', o.deployment_id, '_cameras'), p)) ORDER BY size DESC, c LIMIT 1) AS camera_table FROM (SELECT DISTINCT deployment_id FROM v_telemetry) t", "v_telemetry")
 def j4(spark, d):
     users = _t(spark, d).select(DEP).distinct()
     f = users.select((F.col(DEP) % 7).cast("string").alias("folder"), F.concat(F.lit("dive"), F.col(DEP), F.lit("_frames")).alias("name"))
     c = users.where("deployment_id % 2 = 0").select((F.col(DEP) % 7).cast("string").alias("folder"), F.concat(F.lit("dive"), F.col(DEP), F.lit("_cameras")).alias("name"))
-    return tables.table_pairs(f, c)
+    return jobs.paired_cameras(f, c)
 
 
 def _items(spark, d):
     return _t(spark, d).select(F.col(DEP).alias("set_id"), "row_no", F.lit(0).alias("table_no"), F.concat(F.col("row_no"), F.lit(".tif")).alias("filename"), F.col("y").alias("Latitude"), F.col("x").alias("Longitude"), F.col("z").alias("Altitude"), F.unix_micros("ts").alias("Precision Time Stamp"), F.col("heading").alias("Yaw"), F.col("pitch").alias("Pitch"), F.when(F.col("row_no") % 5 == 0, F.col("roll")).alias("Omega"))
 
 
-@query("j5_enriched")
+@query("j5_enriched", "SELECT deployment_id AS set_id, concat(row_no, '.tif') AS filename, CASE WHEN deployment_id % 2 = 0 THEN 'image' WHEN deployment_id % 3 = 0 THEN 'set' WHEN deployment_id % 5 = 0 THEN '<xml>' END AS ifdo_image_quality, CASE WHEN deployment_id % 2 <> 0 AND deployment_id % 3 <> 0 AND deployment_id % 5 = 0 THEN 'x' END AS ifdo_only_xml FROM v_telemetry", "v_telemetry")
 def j5(spark, d):
     f = _items(spark, d).select("set_id", "filename")
-    doc = f.select("set_id", "filename", F.lit(1).alias("source_no"), F.create_map(F.lit("image-quality"), F.lit("raw")).alias("item"))
-    got = imagery.enriched(f, doc.where("set_id % 2 = 0"), doc.where("set_id % 3 = 0"), doc.where("set_id % 5 = 0"))
-    return imagery.item_columns(got, ["image-quality"])
+    value = lambda v: F.create_map(F.lit("image-quality"), F.lit(v))
+    body = lambda v: F.to_json(F.struct(F.map_from_entries(F.array(F.struct(F.col("filename"), value(v)))).alias("image-set-items")))
+    own = f.where("set_id % 2 = 0").select("set_id", F.concat(F.lit("m/"), F.col("filename"), F.lit(".ifdo.json")).alias("path"), body("image").alias("text"))
+    whole = f.where("set_id % 3 = 0").groupBy("set_id").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("filename", value("set")))).alias("image-set-items"))).alias("text")).select("set_id", F.lit("set.ifdo.json").alias("path"), "text")
+    xml = tables.image_xml(f.where("set_id % 5 = 0").select("set_id", "filename", F.lit("iFDO").alias("domain"), F.lit(1).alias("version"), F.create_map(F.lit("image-quality"), F.lit("<xml>"), F.lit("only-xml"), F.lit("x")).alias("item")))
+    texts = own.union(whole).union(xml.select("set_id", F.concat(F.lit("m/"), F.col("filename"), F.lit(".aux.xml")), "xml"))
+    sources = tables.enrichment_sources(texts)
+    return imagery.item_columns(imagery.enriched(f, *sources), imagery.item_keys(*sources))
 
 
 _EARLIER = "row_no % 2 = 0"
@@ -449,6 +510,13 @@ def p8(spark, d):
     return profiles.with_profile(dep, dep.where("deployment_id % 2 = 0").select(DEP, F.lit(0.0).alias("hfov"))).select(DEP, "hfov")
 
 
+@query("p8_templates", "SELECT deployment_id, deployment_id % 5 <> 0 AS valid, CASE WHEN deployment_id % 5 = 0 OR deployment_id % 7 = 6 THEN NULL ELSE CASE deployment_id % 7 WHEN 0 THEN 48.0 WHEN 1 THEN 60.0 WHEN 2 THEN 50.0 WHEN 3 THEN 45.0 WHEN 4 THEN 48.0 WHEN 5 THEN 60.0 END END AS hfov, CASE WHEN deployment_id % 5 = 0 THEN NULL WHEN deployment_id % 7 IN (4, 6) THEN 'constant' ELSE 'from_track' END AS heading_mode FROM (SELECT DISTINCT deployment_id FROM v_telemetry)", "v_telemetry")
+def p8b(spark, d):
+    made = profiles.profile_templates(profiles.with_profile(_deployments(spark, d)))
+    damaged = made.withColumn("template", F.when(F.col(DEP) % 5 == 0, '{"other": 1}').otherwise(F.col("template")))
+    return profiles.from_templates(damaged).select(DEP, "valid", "hfov", "heading_mode")
+
+
 @query("p10_lat_lon", "SELECT row_no, CASE WHEN row_no % 2 = 0 THEN y END AS lat, CASE WHEN row_no % 2 = 0 THEN x END AS lon FROM v_telemetry", "v_telemetry")
 def p10(spark, d):
     t = _t(spark, d).select("row_no", F.col("x").alias("PerspectiveX"), F.col("y").alias("PerspectiveY"), F.when(F.col("row_no") % 2 == 0, "4326;5773").otherwise("3857").alias("SRS"))
@@ -461,9 +529,30 @@ def p11(spark, d):
     return t.select("row_no", imageset.orientation(t).alias("o")).select("row_no", "o.convention", "o.omega", "o.yaw")
 
 
-@query("p12_item_fields", "SELECT row_no, y AS \"image-latitude\", z AS \"image-altitude-meters\", strftime(date_trunc('millisecond', ts), '%Y-%m-%d %H:%M:%S.%g') AS \"image-datetime\", CASE WHEN row_no % 5 <> 0 THEN pitch END AS \"image-camera-pitch-degrees\" FROM v_telemetry", "v_telemetry")
+_P12 = {
+    "image-latitude": "y", "image-longitude": "x", "image-coordinate-reference-system": "'EPSG:4326'", "image-altitude-meters": "z", "image-datetime": "strftime(date_trunc('millisecond', ts), '%Y-%m-%d %H:%M:%S.%g')",
+    "image-camera-yaw-degrees": "CASE WHEN row_no % 5 <> 0 THEN heading END", "image-camera-pitch-degrees": "CASE WHEN row_no % 5 <> 0 THEN pitch END", "image-camera-roll-degrees": "CAST(NULL AS DOUBLE)",
+    "image-meters-above-ground": "CASE WHEN row_no % 4 = 0 THEN 3.5 END", "image-area-square-meters": "CASE WHEN row_no % 41 - 20 > 0 THEN CAST(row_no % 41 - 20 AS DOUBLE) END",
+}
+
+
+def _described_items(spark, d):
+    return _items(spark, d).withColumns({"CameraHeight": F.when(F.col("row_no") % 4 == 0, 3.5), "Footprint Area": F.col("row_no") % 41 - 20})
+
+
+@query("p12_item_fields", "SELECT row_no, " + ", ".join(f'{v} AS "{k}"' for k, v in _P12.items()) + " FROM v_telemetry", "v_telemetry")
 def p12(spark, d):
-    return imageset.item_fields(_items(spark, d), ["row_no"], ("Latitude", "Longitude")).select("row_no", "image-latitude", "image-altitude-meters", "image-datetime", "image-camera-pitch-degrees")
+    return imageset.item_fields(_described_items(spark, d), ["row_no"], ("Latitude", "Longitude"))
+
+
+_GIVEN = {"image-latitude": "CASE WHEN row_no % 2 = 0 THEN 1.5 ELSE y END", "image-datetime": f"CASE WHEN row_no % 2 = 0 THEN 'typed' ELSE {_P12['image-datetime']} END"}
+
+
+@query("p12_given_fields", "SELECT row_no, CASE WHEN row_no % 2 = 0 THEN 'who' END AS pi, " + ", ".join(f'{v} AS "{k}"' for k, v in (_P12 | _GIVEN).items()) + " FROM v_telemetry", "v_telemetry")
+def p12b(spark, d):
+    given = F.when(F.col("row_no") % 2 == 0, F.create_map(F.lit("image-latitude"), F.lit("1.5"), F.lit("image-datetime"), F.lit("typed"), F.lit("image-pi"), F.lit("who")))
+    made = imageset.item_fields(_described_items(spark, d).withColumn("typed", given), ["row_no"], ("Latitude", "Longitude"), given="typed")
+    return made.withColumn("pi", F.try_element_at("image-other-fields", F.lit("image-pi"))).drop("image-other-fields")
 
 
 @query("p13_biigle", "SELECT concat(row_no, '.tif') AS filename, strftime(ts, '%Y-%m-%d %H:%M:%S') AS taken_at, x AS lng, y AS lat, z AS gps_altitude, 2.5 AS distance_to_ground FROM v_telemetry", "v_telemetry")
@@ -473,29 +562,62 @@ def p13(spark, d):
     return imageset.biigle_rows(t, items, ["set_id", "row_no"], 2.5).select("filename", "taken_at", "lng", "lat", "gps_altitude", "distance_to_ground")
 
 
-@query("p15_video_metadata", "SELECT deployment_id, row_number() OVER (PARTITION BY deployment_id ORDER BY ts, row_no) - 1 AS \"ObjectID\", epoch_us(ts) AS \"Precision Time Stamp\", CASE deployment_id % 7 WHEN 1 THEN -45.0 WHEN 5 THEN -60.0 WHEN 6 THEN NULL ELSE -90.0 END AS \"Sensor Relative Elevation Angle\", CASE deployment_id % 7 WHEN 0 THEN 8 WHEN 1 THEN 10 WHEN 2 THEN 12 WHEN 3 THEN 8 WHEN 4 THEN 5 WHEN 5 THEN 4 END AS \"Sensor Far Distance\" FROM v_telemetry", "v_telemetry")
+_PROFILE_ROWS = "(VALUES " + ", ".join("(" + ", ".join([str(i), *("NULL::DOUBLE" if v is None else f"{v}::DOUBLE" for v in p[1:8]), f"'{p[8]}'", "NULL::DOUBLE" if p[9] is None else f"{p[9]}::DOUBLE"]) + ")" for i, p in enumerate(profiles.PROFILES)) + ") AS c(i, camera_pitch, camera_roll, hfov, vfov, camera_height, near_distance, far_distance, heading_mode, heading_constant)"
+_CAMERA = {
+    "Sensor Relative Azimuth Angle": "0.0", "Sensor Relative Elevation Angle": "c.camera_pitch - 90", "Sensor Relative Roll Angle": "c.camera_roll", "Sensor Horizontal Field of View": "c.hfov",
+    "Sensor Vertical Field of View": "c.vfov", "Near Distance": "c.near_distance", "Sensor Far Distance": "CAST(c.far_distance AS BIGINT)", "Camera Height Above Seafloor": "c.camera_height",
+}
+_NONE = {**dict.fromkeys(("CameraID", "CameraNCols", "CameraNRows"), "NULL::BIGINT"), **dict.fromkeys(("CameraFocalLength", "CameraPixelSize", "Sensor Ellipsoid Height Extended"), "NULL::DOUBLE"), "Filename": "NULL::VARCHAR"}
+
+
+def _columns(given: dict[str, str]) -> str:
+    return ", ".join(f'{v} AS "{k}"' for k, v in given.items())
+
+
+_P15 = {
+    "deployment_id": "deployment_id", "ObjectID": "row_number() OVER (PARTITION BY deployment_id ORDER BY ts, row_no) - 1", "Precision Time Stamp": "epoch_us(ts)", "AcquisitionDate": "epoch_us(ts)", "Sensor Longitude": "x", "Sensor Latitude": "y",
+    "Sensor True Altitude": "z", "Platform Heading Angle": "heading", "Platform Pitch Angle (Full)": "pitch", "Platform Roll Angle (Full)": "roll", **_CAMERA, **_NONE,
+}
+
+
+@query("p15_video_metadata", f"SELECT {_columns(_P15)} FROM v_telemetry JOIN {_PROFILE_ROWS} ON c.i = deployment_id % 7", "v_telemetry")
 def p15(spark, d):
     rows = profiles.with_profile(_t(spark, d).join(_deployments(spark, d), DEP))
-    return profiles.video_metadata(rows).select(DEP, "ObjectID", "Precision Time Stamp", "Sensor Relative Elevation Angle", "Sensor Far Distance")
+    return profiles.video_metadata(rows).withColumn("AcquisitionDate", F.unix_micros("AcquisitionDate"))
 
 
 def _oriented(spark, d):
     return _t(spark, d).select(F.col(DEP).alias("set_id"), "row_no", F.concat(F.lit("a/"), F.col("row_no"), F.lit(".tif")).alias("Raster"), F.when(F.col("row_no") % 9 != 0, F.col("x")).alias("PerspectiveX"), F.col("y").alias("PerspectiveY"), F.col("z").alias("PerspectiveZ"), F.coalesce("heading", F.lit(0.0)).alias("heading"), F.when(F.col("row_no") % 2 == 0, F.col("pitch")).alias("CameraPitch"), F.unix_micros("ts").alias("Precision Time Stamp"), F.lit("3857; 3855").alias("SRS"), F.concat(F.lit("cam"), F.col("row_no")).alias("CameraID"))
 
 
-@query("p16_oriented_rows", "SELECT deployment_id AS set_id, row_no, CASE WHEN row_no % 2 = 0 THEN pitch ELSE 45.0 END AS \"CameraPitch\", coalesce(z, 200.0) AS \"CameraHeight\", coalesce(z, 0.0) AS z, '3855' AS \"SourceVerticalSRS\", row_number() OVER (PARTITION BY deployment_id ORDER BY ts, row_no) AS \"SequenceOrder\" FROM v_telemetry WHERE row_no % 9 <> 0", "v_telemetry")
+_P16 = {
+    "set_id": "deployment_id", "row_no": "row_no", "Name": "concat(row_no, '.tif')", "ImagePath": "concat('a/', row_no, '.tif')", "AcquisitionDate": "epoch_us(ts)", "CameraHeading": "coalesce(heading, 0.0)", "CameraPitch": "CASE WHEN row_no % 2 = 0 THEN pitch ELSE 45.0 END",
+    "CameraRoll": "0.0", "CameraHeight": "coalesce(z, 200.0)", "height_source": "CASE WHEN z IS NULL THEN 'category' ELSE 'altitude' END", "HorizontalFieldOfView": "60.0", "VerticalFieldOfView": "40.0", "NearDistance": "1.0", "FarDistance": "500.0",
+    "OrientedImageryType": "'Oblique'", "x": "x", "y": "y", "z": "coalesce(z, 0.0)", "SourceHorizontalSRS": "'3857'", "SourceVerticalSRS": "'3855'", "CameraID": "first_camera", "SequenceOrder": "row_number() OVER (PARTITION BY deployment_id ORDER BY ts, row_no)",
+}
+_FIRST = "(SELECT *, concat('cam', min(row_no) OVER (PARTITION BY deployment_id)) AS first_camera FROM v_telemetry)"
+
+
+@query("p16_oriented_rows", f"SELECT {_columns(_P16)} FROM {_FIRST} WHERE row_no % 9 <> 0", "v_telemetry")
 def p16(spark, d):
-    return imagery.oriented_rows(_oriented(spark, d), "Oblique").select("set_id", "row_no", "CameraPitch", "CameraHeight", "z", "SourceVerticalSRS", F.col("SequenceOrder").cast("bigint").alias("SequenceOrder"))
+    return imagery.oriented_rows(_oriented(spark, d), "Oblique").withColumns({"AcquisitionDate": F.unix_micros(F.col("AcquisitionDate").cast("timestamp")), "SequenceOrder": F.col("SequenceOrder").cast("bigint")})
 
 
-@query("p17_canonical_camera", "SELECT row_no, concat('cam', min(row_no) OVER (PARTITION BY deployment_id)) AS \"CameraID\" FROM v_telemetry QUALIFY row_no % 9 <> 0", "v_telemetry")
+@query("p17_extra_columns", "SELECT row_no, first_camera AS \"CameraID\", concat('cam', row_no) AS \"CameraID_2\", concat('v', row_no) AS \"own_field\", 'b' AS \"own_field_2\", 'c' AS \"f_9x\" FROM " + _FIRST + " WHERE row_no % 9 <> 0", "v_telemetry")
 def p17(spark, d):
-    return imagery.oriented_rows(_oriented(spark, d), "Oblique").select("row_no", "CameraID")
+    rows = _oriented(spark, d).withColumns({"own field": F.concat(F.lit("v"), F.col("row_no")), "own-field": F.lit("b"), "9x": F.lit("c"), "CenterX": F.lit("1"), "ifdo_image_uuid": F.lit("u")})
+    made = imagery.oriented_rows(rows, "Oblique", extra=True)
+    assert not {"CenterX", "ifdo_image_uuid"} & set(made.columns)
+    return made.select("row_no", "CameraID", "CameraID_2", "own_field", "own_field_2", "f_9x")
+
 
+_BOX = 'round(x - hw * c - hh * s, 6) AS "xMin", round(x + hw * c + hh * s, 6) AS "xMax", round(y - hw * s - hh * c, 6) AS "yMin", round(y + hw * s + hh * c, 6) AS "yMax"'
 
-@query("p18_catalogue", f"SELECT concat(row_no, '.tif') AS \"Name\", round(x - hw * c - hh * s, 6) AS \"xMin\", '3857' AS \"SRS\", z AS \"StdZ\" FROM ({_HALF})", "v_telemetry")
+
+@query("p18_catalogue", f"SELECT deployment_id AS set_id, concat('a/', row_no, '.tif') AS \"Raster\", concat(row_no, '.tif') AS \"Name\", epoch_us(ts) AS \"AcquisitionDate\", {_BOX}, '3857' AS \"SRS\", epoch_us(ts) AS \"StdTime\", z AS \"StdZ\" FROM ({_HALF})", "v_telemetry")
 def p18(spark, d):
-    return imagery.catalogue_rows(_boxes(spark, d).drop("xMin", "xMax", "yMin", "yMax")).select("Name", F.round("xMin", 6).alias("xMin"), "SRS", "StdZ")
+    made = imagery.catalogue_rows(_boxes(spark, d).drop("xMin", "xMax", "yMin", "yMax"))
+    return made.withColumns({**{c: F.round(c, 6) for c in ("xMin", "xMax", "yMin", "yMax")}, **{c: F.unix_micros(c) for c in ("AcquisitionDate", "StdTime")}})
 
 
 @query("p19_track_points", "SELECT deployment_id, row_number() OVER (PARTITION BY deployment_id ORDER BY ts, row_no) - 1 AS \"ObjectID\", x AS lon, y AS lat, coalesce(z, 0.0) AS z FROM v_telemetry", "v_telemetry")
@@ -527,9 +649,29 @@ def _matched(spark, d):
     return frames.matched_frames(_frames(spark, d), _t(spark, d), tolerance_s=3600.0, crs=3857)
 
 
-@query("p23_frame_table", f"SELECT f.deployment_id, f.filename AS \"Filename\", coalesce(abs(delta_s) <= 3600, false) AS \"Matched\", delta_s AS \"MatchTimeDeltaSeconds\", CASE WHEN abs(delta_s) <= 3600 THEN t.pitch END AS \"CameraPitch\" FROM v_frames f LEFT JOIN ({_NEAR}) n ON n.row_no = f.row_no LEFT JOIN v_telemetry t ON t.deployment_id = n.deployment_id AND t.row_no = n.match_row_no", "v_telemetry", "v_frames")
+def _frame_columns(time: str, found: str, t: str = "t") -> dict[str, str]:
+    hit = lambda v: f"CASE WHEN {found} THEN {v} END"
+    none = dict.fromkeys(("HorizontalFieldOfView", "VerticalFieldOfView", "NearDistance", "FarDistance", "CameraHeight", "SensorRelativeAzimuthAngle", "SensorRelativeElevationAngle", "SensorRelativeRollAngle"), "NULL::DOUBLE")
+    return {
+        "Precision Time Stamp": hit(time), "AcquisitionDate": hit(f"strftime(make_timestamp({time}), '%Y-%m-%d %H:%M:%S.%f')"), "Platform Longitude": hit(f"{t}.x"), "Platform Latitude": hit(f"{t}.y"), "Sensor Altitude": hit(f"{t}.z"),
+        "PerspectiveX": hit(f"round(radians({t}.x) * 6378137.0, 3)"), "PerspectiveY": hit(f"round(ln(tan(pi() / 4 + radians({t}.y) / 2)) * 6378137.0, 3)"), "PerspectiveZ": hit(f"{t}.z"), "SRS": hit("3857"), "CameraID": "1",
+        "CameraHeading": hit(f"{t}.heading"), "CameraPitch": hit(f"{t}.pitch"), "CameraRoll": hit(f"{t}.roll"), **none,
+    }
+
+
+_ELAPSED = "TRY_CAST(nullif(regexp_extract(f.filename, '_([0-9]+)\\.[A-Za-z0-9]+$', 1), '') AS BIGINT)"
+_HIT = "coalesce(abs(delta_s) <= 3600, false)"
+_FRAME_TABLE = f"FROM v_frames f JOIN (SELECT deployment_id, min(epoch_us(ts)) AS first_us FROM v_telemetry GROUP BY 1) z USING (deployment_id) LEFT JOIN ({_NEAR}) n ON n.row_no = f.row_no LEFT JOIN v_telemetry t ON t.deployment_id = n.deployment_id AND t.row_no = n.match_row_no"
+_P23 = {"deployment_id": "f.deployment_id", "Raster": "f.filename", "Filename": "f.filename", **_frame_columns(f"(first_us + 1000 * {_ELAPSED})", _HIT), "ElapsedMilliseconds": _ELAPSED, "MatchTimeDeltaSeconds": "delta_s", "Matched": _HIT}
+
+
+def _rounded(table: DataFrame) -> DataFrame:
+    return table.withColumns({c: F.round(c, 3) for c in ("PerspectiveX", "PerspectiveY")})
+
+
+@query("p23_frame_table", f"SELECT {_columns({'ObjectID': 'row_number() OVER (PARTITION BY f.deployment_id ORDER BY f.filename, f.row_no)', **_P23})} {_FRAME_TABLE}", "v_telemetry", "v_frames")
 def p23(spark, d):
-    return _matched(spark, d).select(DEP, "Filename", "Matched", "MatchTimeDeltaSeconds", "CameraPitch")
+    return _rounded(_matched(spark, d))
 
 
 # --- aggregates --------------------------------------------------------------------------------------------------
@@ -540,12 +682,38 @@ def a8(spark, d):
     return h.select("set_id", F.col("image-datetime").alias("first_time"), F.round("image-latitude", 6).alias("lat"), F.round("image-set-min-longitude-degrees", 6).alias("low_lon"), F.col("image-coordinate-reference-system").alias("crs"))
 
 
-@query("a9_documents", "SELECT deployment_id AS set_id, count(*) AS n_items FROM v_telemetry GROUP BY 1", "v_telemetry")
-def a9(spark, d):
+_A9 = "SELECT deployment_id AS set_id, count(*) OVER (PARTITION BY deployment_id) AS n_items, concat('first', deployment_id) AS name, concat(row_no, '.tif') AS filename, y AS latitude FROM v_telemetry"
+
+
+def _document_parts(spark, d):
     items = _items(spark, d).select("set_id", "filename", F.struct(F.col("Latitude").alias("image-latitude")).alias("item"))
-    heads = items.select("set_id").distinct().select("set_id", F.create_map(F.lit("image-set-name"), F.col("set_id").cast("string")).alias("header"))
-    docs = imageset.documents(items, heads)
-    return docs.select("set_id", F.size(F.json_object_keys(F.get_json_object("document", "$.image-set-items"))).cast("bigint").alias("n_items"))
+    heads = items.select("set_id").distinct().select("set_id", F.explode(F.array(F.lit(2), F.lit(1))).alias("table_no"))
+    heads = heads.select("set_id", "table_no", F.create_map(F.lit("image-set-name"), F.concat(F.when(F.col("table_no") == 1, "first").otherwise("second"), F.col("set_id"))).alias("header"))
+    return items, imageset.first_headers(heads)
+
+
+def _read_documents(docs):
+    listed = F.from_json(F.get_json_object("document", "$.image-set-items"), "map<string,struct<`image-latitude`:double>>")
+    rows = docs.select("set_id", F.size(F.json_object_keys(F.get_json_object("document", "$.image-set-items"))).cast("bigint").alias("n_items"), F.get_json_object("document", "$.image-set-header.image-set-name").alias("name"), F.explode(listed).alias("filename", "item"))
+    return rows.select("set_id", "n_items", "name", "filename", F.col("item.image-latitude").alias("latitude"))
+
+
+@query("a9_documents", _A9, "v_telemetry")
+def a9(spark, d):
+    return _read_documents(imageset.documents(*_document_parts(spark, d)))
+
+
+@query("s10_document_files", _A9, "v_telemetry")
+def s10(spark, d):
+    path = _fresh(spark)
+    tables.write_documents(imageset.document_lines(*_document_parts(spark, d)), path)
+    files = spark.read.text(path, wholetext=True).select("set_id", F.col("value").alias("document"))
+    return _read_documents(files)
+
+
+@query("s10_image_documents", _A9.replace("count(*) OVER (PARTITION BY deployment_id)", "1::BIGINT"), "v_telemetry")
+def s10b(spark, d):
+    return _read_documents(imageset.per_image_documents(*_document_parts(spark, d)))
 
 
 @query("a10_camera_constants", "SELECT deployment_id, coalesce(arg_min(z, row_no) FILTER (z IS NOT NULL), 7.0) AS focal FROM v_telemetry GROUP BY 1", "v_telemetry")
@@ -590,10 +758,11 @@ def q4b(spark, d):
     return imageset.item_issues(items, _headers(spark, d)).select("filename", "field")
 
 
-@query("q5_object_shapes")
+@query("q5_object_shapes", "SELECT DISTINCT deployment_id AS set_id, unnest(['image-pi', 'image-project', 'image-creators']) AS field, unnest(['not an object', 'object without a name', 'entry without a name']) AS issue FROM v_telemetry", "v_telemetry")
 def q5(spark, d):
-    plain = _headers(spark, d).withColumn("header", F.map_from_entries(F.transform(F.map_entries("header"), lambda e: F.struct(e["key"], F.when(e["key"] == "image-pi", "a name").otherwise(e["value"])))))
-    return imageset.header_issues(plain).where("issue like '%object%'")
+    other = {"image-pi": "a name", "image-project": '{"name":" "}', "image-creators": '[{"name":"a"},{"uri":"b"}]'}
+    plain = _headers(spark, d).withColumn("header", F.map_from_entries(F.transform(F.map_entries("header"), lambda e: F.struct(e["key"], F.coalesce(*(F.when(e["key"] == k, F.lit(v)) for k, v in other.items()), e["value"])))))
+    return imageset.header_issues(plain).where("issue <> 'missing required field' AND issue <> 'not an allowed value'")
 
 
 @query("q6_vocabularies", "SELECT DISTINCT deployment_id AS set_id, 'image-quality' AS field FROM v_telemetry WHERE deployment_id % 2 = 1", "v_telemetry")
@@ -607,13 +776,22 @@ def _packets(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     part = lambda c, size: F.lpad(F.right(F.hex(c.cast("bigint")), F.lit(2 * size)), 2 * size, "0")
     lat, lon = F.col("event_id") * 7919 % 2000000 - 1000000, F.col("event_id") * 104729 % 2000000 - 1000000
-    body = F.concat(F.lit("0208"), part(F.col("us"), 8), F.lit("0502"), part(F.col("event_id") * 257 % 65536, 2), F.lit("0D04"), part(lat, 4), F.lit("0E04"), part(lon, 4), F.lit("0F02"), part(F.col("event_id") % 65536, 2))
-    return e.select(F.col("user_id").alias("video_id"), F.col("event_id").alias("seq"), F.lit(0).alias("stream"), F.unhex(F.concat(F.lit(packets.KEY.hex()), F.lit("1E"), body)).alias("payload"))
+    body = F.concat(
+        F.lit("0208"), part(F.col("us"), 8), F.lit("0502"), part(F.col("event_id") * 257 % 65536, 2), F.lit("0602"), part(F.col("event_id") * 31 % 60000 - 30000, 2), F.lit("0702"), part(F.col("event_id") * 37 % 60000 - 30000, 2),
+        F.lit("0D04"), part(lat, 4), F.lit("0E04"), part(lon, 4), F.lit("0F02"), part(F.col("event_id") % 65536, 2),
+    )
+    return e.select(F.col("user_id").alias("video_id"), F.col("event_id").alias("seq"), F.lit(0).alias("stream"), F.unhex(F.concat(F.lit(packets.KEY.hex()), F.lit("26"), body)).alias("payload"))
+
 
+_RAW = {
+    "heading": "(event_id * 257 % 65536) * 360.0 / 65535", "pitch": "(event_id * 31 % 60000 - 30000) * 20.0 / 32767", "roll": "(event_id * 37 % 60000 - 30000) * 50.0 / 32767",
+    "y": "(event_id * 7919 % 2000000 - 1000000) * 90.0 / 2147483647", "x": "(event_id * 104729 % 2000000 - 1000000) * 180.0 / 2147483647", "z": "-900.0 + (event_id % 65536) * 19900.0 / 65535",
+}
 
-@query("k1_packets", "SELECT user_id AS video_id, event_id AS seq, epoch_us(ts) AS time_us, round((event_id * 257 % 65536) * 360.0 / 65535, 6) AS heading, round((event_id * 7919 % 2000000 - 1000000) * 90.0 / 2147483647, 9) AS y, round((event_id * 104729 % 2000000 - 1000000) * 180.0 / 2147483647, 9) AS x, round(-900.0 + (event_id % 65536) * 19900.0 / 65535, 6) AS z FROM events")
+
+@query("k1_packets", "SELECT user_id AS video_id, event_id AS seq, epoch_us(ts) AS time_us, " + ", ".join(f"round({v}, {9 if k in 'xy' else 6}) AS {k}" for k, v in _RAW.items()) + " FROM events")
 def k1(spark, d):
-    return packets.packet_rows(_packets(spark, d)).select("video_id", "seq", "time_us", F.round("heading", 6).alias("heading"), F.round("y", 9).alias("y"), F.round("x", 9).alias("x"), F.round("z", 6).alias("z"))
+    return packets.packet_rows(_packets(spark, d)).select("video_id", "seq", "time_us", *(F.round(k, 9 if k in "xy" else 6).alias(k) for k in _RAW))
 
 
 @query("k4_packet_summary", "SELECT user_id AS video_id, count(*) AS n_packets, epoch_us(arg_min(ts, event_id)) AS first_us, epoch_us(arg_max(ts, event_id)) AS last_us FROM events GROUP BY 1")
@@ -621,47 +799,163 @@ def k4(spark, d):
     return packets.packet_summary(packets.packet_rows(_packets(spark, d))).select("video_id", "n_packets", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
 
 
-@query("k4_packet_statistics", "SELECT user_id AS video_id, 'heading' AS field, count(*) AS n, round(round(quantile_cont((event_id * 257 % 65536) * 360.0 / 65535, 0.5), 4), 3) AS median FROM events GROUP BY 1")
+_K4 = " UNION ALL ".join(f"SELECT user_id AS video_id, '{k}' AS field, {v} AS v FROM events" for k, v in _RAW.items())
+_ROUNDED = ("min", "max", "range", "mean", "median", "std_dev", "q1", "q3")
+
+
+@query("k4_packet_statistics", f"SELECT video_id, field, n, {', '.join(f'round({c}, 3) + 0.0 AS {c}' for c in _ROUNDED)} FROM (SELECT video_id, field, {_STATS4} FROM ({_K4}) GROUP BY 1, 2)".replace("round(min,", 'round("min",').replace("round(max,", 'round("max",').replace("round(range,", 'round("range",').replace("AS min", 'AS "min"').replace("AS max", 'AS "max"').replace("AS range", 'AS "range"'))
 def k4b(spark, d):
-    return packets.packet_statistics(packets.packet_rows(_packets(spark, d))).where("field = 'heading'").select("video_id", "field", "n", F.round("median", 3).alias("median"))
+    return packets.packet_statistics(packets.packet_rows(_packets(spark, d))).select("video_id", "field", "n", *((F.round(c, 3) + 0.0).alias(c) for c in _ROUNDED))  # no negative zeros
 
 
 # --- jobs --------------------------------------------------------------------------------------------------------
-@query("e1_inspect", f"WITH e AS (SELECT deployment_id, count(*) AS n_rows, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration_s FROM v_telemetry GROUP BY 1), m AS (SELECT deployment_id, round(quantile_cont(gap_s, 0.5), 6) AS median_s FROM ({_GAPS}) WHERE gap_s IS NOT NULL GROUP BY 1), g AS (SELECT deployment_id, count(*) AS n_gaps, CASE WHEN count(*) >= 2 THEN round(max(gap_s), 4) END AS gap_max FROM ({_W1}) GROUP BY 1) SELECT e.*, m.median_s, coalesce(g.n_gaps, 0) AS n_gaps, g.gap_max FROM e LEFT JOIN m USING (deployment_id) LEFT JOIN g USING (deployment_id)".replace("WITH e AS", "SELECT * FROM (WITH e AS") + ")", "v_telemetry")
+_E1 = f"SELECT * FROM (WITH e AS (SELECT deployment_id, count(*) AS n_rows, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration_s FROM v_telemetry GROUP BY 1), m AS (SELECT deployment_id, round(quantile_cont(gap_s, 0.5), 6) AS median_s FROM ({_GAPS}) WHERE gap_s IS NOT NULL GROUP BY 1), g AS (SELECT deployment_id, {_STATS.replace('AS n,', 'AS n_gaps,', 1)} FROM (SELECT deployment_id, gap_s AS v FROM ({_W1})) GROUP BY 1) SELECT e.*, m.median_s, coalesce(g.n_gaps, 0) AS n_gaps, round(g.min, 3) AS gap_min, round(g.max, 3) AS gap_max, round(g.mean, 3) AS gap_mean, round(g.median, 3) AS gap_median FROM e LEFT JOIN m USING (deployment_id) LEFT JOIN g USING (deployment_id))"
+
+
+def _inspected(table):
+    return table.withColumns({"start_us": F.unix_micros("start"), "end_us": F.unix_micros("end"), "median_s": F.round("median_s", 6), **{f"gap_{c}": F.round(f"gap_{c}", 3) for c in ("min", "max", "mean", "median")}})
+
+
+_INSPECTED = (DEP, "n_rows", "start_us", "end_us", "duration_s", "median_s", "n_gaps", "gap_min", "gap_max", "gap_mean", "gap_median")
+
+
+@query("e1_inspect", _E1, "v_telemetry")
 def e1(spark, d):
-    return jobs.inspect(_t(spark, d)).select(DEP, "n_rows", "duration_s", F.round("median_s", 6).alias("median_s"), "n_gaps", "gap_max")
+    return _inspected(jobs.inspect(_t(spark, d))).select(*_INSPECTED)
 
 
-@query("e2_video_metadata", f"SELECT deployment_id, us AS \"Precision Time Stamp\", x AS \"Sensor Longitude\", y AS \"Sensor Latitude\" FROM ({_W6})", "v_telemetry")
+_SEEN = "SELECT deployment_id, CASE WHEN deployment_id % 3 = 0 THEN 'embedded' WHEN deployment_id % 3 = 1 THEN 'container' ELSE 'sensor' END AS start_source, CASE WHEN deployment_id % 3 = 2 THEN start_us ELSE start_us + 3600000000 END AS vs_us, end_us AS se_us, n_gaps FROM i"
+
+
+@query("e1_coverage", f"SELECT * FROM (WITH i AS ({_E1}), v AS ({_SEEN}), c AS (SELECT *, vs_us // 1000000 AS vs, (vs_us + 864000000000) // 1000000 AS ve, start_us // 1000000 AS ss, se_us // 1000000 AS se FROM v JOIN (SELECT deployment_id, start_us FROM i) USING (deployment_id)), o AS (SELECT *, greatest(vs, ss) AS os, least(ve, se) AS oe FROM c) SELECT deployment_id, start_source, CASE WHEN os < oe THEN os END AS overlap_start, CASE WHEN os < oe THEN oe END AS overlap_end, CASE WHEN os < oe THEN round(100.0 * (oe - os) / (ve - vs), 1) END AS coverage_pct, array_to_string(list_sort(list_filter([CASE WHEN NOT os < oe THEN 'no overlap' END, CASE WHEN os < oe AND 100.0 * (oe - os) / (ve - vs) < 99.9 THEN 'partly covered' END, CASE WHEN start_source = 'sensor' THEN 'start taken from the sensor' END, CASE WHEN os < oe AND n_gaps > 0 THEN 'sensor has gaps' END], lambda x: x IS NOT NULL)), ';') AS warnings FROM o)", "v_telemetry")
+def e1b(spark, d):
+    e = timeline.extent(_t(spark, d))
+    late, none = F.col("start") + F.expr("INTERVAL 1 HOUR"), F.lit(None).cast("timestamp")
+    videos = e.select(DEP, none.alias("override_start"), F.when(F.col(DEP) % 3 == 0, late).alias("embedded_start"), F.when(F.col(DEP) % 3 == 1, late).alias("container_start"), none.alias("embedded_end"), F.lit(864000.0).alias("duration_s"))
+    seconds = lambda c: F.unix_seconds(c).alias(c)
+    return jobs.inspect(_t(spark, d), videos).select(DEP, "start_source", seconds("overlap_start"), seconds("overlap_end"), "coverage_pct", F.array_join("warnings", ";").alias("warnings"))
+
+
+def _raw_log(spark, d):
+    us = F.unix_micros("ts").cast("string")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("n/a"))
+    return _t(spark, d).select(DEP, "row_no", us.alias("UTC"), text("x").alias("Lon"), F.when(F.col("row_no") % 50 == 0, "unknown").otherwise(text("y")).alias("Lat"), text("z").alias("Depth"), text("heading").alias("COG"), text("pitch").alias("Tilt"), text("roll").alias("Roll"), F.when(F.col("row_no") % 2 == 0, F.col("row_no").cast("string")).otherwise("-").alias("own"))
+
+
+@query("e1_reports", "SELECT deployment_id, count(*) AS n_rows, 7 AS n_mapped, count(z) AS n_z, round(median(pitch), 4) AS pitch_median FROM v_telemetry WHERE row_no % 50 <> 0 GROUP BY 1", "v_telemetry")
+def e1c(spark, d):
+    made = jobs.inspection_reports(_raw_log(spark, d))
+    fields = F.from_json(F.get_json_object("report_json", "$.fields"), "array<struct<field:string,n:bigint,median:double>>")
+    one = lambda name: F.get(F.filter(fields, lambda x: x["field"] == name), F.lit(0))
+    mapped = F.from_json(F.get_json_object("report_json", "$.suggested_mapping"), "array<struct<target:string,source:string>>")
+    return made.select(DEP, F.get_json_object("report_json", "$.n_rows").cast("bigint").alias("n_rows"), F.size(mapped).alias("n_mapped"), F.coalesce(one("z")["n"], F.lit(0)).cast("bigint").alias("n_z"), one("pitch")["median"].alias("pitch_median"))
+
+
+_E2 = {
+    "deployment_id": "deployment_id", "ObjectID": "row_number() OVER (PARTITION BY deployment_id ORDER BY us, row_no) - 1", "Precision Time Stamp": "us", "Sensor Longitude": "round(x, 6)", "Sensor Latitude": "round(y, 6)", "Sensor True Altitude": "round(z, 6)",
+    "Platform Pitch Angle (Full)": "pitch", "Platform Roll Angle (Full)": "roll", **_CAMERA, **_NONE,
+}
+
+
+@query("e2_video_metadata", f"SELECT {_columns(_E2)}, round(CASE WHEN c.heading_mode = 'from_track' THEN coalesce(CASE WHEN nx IS NULL THEN lag(b) OVER v ELSE b END, c.heading_constant) ELSE c.heading_constant END, 3) AS \"Platform Heading Angle\" FROM (SELECT *, CASE WHEN nx <> x OR ny <> y THEN ((degrees(atan2(nx - x, ny - y)) % 360) + 360) % 360 END AS b FROM (SELECT *, lead(x) OVER v AS nx, lead(y) OVER v AS ny FROM (SELECT deployment_id, row_no, us, x, y, z, pitch, roll FROM ({_W6.replace('round(x + (x2 - x) * f, 6)', 'x + (x2 - x) * f').replace('round(y + (y2 - y) * f, 6)', 'y + (y2 - y) * f')})) WINDOW v AS (PARTITION BY deployment_id ORDER BY us, row_no))) JOIN {_PROFILE_ROWS} ON c.i = deployment_id % 7 WINDOW v AS (PARTITION BY deployment_id ORDER BY us, row_no)", "v_telemetry")
 def e2(spark, d):
-    return jobs.build_video_metadata(_t(spark, d), _deployments(spark, d), 3600.0).select(DEP, "Precision Time Stamp", F.round("Sensor Longitude", 6).alias("Sensor Longitude"), F.round("Sensor Latitude", 6).alias("Sensor Latitude"))
+    made = jobs.build_video_metadata(_t(spark, d), _deployments(spark, d), 3600.0).drop("AcquisitionDate")
+    return made.withColumns({**{f"Sensor {c}": F.round(f"Sensor {c}", 6) for c in ("Longitude", "Latitude", "True Altitude")}, "Platform Heading Angle": F.round("Platform Heading Angle", 3)})
+
+
+_S7 = {**_P15, "Near Distance": "coalesce(CASE WHEN row_no % 2 = 0 THEN CAST(row_no AS DOUBLE) END, c.near_distance)", "Platform Heading Angle": "CASE WHEN c.heading_mode = 'from_track' THEN round(coalesce(heading, CASE WHEN is_last THEN lag(coalesce(heading, " + _BEAR + ")) OVER v ELSE " + _BEAR + " END, c.heading_constant), 3) ELSE coalesce(heading, c.heading_constant) END"}
+
+
+@query("s7_video_metadata_files", f"SELECT {_columns({k: v for k, v in _S7.items() if k not in ('AcquisitionDate', 'Filename')})} FROM (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(row_no) OVER w IS NULL AS is_last FROM v_telemetry WHERE row_no % 50 <> 0 WINDOW w AS (PARTITION BY deployment_id ORDER BY ts, row_no)) JOIN {_PROFILE_ROWS} ON c.i = deployment_id % 7 WINDOW v AS (PARTITION BY deployment_id ORDER BY ts, row_no)", "v_telemetry")
+def s7(spark, d):
+    path = _fresh(spark)
+    dropped = jobs.video_metadata_table(_raw_log(spark, d), _deployments(spark, d), path, [("own", "Near Distance"), ("own", "ObjectID"), ("none", "Near Distance")])
+    assert sorted(r["reason"] for r in dropped.collect()) == ["absent source", "reserved target"]
+    kinds = {"LONG": "bigint", "DOUBLE": "double", "TEXT": "string", "DATE": "timestamp"}
+    read = spark.read.csv(path, header=True, schema=", ".join([*(f"`{c}` {kinds[k]}" for c, k in profiles.VIDEO_FIELDS.items()), f"{DEP} bigint"]))
+    return read.drop("AcquisitionDate", "Filename").withColumn("Platform Heading Angle", F.when(F.col(DEP) % 7 != 4, F.round("Platform Heading Angle", 3)).otherwise(F.col("Platform Heading Angle")))
 
 
-@query("e3_cross_reference", "SELECT deployment_id, count(*) AS n, count(DISTINCT filename) AS names FROM v_frames GROUP BY 1", "v_frames")
+_RERUN = {"ObjectID": "CASE WHEN f.row_no % 2 = 0 THEN row_number() OVER (PARTITION BY f.deployment_id, f.row_no % 2 = 0 ORDER BY f.filename, f.row_no) ELSE count(*) FILTER (f.row_no % 2 = 0) OVER (PARTITION BY f.deployment_id) + row_number() OVER (PARTITION BY f.deployment_id, f.row_no % 2 = 0 ORDER BY f.filename, f.row_no) END", **_P23}
+_AGAIN = "NOT (f.row_no % 2 <> 0 AND EXISTS (SELECT 1 FROM v_frames o WHERE o.row_no % 2 = 0 AND o.deployment_id = f.deployment_id AND o.filename = f.filename))"
+
+
+@query("e3_cross_reference", f"SELECT {_columns(_RERUN)} {_FRAME_TABLE} WHERE {_AGAIN}", "v_telemetry", "v_frames")
 def e3(spark, d):
-    first = jobs.cross_reference(_frames(spark, d).where(_EARLIER), _t(spark, d), tolerance_s=3600.0)
-    return jobs.cross_reference(_frames(spark, d), _t(spark, d), first, tolerance_s=3600.0).groupBy(DEP).agg(F.count("*").alias("n"), F.count_distinct("Filename").alias("names"))
+    first = tables.written(jobs.cross_reference(_frames(spark, d).where(_EARLIER), _t(spark, d), tolerance_s=3600.0, crs=3857))
+    return _rounded(jobs.cross_reference(_frames(spark, d), _t(spark, d), first, tolerance_s=3600.0, crs=3857))
+
 
+@query("s8_cross_reference_files", f"SELECT deployment_id, kind, count(*) AS n, sum(number) AS total FROM (SELECT f.deployment_id, 'frames' AS kind, CASE WHEN {_HIT} THEN CAST(t.pitch AS BIGINT) END AS number {_FRAME_TABLE} UNION ALL SELECT deployment_id, 'cameras', 640 FROM (SELECT DISTINCT deployment_id FROM v_telemetry) UNION ALL SELECT f.deployment_id, 'matched', CAST(t.pitch AS BIGINT) {_FRAME_TABLE} WHERE {_HIT}) GROUP BY 1, 2", "v_telemetry", "v_frames")
+def s8(spark, d):
+    path = _fresh(spark)
+    raw = _t(spark, d).select(DEP, "row_no", F.unix_micros("ts").cast("string").alias("UTC"), F.col("x").alias("Longitude"), F.col("y").alias("Latitude"), F.col("pitch").alias("Pitch"))
+    jobs.cross_reference_tables(_frames(spark, d), raw, path, camera={"NCols": 640.0}, tolerance_s=3600.0)
+    read = lambda kind, c: spark.read.csv(f"{path}/{kind}", header=True).select(F.col(DEP).cast("bigint"), F.lit(kind).alias("kind"), F.col(c).cast("double").cast("bigint").alias("number"))
+    every = read("frames", "CameraPitch").union(read("cameras", "NCols")).union(read("matched", "Pitch"))
+    return every.groupBy(DEP, "kind").agg(F.count("*").alias("n"), F.sum("number").alias("total"))
 
-def _sets(spark, d):
+
+def _sets(spark, d, **options):
     rows = _items(spark, d).withColumn("path", F.concat(F.lit("a/"), F.col("filename"))).withColumn("camera_id", F.col("row_no") % 12)
     inventory = rows.where("row_no % 10 <> 0").select("set_id", "path")
     hashes = inventory.select("path", F.sha2("path", 256).alias("sha256")).distinct()
-    return jobs.image_sets(rows, view(spark, d, "v_cameras"), inventory, hashes, _headers(spark, d), pair=("Latitude", "Longitude"))
+    return jobs.image_sets(rows, view(spark, d, "v_cameras"), inventory, hashes, _headers(spark, d), pair=("Latitude", "Longitude"), **options)
 
 
-@query("e4_image_sets", "SELECT deployment_id AS set_id, count(*) AS n_items FROM v_telemetry WHERE row_no % 10 <> 0 GROUP BY 1", "v_telemetry")
+@query("e4_image_sets", "SELECT deployment_id AS set_id, count(*) OVER w AS n_items, 'x' AS name, round(min(y) OVER w, 6) AS low_latitude, concat(row_no, '.tif') AS filename, y AS latitude, x AS longitude, z AS altitude, strftime(date_trunc('millisecond', ts), '%Y-%m-%d %H:%M:%S.%g') AS taken, CASE WHEN row_no % 5 <> 0 THEN pitch END AS pitch, md5(concat(deployment_id, '/', row_no, '.tif')) AS id, sha256(concat('a/', row_no, '.tif')) AS sha256 FROM v_telemetry WHERE row_no % 10 <> 0 WINDOW w AS (PARTITION BY deployment_id)", "v_telemetry")
 def e4(spark, d):
-    return _sets(spark, d)["documents"].select("set_id", F.col("n_items").cast("bigint").alias("n_items"))
+    parts = {"latitude": "double", "longitude": "double", "altitude-meters": "double", "datetime": "string", "camera-pitch-degrees": "double", "uuid": "string", "hash-sha256": "string"}
+    listed = F.from_json(F.get_json_object("document", "$.image-set-items"), f"map<string,struct<{','.join(f'`image-{c}`:{k}' for c, k in parts.items())}>>")
+    head = lambda f: F.get_json_object("document", f"$.image-set-header.{f}")
+    rows = _sets(spark, d)["documents"].select("set_id", F.col("n_items").cast("bigint").alias("n_items"), head("image-set-name").alias("name"), F.round(head("image-set-min-latitude-degrees").cast("double"), 6).alias("low_latitude"), F.explode(listed).alias("filename", "i"))
+    return rows.select("set_id", "n_items", "name", "low_latitude", "filename", *(F.col("i")[f"image-{c}"].alias(a) for c, a in zip(parts, ("latitude", "longitude", "altitude", "taken", "pitch", "id", "sha256"), strict=True))).withColumn("id", F.replace("id", F.lit("-"), F.lit("")))
+
 
+@query("e4_rerun", "SELECT deployment_id AS set_id, concat(row_no, '.tif') AS filename, CASE WHEN row_no % 4 = 0 THEN 'old' ELSE md5(concat(deployment_id, '/', row_no, '.tif')) END AS id, CASE WHEN row_no % 3 <> 0 THEN y END AS latitude FROM v_telemetry WHERE row_no % 10 <> 0 AND (row_no % 3 <> 0 OR row_no % 4 = 0)", "v_telemetry")
+def e4c(spark, d):
+    rows = _items(spark, d).withColumns({"path": F.concat(F.lit("a/"), F.col("filename")), "camera_id": F.lit(1)})
+    inventory = rows.where("row_no % 10 <> 0").select("set_id", "path")
+    hashes = inventory.select("path", F.lit("h").alias("sha256")).distinct()
+    earlier = rows.where("row_no % 4 = 0").select("set_id", "filename", F.lit("old").alias("uuid"))
+    made = jobs.image_sets(rows.where("row_no % 3 <> 0"), view(spark, d, "v_cameras"), inventory, hashes, _headers(spark, d), earlier, pair=("Latitude", "Longitude"))
+    return made["items"].select("set_id", "filename", F.replace("uuid", F.lit("-"), F.lit("")).alias("id"), F.col("image-latitude").alias("latitude"))
 
-@query("e4_issues")
+
+@query("e4_issues", "SELECT deployment_id AS set_id, NULL::VARCHAR AS filename, 'image-abstract' AS field, 'missing required field' AS issue FROM (SELECT DISTINCT deployment_id FROM v_telemetry) UNION ALL SELECT DISTINCT deployment_id, NULL, 'image-quality', 'not an allowed value' FROM v_telemetry WHERE deployment_id % 2 = 1 UNION ALL SELECT deployment_id, concat(row_no, '.tif'), 'image-handle', 'missing required field' FROM v_telemetry WHERE row_no % 10 <> 0", "v_telemetry")
 def e4b(spark, d):
     return _sets(spark, d)["issues"]
 
 
-@query("e5_imagery_tables", "SELECT deployment_id AS set_id, count(*) AS n FROM v_telemetry WHERE row_no % 4 <> 0 GROUP BY 1", "v_telemetry")
+@query("s9_annotation_files", "SELECT deployment_id AS set_id, concat(row_no, '.tif') AS filename, strftime(ts, '%Y-%m-%d %H:%M:%S') AS taken_at, x AS lng, y AS lat, z AS gps_altitude, CASE WHEN row_no % 5 <> 0 THEN heading END AS \"SUB_heading\", 'x' AS manifest_settings FROM v_telemetry WHERE row_no % 10 <> 0", "v_telemetry")
+def s9(spark, d):
+    path = _fresh(spark)
+    jobs.write_image_sets(_sets(spark, d, settings="x"), path, "Per-Image documents")
+    kinds = "filename string, taken_at string, lng double, lat double, gps_altitude double, distance_to_ground double, area double, SUB_heading double, set_id bigint"
+    rows = spark.read.csv(f"{path}/biigle", header=True, schema=kinds)
+    images = spark.read.json(f"{path}/documents", schema="name string, document string, set_id bigint").select("set_id", F.regexp_replace("name", r"\.ifdo\.json$", "").alias("filename"))
+    settings = spark.read.text(f"{path}/manifests").select("set_id", F.get_json_object("value", "$.settings").alias("manifest_settings"))
+    return rows.join(images, ["set_id", "filename"]).join(settings, "set_id").select("set_id", "filename", "taken_at", "lng", "lat", "gps_altitude", "SUB_heading", "manifest_settings")
+
+
+_E5 = {
+    "set_id": "deployment_id", "row_no": "row_no", "Name": "concat(row_no, '.tif')", "ImagePath": "concat('a/', row_no, '.tif')", "CameraHeading": "round(heading, 6)", "CameraPitch": "0.0", "CameraRoll": "0.0", "CameraHeight": "200.0", "height_source": "'category'", "HorizontalFieldOfView": "60.0",
+    "VerticalFieldOfView": "40.0", "NearDistance": "1.0", "FarDistance": "500.0", "OrientedImageryType": "'Nadir'", "x": "x", "y": "y", "z": "0.0", "SourceHorizontalSRS": "NULL::VARCHAR", "SourceVerticalSRS": "NULL::VARCHAR", "CameraID": "NULL::VARCHAR",
+    "SequenceOrder": "row_number() OVER (PARTITION BY deployment_id ORDER BY row_no)", "ifdo_image_quality": "CASE WHEN deployment_id % 2 = 0 THEN 'raw' END",
+}
+
+
+@query("e5_imagery_tables", f"SELECT {_columns(_E5)} FROM (SELECT * EXCLUDE heading, coalesce(last_value(b IGNORE NULLS) OVER (PARTITION BY deployment_id ORDER BY row_no ROWS UNBOUNDED PRECEDING), 0.0) AS heading FROM (SELECT *, coalesce(heading, {_BEAR}) AS b FROM ({_W4}))) WHERE row_no % 4 <> 0", "v_telemetry")
 def e5(spark, d):
-    rows = _boxes(spark, d).drop("xMin", "xMax", "yMin", "yMax")
-    made = jobs.imagery_tables(rows, "Nadir", rows.where("row_no % 4 = 0").select("path"))
-    return made["oriented"].groupBy("set_id").agg(F.count("*").alias("n"))
+    rows = _t(spark, d).select(F.col(DEP).alias("set_id"), "row_no", "ts", "x", "y", "z", "heading", F.lit(2.0).alias("camera_height"), F.lit(60.0).alias("hfov"), F.lit(40.0).alias("vfov"), F.lit("3857").alias("srs"), F.concat(F.lit("a/"), F.col("row_no"), F.lit(".tif")).alias("path"))
+    xml = tables.image_xml(rows.where("set_id % 2 = 0").select("set_id", n.basename(F.col("path")).alias("filename"), F.lit("iFDO").alias("domain"), F.lit(1).alias("version"), F.create_map(F.lit("image-quality"), F.lit("raw")).alias("item")))
+    sources = tables.enrichment_sources(xml.select("set_id", F.concat(F.lit("m/"), F.col("filename"), F.lit(".aux.xml")).alias("path"), F.col("xml").alias("text")))
+    made = jobs.imagery_tables(rows, "Nadir", rows.where("row_no % 4 = 0").select(F.concat(F.lit("./b/../"), F.upper("path")).alias("path")), sources=sources)
+    return made["oriented"].select(*(F.col(c).cast("bigint").alias(c) if c == "SequenceOrder" else F.round(c, 6).alias(c) if c == "CameraHeading" else F.col(c) for c in _E5))
+
+
+@query("e5_catalogue", f"SELECT deployment_id AS set_id, concat(row_no, '.tif') AS \"Name\", {_BOX} FROM (SELECT *, abs(cos(radians(heading))) AS c, abs(sin(radians(heading))) AS s, 2.0 * tan(radians(30.0)) AS hw, 2.0 * tan(radians(20.0)) AS hh FROM (SELECT * EXCLUDE heading, coalesce(last_value(b IGNORE NULLS) OVER (PARTITION BY deployment_id ORDER BY row_no ROWS UNBOUNDED PRECEDING), 0.0) AS heading FROM (SELECT *, coalesce(heading, {_BEAR}) AS b FROM ({_W4})))) WHERE deployment_id % 2 = 1", "v_telemetry")
+def e5b(spark, d):
+    rows = _boxes(spark, d).drop("xMin", "xMax", "yMin", "yMax", "heading").join(_t(spark, d).select("row_no", "heading"), "row_no").withColumns({"camera_height": F.lit(2.0), "srs": F.when(F.col("set_id") % 2 == 0, "4326").otherwise("3857")})
+    made = jobs.imagery_tables(rows, "Nadir")
+    return made["catalogue"].select("set_id", "Name", *(F.round(c, 6).alias(c) for c in ("xMin", "xMax", "yMin", "yMax")))

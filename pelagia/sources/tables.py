@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,14 +38,16 @@ def content_hashes(files: DataFrame, body: str = "body") -> DataFrame:
     return files.select("path", F.sha2(F.col(body).cast("binary"), 256).alias("sha256"))
 
 
-def document_items(texts: DataFrame) -> DataFrame:
+def document_items(texts: DataFrame, once: bool = True) -> DataFrame:
     """``set_id, source_no, filename, item`` of JSON documents (set_id, source_no, document) in either form,
-    a map by file name or a list with ``$filename``; the first document of an image counts."""
+    a map by file name or a list with ``$filename``; the first document of an image counts, or all of them."""
     as_map = F.from_json(F.get_json_object("document", "$.image-set-items"), "map<string,map<string,string>>")
     as_list = F.from_json(F.get_json_object("document", "$.image-set-items"), "array<map<string,string>>")
     listed = F.map_from_entries(F.transform(F.filter(as_list, lambda e: F.element_at(e, F.lit("$filename")).isNotNull()), lambda e: F.struct(F.element_at(e, F.lit("$filename")), F.map_filter(e, lambda k, v: k != "$filename"))))
     is_list = F.get_json_object("document", "$.image-set-items").rlike(r"^\s*\[")
     rows = texts.select("set_id", "source_no", F.explode(F.when(is_list, listed).otherwise(as_map)).alias("filename", "item"))
+    if not once:
+        return rows
     w = Window.partitionBy("set_id", "filename").orderBy("source_no")
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
@@ -62,6 +65,30 @@ def write_table(df: DataFrame, path: str, columns: Sequence[str] | None = None,
     (writer.option("header", "true") if form == "csv" else writer).save(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: below ``spark.checkpoint.dir``, else in the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/pelagia-work"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once below the shared folder and read back, for frames that several outputs read."""
+    path = f"{shared_folder(df.sparkSession)}/pelagia-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_in_order(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None, form: str = "csv", mode: str = "overwrite") -> None:
+    """``write_table`` with each key's rows together and in order: a shuffle by key and a sort within, never
+    a sort of the whole table."""
+    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    write_table(placed, path, columns, keys, form, mode)
+
+
+def write_documents(lines: DataFrame, path: str) -> None:
+    """The lines of ``document_lines`` as one text file for each set, in a folder of its own."""
+    lines.repartition("set_id").sortWithinPartitions("set_id", "place").select("set_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("set_id").text(path)
+
+
 def document_format(value: str | None) -> str:
     """The layout that a label asks for; anything but per-image means one document for the set."""
     return "per-image" if "per-image" in (value or "").strip().lower() else "set"
@@ -86,12 +113,47 @@ def column_map(spark: SparkSession, names: Sequence[tuple[str, str]]) -> DataFra
     return spark.createDataFrame(list(names), "clean string, raw string")
 
 
-def image_xml(items: DataFrame) -> DataFrame:
-    """One XML text for each image and domain (set_id, filename, domain, version, map ``item``); the newest wins."""
+def image_xml(items: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """One XML text for each image and domain (set_id, filename, domain, version, map ``item``); the newest wins.
+    An image's ``existing`` text (set_id, filename, xml) keeps its other domains and gets this one anew."""
     newest = items.groupBy("set_id", "filename", "domain").agg(F.max_by("item", "version").alias("item"))
     entry = lambda e: F.concat(F.lit('<MDI key="'), _escaped(e["key"]), F.lit('">'), _escaped(e["value"]), F.lit("</MDI>"))
     body = F.array_join(F.transform(F.array_sort(F.map_entries("item")), entry), "")
-    return newest.select("set_id", "filename", "domain", F.concat(F.lit('<PAMDataset><Metadata domain="'), _escaped(F.col("domain")), F.lit('">'), body, F.lit("</Metadata></PAMDataset>")).alias("xml"))
+    head = F.concat(F.lit('<Metadata domain="'), _escaped(F.col("domain")), F.lit('"'))
+    made = newest.withColumns({"_block": F.concat(head, F.lit(">"), body, F.lit("</Metadata>")), "_head": head})
+    if existing is None:
+        return made.select("set_id", "filename", "domain", F.concat(F.lit("<PAMDataset>"), "_block", F.lit("</PAMDataset>")).alias("xml"))
+    held = made.join(existing.select("set_id", "filename", F.col("xml").alias("_old")), ["set_id", "filename"], "left")
+    old = F.concat(F.lit(r"(?s)\s*\Q"), "_head", F.lit(r"\E\s*(/>|>.*?</Metadata>)"))
+    others = F.regexp_replace(F.regexp_replace(F.coalesce("_old", F.lit("<PAMDataset></PAMDataset>")), F.lit(r"<PAMDataset\s*/>"), F.lit("<PAMDataset></PAMDataset>")), old, F.lit(""))
+    return held.select("set_id", "filename", "domain", F.concat(F.regexp_replace(others, r"(?s)\s*</PAMDataset>\s*$", ""), "_block", F.lit("</PAMDataset>")).alias("xml"))
+
+
+def xml_items(texts: DataFrame, domain: str) -> DataFrame:
+    """``set_id, filename, source_no, item`` of the XML texts (set_id, filename, source_no, xml) that have the domain."""
+    block = F.regexp_extract("xml", rf'(?s)<Metadata domain="{domain}"\s*>(.*?)</Metadata>', 1)
+    found = F.regexp_extract_all(block, F.lit(r'(?s)<MDI key="([^"]+)"\s*(?:/>|>.*?</MDI>)'), 0)
+    key = lambda m: _unescaped(F.regexp_extract(m, r'<MDI key="([^"]+)"', 1))
+    value = lambda m: _unescaped(F.regexp_extract(m, r"(?s)>(.*)</MDI>", 1))
+    return texts.where(F.size(found) > 0).select("set_id", "filename", "source_no", F.map_from_entries(F.transform(found, lambda m: F.struct(key(m), value(m)))).alias("item"))
+
+
+def enrichment_sources(texts: DataFrame, domain: str = "iFDO") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three sources of image fields among a set's files (set_id, path, text): documents named after the image
+    whose item they hold, all JSON documents, and XML texts. Files count in order of their paths."""
+    name = basename(F.col("path"))
+    placed = texts.select("set_id", name.alias("_name"), "path", "text", F.rank().over(Window.partitionBy("set_id").orderBy("path")).alias("source_no"))
+    read = document_items(placed.where(F.lower("_name").endswith(".ifdo.json")).select("set_id", F.struct("source_no", "_name").alias("source_no"), F.col("text").alias("document")), once=False)
+    per_image = read.where(F.col("source_no._name") == F.concat("filename", F.lit(".ifdo.json")))
+    xml = placed.where(F.lower("_name").endswith(".aux.xml")).select("set_id", F.regexp_replace("_name", r"(?i)\.aux\.xml$", "").alias("filename"), "source_no", F.col("text").alias("xml"))
+    plain = lambda df: df.withColumn("source_no", F.col("source_no.source_no"))
+    return plain(per_image), plain(read), xml_items(xml, domain)
+
+
+def _unescaped(text: Column) -> Column:
+    for raw, name in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("&", "&amp;")):
+        text = F.replace(text, F.lit(name), F.lit(raw))
+    return text
 
 
 def _escaped(text: Column) -> Column:

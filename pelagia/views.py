@@ -20,10 +20,10 @@ VIEWS = {
       FROM v_telemetry""",
     "v_frames": """SELECT e.user_id AS deployment_id, e.event_id AS row_no,
       CASE WHEN e.event_id % 11 = 0 THEN concat('still', e.event_id, '.tif') ELSE concat('dive', e.user_id, '_', ({EUS} - s.us0) {IDIV} 1000, '.tif') END AS filename,
-      CASE e.event_id % 3 WHEN 0 THEN CAST(e.event_id % 12 AS {STR}) WHEN 1 THEN concat(e.event_id % 12, '.0') ELSE concat(' ', e.event_id % 12, ' ') END AS camera_id
+      CASE e.event_id % 3 WHEN 0 THEN CAST(e.event_id % 1500 AS {STR}) WHEN 1 THEN concat(e.event_id % 1500, '.0') ELSE concat(' ', e.event_id % 1500, ' ') END AS camera_id
       FROM events e JOIN (SELECT deployment_id, min({US}) AS us0 FROM v_telemetry GROUP BY deployment_id) s ON s.deployment_id = e.user_id
       WHERE e.event_type = 'click' AND {EUS} >= s.us0""",
-    "v_cameras": """SELECT s_suppkey AS row_no, CAST(s_suppkey AS {STR}) AS camera_id, 640 AS ncols, 480 AS nrows, 'nan' AS focal_length, s_acctbal AS pixel_size FROM supplier WHERE s_suppkey < 10""",
+    "v_cameras": """SELECT s_suppkey AS row_no, CAST(s_suppkey AS {STR}) AS camera_id, 640 AS ncols, 480 AS nrows, 'nan' AS focal_length, s_acctbal AS pixel_size FROM supplier""",
     "v_files": """SELECT concat('set', doc_id % 20, '/img_', doc_id, '.tif') AS path, doc_id % 20 AS set_id, text AS body FROM documents""",
     "v_packet_index": """SELECT video_id, n, CAST(33367 * (n + 7 * (n {IDIV} 20)) AS DOUBLE) / 1000000 AS pts, CAST(29.97 AS DOUBLE) AS frame_rate
       FROM (SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)""",

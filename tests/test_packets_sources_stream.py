@@ -1,10 +1,13 @@
 """Packets with damage, files and documents, and the incremental form."""
 
 import json
+import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from pelagia.functions.klv import KEY, decoded
+from pelagia.functions.klv import KEY, decoded, decoded_batch
 from pelagia.operators import packets
 from pelagia.plans import jobs
 from pelagia.sources import tables
@@ -24,6 +27,21 @@ def test_damaged_packets():
     assert decoded(long)[0] == 5 and decoded(None) is None and decoded(b"") is None
 
 
+def test_batches_of_packets_like_single_ones():
+    rng = random.Random(1)
+    made = []
+    for _ in range(400):
+        body = b"".join(bytes([tag, n]) + rng.randbytes(n) for tag, n in ((rng.choice([5, 6, 7, 13, 14, 15, 99]), rng.choice([0, 1, 2, 4, 8])) for _ in range(rng.randrange(5))))
+        p = packet(rng.choice([None, rng.randrange(2**60)]), body)
+        made.append(rng.choice([p, p, p, p[: rng.randrange(len(p) + 1)], b"", rng.randbytes(len(p)), p[:-1] + rng.randbytes(1), KEY + b"\x81" + p[16:], packet(5, b"\x81\x05\x01x"), packet(5, b"\x05\x09123456789")]))
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in made])])
+    some, time, values = decoded_batch(np.frombuffer(b"".join(made), np.uint8), offsets)
+    expected = {k: d for k, p in enumerate(made) if (d := decoded(p))}
+    assert list(some) == list(expected) and len(expected) > 50
+    for k, t, v in zip(some, time, values.T, strict=True):
+        assert t == expected[k][0] and list(v) == pytest.approx([np.nan if x is None else x for x in expected[k][1:]], rel=1e-12, nan_ok=True)
+
+
 def test_first_stream_counts(spark):
     rows = [(1, 0, 1, b"bad"), (1, 1, 2, packet(7)), (1, 2, 1, packet(8)), (1, 3, 2, packet(9))]
     df = spark.createDataFrame([(v, s, t, bytearray(p)) for v, s, t, p in rows], "video_id bigint, seq bigint, stream int, payload binary")
