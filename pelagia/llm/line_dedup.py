@@ -24,6 +24,8 @@ REGISTERS = 21
 FIRST_BAND = (3, 6, 7, 12, 14)
 #: Bands in use, REGISTERS at most. A pair at exactly the threshold misses them all with a probability of 0.05.
 BANDS = 12
+#: Parity bits of a line, 64 in each word; more bits rule out more pairs below the threshold.
+PARITY_WORDS = 16
 _CODE = 4  # bytes of a character in UTF-32
 #: White space within a line, and what tells that a text has other than single blanks.
 _WIDE, _HINTS = r"[\x20\x09\x0B-\x0D]+", ("  ", "\t", "\r", "\x0b", "\x0c")
@@ -82,7 +84,7 @@ def _lines_of(held: DataFrame, wanted: DataFrame) -> DataFrame:
 def _facts(lines: DataFrame) -> DataFrame:
     """``id``, the size ``n`` of each line's shingle set and its parity words."""
     each = lines.select("id", F.explode(shingle_set(F.col("line"))).alias("h"))
-    return each.groupBy("id").agg(F.count("*").alias("n"), *parity_words(F.col("h"), 4))
+    return each.groupBy("id").agg(F.count("*").alias("n"), *parity_words(F.col("h"), PARITY_WORDS))
 
 
 def _verifier(lines: DataFrame, threshold: float):
@@ -128,7 +130,7 @@ def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rule = materialise(gone.union(repeated.join(gone, "id", "left_anti").select("id", F.lit(False))))
     places = held.select("id", "doc", F.posexplode(plain_lines(F.col("text"))).alias("at", "line")).where("line <> ''")
     places = places.select(F.xxhash64("line").alias("line"), "id", "doc", "at")
-    met = places.join(rule.hint("merge").withColumnRenamed("id", "line"), "line")
+    met = materialise(places.join(rule.hint("merge").withColumnRenamed("id", "line"), "line"))
     met = materialise(met.groupBy("line", "gone", "id", "doc").agg(F.min("at").alias("first"), F.collect_set("at").alias("ats")))
     home = materialise(met.where("not gone").groupBy("line").agg(F.min(F.struct("id", "doc")).alias("home")))
     settled = met.join(home.hint("merge"), "line", "left")

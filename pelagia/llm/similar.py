@@ -42,38 +42,48 @@ def members(placed: DataFrame) -> DataFrame:
     return member
 
 
-def _can_be_alike(mine: str, other: str, names: list[str], threshold: float) -> Column:
-    """False only for pairs that cannot have the similarity: their sizes or their parity bits differ too much."""
+def _sizes_fit(mine: str, other: str, threshold: float) -> Column:
+    """False only for pairs whose sizes differ too much for the similarity."""
     n, m = F.col(f"{mine}.n"), F.col(f"{other}.n")
+    return F.least(n, m) >= F.lit(threshold) * F.greatest(n, m)
+
+
+def _bits_fit(mine: str, other: str, names: list[str], threshold: float) -> Column:
+    """False only for pairs whose parity bits differ in more places than sets of the similarity and their sizes can."""
     apart = sum((F.bit_count(F.col(f"{mine}.{b}").bitwiseXOR(F.col(f"{other}.{b}"))) for b in names), F.lit(0))
-    return (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m)) & (apart <= F.lit((1 - threshold) / (1 + threshold)) * (n + m) + F.lit(1e-6))
+    return apart <= F.lit((1 - threshold) / (1 + threshold)) * (F.col(f"{mine}.n") + F.col(f"{other}.n")) + F.lit(1e-6)
 
 
-def _pairs(placed: DataFrame, other: DataFrame, names: list[str], threshold: float, apart: str) -> DataFrame:
-    met = placed.alias("m").join(other.hint("merge").alias("o"), (F.col("m.key") == F.col("o.key")) & F.expr(apart) & _can_be_alike("m", "o", names, threshold))
+def _ordered(met: DataFrame) -> DataFrame:
     return met.select(F.greatest("m.id", "o.id").alias("u"), F.least("m.id", "o.id").alias("v")).distinct()
 
 
-def _pivot_pairs(placed: DataFrame, names: list[str], threshold: float, by_score: bool) -> DataFrame:
-    """The members of buckets that still hold several classes, each with members drawn as pivots."""
-    one = F.struct("id", "class", "n", *names)
+def _pivot_pairs(placed: DataFrame, known: DataFrame, names: list[str], threshold: float, by_score: bool) -> DataFrame:
+    """The members of buckets that still hold several classes, each with members drawn as pivots: one row for each
+    member and pivot at most, so the parity bits join the pairs afterwards."""
+    one = F.struct("id", "class", "n")
     draws = [F.max_by(one, F.struct("score", "id"))] if by_score else [F.min_by(one, F.xxhash64("id", "key", "class", F.lit(i))) for i in range(2)]
     draws = [d.alias(f"p{i}") for i, d in enumerate(draws)]
     lead = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), *draws).where("low < high")
     lead = materialise(lead.select("key", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(len(draws)))))).alias("p")).select("key", "p.*"))
-    found = materialise(_pairs(placed, lead, names, threshold, "m.class <> o.class"))
-    discard(lead)
+    met = placed.alias("m").join(lead.hint("merge").alias("o"), (F.col("m.key") == F.col("o.key")) & F.expr("m.class <> o.class") & _sizes_fit("m", "o", threshold))
+    pairs = materialise(_ordered(met))
+    fits = pairs.join(known.alias("m"), F.col("u") == F.col("m.id")).join(known.alias("o"), F.col("v") == F.col("o.id")).where(_bits_fit("m", "o", names, threshold))
+    found = materialise(fits.select("u", "v"))
+    discard(lead, pairs)
     return found
 
 
-def _rest(placed: DataFrame, names: list[str], threshold: float) -> DataFrame:
-    """Every pair of one bucket in two classes, except what sizes and parity bits rule out: what the pivots have
-    left. Members outside their bucket's largest class are held against the others."""
+def _rest(placed: DataFrame, known: DataFrame, names: list[str], threshold: float) -> DataFrame:
+    """Every pair of one bucket in two classes, except what sizes and parity bits rule out within the join: what the
+    pivots have left. Members outside their bucket's largest class are held against the others."""
     held = placed.groupBy("key", "class").agg(F.count("*").alias("size"))
     lead = held.groupBy("key").agg(F.max_by("class", F.struct("size", "class")).alias("main"), F.count("*").alias("classes"))
     lead = materialise(lead.where("classes > 1").select("key", "main"))
-    several = materialise(placed.join(lead.hint("merge"), "key"))
-    found = materialise(_pairs(several.where("class <> main"), several, names, threshold, "m.class <> o.class AND (o.class = o.main OR m.id < o.id)"))
+    several = materialise(placed.join(lead.hint("merge"), "key").select("key", "id", "class", "main").join(known.drop("score"), "id"))
+    apart = F.expr("m.class <> o.class AND (o.class = o.main OR m.id < o.id)")
+    met = several.where("class <> main").alias("m").join(several.hint("merge").alias("o"), (F.col("m.key") == F.col("o.key")) & apart & _sizes_fit("m", "o", threshold) & _bits_fit("m", "o", names, threshold))
+    found = materialise(_ordered(met))
     discard(lead, several)
     return found
 
@@ -91,8 +101,8 @@ def linked_classes(member: DataFrame, facts: DataFrame, verify: Verify, threshol
     names = [c for c in facts.columns if c not in ("id", "n")]
     known = materialise(facts.join(member.groupBy("id").agg(F.sum("c").alias("score")), "id"))
     label, seen = known.select("id", F.col("id").alias("class")), None
-    for propose in (lambda p: _pivot_pairs(p, names, threshold, True), lambda p: _pivot_pairs(p, names, threshold, False), lambda p: _rest(p, names, threshold)):
-        placed = materialise(member.select("id", "key").join(label, "id").join(known, "id"))
+    for propose in (lambda p: _pivot_pairs(p, known, names, threshold, True), lambda p: _pivot_pairs(p, known, names, threshold, False), lambda p: _rest(p, known, names, threshold)):
+        placed = materialise(member.select("id", "key").join(label, "id").join(known.select("id", "n", "score"), "id"))
         pairs = propose(placed)
         fresh = pairs if seen is None else pairs.join(seen.hint("merge"), ["u", "v"], "left_anti")
         merged = materialise(components(_between(verify(fresh), label), "cu", "cv"))
