@@ -112,9 +112,9 @@ def line_classes(held: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     return repeated, label
 
 
-def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
-    """``docs`` with repeated lines taken out of the text, and ``n_lines`` and ``n_removed`` (also where ``docs`` has
-    columns of these names: those give way).
+def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, counts: bool = True) -> DataFrame:
+    """``docs`` with repeated lines taken out of the text, and with ``counts`` also ``n_lines`` and ``n_removed`` (where
+    ``docs`` has columns of these names, those give way).
 
     Lines of any length that are equal, or linked through lines of the similarity, form a component; one line of it
     stays in the whole table: its line with the least hash, at its first place in the row of the least id (then least
@@ -136,11 +136,11 @@ def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     settled = met.join(home.hint("merge"), "line", "left")
     drop = F.when(F.col("home.doc") == F.col("doc"), F.array_remove("ats", F.col("first"))).otherwise(F.col("ats"))
     verdict = settled.select("doc", drop.alias("ats")).where(F.size("ats") > 0).groupBy("doc").agg(F.flatten(F.collect_list("ats")).alias("drop"))
-    return _rewritten(docs, verdict, id_col, text_col)
+    return _rewritten(docs, verdict, id_col, text_col, counts)
 
 
-def _rewritten(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+def _rewritten(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str, counts: bool) -> DataFrame:
+    names = [c for c in docs.columns if not (counts and c in ("n_lines", "n_removed"))]
     text = text_of(docs, text_col)
     # the columns of the table stay in a struct, so that none can clash with what is joined
     held = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), F.when(docs[id_col].isNotNull(), F.xxhash64(docs[id_col], text)).alias("doc"))
@@ -153,5 +153,7 @@ def _rewritten(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str)
 
     new = F.when(F.col("drop").isNotNull(), _let(lines, kept)).otherwise(F.col("row")[text_col])
     fields = F.struct(*((new if c == text_col else F.col("row")[c]).alias(c) for c in names))
+    if not counts:
+        return joined.select(fields.alias("row")).select("row.*")
     removed = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("bigint")
     return joined.select(fields.alias("row"), F.size(lines).cast("bigint").alias("n_lines"), removed.alias("n_removed")).select("row.*", "n_lines", "n_removed")
