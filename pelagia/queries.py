@@ -13,6 +13,7 @@ from pelagia.operators import asof, frames, imagery, imageset, packets, profiles
 from pelagia.operators.timeline import DEP
 from pelagia.plans import jobs
 from pelagia.sources import tables
+from pelagia.streaming import incremental
 from pelagia.views import duck, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,6 +183,16 @@ def s1(spark, d):
     return tables.read_log(spark, path).select(F.col("deployment_id").cast("bigint"), F.col("no").cast("bigint").alias("row_no"), "time_text", "x_text")
 
 
+@query("s6_document_items", "SELECT deployment_id AS set_id, concat(row_no, '.tif') AS filename, CASE WHEN row_no % 2 = 0 THEN 1 ELSE 2 END AS source_no, CASE WHEN row_no % 2 = 0 THEN 'map' ELSE 'list' END AS quality FROM v_telemetry", "v_telemetry")
+def s6(spark, d):
+    rows = _t(spark, d).select(F.col(DEP).alias("set_id"), "row_no", F.concat("row_no", F.lit(".tif")).alias("filename"))
+    even = F.collect_list(F.when(F.col("row_no") % 2 == 0, F.struct("filename", F.create_map(F.lit("image-quality"), F.lit("map")))))
+    every = F.collect_list(F.create_map(F.lit("$filename"), F.col("filename"), F.lit("image-quality"), F.lit("list")))
+    both = rows.groupBy("set_id").agg(F.map_from_entries(even).alias("m"), every.alias("l"))
+    texts = both.select("set_id", F.lit(1).alias("source_no"), F.to_json(F.struct(F.col("m").alias("image-set-items"))).alias("document")).union(both.select("set_id", F.lit(2), F.to_json(F.struct(F.col("l").alias("image-set-items")))))
+    return tables.document_items(texts).select("set_id", "filename", "source_no", F.element_at("item", F.lit("image-quality")).alias("quality"))
+
+
 @query("s12_reports", "SELECT deployment_id, count(*) AS n_rows, concat('deployment_id: ', deployment_id, chr(10), 'n_rows: ', count(*), chr(10), 'least: ', coalesce(CAST(CAST(min(pitch) AS BIGINT) AS VARCHAR), 'not available')) AS report_text FROM v_telemetry GROUP BY 1", "v_telemetry")
 def s12(spark, d):
     made = tables.reports(_t(spark, d).groupBy(DEP).agg(F.count("*").alias("n_rows"), F.min("pitch").cast("bigint").alias("least")))
@@ -959,3 +970,14 @@ def e5b(spark, d):
     rows = _boxes(spark, d).drop("xMin", "xMax", "yMin", "yMax", "heading").join(_t(spark, d).select("row_no", "heading"), "row_no").withColumns({"camera_height": F.lit(2.0), "srs": F.when(F.col("set_id") % 2 == 0, "4326").otherwise("3857")})
     made = jobs.imagery_tables(rows, "Nadir")
     return made["catalogue"].select("set_id", "Name", *(F.round(c, 6).alias(c) for c in ("xMin", "xMax", "yMin", "yMax")))
+
+
+@query("r1_incremental", f"SELECT DISTINCT f.deployment_id, f.filename AS \"Filename\", delta_s AS \"MatchTimeDeltaSeconds\", t.pitch AS \"CameraPitch\" {_FRAME_TABLE} WHERE {_HIT}", "v_telemetry", "v_frames")
+def r1(spark, d):
+    path = _fresh(spark)
+    arrived = F.timestamp_seconds(F.col("row_no"))
+    for part in (0, 1):
+        _frames(spark, d).where(F.col("row_no") % 2 == part).withColumn("arrived", arrived).write.mode("append").parquet(f"{path}/arriving")
+    frames_in = spark.readStream.schema("deployment_id bigint, row_no bigint, filename string, camera_id string, arrived timestamp").option("maxFilesPerTrigger", 1000).parquet(f"{path}/arriving")
+    incremental.match_stream(frames_in, _t(spark, d), f"{path}/tables", tolerance_s=3600.0).awaitTermination()
+    return spark.read.parquet(f"{path}/tables/matched").select(DEP, "Filename", "MatchTimeDeltaSeconds", "CameraPitch")

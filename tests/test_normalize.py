@@ -1,5 +1,7 @@
 """Literal cases of the scalar expressions."""
 
+import posixpath
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,11 @@ def test_projection_round_trip_and_rejects(spark):
     assert (back["x"], back["y"]) == (pytest.approx(10.0), pytest.approx(50.0))
 
 
+def test_path_keys_like_normal_paths(spark):
+    paths = ["./a.tif", "a.tif", "../x/../a", "../../a", "/../a", "/a/../../b", "a/b/c/d/e/../../../../../../f", "a//b/./c/", ".", "", "x/..", "/", "C:\\d\\..\\e"]
+    assert values(spark, n.path_key, *paths) == [posixpath.normpath(p.replace("\\", "/").lower()) for p in paths]
+
+
 def test_paths_and_srs(spark):
     assert values(spark, n.path_key, "A\\b\\..\\C.TIF", "a/./b//c") == ["a/c.tif", "a/b/c"]
     assert values(spark, lambda c: n.srs_part(c, 2), "3857; 3855", "3857", "3857;") == ["3855", None, None]

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pelagia.operators import asof, frames, imagery, imageset, profiles, quality, schema, timeline
+from pelagia.plans import jobs
 
 
 def track(spark, rows, columns="x double, y double, z double, heading double, pitch double, roll double"):
@@ -126,3 +127,36 @@ def test_names(spark):
     assert schema.sanitised_names(["a b", "a-b", "1x"]) == ["a_b", "a_b_2", "f_1x"]
     good, bad = schema.checked_mappings([("h", "Near Distance"), ("h", "ObjectID"), ("q", "Near Distance")], ["H"], ["Near Distance"])
     assert good == [("H", "Near Distance")] and [b[2] for b in bad] == ["reserved target", "absent source"]
+
+
+def test_nearest_columns_never_clash(spark):
+    columns = "x double, delta_s double, m_x double"
+    samples = track(spark, [(1, 0, 0, 7.0, 0.0, 0.0)], columns)
+    asks = track(spark, [(1, 0, 1, 1.0, 2.0, 3.0)], columns).withColumn("matched", F.lit("mine"))
+    got = asof.asof_join(asks, samples, 5.0)
+    assert len(set(got.columns)) == len(got.columns)
+    row = got.first()
+    assert (row["x"], row["delta_s"], row["m_x"], row["matched"], row["delta_s_2"], row["matched_2"], row["m_x_2"], row["m_delta_s"]) == (1.0, 2.0, 3.0, "mine", -1.0, True, 7.0, 0.0)
+
+
+def test_combined_table_of_odd_columns(spark):
+    first = spark.createDataFrame([(1, 0, "2024-01-01 00:00:00", "a b", " 5 "), (1, 1, "n/a", "-", "6"), (2, 0, "2024-01-01 00:00:00", "c", "nan")], "deployment_id bigint, row_no bigint, Time string, `own name` string, n string")
+    second = spark.createDataFrame([(1, k, f"2024-01-01 00:00:{k:02d}", "x" * k, "1e2") for k in (0, 4, 8)], "deployment_id bigint, row_no bigint, UTC string, N string, `own name` string")
+    table, names = asof.combined_table(first, second)
+    assert table.columns == ["deployment_id", "row_no", "Time", "own_name", "n", "UTC", "N_2", "own_name_2"]
+    assert {r["clean"]: r["raw"] for r in names.collect()} == {"Time": "Time", "own_name": "own name", "n": "n", "UTC": "UTC", "N_2": "N_2", "own_name_2": "own name_2"}
+    a, b, c = table.orderBy("deployment_id", "row_no").collect()
+    assert (a["own_name"], a["n"], a["UTC"], a["own_name_2"]) == ("a b", 5.0, "2024-01-01 00:00:00", 100.0)
+    assert (b["own_name"], b["n"], b["UTC"], c["n"], c["UTC"]) == (None, 6.0, None, None, None)
+    with pytest.raises(KeyError):
+        asof.combined_table(first, second.drop("UTC"))
+
+
+def test_what_must_be_there(spark):
+    with pytest.raises(KeyError, match="x, y, time"):
+        schema.resolve_cross_reference(["Depth"], strict=True)
+    with pytest.raises(KeyError):
+        schema.resolve_telemetry(["Lat", "Time"])
+    raw = spark.createDataFrame([(1, 0, "-", "5", "2024-01-01"), (1, 1, "3", "5", "never")], "deployment_id bigint, row_no bigint, X string, Y string, Time string")
+    with pytest.raises(ValueError, match="no rows"):
+        jobs.telemetry(raw, schema.resolve_telemetry(raw.columns))
