@@ -245,7 +245,9 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text: str, q: int, edit_ra
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = Q, edit_rate: float = EDIT_RATE) -> DataFrame:
-    """The rows of ``docs`` that hold no item, as ``contaminated`` defines it, in one pass without a shuffle."""
+    """The rows of ``docs`` that hold no item, as ``contaminated`` defines it, without a shuffle. All columns stay. Null
+    and empty texts hold nothing and stay; rows with a null id and repeated rows are judged each by their text; without
+    items all rows stay. An empty table gives an empty table."""
     for shared in _blocks(benchmark, item_col, item_text, q, edit_rate):
         docs = docs.mapInArrow(_keeper(shared, text_col), docs.schema)
     return docs

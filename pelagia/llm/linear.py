@@ -80,7 +80,7 @@ def train(docs: DataFrame, labels: DataFrame, features: Features, restore: Resto
     """Weights from ``docs`` (id, text) and ``labels`` (id, label).
 
     Rows of the held-out fold, null ids and null labels are left out; an id labelled more than once counts once,
-    with its greatest label. Training uses ``sample`` rows of each class at most (least id hash first), each
+    with its greatest label, and with the least of its texts. Training uses ``sample`` rows of each class at most (least id hash first), each
     weighted by its class's size, so the driver and the model see a bounded number of rows. With no labelled rows
     every weight is 0. ``damped``: a feature's value is the logarithm of 1 + its count, else the count; either
     is multiplied by the text's scale."""
@@ -94,7 +94,8 @@ def train(docs: DataFrame, labels: DataFrame, features: Features, restore: Resto
     mean = sum(min(n, sample) for n in total.values()) / sum(total.values())
     chosen = [known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(sample).withColumn("importance", F.lit(mean * n / min(n, sample))) for label, n in sorted(total.items())]
     picked = chosen[0] if len(chosen) == 1 else chosen[0].union(chosen[1])
-    texts = docs.join(F.broadcast(picked), "id").dropDuplicates(["id"])
+    # of rows that repeat an id the least text counts
+    texts = docs.join(F.broadcast(picked), "id").groupBy("id", "label", "importance").agg(F.min("text").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     rows = texts.select("id", "label", "importance", "text").mapInArrow(_examples(features, restore, model.buckets, damped), f"id {kind}, label int, importance double, at array<int>, value array<float>")
     got = rows.orderBy(F.xxhash64("id", F.lit(1)), "id").toArrow().combine_chunks()

@@ -45,7 +45,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """``host, trust, distrust`` from ``seeds`` of the same columns (each summing to 1 or 0): trust follows links,
-    distrust follows them backwards. What reaches a host without further links stays there."""
+    distrust follows them backwards. What reaches a host without further links stays there. Without links every host
+    keeps its seed; a host that only links or is linked has a row too; null hosts do not occur in ``edges``."""
     sums = edges.groupBy("src").agg(F.sum("n").alias("out")), edges.groupBy("dst").agg(F.sum("n").alias("in"))
     weighted = materialise(edges.join(sums[0], "src").join(sums[1], "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("on"), (F.col("n") / F.col("in")).alias("back")))
     if weighted.isEmpty():
