@@ -814,17 +814,17 @@ _K4 = " UNION ALL ".join(f"SELECT user_id AS video_id, '{k}' AS field, {v} AS v
 _ROUNDED = ("min", "max", "range", "mean", "median", "std_dev", "q1", "q3")
 
 
-@query("k4_packet_statistics", f"SELECT video_id, field, n, {', '.join(f'round({c}, 3) + 0.0 AS {c}' for c in _ROUNDED)} FROM (SELECT video_id, field, {_STATS4} FROM ({_K4}) GROUP BY 1, 2)".replace("round(min,", 'round("min",').replace("round(max,", 'round("max",').replace("round(range,", 'round("range",').replace("AS min", 'AS "min"').replace("AS max", 'AS "max"').replace("AS range", 'AS "range"'))
+@query("k4_packet_statistics", f"SELECT video_id, field, n, {', '.join(f'{c} + 0.0 AS {c}' for c in _ROUNDED)} FROM (SELECT video_id, field, {_STATS4} FROM ({_K4}) GROUP BY 1, 2)".replace("min +", '"min" +').replace("max +", '"max" +').replace("range +", '"range" +').replace("AS min", 'AS "min"').replace("AS max", 'AS "max"').replace("AS range", 'AS "range"'))
 def k4b(spark, d):
-    return packets.packet_statistics(packets.packet_rows(_packets(spark, d))).select("video_id", "field", "n", *((F.round(c, 3) + 0.0).alias(c) for c in _ROUNDED))  # no negative zeros
+    return packets.packet_statistics(packets.packet_rows(_packets(spark, d))).select("video_id", "field", "n", *((F.col(c) + 0.0).alias(c) for c in _ROUNDED))  # no negative zeros
 
 
 # --- jobs --------------------------------------------------------------------------------------------------------
-_E1 = f"SELECT * FROM (WITH e AS (SELECT deployment_id, count(*) AS n_rows, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration_s FROM v_telemetry GROUP BY 1), m AS (SELECT deployment_id, round(quantile_cont(gap_s, 0.5), 6) AS median_s FROM ({_GAPS}) WHERE gap_s IS NOT NULL GROUP BY 1), g AS (SELECT deployment_id, {_STATS.replace('AS n,', 'AS n_gaps,', 1)} FROM (SELECT deployment_id, gap_s AS v FROM ({_W1})) GROUP BY 1) SELECT e.*, m.median_s, coalesce(g.n_gaps, 0) AS n_gaps, round(g.min, 3) AS gap_min, round(g.max, 3) AS gap_max, round(g.mean, 3) AS gap_mean, round(g.median, 3) AS gap_median FROM e LEFT JOIN m USING (deployment_id) LEFT JOIN g USING (deployment_id))"
+_E1 = f"SELECT * FROM (WITH e AS (SELECT deployment_id, count(*) AS n_rows, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration_s FROM v_telemetry GROUP BY 1), m AS (SELECT deployment_id, round(quantile_cont(gap_s, 0.5), 6) AS median_s FROM ({_GAPS}) WHERE gap_s IS NOT NULL GROUP BY 1), g AS (SELECT deployment_id, {_STATS.replace('AS n,', 'AS n_gaps,', 1)} FROM (SELECT deployment_id, gap_s AS v FROM ({_W1})) GROUP BY 1) SELECT e.*, m.median_s, coalesce(g.n_gaps, 0) AS n_gaps, round(g.min, 4) AS gap_min, round(g.max, 4) AS gap_max, g.mean AS gap_mean, g.median AS gap_median FROM e LEFT JOIN m USING (deployment_id) LEFT JOIN g USING (deployment_id))"
 
 
 def _inspected(table):
-    return table.withColumns({"start_us": F.unix_micros("start"), "end_us": F.unix_micros("end"), "median_s": F.round("median_s", 6), **{f"gap_{c}": F.round(f"gap_{c}", 3) for c in ("min", "max", "mean", "median")}})
+    return table.withColumns({"start_us": F.unix_micros("start"), "end_us": F.unix_micros("end"), "median_s": F.round("median_s", 6)})
 
 
 _INSPECTED = (DEP, "n_rows", "start_us", "end_us", "duration_s", "median_s", "n_gaps", "gap_min", "gap_max", "gap_mean", "gap_median")
