@@ -1,8 +1,8 @@
 """Rule counts and a hashed n-gram log-likelihood ratio for every document, in built-in functions only.
 
 The ratio compares two multinomials over hashed n-grams, one of a trusted target corpus and one of the raw corpus: the
-words, every two words that follow each other, and the shapes of every two. Both are smoothed alike, so that n-grams
-without evidence score nothing. A document's score is the mean of its n-grams' log ratios.
+words, and every two words that follow each other. Both are smoothed alike, so that n-grams without evidence score
+nothing. A document's score is the mean of its n-grams' log ratios.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ SYMBOLS = "[#*$%&|<>]+"
 WINDOW = 8
 BUCKETS = 1 << 16
 #: Occurrences of a bucket that both corpora are taken to have in proportion to their sizes, before any is seen.
-PRIOR = 10.0
+PRIOR = 20.0
 #: Documents whose mean log ratio is below this are rejected.
 THRESHOLD = -0.1
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -38,10 +38,10 @@ def _hashes(text: Column) -> Column:
     return F.transform(_words(text), lambda w: F.xxhash64(w))
 
 
-def _pairs(h: Column, kind: int) -> Column:
-    """Hash of every two hashes that follow each other."""
+def _ngrams(h: Column) -> Column:
+    """Hashes of the n-grams of a text, from the hashes of its words: the words, and every two in a row."""
     n = F.greatest(F.size(h) - 1, F.lit(0))
-    return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda a, b: F.xxhash64(F.lit(kind), a, b))
+    return F.concat(h, F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda a, b: F.xxhash64(a, b)))
 
 
 def _repeat_words(h: Column) -> Column:
@@ -71,16 +71,6 @@ def _dup_lines(text: Column) -> Column:
     return _let(with_word, lambda lines: F.size(lines) - F.size(F.array_distinct(lines)))
 
 
-def _shape(text: Column) -> Column:
-    """Runs of small letters, capitals and digits as one character each."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Ll}+", "x"), r"\p{Lu}+", "X"), r"\p{Nd}+", "9")
-
-
-def ngrams(text: Column) -> Column:
-    """Hashes of the n-grams of a text: its words, every two words in a row, and the shapes of every two."""
-    return F.concat(_let(_hashes(text), lambda h: F.concat(h, _pairs(h, 1))), _let(_hashes(_shape(text)), lambda h: _pairs(h, 2)))
-
-
 def _bucket(ngram: Column, buckets: int) -> Column:
     return F.pmod(ngram, F.lit(buckets)).cast("int")
 
@@ -89,7 +79,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prio
     """Log ratio of every bucket: ``docs`` and ``trusted`` have a column ``text``. ``buckets`` bounds the result."""
 
     def counts(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.explode(ngrams(F.col("text"))).alias("g")).groupBy(_bucket(F.col("g"), buckets).alias("b")).agg(F.count("*").alias(name))
+        return df.select(F.explode(_let(_hashes(F.col("text")), _ngrams)).alias("g")).groupBy(_bucket(F.col("g"), buckets).alias("b")).agg(F.count("*").alias(name))
 
     both = counts(docs, "raw").join(counts(trusted, "target"), "b", "full").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     raw, target = [0] * buckets, [0] * buckets
@@ -115,17 +105,16 @@ def rated(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
 
     text = text_of(docs, text_col)
     counts = F.struct(
-        _let(_hashes(text), lambda h: F.struct(F.size(h).cast("bigint").alias("n_words"), _repeat_words(h).cast("bigint").alias("n_repeat_words"))).alias("c"),
+        _let(_hashes(text), lambda h: F.struct(F.size(h).cast("bigint").alias("n_words"), _repeat_words(h).cast("bigint").alias("n_repeat_words"), _let(_ngrams(h), mean_ratio).alias("log_ratio"))).alias("c"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         _dup_lines(text).cast("bigint").alias("n_dup_lines"),
-        _let(ngrams(text), mean_ratio).alias("log_ratio"),
     )
 
     def verdict(x: Column) -> Column:
         failed = (x["c"]["n_words"] < MIN_WORDS) | (100 * x["c"]["n_repeat_words"] > MAX_REPEAT_PERCENT * x["c"]["n_words"])
         names = {c: x[c] for c in ("word_chars", "n_symbols", "n_dup_lines")}
-        columns = {"n_words": x["c"]["n_words"], **names, "n_repeat_words": x["c"]["n_repeat_words"], "base_failed": failed, "kept": ~failed & (x["log_ratio"] >= threshold), "log_ratio": x["log_ratio"]}
+        columns = {"n_words": x["c"]["n_words"], **names, "n_repeat_words": x["c"]["n_repeat_words"], "base_failed": failed, "kept": ~failed & (x["c"]["log_ratio"] >= threshold), "log_ratio": x["c"]["log_ratio"]}
         return F.struct(*(c.alias(name) for name, c in columns.items()))
 
     return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), _let(counts, verdict).alias("rating"))

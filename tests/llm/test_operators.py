@@ -354,7 +354,7 @@ def test_quality_rules(spark):
     bad = [(100 + k, " ".join(w + "%%%" for w in prose(rng, 80).split())) for k in range(10)]
     rows = good + bad + EDGE + [(300, (prose(rng, 30) + "\n") * 4), (301, "# a\n# a\n\n|b|")]
     trusted = spark.createDataFrame([(k,) for k, _ in good[:25]], "doc_id bigint")
-    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs(spark, rows), trusted, threshold=-1.0).collect()}
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs(spark, rows), trusted).collect()}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -371,16 +371,14 @@ def test_quality_rules(spark):
 def test_quality_rules_ratio_against_plain_counts(spark):
     rng = random.Random(20)
     texts = ["Ab c9 dd E", "x Ab c9 dd E", "one", "", None, " a\nB  9\n", "#" * 20_000, *(prose(rng, 40) for _ in range(30))]
-    shape = lambda w: re.sub("[0-9]+", "9", re.sub("[A-Z]+", "X", re.sub("[a-z]+", "x", w)))
-
     def grams(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
-        return [*w, *zip(w, w[1:], strict=False), *(("shape", *p) for p in zip(map(shape, w), map(shape, w[1:]), strict=False))]
+        return [*w, *zip(w, w[1:], strict=False)]
 
     trusted = range(7, 20)
     raw, target = (collections.Counter(g for i in which for g in grams(texts[i])) for which in (range(len(texts)), trusted))
-    share = sum(target.values()) / sum(raw.values())
-    score = lambda g: np.log((target[g] + 10 * share) / ((raw[g] + 10) * share))
+    share, prior = sum(target.values()) / sum(raw.values()), quality_rules.PRIOR
+    score = lambda g: np.log((target[g] + prior * share) / ((raw[g] + prior) * share))
     df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id bigint, text string, rating int")
     got = quality_rules.quality_rules(df, df.where(F.col("doc_id").isin(*trusted)), buckets=1 << 17).collect()
     close = [abs(r["log_ratio"] - (np.mean([score(g) for g in grams(texts[r["doc_id"]])]) if grams(texts[r["doc_id"]]) else 0)) < 0.003 for r in got]
