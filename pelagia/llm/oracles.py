@@ -68,3 +68,44 @@ def without_repeats() -> str:
         "gone AS (SELECT r, sum(z - a) AS n, count(*) AS spans FROM span GROUP BY r)",
     ]
     return f"WITH {', '.join(parts)} SELECT doc_id, len(d.h) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256 FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)"
+
+
+def filter_audit() -> str:
+    """The failures of every document as letters, counted by part, and all orders over these counts."""
+    letters = "SELECT unnest(['A', 'B', 'C', 'D', 'E'])"
+    earlier = "translate(fails, left(filter_order, step - 1), '')"
+    fails, out = "contains(fails, letter)", "length(" + earlier + ") < length(fails)"
+    count = lambda test: f"CAST(coalesce(sum(n) FILTER ({test}), 0) AS BIGINT)"
+    parts = [
+        "w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents)",
+        "y AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) = 1 AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) = 1 AS bad FROM labels GROUP BY 1)",
+        "f AS (SELECT doc_id, part, concat(CASE WHEN len(w) < 100 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' END, CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END) AS fails FROM w)",
+        "g AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(bad, false) AS bad, count(*) AS n FROM f LEFT JOIN y USING (doc_id) GROUP BY ALL)",
+        f"l(x) AS ({letters})",
+        "o AS (SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order FROM l a JOIN l b ON b.x <> a.x JOIN l c ON c.x NOT IN (a.x, b.x) JOIN l d ON d.x NOT IN (a.x, b.x, c.x) JOIN l e ON e.x NOT IN (a.x, b.x, c.x, d.x))",
+        "s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter FROM (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o))",
+        f"r AS (SELECT part, filter_order, step, letter, {count(f'NOT {fails} AND NOT {out}')} AS kept, {count(f'{fails} AND NOT {out}')} AS removed, {count(f'{fails} AND {out}')} AS redundant, {count('fails = letter')} AS unique_fails, {count(f'good AND {fails} AND NOT {out}')} AS good_lost, {count(f'bad AND {fails} AND NOT {out}')} AS toxic_lost FROM g CROSS JOIN s GROUP BY ALL)",
+    ]
+    return f"WITH {', '.join(parts)} SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r"
+
+
+_WHOLE = "SELECT row_number() OVER () AS r, vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"
+
+
+def highest_products(k: int = 20, every: int = 20) -> str:
+    """Every query against every other row."""
+    pair = f"SELECT a.r, a.vec_id AS query_id, b.vec_id, b.r AS other, CAST(coalesce(list_inner_product(a.v, b.v), 0) AS BIGINT) AS score FROM v a JOIN v b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE a.vec_id % {every} = 0"
+    return f"WITH v AS ({_WHOLE}) SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, other) AS INTEGER) AS rank FROM ({pair})) WHERE rank <= {k}"
+
+
+def centroid_clusters(k: int = 16, rounds: int = 3, dim: int = 64, seed: str = "1") -> str:
+    """The rounds one after the other."""
+    parts = [f"v AS MATERIALIZED (SELECT * FROM ({_WHOLE}) WHERE len(v) = {dim})", f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY name, v) - 1 AS INTEGER) AS c, v AS m FROM (SELECT *, sha256(concat('{seed}:', vec_id)) AS name FROM v) ORDER BY name, v LIMIT {k})"]
+    distance = "list_inner_product(v, v) - 2 * list_inner_product(v, m) + list_inner_product(m, m)"
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, vec_id, v, c, d, m FROM (SELECT r, vec_id, v, c, m, {distance} AS d FROM v CROSS JOIN c{i}) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)")
+        if i < rounds:
+            parts.append(f"n{i} AS (SELECT c, list(f ORDER BY i) AS m FROM (SELECT c, i, floor(sum(x) / count(*)) AS f FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i}) GROUP BY c, i) GROUP BY c)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(n.m, o.m) AS m FROM c{i} o LEFT JOIN n{i} n USING (c))")
+    total = lambda over: f"CAST(sum(d) OVER ({over}) AS BIGINT)"
+    return f"WITH {', '.join(parts)} SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, {total('PARTITION BY c')} AS cluster_inertia, {total('')} AS inertia, sha256(array_to_string([CAST(x AS BIGINT) FOR x IN m], ',')) AS centroid_sha256 FROM a{rounds}"

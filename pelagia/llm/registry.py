@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .clustering import centroid_clusters
 from .common import table
 from .decontamination import contaminated
+from .filter_audit import filter_audit
 from .line_dedup import deduplicated_lines
 from .near_duplicates import near_duplicate_classes
 from .packing import packed
@@ -17,6 +19,7 @@ from .pii import personal_data, span_digests
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .suffix_dedup import without_repeats
+from .topk_search import highest_products
 from .toxicity import toxicity_scores
 from .url_filter import url_verdicts
 
@@ -78,6 +81,21 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of the five filters over all documents, by language."""
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every twentieth vector with all others."""
+    return highest_products(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its cluster."""
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
@@ -89,7 +107,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_topk_search": op12_topk_search,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 #: The others hash, sign, align, learn or tokenise, which SQL cannot express; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": oracles.url_verdicts(URL_RULES), "op3_suffix_dedup": oracles.without_repeats(), "op10_near_duplicates": oracles.near_duplicate_classes()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": oracles.url_verdicts(URL_RULES), "op3_suffix_dedup": oracles.without_repeats(), "op10_near_duplicates": oracles.near_duplicate_classes(),
+    "op11_filter_audit": oracles.filter_audit(), "op12_topk_search": oracles.highest_products(), "op13_centroid_clusters": oracles.centroid_clusters(),
+}
