@@ -3,8 +3,8 @@
 Every vector is kept twice in one written table: in full, and as one small cell number for each component. In a round,
 tables of the least and the greatest squared distance between each cell and each centroid's component give, by lookups
 and sums, an interval of the distance to each centroid. A centroid whose least distance is beyond another's greatest is
-out; full vectors are fetched only of rows where more than one centroid remains. Cell bounds are quantiles of all
-vectors, and the outer ones reach to the least and greatest component. Results do not depend on the cells.
+out; full vectors are fetched only of rows where more than one centroid remains. Cells are of
+equal width between the least and the greatest value of each component over all vectors. Results do not depend on them.
 
 A round is one scan: tasks add up the components by cluster, so a few rows for each task are shuffled, however unevenly
 the vectors fall. The driver sees the centroids only: ``k`` rows.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .vectors import batches_of, quantised
 
-BITS = 5  # of a cell: 32 cells a component
+BITS = 6  # of a cell: 64 cells a component
 
 
 class Cells:
@@ -116,13 +116,11 @@ def _distances(cells: Cells, centroids: np.ndarray):
 
 
 def cell_bounds(vectors: DataFrame, dim: int, bits: int = BITS) -> Cells:
-    """Cells of about equal numbers of rows, from all vectors: ``2**bits`` of them for each component at most."""
-    parts = 1 << bits
-    at = [F.col("components")[d] for d in range(dim)]
-    asked = F.array(*(F.lit(i / parts) for i in range(1, parts)))
-    row = vectors.agg(*(F.percentile_approx(c, asked, 2000).alias(f"q{d}") for d, c in enumerate(at)), *(F.min(c).alias(f"a{d}") for d, c in enumerate(at)), *(F.max(c).alias(f"z{d}") for d, c in enumerate(at))).first()
-    least, greatest = [row[f"a{d}"] for d in range(dim)], [row[f"z{d}"] for d in range(dim)]
-    return Cells([sorted({m for m in row[f"q{d}"] if m > least[d]}) for d in range(dim)], least, greatest)
+    """Cells of equal width, ``2**bits`` of them for each component at most."""
+    ends = vectors.agg(*(F.struct(F.min(F.col("components")[d]).alias("a"), F.max(F.col("components")[d]).alias("z")).alias(f"c{d}") for d in range(dim))).first()
+    least, greatest = [e["a"] for e in ends], [e["z"] for e in ends]
+    marks = lambda a, z: {a + -(-(z - a + 1) * i >> bits) for i in range(1, 1 << bits)} - {a}
+    return Cells([sorted(marks(a, z)) for a, z in zip(least, greatest, strict=True)], least, greatest)
 
 
 def centroid_clusters(embeddings: DataFrame, k: int = 16, rounds: int = 3, dim: int = 64, seed: str = "1", bits: int = BITS) -> DataFrame:

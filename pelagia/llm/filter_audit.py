@@ -18,7 +18,7 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE
@@ -30,12 +30,9 @@ FIELD = 8  # bytes of a field
 _BLANKS = "\\u0020\\u0009\\u000A\\u000B\\u000C\\u000D"
 
 
-def text_failures(text: Column) -> list[Column]:
-    """A to D for a text: under 100 words, under 80 % different words, over 10 % capitals, one of the marks."""
-    words = F.split(text, SPACE)  # of a text without outer blanks
-    n = F.when(text == "", 0).otherwise(F.size(words))
-    different = F.when(text == "", 0).otherwise(F.size(F.array_distinct(words)))
-    return [n < 100, 100 * different < 80 * n]
+def text_failures(n_words: Column, n_different: Column, n_capitals: Column, n_chars: Column, marked: Column) -> list[Column]:
+    """A to D: under 100 words, under 80 % different words, over 10 % capitals, one of the marks."""
+    return [n_words < 100, 100 * n_different < 80 * n_words, 100 * n_capitals > 10 * n_chars, marked]
 
 
 def failure_counts(documents: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:
@@ -43,21 +40,22 @@ def failure_counts(documents: DataFrame, labels: DataFrame, part: str = "lang")
 
     The last filter removes a text that a document of a smaller id has too, wherever that is. Texts meet by their
     SHA-256, and rows of one text are counted before they meet, so a group of copies of any size is a few rows."""
-    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    held = documents.select(
-        F.col("doc_id").alias("id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.sha2(body, 256).alias("text_key"), F.expr(f"trim(BOTH '{_BLANKS}' FROM coalesce(cast(text AS string), ''))").alias("words_of"),
-        (100 * F.regexp_count(body, F.lit("[A-Z]")) > 10 * F.char_length(body)).alias("c"), body.rlike(r"[#$%&*|]").alias("d"),
+    # each select holds what the next one reads more than once, so that no text is split twice
+    body = documents.select(F.col("doc_id").alias("id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
+    bare = body.select("*", F.expr(f"trim(BOTH '{_BLANKS}' FROM body)").alias("bare"))
+    words = bare.select("*", F.when(F.col("bare") == "", F.array().cast("array<string>")).otherwise(F.split("bare", SPACE)).alias("words"))
+    counted = words.select(
+        "id", "part", F.unhex(F.sha2("body", 256)).alias("text_key"), F.size("words").alias("n_words"), F.size(F.array_distinct("words")).alias("n_different"),
+        F.regexp_count("body", F.lit("[A-Z]")).alias("n_capitals"), F.char_length("body").alias("n_chars"), F.col("body").rlike(r"[#$%&*|]").alias("marked"),
     )
-    bits = [*text_failures(F.col("words_of")), F.col("c"), F.col("d")]
-    mask = sum((F.when(b, 1 << i).otherwise(0) for i, b in enumerate(bits)), F.lit(0))
-    narrow = held.select("id", "part", F.unhex("text_key").alias("text_key"), mask.alias("mask"))
+    bits = text_failures(*(F.col(c) for c in ("n_words", "n_different", "n_capitals", "n_chars", "marked")))
+    narrow = counted.select("id", "part", "text_key", sum((F.when(b, 1 << i).otherwise(0) for i, b in enumerate(bits)), F.lit(0)).alias("mask"))
     known = labels.select(F.col("doc_id").alias("id"), "quality", "toxic").groupBy("id").agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
     marked = narrow.join(known, "id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
     kinds = ["text_key", "part", "mask", "good", "toxic"]
     by_id = marked.groupBy("id", *kinds).agg(F.count("*").alias("n"))
     least = by_id.groupBy(*kinds).agg(F.sum("n").alias("n"), F.min("id").alias("least"), F.coalesce(F.min_by("n", "id"), F.lit(0)).alias("n_least"), F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("n"))), F.lit(0)).alias("n_null"))
-    first = least.groupBy("text_key").agg(F.min("least").alias("first"))
-    met = least.join(first, "text_key")
+    met = least.withColumn("first", F.min("least").over(Window.partitionBy("text_key")))
     original = F.col("n_null") + F.when(F.col("least") == F.col("first"), F.col("n_least")).otherwise(0)
     split = met.select("part", "mask", "good", "toxic", F.explode(F.array(F.struct(F.lit(0).alias("e"), original.alias("n")), F.struct(F.lit(1).alias("e"), (F.col("n") - original).alias("n")))).alias("s"))
     return split.where("s.n > 0").groupBy("part", (F.col("mask") + F.col("s.e") * 16).alias("mask"), "good", "toxic").agg(F.sum("s.n").alias("n"))
