@@ -18,6 +18,8 @@ COLUMNS = {
     "op4_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"], "op5_line_dedup": ["doc_id", "text", "n_lines", "n_removed"],
     "op6_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"], "op7_quality_classifier": ["doc_id", "held_out", "score", "predicted"],
     "op8_toxicity": ["doc_id", "held_out", "score", "predicted"], "op9_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"], "op10_near_duplicates": ["doc_id", "class_id"],
+    "op11_filter_audit": ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"], "op12_topk_search": ["query_id", "rank", "vec_id", "score"],
+    "op13_centroid_clusters": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
 }
 
 
@@ -38,7 +40,8 @@ def test_registered_query(spark, duck, name):
     made = registry.QUERIES[name](spark, DATA)
     assert made.columns[: len(COLUMNS[name])] == COLUMNS[name]
     got = made.collect()
-    n = duck.execute("SELECT count(*) FROM " + ("pages" if name == "op2_url_filter" else "documents")).fetchone()[0]
+    counts = {"op2_url_filter": "SELECT count(*) FROM pages", "op11_filter_audit": "SELECT 600 * count(DISTINCT lang) FROM documents", "op12_topk_search": "SELECT 20 * count(*) FROM embeddings WHERE vec_id % 20 = 0", "op13_centroid_clusters": "SELECT count(*) FROM embeddings"}
+    n = duck.execute(counts.get(name, "SELECT count(*) FROM documents")).fetchone()[0]
     assert len(got) == n if name not in ("op1_decontamination", "op9_packing") else got
     if name in registry.ORACLE_SQL:
         expected = duck.execute(registry.ORACLE_SQL[name])
