@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .schema import TELEMETRY_NAMES, inferred_types, resolve, sanitised_names, typed_value, unique_names
+from .segments import segmented
 from .timeline import DEP, join_tolerance
 
 
@@ -37,11 +38,14 @@ def nearest_rows(queries: DataFrame, telemetry: DataFrame) -> DataFrame:
     return best.select(DEP, "row_no", F.col("hit.row_no").alias("match_row_no"), ((F.col("hit.t") - F.col("t")) / F.lit(1e6)).alias("delta_s"))
 
 
-def nearest_rows_bucketed(queries: DataFrame, telemetry: DataFrame, bucket_s: float) -> DataFrame:
+def nearest_rows_bucketed(queries: DataFrame, telemetry: DataFrame, bucket_s: float | None = None, segment_rows: int | None = None) -> DataFrame:
     """The same for deployments too large for one task: by (deployment, time bucket), with the last row of the
-    buckets before and the first of those after as halo rows."""
-    width = F.lit(round(bucket_s * 1e6)).cast("bigint")
-    tagged = _sides(queries, telemetry).withColumn("bucket", F.floor(F.col("t") / width))
+    buckets before and the first of those after as halo rows. Buckets are ``bucket_s`` wide, or, with
+    ``segment_rows``, cut for each deployment from its counts of both sides, small ones whole."""
+    if segment_rows is not None:
+        tagged = segmented(_sides(queries, telemetry), [DEP], F.col("t"), segment_rows).withColumnRenamed("_seg", "bucket")
+    else:
+        tagged = _sides(queries, telemetry).withColumn("bucket", F.floor(F.col("t") / F.lit(round(bucket_s * 1e6)).cast("bigint")))
     telem = tagged.where("side = 1")
     ends = telem.groupBy(DEP, "bucket").agg(F.min(F.struct("t", "row_no")).alias("first"), F.max(F.struct("t", "row_no")).alias("last"))
     every = tagged.select(DEP, "bucket").distinct().join(ends, [DEP, "bucket"], "left")
@@ -54,12 +58,12 @@ def nearest_rows_bucketed(queries: DataFrame, telemetry: DataFrame, bucket_s: fl
     return best.select(DEP, "row_no", F.col("hit.row_no").alias("match_row_no"), ((F.col("hit.t") - F.col("t")) / F.lit(1e6)).alias("delta_s"))
 
 
-def asof_join(queries: DataFrame, telemetry: DataFrame, tolerance: DataFrame | float, prefix: str = "m_", bucket_s: float | None = None) -> DataFrame:
+def asof_join(queries: DataFrame, telemetry: DataFrame, tolerance: DataFrame | float, prefix: str = "m_", bucket_s: float | None = None, segment_rows: int | None = None) -> DataFrame:
     """Every query row with the columns of its nearest telemetry row (``prefix`` + name, null on a miss),
     ``delta_s`` and ``matched``; where the query rows have such a column, the new one gets _2, _3, ... ``tolerance``
-    is in seconds, or a table of deployment_id, tolerance_s. With ``bucket_s`` a deployment is split by time, for
-    one too large for a task."""
-    near = nearest_rows(queries, telemetry) if bucket_s is None else nearest_rows_bucketed(queries, telemetry, bucket_s)
+    is in seconds, or a table of deployment_id, tolerance_s. With ``bucket_s`` or ``segment_rows`` a deployment is split
+    by time, for one too large for a task."""
+    near = nearest_rows(queries, telemetry) if bucket_s is None and segment_rows is None else nearest_rows_bucketed(queries, telemetry, bucket_s, segment_rows)
     near = near.withColumn("tolerance_s", F.lit(float(tolerance))) if isinstance(tolerance, (int, float)) else near.join(tolerance, DEP, "left")
     near = near.select(DEP, "row_no", "delta_s", F.coalesce(F.abs("delta_s") <= F.col("tolerance_s"), F.lit(False)).alias("matched"), "match_row_no")
     columns = [c for c in telemetry.columns if c != DEP]
@@ -78,7 +82,7 @@ def asof_join(queries: DataFrame, telemetry: DataFrame, tolerance: DataFrame | f
 TIMES = TELEMETRY_NAMES["time"]
 
 
-def combined_table(primary: DataFrame, secondary: DataFrame | None = None, tolerance_s: float | None = None, bucket_s: float | None = None) -> tuple[DataFrame, DataFrame]:
+def combined_table(primary: DataFrame, secondary: DataFrame | None = None, tolerance_s: float | None = None, bucket_s: float | None = None, segment_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """J2 of whole tables: the primary rows, typed, with all columns of the nearest secondary row; and the table of
     clean and raw column names. Both have deployment_id and row_no, and a column of times found by its name, as text
     or as a timestamp; neither has to be clean.
@@ -95,8 +99,8 @@ def combined_table(primary: DataFrame, secondary: DataFrame | None = None, toler
         names = unique_names(own, primary.columns)
         right = secondary.select(*keys, typed_value(secondary, clock, "DATE").alias("ts"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)))
         asks = primary.select(*keys, typed_value(primary, asked, "DATE").alias("ts"))
-        tolerance = float(tolerance_s) if tolerance_s is not None else join_tolerance(right.where("ts is not null"))
-        met = asof_join(asks, right, tolerance, bucket_s=bucket_s).select(*keys, *(F.col(f"m__c{i}").alias(n) for i, n in enumerate(names)))
+        tolerance = float(tolerance_s) if tolerance_s is not None else join_tolerance(right.where("ts is not null"), segment_rows)
+        met = asof_join(asks, right, tolerance, bucket_s=bucket_s, segment_rows=segment_rows).select(*keys, *(F.col(f"m__c{i}").alias(n) for i, n in enumerate(names)))
         rows, raw = primary.join(met, keys, "left").select(*(f"`{c}`" for c in primary.columns), *(f"`{n}`" for n in names)), raw + names
     values = [c for c in raw if c not in keys]
     kinds = {r["column"]: r["kind"] for r in inferred_types(rows.select(*(f"`{c}`" for c in values)), times).collect()}

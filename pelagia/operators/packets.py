@@ -21,9 +21,9 @@ def packet_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("video_id").agg(F.count("*").alias("n_packets"), F.min_by("ts", "seq").alias("first_ts"), F.max_by("ts", "seq").alias("last_ts"))
 
 
-def packet_statistics(rows: DataFrame) -> DataFrame:
-    """K4: the statistics of each field."""
-    return described(rows.unpivot(["video_id"], list(FIELDS), "field", "value"), ["video_id", "field"])
+def packet_statistics(rows: DataFrame, few: int | None = None) -> DataFrame:
+    """K4: the statistics of each field; ``few`` as for ``described``."""
+    return described(rows.unpivot(["video_id"], list(FIELDS), "field", "value"), ["video_id", "field"], few=few)
 
 
 __all__ = ["FIELDS", "KEY", "packet_rows", "packet_statistics", "packet_summary"]

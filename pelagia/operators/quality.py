@@ -5,31 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import modes, quantiles, value_counts
 from .timeline import DEP, seconds_between
 
 FIELDS = ("x", "y", "z", "heading", "pitch", "roll")
 
 
-def described(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+def described(df: DataFrame, keys: list[str], value: str = "value", few: int | None = None) -> DataFrame:
     """A1: count, min, max, range, mean, median, mode (least of ties), sample deviation, quartiles; 4 decimals.
-    All but the count are null for fewer than two values."""
+    All but the count are null for fewer than two values. With ``few``, quartiles and mode come from counts of equal
+    values, of which a task sums up that many at most; for groups whose values do not fit a task."""
+    if few is not None:
+        counts = value_counts(df, keys, value)
+        whole = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+        return _statistics(whole.join(quantiles(counts, keys, [0.25, 0.5, 0.75], few), keys).join(modes(counts, keys), keys), keys)
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     found = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
         F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
         q.alias("q"), F.expr(f"mode() WITHIN GROUP (ORDER BY {value})").alias("mode"),
     )
+    return _statistics(found, keys)
+
+
+def _statistics(found: DataFrame, keys: list[str]) -> DataFrame:
     made = {"min": F.col("low"), "max": F.col("high"), "range": F.col("high") - F.col("low"), "mean": F.col("mean"), "median": F.col("q")[1], "mode": F.col("mode"), "std_dev": F.col("sd"), "q1": F.col("q")[0], "q3": F.col("q")[2]}
     return found.select(*keys, "n", *(F.when(F.col("n") >= 2, F.round(c, 4)).alias(name) for name, c in made.items()))
 
 
-def described_telemetry(track: DataFrame, other_z: str | None = None) -> DataFrame:
+def described_telemetry(track: DataFrame, other_z: str | None = None, few: int | None = None) -> DataFrame:
     """A2: statistics of each telemetry field; where a deployment has no z at all, ``other_z`` takes its place."""
     if other_z:
         has = track.groupBy(DEP).agg((F.count("z") > 0).alias("_has"))
         track = track.join(has, DEP).withColumn("z", F.when(F.col("_has"), F.col("z")).otherwise(F.col(other_z)))
     present = [c for c in FIELDS if c in track.columns]
     values = track.select(DEP, *(F.col(c).cast("double").alias(c) for c in present)).unpivot([DEP], present, "field", "value")
-    return described(values, [DEP, "field"])
+    return described(values, [DEP, "field"], few=few)
 
 
 def coverage(video: DataFrame, sensor: DataFrame) -> DataFrame:

@@ -252,6 +252,11 @@ def a3(spark, d):
     return timeline.median_interval(_t(spark, d)).select(DEP, F.round("median_s", 6).alias("median_s"))
 
 
+@query("a3_segmented", f"SELECT deployment_id, round(quantile_cont(gap_s, 0.5), 6) AS median_s FROM ({_GAPS}) WHERE gap_s IS NOT NULL GROUP BY 1", "v_telemetry")
+def a3b(spark, d):
+    return timeline.median_interval(_t(spark, d), segment_rows=25).select(DEP, F.round("median_s", 6).alias("median_s"))
+
+
 @query("a4_match_tolerance", f"SELECT deployment_id, round(coalesce(greatest(quantile_cont(gap_s, 0.5) / 2, 0.05), 1.0), 6) AS tolerance_s FROM ({_GAPS}) GROUP BY 1", "v_telemetry")
 def a4(spark, d):
     return timeline.match_tolerance(_t(spark, d)).select(DEP, F.round("tolerance_s", 6).alias("tolerance_s"))
@@ -281,6 +286,11 @@ def w1(spark, d):
     return timeline.gaps(_t(spark, d)).select(DEP, "row_no", F.round("gap_s", 6).alias("gap_s"))
 
 
+@query("w1_segmented", f"SELECT * FROM ({_W1})", "v_telemetry")
+def w1b(spark, d):
+    return timeline.gaps(_t(spark, d), segment_rows=40).select(DEP, "row_no", F.round("gap_s", 6).alias("gap_s"))
+
+
 @query("w2_packet_breaks", "SELECT video_id, n, round(step_s, 6) AS step_s FROM (SELECT *, pts - lag(pts) OVER (PARTITION BY video_id ORDER BY n) AS step_s FROM v_packet_index) WHERE step_s > 3.0 / frame_rate", "v_packet_index")
 def w2(spark, d):
     return timeline.packet_breaks(view(spark, d, "v_packet_index")).select("video_id", "n", F.round("step_s", 6).alias("step_s"))
@@ -300,6 +310,11 @@ def w3(spark, d):
     return timeline.track_heading(_t(spark, d), 45.0).select("row_no", F.round("heading", 6).alias("heading"))
 
 
+@query("w3_segmented", f"SELECT row_no, round(coalesce(CASE WHEN is_last AND h IS NULL THEN lag(h) OVER (PARTITION BY deployment_id ORDER BY ts, row_no) ELSE h END, 45.0), 6) AS heading FROM (SELECT *, coalesce(heading, {_BEAR}) AS h FROM ({_STEP}))", "v_telemetry")
+def w3b(spark, d):
+    return timeline.track_heading(_t(spark, d), 45.0, segment_rows=30).select("row_no", F.round("heading", 6).alias("heading"))
+
+
 _W4 = "SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, row_number() OVER w AS i FROM v_telemetry WINDOW w AS (PARTITION BY deployment_id ORDER BY row_no)"
 
 
@@ -308,6 +323,11 @@ def w4(spark, d):
     return timeline.carried_heading(_t(spark, d), offset=5.0).select("row_no", F.round("heading", 6).alias("heading"))
 
 
+@query("w4_segmented", f"SELECT row_no, round((((known + (i - i0 + 1) * 5.0) % 360) + 360) % 360, 6) AS heading FROM (SELECT *, coalesce(last_value(b IGNORE NULLS) OVER w, 0) AS known, coalesce(last_value(CASE WHEN b IS NOT NULL THEN i END IGNORE NULLS) OVER w, 1) AS i0 FROM (SELECT *, coalesce(heading, {_BEAR}) AS b FROM ({_W4})) WINDOW w AS (PARTITION BY deployment_id ORDER BY row_no ROWS UNBOUNDED PRECEDING))", "v_telemetry")
+def w4b(spark, d):
+    return timeline.carried_heading(_t(spark, d), offset=5.0, segment_rows=30).select("row_no", F.round("heading", 6).alias("heading"))
+
+
 def _boxes(spark, d):
     return imagery.footprints(_t(spark, d).select(F.col(DEP).alias("set_id"), "row_no", "ts", "x", "y", "z", F.coalesce("heading", F.lit(0.0)).alias("heading"), F.abs(F.coalesce("z", F.lit(2.0))).alias("camera_height"), F.lit(60.0).alias("hfov"), F.lit(40.0).alias("vfov"), F.lit("3857").alias("srs"), F.concat(F.lit("a/"), F.col("row_no"), F.lit(".tif")).alias("path")))
 
@@ -336,6 +356,12 @@ def w6(spark, d):
     return timeline.resampled(_t(spark, d), 3600).select(DEP, "row_no", F.unix_micros("ts").alias("us"), *(F.round(c, 6).alias(c) for c in "xyz"), "pitch", "roll")
 
 
+@query("w6_segmented", f"SELECT * FROM ({_W6})", "v_telemetry")
+def w6b(spark, d):
+    made = timeline.resampled(_t(spark, d), 3600, segment_rows=30)
+    return made.select(DEP, "row_no", F.unix_micros("ts").alias("us"), *(F.round(c, 6).alias(c) for c in "xyz"), "pitch", "roll")
+
+
 @query("w7_constant_z", "SELECT row_no, coalesce(z, -1.5) AS z FROM v_telemetry", "v_telemetry")
 def w7(spark, d):
     return timeline.constant_z(_t(spark, d), -1.5).select("row_no", "z")
@@ -346,12 +372,23 @@ def w8(spark, d):
     return timeline.object_ids(_t(spark, d)).select("row_no", F.col("object_id").cast("bigint").alias("object_id"))
 
 
+@query("w8_segmented", "SELECT row_no, row_number() OVER (PARTITION BY deployment_id ORDER BY ts, row_no) - 1 AS object_id FROM v_telemetry", "v_telemetry")
+def w8b(spark, d):
+    return timeline.object_ids(_t(spark, d), segment_rows=30).select("row_no", "object_id")
+
+
 @query("w9_sequence", "SELECT row_no, row_number() OVER (PARTITION BY deployment_id ORDER BY CASE WHEN row_no % 4 <> 0 THEN ts END NULLS LAST, row_no) AS sequence_order FROM v_telemetry", "v_telemetry")
 def w9(spark, d):
     rows = _t(spark, d).withColumns({"set_id": F.col(DEP), "ts": F.when(F.col("row_no") % 4 != 0, F.col("ts"))})
     return timeline.sequence_order(rows).select("row_no", F.col("sequence_order").cast("bigint").alias("sequence_order"))
 
 
+@query("w9_segmented", "SELECT row_no, row_number() OVER (PARTITION BY deployment_id ORDER BY CASE WHEN row_no % 4 <> 0 THEN ts END NULLS LAST, row_no) AS sequence_order FROM v_telemetry", "v_telemetry")
+def w9b(spark, d):
+    rows = _t(spark, d).withColumns({"set_id": F.col(DEP), "ts": F.when(F.col("row_no") % 4 != 0, F.col("ts"))})
+    return timeline.sequence_order(rows, segment_rows=30).select("row_no", "sequence_order")
+
+
 # --- statistics --------------------------------------------------------------------------------------------------
 _STATS = "count(v) AS n, {0}min(v){1} AS \"min\", {0}max(v){1} AS \"max\", {0}round(max(v) - min(v), 4){1} AS \"range\", {0}round(avg(v), 4){1} AS mean, {0}round(quantile_cont(v, 0.5), 4){1} AS median, {0}round(stddev_samp(v), 4){1} AS std_dev, {0}round(quantile_cont(v, 0.25), 4){1} AS q1, {0}round(quantile_cont(v, 0.75), 4){1} AS q3".format("CASE WHEN count(v) >= 2 THEN ", " END")
 
@@ -377,6 +414,11 @@ def a2(spark, d):
     return quality.described_telemetry(_t(spark, d))
 
 
+@query("a2_by_counts", f"SELECT s.*, m.mode FROM (SELECT deployment_id, field, {_STATS4} FROM ({_A2}) WHERE v IS NOT NULL GROUP BY 1, 2) s JOIN (SELECT deployment_id, field, CASE WHEN sum(c) >= 2 THEN round(min(v) FILTER (c = m), 4) END AS mode FROM (SELECT deployment_id, field, v, count(*) AS c, max(count(*)) OVER (PARTITION BY deployment_id, field) AS m FROM ({_A2}) WHERE v IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2) m USING (deployment_id, field)", "v_telemetry")
+def a2b(spark, d):
+    return quality.described_telemetry(_t(spark, d), few=20)
+
+
 def _videos(spark, d):
     e = timeline.extent(_t(spark, d))
     return e.select(DEP, (F.col("start") + F.expr("INTERVAL 1 HOUR")).alias("start"), (F.col("end") + F.expr("INTERVAL 2 HOURS")).alias("end"))
@@ -426,6 +468,11 @@ def j1b(spark, d):
     return asof.nearest_rows_bucketed(_timed(spark, d), _t(spark, d), 86400.0)
 
 
+@query("j1_nearest_asof_segmented", f"SELECT * FROM ({_NEAR})", "v_telemetry", "v_frames")
+def j1c(spark, d):
+    return asof.nearest_rows_bucketed(_timed(spark, d), _t(spark, d), segment_rows=40)
+
+
 @query("j2_asof_columns", f"SELECT n.deployment_id, n.row_no, delta_s, abs(delta_s) <= 3600 AS matched, t.ts IS NOT NULL AS has_ts, t.x AS m_x, t.y AS m_y, t.z AS m_z, t.heading AS m_heading, t.pitch AS m_pitch, t.roll AS m_roll, t.row_no AS m_row_no FROM ({_NEAR}) n LEFT JOIN v_telemetry t ON t.deployment_id = n.deployment_id AND t.row_no = n.match_row_no AND abs(delta_s) <= 3600", "v_telemetry", "v_frames")
 def j2(spark, d):
     return asof.asof_join(_timed(spark, d), _t(spark, d), 3600.0, bucket_s=30 * 86400.0).select(DEP, "row_no", "delta_s", "matched", F.col("m_ts").isNotNull().alias("has_ts"), *(f"m_{c}" for c in ("x", "y", "z", "heading", "pitch", "roll", "row_no")))
