@@ -36,12 +36,13 @@ def next_ids(earlier: DataFrame) -> DataFrame:
     return earlier.groupBy(DEP).agg((F.coalesce(F.max("ObjectID"), F.count("*")) + 1).alias("next_id"))
 
 
-def matched_frames(frames: DataFrame, telemetry: DataFrame, earlier: DataFrame | None = None, tolerance_s: float | None = None, camera_id: int = 1, crs: int = 4326, starts: DataFrame | None = None) -> DataFrame:
+def matched_frames(frames: DataFrame, telemetry: DataFrame, earlier: DataFrame | None = None, tolerance_s: float | None = None, camera_id: int = 1, crs: int = 4326, starts: DataFrame | None = None, segment_rows: int | None = None) -> DataFrame:
     """P23 over J6, N12, A7, A4 and J1: the 27-column frame table of the new frames. A frame without a match, or
-    without a time in its name, keeps id, path, name, camera, elapsed time and difference, and ``Matched`` false."""
+    without a time in its name, keeps id, path, name, camera, elapsed time and difference, and ``Matched`` false.
+    ``segment_rows`` cuts long deployments as in ``asof_join``."""
     new = new_frames(frames, earlier)
     timed = frame_times(new, starts if starts is not None else start_time(telemetry))
-    near = asof_join(timed, telemetry, tolerance_s if tolerance_s is not None else match_tolerance(telemetry))
+    near = asof_join(timed, telemetry, tolerance_s if tolerance_s is not None else match_tolerance(telemetry, segment_rows), segment_rows=segment_rows)
     first = next_ids(earlier) if earlier is not None else None
     near = near.join(first, DEP, "left") if first is not None else near.withColumn("next_id", F.lit(None).cast("bigint"))
     w = Window.partitionBy(DEP).orderBy("filename", "row_no")
@@ -59,10 +60,10 @@ def matched_frames(frames: DataFrame, telemetry: DataFrame, earlier: DataFrame |
     )
 
 
-def matched_source_rows(frames: DataFrame, telemetry: DataFrame, tolerance_s: float | None = None) -> DataFrame:
+def matched_source_rows(frames: DataFrame, telemetry: DataFrame, tolerance_s: float | None = None, segment_rows: int | None = None) -> DataFrame:
     """The telemetry's own rows and columns, one for each frame that matches."""
     timed = frame_times(frames, start_time(telemetry)).select(DEP, "row_no", "ts").where("ts is not null")
-    near = asof_join(timed, telemetry, tolerance_s if tolerance_s is not None else match_tolerance(telemetry))
+    near = asof_join(timed, telemetry, tolerance_s if tolerance_s is not None else match_tolerance(telemetry, segment_rows), segment_rows=segment_rows)
     return near.where("matched").select(DEP, *(F.col(f"m_{c}").alias(c) for c in telemetry.columns if c != DEP))
 
 

@@ -168,13 +168,13 @@ def _entry(x: Column) -> Column:
 
 
 def document_lines(items: DataFrame, headers: DataFrame, schema_url: str = "") -> DataFrame:
-    """A9 for sets of any size: ``set_id, place, line``; a set's lines in order of place are its document. No set is
-    gathered: only the order within a set is needed, where the lines are written."""
-    w = Window.partitionBy("set_id").orderBy("filename")
-    placed = items.select("set_id", F.struct("filename", F.to_json("item").alias("item")).alias("x"), F.row_number().over(w).cast("bigint").alias("place"))
-    body = placed.select("set_id", "place", F.concat(F.when(F.col("place") > 1, ",").otherwise(""), _entry(F.col("x"))).alias("line"))
-    sets = items.select("set_id").distinct().join(headers, "set_id", "left")
-    return body.union(sets.select("set_id", F.lit(0).cast("bigint"), _opening(schema_url))).union(sets.select("set_id", F.lit(2**62), F.lit("}}")))
+    """A9 for sets of any size: ``set_id, place, line``; a set's lines in order of place (kind and file name) are its
+    document. No set is gathered or numbered: only the order within a set is needed, where the lines are written."""
+    at = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("filename")).alias("place")
+    sets = items.groupBy("set_id").agg(F.min("filename").alias("_first")).join(headers, "set_id", "left")
+    named = items.select("set_id", F.struct("filename", F.to_json("item").alias("item")).alias("x"))
+    body = named.join(sets.select("set_id", "_first"), "set_id").select("set_id", at(1, F.col("x.filename")), F.concat(F.when(F.col("x.filename") > F.col("_first"), ",").otherwise(""), _entry(F.col("x"))).alias("line"))
+    return body.union(sets.select("set_id", at(0, F.lit("")), _opening(schema_url))).union(sets.select("set_id", at(2, F.lit("")), F.lit("}}")))
 
 
 def per_image_documents(items: DataFrame, headers: DataFrame, schema_url: str = "") -> DataFrame:

@@ -75,10 +75,10 @@ def mapped(table: DataFrame, mappings: Sequence[tuple[str, str]]) -> DataFrame:
     return table.select(*((F.coalesce(F.col("_mapped")[c], F.col(f"`{c}`")).alias(c) if c in targets else F.col(f"`{c}`")) for c in table.columns if c != "_mapped"))
 
 
-def video_metadata(track: DataFrame, crs: int = 4326, z_is_ellipsoid: bool = False, far_distance: bool = True) -> DataFrame:
+def video_metadata(track: DataFrame, crs: int = 4326, z_is_ellipsoid: bool = False, far_distance: bool = True, segment_rows: int | None = None) -> DataFrame:
     """The video metadata table of a track that carries camera constants. Elevation is measured from the
     horizon (pitch - 90), far distance in whole metres, half to even."""
-    t = object_ids(track).withColumn("_p", project(F.col("x"), F.col("y"), crs, 4326))
+    t = object_ids(track, segment_rows=segment_rows).withColumn("_p", project(F.col("x"), F.col("y"), crs, 4326))
     has = lambda c, kind: F.col(c).cast(kind) if c in track.columns else F.lit(None).cast(kind)
     values = {
         "ObjectID": F.col("object_id").cast("bigint"), "Filename": has("filename", "string"), "Precision Time Stamp": F.unix_micros("ts"), "AcquisitionDate": F.col("ts"),

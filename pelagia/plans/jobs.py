@@ -4,31 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from pelagia.functions.normalize import to_number
+from pelagia.functions.normalize import is_geographic, to_number
 from pelagia.operators import frames as fr
-from pelagia.operators import imagery, imageset, profiles, quality, schema, timeline
+from pelagia.operators import asof, imagery, imageset, profiles, quality, schema, timeline
+from pelagia.operators.segments import SEGMENT_ROWS, largest_group
 from pelagia.operators.timeline import DEP
-from pelagia.sources import tables
+from pelagia.sources import ordered, tables
+
+
+def _judged(raw: DataFrame, resolved: dict[str, str | None], keep: Sequence[str]) -> DataFrame:
+    kept = raw.select(DEP, "row_no", *((F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(k) for k, c in resolved.items()), *(F.col(f"`{c}`").alias(f"_src{i}") for i, c in enumerate(keep)))
+    return timeline.cleaned(kept)
+
+
+def _track(judged: DataFrame, resolved: dict[str, str | None]) -> DataFrame:
+    numbers = [k for k in resolved if k not in ("x", "y", "time", "filename", "camera_id")]
+    return judged.where("reject_reason IS NULL").drop("reject_reason", "time").withColumns({k: to_number(F.col(k)) for k in numbers})
 
 
 def telemetry(raw: DataFrame, resolved: dict[str, str | None], keep: Sequence[str] = ()) -> DataFrame:
     """A raw log (deployment_id, row_no and its own columns) as a track; rows without a position or a
     time are left out, and none left is an error. ``keep`` names source columns that stay as ``_src0``, ``_src1``, ..."""
-    kept = raw.select(DEP, "row_no", *((F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(k) for k, c in resolved.items()), *(F.col(f"`{c}`").alias(f"_src{i}") for i, c in enumerate(keep)))
-    rows = timeline.cleaned(kept).where("reject_reason IS NULL").drop("reject_reason", "time")
-    numbers = [k for k in resolved if k not in ("x", "y", "time", "filename", "camera_id")]
-    return timeline.require_rows(rows.withColumns({k: to_number(F.col(k)) for k in numbers}), "telemetry with position and time")
+    return timeline.require_rows(_track(_judged(raw, resolved, keep), resolved), "telemetry with position and time")
+
+
+def read_telemetry(raw: DataFrame, resolved: dict[str, str | None], keep: Sequence[str] = ()) -> tuple[DataFrame, dict[str, int]]:
+    """``telemetry`` for a job: the track, written once, and the totals (``kept`` and a number for each reason of
+    rejection), counted while it is written. The log is read and parsed a single time."""
+    seen = Observation()
+    reasons = {"kept": F.col("reject_reason").isNull(), "no position": F.col("reject_reason") == "no position", "no time": F.col("reject_reason") == "no time"}
+    judged = _judged(raw, resolved, keep).observe(seen, *(F.count_if(F.coalesce(test, F.lit(False))).alias(name) for name, test in reasons.items()))
+    track = tables.written(_track(judged, resolved))
+    if not seen.get["kept"]:
+        raise ValueError("telemetry with position and time: no rows")
+    return track, dict(seen.get)
+
 
+def scan_rows(track: DataFrame) -> int | None:
+    """How a job scans: whole deployments where the largest one fits a task, else segments of so many rows."""
+    return SEGMENT_ROWS if largest_group(track, DEP) > SEGMENT_ROWS else None
 
-def inspect(track: DataFrame, videos: DataFrame | None = None) -> DataFrame:
+
+def inspect(track: DataFrame, videos: DataFrame | None = None, segment_rows: int | None = None) -> DataFrame:
     """One row for each deployment: extent, median interval, gaps and their statistics; with ``videos``
     (deployment_id and either start and end, or the times that ``start_provenance`` chooses from) also where the start
     is from, overlap, coverage and warnings."""
-    whole, gap = timeline.interval_summary(track)
-    stats = quality.described(gap.select(DEP, F.col("gap_s").alias("value")), [DEP])
+    whole, gap = timeline.interval_summary(track, segment_rows=segment_rows)
+    stats = quality.described(gap.select(DEP, F.col("gap_s").alias("value")), [DEP], few=segment_rows)
     out = whole.join(stats.select(DEP, F.col("n").alias("n_gaps"), *(F.col(c).alias(f"gap_{c}") for c in ("min", "max", "mean", "median", "std_dev"))), DEP, "left").withColumn("n_gaps", F.coalesce("n_gaps", F.lit(0)))
     if videos is None:
         return out
@@ -40,26 +65,45 @@ def inspect(track: DataFrame, videos: DataFrame | None = None) -> DataFrame:
     return out.join(covered.select(DEP, *names, "overlap_start", "overlap_end", "coverage_pct", warned.alias("warnings")), DEP, "full")
 
 
-def inspection_reports(raw: DataFrame, videos: DataFrame | None = None, overrides: dict[str, str] | None = None) -> DataFrame:
+def inspection_reports(raw: DataFrame, videos: DataFrame | None = None, overrides: dict[str, str] | None = None, secondary: DataFrame | None = None) -> DataFrame:
     """E1 from a raw log to reports: JSON and text for each deployment, with the statistics of each field (A2) and the
-    suggested mapping of columns (P7)."""
+    suggested mapping of columns (P7); with ``secondary``, another log of the deployments, also what ``joined_logs``
+    finds of it."""
     resolved = schema.resolve_telemetry(raw.columns, overrides)
-    track = telemetry(raw, {k: c for k, c in resolved.items() if k != "filename"})
-    stats = quality.described_telemetry(track)
+    track, _ = read_telemetry(raw, {k: c for k, c in resolved.items() if k != "filename"})
+    rows = scan_rows(track)
+    stats = quality.described_telemetry(track, few=rows)
     fields = stats.groupBy(DEP).agg(F.sort_array(F.collect_list(F.struct(*(c for c in stats.columns if c != DEP)))).alias("fields"))
     pairs = [F.struct(F.lit(schema.SUGGESTED[k]).alias("target"), F.lit(c).alias("source")) for k, c in resolved.items() if c and k in schema.SUGGESTED]
-    return tables.reports(inspect(track, videos).join(fields, DEP, "left").withColumn("suggested_mapping", F.array(*pairs)))
-
-
-def build_video_metadata(track: DataFrame, deployments: DataFrame, interval_s: float | None = None, z: float | None = None, overrides: DataFrame | None = None, crs: int = 4326, mappings: Sequence[tuple[str, str]] = (), template: DataFrame | None = None) -> DataFrame:
+    summary = inspect(track, videos, rows).join(fields, DEP, "left").withColumn("suggested_mapping", F.array(*pairs))
+    if secondary is not None:
+        summary = summary.join(joined_logs(raw, secondary)["summary"], DEP, "left")
+    return tables.reports(summary)
+
+
+def joined_logs(raw: DataFrame, secondary: DataFrame, tolerance_s: float | None = None) -> dict[str, DataFrame]:
+    """The joined table of an inspection (J2): ``table``, the log with the columns of the nearest row of another one,
+    ``columns``, their clean and raw names, and ``summary``: for each deployment the joined rows, those that met a row
+    of the other log, and the share of these."""
+    clock = schema.resolve([c for c in secondary.columns if c not in (DEP, "row_no")], asof.TIMES, required=True)
+    marked = secondary.withColumn("_met", F.col(f"`{clock}`").isNotNull().cast("string"))
+    size = max(largest_group(raw, DEP), largest_group(secondary, DEP))
+    table, names = asof.combined_table(raw, marked, tolerance_s, segment_rows=SEGMENT_ROWS if size > SEGMENT_ROWS else None)
+    flag = names.where("raw = '_met'").first()["clean"]  # one of the table's column names
+    met = F.count_if(F.col(flag).isNotNull())
+    summary = table.groupBy(DEP).agg(F.count("*").alias("joined_rows"), met.alias("joined_matches"), F.round(100 * met / F.count("*"), 1).alias("joined_pct"))
+    return {"table": table.drop(flag), "columns": names.where("raw <> '_met'"), "summary": summary}
+
+
+def build_video_metadata(track: DataFrame, deployments: DataFrame, interval_s: float | None = None, z: float | None = None, overrides: DataFrame | None = None, crs: int = 4326, mappings: Sequence[tuple[str, str]] = (), template: DataFrame | None = None, segment_rows: int | None = None) -> DataFrame:
     """The video metadata table of a track. ``deployments`` names each deployment's profile; ``mappings`` are
     pairs of a column of the track and the field whose computed value it replaces."""
     rows = timeline.constant_z(profiles.carried_mappings(track, mappings) if mappings else track, z)
-    rows = timeline.resampled(rows, interval_s) if interval_s else rows
+    rows = timeline.resampled(rows, interval_s, segment_rows) if interval_s else rows
     rows = profiles.with_profile(rows.join(deployments, DEP, "left"), overrides, template)
-    moved = timeline.track_heading(rows.withColumn("_own", F.col("heading")))
+    moved = timeline.track_heading(rows.withColumn("_own", F.col("heading")), segment_rows=segment_rows)
     heading = F.coalesce(F.when(F.col("heading_mode") == "from_track", F.col("heading")).otherwise(F.col("_own")), "heading_constant")
-    made = profiles.video_metadata(moved.withColumn("heading", heading), crs)
+    made = profiles.video_metadata(moved.withColumn("heading", heading), crs, segment_rows=segment_rows)
     return profiles.mapped(made, mappings) if mappings else made
 
 
@@ -67,9 +111,10 @@ def video_metadata_table(raw: DataFrame, deployments: DataFrame, path: str, mapp
     """E2 from a raw log to files: the table as CSV below ``path``, a folder for each deployment, rows in order of
     time. Returns the mappings that were dropped, with reasons."""
     good, bad = schema.checked_mappings(mappings, raw.columns, list(profiles.VIDEO_FIELDS))
-    track = telemetry(raw, schema.resolve_telemetry(raw.columns, columns), [source for source, _ in good])
-    table = build_video_metadata(track, deployments, mappings=[(f"_src{i}", target) for i, (_, target) in enumerate(good)], **options)
-    tables.write_in_order(table, path, [DEP], ["Precision Time Stamp", "ObjectID"], [c for c in table.columns if c != DEP])
+    track, _ = read_telemetry(raw, schema.resolve_telemetry(raw.columns, columns), [source for source, _ in good])
+    rows = scan_rows(track)
+    table = build_video_metadata(track, deployments, mappings=[(f"_src{i}", target) for i, (_, target) in enumerate(good)], segment_rows=rows, **options)
+    tables.write_in_order(table, path, [DEP], ["Precision Time Stamp", "ObjectID"], [c for c in table.columns if c != DEP], ranged=rows is not None)
     return raw.sparkSession.createDataFrame(bad, "source string, target string, reason string")
 
 
@@ -83,19 +128,20 @@ def cross_reference_tables(frames: DataFrame, raw: DataFrame, path: str, earlier
     each deployment. The position and time columns must be there, and both tables must have rows. Returns the totals
     of the run."""
     resolved = schema.resolve_cross_reference(raw.columns, strict=True)
-    track = telemetry(raw, {k: c for k, c in resolved.items()})
-    table = cross_reference(timeline.require_rows(frames, "frames"), track, earlier, **options)
+    track, _ = read_telemetry(raw, resolved)
+    rows = scan_rows(track)
+    table = cross_reference(timeline.require_rows(frames, "frames"), track, earlier, segment_rows=rows, **options)
     cameras = fr.camera_table(track, {"NCols": "camera_ncols", "NRows": "camera_nrows", "FocalLength": "camera_focal_length", "PixelSize": "camera_pixel_size"}, camera or {})
     tables.write_in_order(table, f"{path}/frames", [DEP], ["ObjectID"], [c for c in table.columns if c != DEP])
     tables.write_in_order(cameras.withColumn("CameraID", F.lit(options.get("camera_id", 1))), f"{path}/cameras", [DEP], ["CameraID"], ["CameraID", "NCols", "NRows", "FocalLength", "PixelSize"])
-    matched = fr.matched_source_rows(frames, raw.join(track.select(DEP, "row_no", "ts"), [DEP, "row_no"]), options.get("tolerance_s"))
+    matched = fr.matched_source_rows(frames, raw.join(track.select(DEP, "row_no", "ts"), [DEP, "row_no"]), options.get("tolerance_s"), rows)
     tables.write_in_order(matched, f"{path}/matched", [DEP], ["row_no"], [c for c in raw.columns if c not in (DEP, "row_no")])
     return fr.run_totals(table)
 
 
 def image_sets(frames: DataFrame, cameras: DataFrame, inventory: DataFrame, hashes: DataFrame, headers: DataFrame, earlier: DataFrame | None = None, settings: str = "set", **fields) -> dict[str, DataFrame]:
-    """``items``, ``documents``, ``lines``, ``per_image``, ``issues``, ``biigle``, ``skipped``, ``joined``, ``xml``
-    and ``manifests`` of image sets. ``frames`` has set_id, row_no, path, filename, any source columns and, where a set
+    """``items``, ``documents``, ``lines``, ``per_image``, ``issues``, ``biigle``, ``skipped``, ``joined``, ``xml``,
+    ``manifests`` and ``manifest_lines`` of image sets. ``frames`` has set_id, row_no, path, filename, any source columns and, where a set
     has several tables, table_no; ``headers`` has set_id, a map ``header`` and, likewise, table_no: the first table's
     header and the last table's item count. ``earlier`` items (set_id, filename, uuid and item fields) give images
     their ids, and stay where the image is still there but not made anew."""
@@ -125,6 +171,7 @@ def image_sets(frames: DataFrame, cameras: DataFrame, inventory: DataFrame, hash
     return {
         "items": items, "documents": imageset.documents(folded, made), "lines": imageset.document_lines(folded, made), "per_image": imageset.per_image_documents(folded, made), "issues": issues, "biigle": biigle,
         "skipped": skipped, "joined": fr.camera_join(rows, cameras), "xml": xml, "manifests": tables.manifests(rows.select("set_id", "filename", "path").distinct(), F.lit(settings)),
+        "manifest_lines": ordered.manifest_lines(rows.select("set_id", "filename", "path").distinct(), F.lit(settings)),
     }
 
 
@@ -143,7 +190,7 @@ def write_image_sets(made: dict[str, DataFrame], path: str, layout: str | None =
     else:
         tables.write_documents(made["lines"], f"{path}/documents")
     tables.write_in_order(made["biigle"], f"{path}/biigle", ["set_id"], ["filename"], ["filename", "taken_at", "lng", "lat", "gps_altitude", "distance_to_ground", "area", "SUB_heading"])
-    tables.write_table(made["manifests"].select("set_id", F.col("manifest").alias("value")), f"{path}/manifests", ["value"], ["set_id"], form="text")
+    tables.write_documents(made["manifest_lines"], f"{path}/manifests")
 
 
 def imagery_tables(frames: DataFrame, category: str, present: DataFrame | None = None, heading_offset: float = 0.0, sources: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
@@ -154,7 +201,7 @@ def imagery_tables(frames: DataFrame, category: str, present: DataFrame | None =
         named = frames if "filename" in frames.columns else frames.withColumn("filename", imageset.basename(F.col("path")))
         frames = imagery.item_columns(imagery.enriched(named, *sources), imagery.item_keys(*sources))
     turned = timeline.carried_heading(frames.withColumn(DEP, F.col("set_id")), offset=heading_offset).drop(DEP)
-    fine = turned.where(~imagery.srs_part(F.col("srs"), 1).isin("4326")) if "srs" in frames.columns else turned
+    fine = turned.where(~is_geographic(F.col("srs"))) if "srs" in frames.columns else turned
     new = fine.withColumns({"Raster": F.col("path"), "PerspectiveX": F.col("x"), "PerspectiveY": F.col("y")})
     oriented = imagery.oriented_rows(imagery.new_images(new, present) if present is not None else new, category, extra=sources is not None)
     return {"catalogue": imagery.catalogue_rows(fine), "oriented": oriented, "rejected": turned.join(fine.select("set_id", "row_no"), ["set_id", "row_no"], "left_anti"), "manifest": tables.manifests(fine.select("set_id", F.col("path").alias("filename"), "path"), F.lit(category))}

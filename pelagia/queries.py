@@ -12,7 +12,7 @@ from pelagia.functions import normalize as n
 from pelagia.operators import asof, frames, imagery, imageset, packets, profiles, quality, schema, timeline
 from pelagia.operators.timeline import DEP
 from pelagia.plans import jobs
-from pelagia.sources import tables
+from pelagia.sources import ordered, tables
 from pelagia.streaming import incremental
 from pelagia.views import duck, view
 
@@ -765,8 +765,8 @@ def a9(spark, d):
 def s10(spark, d):
     path = _fresh(spark)
     tables.write_documents(imageset.document_lines(*_document_parts(spark, d)), path)
-    files = spark.read.text(path, wholetext=True).select("set_id", F.col("value").alias("document"))
-    return _read_documents(files)
+    parts = ordered.read_in_order(spark, path).groupBy("set_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda p: p["value"]), "\n").alias("document"))
+    return _read_documents(parts)
 
 
 @query("s10_image_documents", _A9.replace("count(*) OVER (PARTITION BY deployment_id)", "1::BIGINT"), "v_telemetry")
@@ -992,7 +992,7 @@ def s9(spark, d):
     kinds = "filename string, taken_at string, lng double, lat double, gps_altitude double, distance_to_ground double, area double, SUB_heading double, set_id bigint"
     rows = spark.read.csv(f"{path}/biigle", header=True, schema=kinds)
     images = spark.read.json(f"{path}/documents", schema="name string, document string, set_id bigint").select("set_id", F.regexp_replace("name", r"\.ifdo\.json$", "").alias("filename"))
-    settings = spark.read.text(f"{path}/manifests").select("set_id", F.get_json_object("value", "$.settings").alias("manifest_settings"))
+    settings = ordered.read_in_order(spark, f"{path}/manifests").groupBy("set_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda p: p["value"]), "").alias("value")).select("set_id", F.get_json_object("value", "$.settings").alias("manifest_settings"))
     return rows.join(images, ["set_id", "filename"]).join(settings, "set_id").select("set_id", "filename", "taken_at", "lng", "lat", "gps_altitude", "SUB_heading", "manifest_settings")
 
 

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pelagia.functions.normalize import basename
 
+from .places import numbered, with_places
+
 IMAGE_GLOB = "*.{tif,tiff,jpg,jpeg,png,TIF,TIFF,JPG,JPEG,PNG}"
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV log as text columns with stripped names, and ``source_file`` and ``row_no`` (increasing in file
-    order; gaps between splits)."""
+    """A CSV log as text columns with stripped names, and ``source_file`` and ``row_no``, the row's number from 0 in
+    its file, without gaps."""
     df = spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE")
-    df = df.toDF(*(c.strip() for c in df.columns))
-    return df.withColumns({"source_file": F.col("_metadata.file_path"), "row_no": F.monotonically_increasing_id()})
+    placed = with_places(df)
+    names = [c.strip() for c in df.columns]
+    return numbered(placed).select(*(F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)), "source_file", "row_no")
 
 
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,10 +35,39 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", basename(F.col("path")).alias("filename"), "modificationTime", "length")
 
 
-def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """SHA-256 of each image file; a file may have up to 2 GB."""
+#: Bytes of the largest file that is read as one value; larger ones are read in blocks.
+WHOLE_FILE = 256 << 20
+BLOCK = 8 << 20
+
+
+def file_hashes(spark: SparkSession, folder: str, whole: int = WHOLE_FILE, block: int = BLOCK) -> DataFrame:
+    """SHA-256 of each image file. Files up to ``whole`` bytes are values of a column; a larger one, of any size,
+    goes through the digest block by block in the task that has its path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", IMAGE_GLOB).option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+    small = files.where(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole).select("path", "length")
+    each = large.repartition(F.col("path")).select("path").mapInArrow(_streamed_digests(block), "path string, sha256 string")
+    return small.union(each)
+
+
+def _streamed_digests(block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column("path").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([streamed_digest(p, block) for p in paths], pa.string())], ["path", "sha256"])
+
+    return run
+
+
+def streamed_digest(path: str, block: int = BLOCK) -> str:
+    """SHA-256 of a file of any size at a URI of a local or remote file system, read in blocks."""
+    uri = re.sub(r"^file:/+", "file:///", path)
+    system, place = fs.FileSystem.from_uri(uri)
+    digest = hashlib.sha256()
+    with system.open_input_stream(unquote(place) if system.type_name == "local" else place) as stream:
+        while data := stream.read(block):
+            digest.update(data)
+    return digest.hexdigest()
 
 
 def content_hashes(files: DataFrame, body: str = "body") -> DataFrame:
@@ -38,18 +75,41 @@ def content_hashes(files: DataFrame, body: str = "body") -> DataFrame:
     return files.select("path", F.sha2(F.col(body).cast("binary"), 256).alias("sha256"))
 
 
+def last_of_keys(fields: Column, *without: str) -> Column:
+    """A map of which a repeated key's last value counts, without some keys."""
+    entries = F.filter(F.map_entries(fields), lambda e: ~e["key"].isin(*without)) if without else F.map_entries(fields)
+    return F.map_from_entries(_last_entries(entries))
+
+
+def _last_entries(entries: Column) -> Column:
+    """Entries (key, value) without those whose key comes again."""
+    names = F.transform(entries, lambda e: e["key"])
+    return F.filter(entries, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["key"]))
+
+
 def document_items(texts: DataFrame, once: bool = True) -> DataFrame:
     """``set_id, source_no, filename, item`` of JSON documents (set_id, source_no, document) in either form,
-    a map by file name or a list with ``$filename``; the first document of an image counts, or all of them."""
-    as_map = F.from_json(F.get_json_object("document", "$.image-set-items"), "map<string,map<string,string>>")
-    as_list = F.from_json(F.get_json_object("document", "$.image-set-items"), "array<map<string,string>>")
-    listed = F.map_from_entries(F.transform(F.filter(as_list, lambda e: F.element_at(e, F.lit("$filename")).isNotNull()), lambda e: F.struct(F.element_at(e, F.lit("$filename")), F.map_filter(e, lambda k, v: k != "$filename"))))
-    is_list = F.get_json_object("document", "$.image-set-items").rlike(r"^\s*\[")
-    rows = texts.select("set_id", "source_no", F.explode(F.when(is_list, listed).otherwise(as_map)).alias("filename", "item"))
-    if not once:
-        return rows
-    w = Window.partitionBy("set_id", "filename").orderBy("source_no")
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    a map by file name or a list with ``$filename``; the first document of an image counts, or all of them. Within one
+    document the first of a list's entries counts where a name comes again, and the last of a map's. Documents that
+    cannot be read give no items; ``unreadable_documents`` has them."""
+    body = texts.select("set_id", "source_no", F.get_json_object("document", "$.image-set-items").alias("_body")).withColumn("_listed", F.col("_body").rlike(r"^\s*\["))
+    listed = F.transform(F.from_json("_body", "array<string>"), lambda e: F.struct(F.get_json_object(e, "$.$filename").alias("key"), e.alias("value")))
+    named = F.map_entries(F.from_json("_body", "map<string,string>"))
+    each = body.select("set_id", "source_no", "_listed", F.posexplode(F.when(F.col("_listed"), listed).otherwise(named)).alias("_p", "_e")).select("set_id", "source_no", "_p", "_listed", F.col("_e.key").alias("filename"), F.from_json("_e.value", "map<string,string>").alias("item"))
+    good = each.where("filename IS NOT NULL AND filename <> '' AND item IS NOT NULL")
+    place = F.when(F.col("_listed"), F.col("_p")).otherwise(-F.col("_p"))
+    by = ["set_id", "filename"] if once else ["set_id", "filename", "source_no"]
+    w = Window.partitionBy(*by).orderBy("source_no", place)
+    rows = good.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    return rows.select("set_id", "source_no", "filename", last_of_keys(F.col("item"), "$filename").alias("item"))
+
+
+def unreadable_documents(texts: DataFrame) -> DataFrame:
+    """``set_id, source_no, reason`` of the documents (set_id, source_no, document) that ``document_items`` gets
+    nothing from: not JSON, or without items in either form."""
+    items = F.get_json_object("document", "$.image-set-items")
+    reason = F.when(F.get_json_object("document", "$").isNull(), "not JSON").when(~F.coalesce(items.rlike(r"^\s*[\[{]"), F.lit(False)), "no items")
+    return texts.select("set_id", "source_no", reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -77,16 +137,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_in_order(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None, form: str = "csv", mode: str = "overwrite") -> None:
+def write_in_order(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None, form: str = "csv", mode: str = "overwrite", ranged: bool = False) -> None:
     """``write_table`` with each key's rows together and in order: a shuffle by key and a sort within, never
-    a sort of the whole table."""
-    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    a sort of the whole table. ``ranged`` deals rows by ranges of key and order, with bounds from a sample, so that a
+    key too large for a task is written by several, whose files in order of their names are its rows."""
+    placed = (df.repartitionByRange(*keys, *(f"`{c}`" for c in order)) if ranged else df.repartition(*keys)).sortWithinPartitions(*keys, *(f"`{c}`" for c in order))
     write_table(placed, path, columns, keys, form, mode)
 
 
 def write_documents(lines: DataFrame, path: str) -> None:
-    """The lines of ``document_lines`` as one text file for each set, in a folder of its own."""
-    lines.repartition("set_id").sortWithinPartitions("set_id", "place").select("set_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("set_id").text(path)
+    """Lines (set_id, place, line) as text, a folder for each set. Rows are dealt by ranges of set and place,
+    with bounds from a sample, so a large set is written by many tasks, each a part of its own; a set's parts in order of
+    their names are its document. The lines are made once, before the sample."""
+    ranged = written(lines).repartitionByRange("set_id", "place").sortWithinPartitions("set_id", "place")
+    ranged.select("set_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("set_id").text(path)
 
 
 def document_format(value: str | None) -> str:
@@ -95,7 +159,8 @@ def document_format(value: str | None) -> str:
 
 
 def manifests(images: DataFrame, settings: Column) -> DataFrame:
-    """One JSON manifest for each set: images with their sources, their number, the settings."""
+    """One JSON manifest for each set, as a row: images with their sources, their number, the settings.
+    ``ordered.manifest_lines`` is the form for sets too large for that."""
     folded = images.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("filename", "path"))).alias("images"), F.count("*").alias("n_images"))
     return folded.select("set_id", "n_images", F.to_json(F.struct("set_id", "n_images", settings.alias("settings"), "images")).alias("manifest"))
 
@@ -130,12 +195,13 @@ def image_xml(items: DataFrame, existing: DataFrame | None = None) -> DataFrame:
 
 
 def xml_items(texts: DataFrame, domain: str) -> DataFrame:
-    """``set_id, filename, source_no, item`` of the XML texts (set_id, filename, source_no, xml) that have the domain."""
+    """``set_id, filename, source_no, item`` of the XML texts (set_id, filename, source_no, xml) that have the domain;
+    where a key comes again its last value counts."""
     block = F.regexp_extract("xml", rf'(?s)<Metadata domain="{domain}"\s*>(.*?)</Metadata>', 1)
     found = F.regexp_extract_all(block, F.lit(r'(?s)<MDI key="([^"]+)"\s*(?:/>|>.*?</MDI>)'), 0)
     key = lambda m: _unescaped(F.regexp_extract(m, r'<MDI key="([^"]+)"', 1))
     value = lambda m: _unescaped(F.regexp_extract(m, r"(?s)>(.*)</MDI>", 1))
-    return texts.where(F.size(found) > 0).select("set_id", "filename", "source_no", F.map_from_entries(F.transform(found, lambda m: F.struct(key(m), value(m)))).alias("item"))
+    return texts.where(F.size(found) > 0).select("set_id", "filename", "source_no", F.map_from_entries(_last_entries(F.transform(found, lambda m: F.struct(key(m).alias("key"), value(m).alias("value"))))).alias("item"))
 
 
 def enrichment_sources(texts: DataFrame, domain: str = "iFDO") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -185,12 +251,15 @@ def templates(metadata: DataFrame, description: str) -> DataFrame:
 
 def table_pairs(frames: DataFrame, cameras: DataFrame) -> DataFrame:
     """For each frame table (folder, name) the camera table of its folder that shares the longest beginning of
-    the name, the first by name on a tie; a single camera table always fits; none gives null. These are lists of
-    files of one folder, joined on the folder."""
+    the name, the first by name on a tie; a single camera table always fits; none gives null.
+
+    The first camera table of each beginning is kept once, so the work follows the characters of all names, and the
+    tables of one folder never meet in pairs or in one task."""
     c = cameras.select("folder", F.col("name").alias("camera_table"))
-    size = F.expr("aggregate(sequence(1, greatest(least(length(name), length(camera_table)), 1)), 0, (n, i) -> if(n = i - 1 and lower(substring(name, i, 1)) = lower(substring(camera_table, i, 1)), i, n))")
-    met = frames.join(c, "folder", "left").withColumn("shared", F.when(F.col("camera_table").isNotNull(), size))
-    best = Window.partitionBy("folder", "name").orderBy(F.col("shared").desc(), "camera_table")
-    alone = F.count("camera_table").over(Window.partitionBy("folder", "name")) == 1
-    picked = met.withColumns({"_n": F.row_number().over(best), "_one": alone}).where("_n = 1")
-    return picked.select("folder", "name", F.when(F.col("_one") | (F.col("shared") > 0), F.col("camera_table")).alias("camera_table"))
+    beginnings = lambda name: F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.lower(F.substring(name, F.lit(1), i)))
+    firsts = c.select("folder", "camera_table", F.explode(beginnings(F.col("camera_table"))).alias("_b")).groupBy("folder", "_b").agg(F.min("camera_table").alias("camera_table"))
+    alone = c.groupBy("folder").agg(F.when(F.count("*") == 1, F.min("camera_table")).alias("_only"))
+    asked = frames.select("folder", "name").distinct()
+    tried = asked.select("folder", "name", F.explode(beginnings(F.col("name"))).alias("_b"))
+    best = tried.join(firsts, ["folder", "_b"]).groupBy("folder", "name").agg(F.max_by("camera_table", F.length("_b")).alias("_best"))
+    return asked.join(alone, "folder", "left").join(best, ["folder", "name"], "left").select("folder", "name", F.coalesce("_only", "_best").alias("camera_table"))
