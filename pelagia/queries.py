@@ -144,6 +144,18 @@ def s11(spark, d):
     return made.select("set_id", F.get_json_object("manifest", "$.n_images").cast("bigint").alias("n_images"), F.get_json_object("manifest", "$.settings").alias("settings"), F.explode(listed).alias("i")).select("set_id", "n_images", "i.filename", "i.path", "settings")
 
 
+@query("s11_manifest_files", "SELECT set_id, count(*) OVER (PARTITION BY set_id) AS n_images, row_number() OVER (PARTITION BY set_id ORDER BY path) AS place, regexp_extract(path, '[^/]*$', 0) AS filename, path, 'default' AS settings FROM v_files", "v_files")
+def s11b(spark, d):
+    path = _fresh(spark)
+    images = view(spark, d, "v_files").select("set_id", n.basename(F.col("path")).alias("filename"), "path")
+    tables.write_documents(ordered.manifest_lines(images, F.lit("default")), path)
+    lines = ordered.read_in_order(spark, path)
+    body = F.regexp_replace("value", "^,", "")
+    head = lines.where("place = 0").select("set_id", F.from_json(F.concat("value", F.lit("]}")), "n_images bigint, settings string").alias("h"))
+    each = lines.where("value LIKE '%\"path\":%'").select("set_id", "place", F.from_json(body, "filename string, path string").alias("i"))
+    return each.join(head, "set_id").select(F.col("set_id").cast("bigint"), "h.n_images", "place", "i.filename", "i.path", "h.settings")
+
+
 def _fresh(spark) -> str:
     return f"{tables.shared_folder(spark)}/pelagia-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
@@ -183,6 +195,14 @@ def s1(spark, d):
     return tables.read_log(spark, path).select(F.col("deployment_id").cast("bigint"), F.col("no").cast("bigint").alias("row_no"), "time_text", "x_text")
 
 
+@query("s1_row_numbers", "SELECT deployment_id, row_no, row_number() OVER (PARTITION BY deployment_id ORDER BY row_no) - 1 AS file_row FROM v_telemetry_raw", "v_telemetry_raw")
+def s1b(spark, d):
+    path = _fresh(spark)
+    rows = view(spark, d, "v_telemetry_raw").repartition("deployment_id").sortWithinPartitions("deployment_id", "row_no")
+    rows.select("deployment_id", F.col("row_no").alias("no"), "time_text", "x_text").write.option("header", "true").partitionBy("deployment_id").csv(path)
+    return tables.read_log(spark, path).select(F.col("deployment_id").cast("bigint"), F.col("no").cast("bigint").alias("row_no"), F.col("row_no").alias("file_row"))
+
+
 @query("s6_document_items", "SELECT deployment_id AS set_id, concat(row_no, '.tif') AS filename, CASE WHEN row_no % 2 = 0 THEN 1 ELSE 2 END AS source_no, CASE WHEN row_no % 2 = 0 THEN 'map' ELSE 'list' END AS quality FROM v_telemetry", "v_telemetry")
 def s6(spark, d):
     rows = _t(spark, d).select(F.col(DEP).alias("set_id"), "row_no", F.concat("row_no", F.lit(".tif")).alias("filename"))
@@ -193,6 +213,39 @@ def s6(spark, d):
     return tables.document_items(texts).select("set_id", "filename", "source_no", F.element_at("item", F.lit("image-quality")).alias("quality"))
 
 
+def _document_files(spark, d) -> str:
+    """Documents of both forms as files, a folder for each set: names, text with braces and quotes, nested values."""
+    path = _fresh(spark)
+    text = F.concat(F.lit('"} {[ '), F.coalesce("body", F.lit("")), F.lit(" \\"))
+    rows = view(spark, d, "v_files").select("set_id", n.basename(F.col("path")).alias("filename"), F.left(text, F.lit(400)).alias("t"), F.array(F.struct(F.col("set_id").alias("a"), F.left(text, F.lit(9)).alias("b"))).alias("l"))
+    named = rows.where("set_id % 2 = 0").groupBy("set_id").agg(F.to_json(F.struct(F.struct(F.struct(F.lit("}{").alias("name")).alias("image-pi")).alias("image-set-header"), F.map_from_entries(F.collect_list(F.struct("filename", F.struct("t", "l")))).alias("image-set-items"), F.struct(F.struct(F.lit(1).alias("z")).alias("y")).alias("other"))).alias("value"))
+    listed = rows.where("set_id % 2 = 1").groupBy("set_id").agg(F.collect_list(F.struct(F.col("filename").alias("$filename"), "t", "l")).alias("i"))
+    again = F.transform("i", lambda e: F.struct(e["$filename"].alias("$filename"), F.lit("again").alias("t"), e["l"].alias("l")))
+    listed = listed.select("set_id", F.to_json(F.struct(F.concat("i", again).alias("image-set-items"))).alias("value"))
+    named.union(listed).write.partitionBy("set_id").text(path)
+    return path
+
+
+@query("s6_scanned_items", "SELECT set_id, regexp_extract(path, '[^/]*$', 0) AS filename, left(concat('\"} {[ ', coalesce(body, ''), ' \\'), 400) AS t FROM v_files", "v_files")
+def s6b(spark, d):
+    made = ordered.scanned_items(spark, _document_files(spark, d))
+    return made.select(F.regexp_extract("source_file", r"set_id=(\d+)", 1).cast("bigint").alias("set_id"), "filename", F.element_at("item", F.lit("t")).alias("t"))
+
+
+@query("s6_repeated_names", "SELECT set_id, regexp_extract(path, '[^/]*$', 0) AS filename, left(concat('\"} {[ ', coalesce(body, ''), ' \\'), 400) AS t FROM v_files", "v_files")
+def s6c(spark, d):
+    texts = spark.read.text(_document_files(spark, d), wholetext=True).select("set_id", F.lit(1).alias("source_no"), F.col("value").alias("document"))
+    return tables.document_items(texts).select(F.col("set_id").cast("bigint"), "filename", F.element_at("item", F.lit("t")).alias("t"))
+
+
+@query("s6_unreadable_documents", "SELECT set_id, source_no, reason FROM (SELECT DISTINCT set_id, unnest([1, 2]) AS source_no FROM v_files) CROSS JOIN (SELECT unnest(['not JSON', 'no items']) AS reason) WHERE (set_id % 3 = 0 AND reason = 'not JSON' AND source_no = 1) OR (reason = 'no items' AND source_no = 2)", "v_files")
+def s6d(spark, d):
+    sets = view(spark, d, "v_files").select("set_id").distinct()
+    body = F.when(F.col("set_id") % 3 == 0, '{"image-set-items": {"a.tif": {').otherwise('{"image-set-items": {"a.tif": {}}}')
+    texts = sets.select("set_id", F.lit(1).alias("source_no"), body.alias("document")).union(sets.select("set_id", F.lit(2), F.lit('{"image-set-header": {}}')))
+    return tables.unreadable_documents(texts)
+
+
 @query("s12_reports", "SELECT deployment_id, count(*) AS n_rows, concat('deployment_id: ', deployment_id, chr(10), 'n_rows: ', count(*), chr(10), 'least: ', coalesce(CAST(CAST(min(pitch) AS BIGINT) AS VARCHAR), 'not available')) AS report_text FROM v_telemetry GROUP BY 1", "v_telemetry")
 def s12(spark, d):
     made = tables.reports(_t(spark, d).groupBy(DEP).agg(F.count("*").alias("n_rows"), F.min("pitch").cast("bigint").alias("least")))
@@ -238,6 +291,13 @@ def f2(spark, d):
     return timeline.reject_counts(_cleaned(spark, d))
 
 
+@query("f2_observed_totals", "SELECT count(*) FILTER (TRY_CAST(trim(x_text) AS DOUBLE) IS NOT NULL AND time_text <> 'n/a') AS kept, count(*) FILTER (TRY_CAST(trim(x_text) AS DOUBLE) IS NULL) AS no_position, count(*) FILTER (TRY_CAST(trim(x_text) AS DOUBLE) IS NOT NULL AND time_text = 'n/a') AS no_time, count(*) FILTER (TRY_CAST(trim(x_text) AS DOUBLE) IS NOT NULL AND time_text <> 'n/a') AS rows_written FROM v_telemetry_raw", "v_telemetry_raw")
+def f2b(spark, d):
+    raw = view(spark, d, "v_telemetry_raw").select(DEP, "row_no", F.col("x_text").alias("X"), F.lit("1").alias("Y"), F.col("time_text").alias("Time"))
+    track, seen = jobs.read_telemetry(raw, {"x": "X", "y": "Y", "time": "Time"})
+    return track.agg(F.count("*").alias("rows_written")).select(*(F.lit(seen[k]).cast("bigint").alias(k.replace(" ", "_")) for k in ("kept", "no position", "no time")), "rows_written")
+
+
 @query("f3_existing_images", "SELECT path, set_id % 2 = 0 AS image_found FROM v_files", "v_files")
 def f3(spark, d):
     files = view(spark, d, "v_files").select("set_id", "path")
@@ -520,6 +580,16 @@ def j5(spark, d):
     return imagery.item_columns(imagery.enriched(f, *sources), imagery.item_keys(*sources))
 
 
+@query("j5_repeated_keys", "SELECT deployment_id AS set_id, concat(row_no, '.tif') AS filename, concat('new', row_no) AS ifdo_image_quality, CASE WHEN row_no % 2 = 0 THEN 'y' END AS ifdo_other FROM v_telemetry", "v_telemetry")
+def j5b(spark, d):
+    f = _items(spark, d).select("set_id", "filename", "row_no")
+    entry = lambda k, v: F.concat(F.lit(f'<MDI key="{k}">'), v, F.lit("</MDI>"))
+    body = F.concat(entry("image-quality", F.lit("old")), F.when(F.col("row_no") % 2 == 0, entry("other", F.lit("y"))).otherwise(""), entry("image-quality", F.concat(F.lit("new"), F.col("row_no"))))
+    texts = f.select("set_id", F.concat("filename", F.lit(".aux.xml")).alias("path"), F.concat(F.lit('<PAMDataset><Metadata domain="iFDO">'), body, F.lit("</Metadata></PAMDataset>")).alias("text"))
+    sources = tables.enrichment_sources(texts)
+    return imagery.item_columns(imagery.enriched(f.drop("row_no"), *sources), imagery.item_keys(*sources))
+
+
 _EARLIER = "row_no % 2 = 0"
 
 
@@ -915,6 +985,13 @@ _E2 = {
 }
 
 
+@query("e1_joined_logs", f"SELECT * FROM (WITH s AS ({_SECOND}), w AS (SELECT deployment_id, greatest(quantile_cont(g, 0.5) / 2, 0.05) AS tol FROM (SELECT deployment_id, (us - lag(us) OVER (PARTITION BY deployment_id ORDER BY us, row_no)) / 1e6 AS g FROM s) WHERE g > 0 GROUP BY 1), p AS (SELECT deployment_id, row_no, epoch_us(ts) AS t FROM v_telemetry WHERE row_no % 2 = 0), b AS (SELECT p.*, k.us AS bt FROM p ASOF LEFT JOIN s k ON p.deployment_id = k.deployment_id AND p.t > k.us), f AS (SELECT b.*, k.us AS ft FROM b ASOF LEFT JOIN s k ON b.deployment_id = k.deployment_id AND b.t <= k.us) SELECT f.deployment_id, count(*) AS joined_rows, count(*) FILTER (least(coalesce(t - bt, 9e18), coalesce(ft - t, 9e18)) / 1e6 <= w.tol) AS joined_matches FROM f LEFT JOIN w USING (deployment_id) GROUP BY 1)", "v_telemetry", "v_telemetry_raw")
+def e1d(spark, d):
+    first = _t(spark, d).where("row_no % 2 = 0").select(DEP, "row_no", F.col("ts").alias("UTC"), F.col("z").alias("x_text"))
+    second = view(spark, d, "v_telemetry_raw").where("row_no % 3 = 0 AND row_no % 20 <> 4").select(DEP, "row_no", F.col("time_text").alias("Time"), "x_text")
+    return jobs.joined_logs(first, second)["summary"].drop("joined_pct")
+
+
 @query("e2_video_metadata", f"SELECT {_columns(_E2)}, round(CASE WHEN c.heading_mode = 'from_track' THEN coalesce(CASE WHEN nx IS NULL THEN lag(b) OVER v ELSE b END, c.heading_constant) ELSE c.heading_constant END, 3) AS \"Platform Heading Angle\" FROM (SELECT *, CASE WHEN nx <> x OR ny <> y THEN ((degrees(atan2(nx - x, ny - y)) % 360) + 360) % 360 END AS b FROM (SELECT *, lead(x) OVER v AS nx, lead(y) OVER v AS ny FROM (SELECT deployment_id, row_no, us, x, y, z, pitch, roll FROM ({_W6.replace('round(x + (x2 - x) * f, 6)', 'x + (x2 - x) * f').replace('round(y + (y2 - y) * f, 6)', 'y + (y2 - y) * f')})) WINDOW v AS (PARTITION BY deployment_id ORDER BY us, row_no))) JOIN {_PROFILE_ROWS} ON c.i = deployment_id % 7 WINDOW v AS (PARTITION BY deployment_id ORDER BY us, row_no)", "v_telemetry")
 def e2(spark, d):
     made = jobs.build_video_metadata(_t(spark, d), _deployments(spark, d), 3600.0).drop("AcquisitionDate")
@@ -1019,6 +1096,14 @@ def e5b(spark, d):
     return made["catalogue"].select("set_id", "Name", *(F.round(c, 6).alias(c) for c in ("xMin", "xMax", "yMin", "yMax")))
 
 
+@query("e5_systems", "SELECT deployment_id AS set_id, row_no, CASE WHEN deployment_id % 5 IN (1, 2, 3) THEN 'rejected' ELSE 'catalogue' END AS went FROM v_telemetry", "v_telemetry")
+def e5c(spark, d):
+    srs = F.get(F.array(F.lit("3857"), F.lit("4326"), F.lit("4269;5773"), F.lit('GEOGCS["WGS 84"]'), F.lit(None)), (F.col("set_id") % 5).cast("int"))
+    made = jobs.imagery_tables(_boxes(spark, d).drop("xMin", "xMax", "yMin", "yMax").withColumn("srs", srs), "Nadir")
+    row = F.regexp_extract("Name", r"^(\d+)", 1).cast("bigint").alias("row_no")
+    return made["catalogue"].select("set_id", row, F.lit("catalogue").alias("went")).union(made["rejected"].select("set_id", "row_no", F.lit("rejected")))
+
+
 @query("r1_incremental", f"SELECT DISTINCT f.deployment_id, f.filename AS \"Filename\", delta_s AS \"MatchTimeDeltaSeconds\", t.pitch AS \"CameraPitch\" {_FRAME_TABLE} WHERE {_HIT}", "v_telemetry", "v_frames")
 def r1(spark, d):
     path = _fresh(spark)
