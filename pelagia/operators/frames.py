@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,17 +48,24 @@ def matched_frames(frames: DataFrame, telemetry: DataFrame, earlier: DataFrame |
     first = next_ids(earlier) if earlier is not None else None
     near = near.join(first, DEP, "left") if first is not None else near.withColumn("next_id", F.lit(None).cast("bigint"))
     w = Window.partitionBy(DEP).orderBy("filename", "row_no")
-    near = near.withColumn("_p", project(F.col("m_x"), F.col("m_y"), 4326, crs)).withColumn("_id", F.row_number().over(w) - 1 + F.coalesce("next_id", F.lit(1)))
+    near = near.withColumn("_id", F.row_number().over(w) - 1 + F.coalesce("next_id", F.lit(1)))
+    return frame_rows(near, camera_id, crs)
+
+
+def frame_rows(near: DataFrame, camera_id: int = 1, crs: int = 4326, others: Sequence[str] = ()) -> DataFrame:
+    """The frame table of frames with their nearest telemetry: ``_id``, filename, maybe path, ts, elapsed_ms,
+    delta_s, matched, and the telemetry's columns after ``m_``; ``others`` are kept."""
+    near = near.withColumn("_p", project(F.col("m_x"), F.col("m_y"), 4326, crs))
     hit = lambda c: F.when(F.col("matched"), c)
-    has = lambda c: F.col(f"m_{c}").cast("double") if c in telemetry.columns else F.lit(None).cast("double")
-    path = F.col("path") if "path" in frames.columns else F.col("filename")
+    has = lambda c: F.col(f"m_{c}").cast("double") if f"m_{c}" in near.columns else F.lit(None).cast("double")
+    path = F.col("path") if "path" in near.columns else F.col("filename")
     return near.select(
         DEP, F.col("_id").cast("bigint").alias("ObjectID"), path.alias("Raster"), F.col("filename").alias("Filename"),
         hit(F.unix_micros("ts")).alias("Precision Time Stamp"), hit(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("AcquisitionDate"),
         hit(F.col("m_x")).alias("Platform Longitude"), hit(F.col("m_y")).alias("Platform Latitude"), hit(F.col("m_z")).alias("Sensor Altitude"),
         hit(F.col("_p.x")).alias("PerspectiveX"), hit(F.col("_p.y")).alias("PerspectiveY"), hit(F.col("m_z")).alias("PerspectiveZ"), hit(F.lit(crs)).alias("SRS"),
         F.lit(camera_id).alias("CameraID"), *(hit(has(c)).alias(name) for c, name in MATCHED.items()),
-        F.col("elapsed_ms").alias("ElapsedMilliseconds"), F.col("delta_s").alias("MatchTimeDeltaSeconds"), F.col("matched").alias("Matched"),
+        F.col("elapsed_ms").alias("ElapsedMilliseconds"), F.col("delta_s").alias("MatchTimeDeltaSeconds"), F.col("matched").alias("Matched"), *others,
     )
 
 

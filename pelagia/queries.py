@@ -13,7 +13,7 @@ from pelagia.operators import asof, frames, imagery, imageset, packets, profiles
 from pelagia.operators.timeline import DEP
 from pelagia.plans import jobs
 from pelagia.sources import ordered, tables
-from pelagia.streaming import incremental
+from pelagia.streaming import incremental, stateful
 from pelagia.views import duck, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1113,3 +1113,22 @@ def r1(spark, d):
     frames_in = spark.readStream.schema("deployment_id bigint, row_no bigint, filename string, camera_id string, arrived timestamp").option("maxFilesPerTrigger", 1000).parquet(f"{path}/arriving")
     incremental.match_stream(frames_in, _t(spark, d), f"{path}/tables", tolerance_s=3600.0).awaitTermination()
     return spark.read.parquet(f"{path}/tables/matched").select(DEP, "Filename", "MatchTimeDeltaSeconds", "CameraPitch")
+
+
+@query("r1_stateful", f"SELECT {_columns({k: v for k, v in _P23.items()})}, CASE WHEN {_ELAPSED} IS NULL THEN 'no time' ELSE 'found' END AS status {_FRAME_TABLE}", "v_telemetry", "v_frames")
+def r1b(spark, d):
+    """Both sides in three batches, telemetry out of order by as much as ``delay_s``, frames before their telemetry; the
+    stream is stopped after the first batches and goes on from its checkpoint."""
+    path = _fresh(spark)
+    t, f = _t(spark, d), _frames(spark, d).select(DEP, "row_no", "filename")
+    parts = lambda df, by: [df.where(by == k) for k in range(3)]
+    month = F.pmod(F.floor(F.unix_micros("ts") / F.lit(20 * 86400e6)).cast("int") + F.col("row_no") % 2, F.lit(3))
+    for k, (rows, asks) in enumerate(zip(parts(t, month), parts(f, F.col("row_no") % 3), strict=True)):
+        rows.write.mode("append").parquet(f"{path}/telemetry")
+        asks.write.mode("append").parquet(f"{path}/frames")
+        done = t.select(DEP).unionByName(f.select(DEP)).distinct() if k == 2 else t.select(DEP).limit(0)
+        done.write.mode("append").parquet(f"{path}/ends")
+        streams = [spark.readStream.schema(df.schema).parquet(f"{path}/{name}") for name, df in (("frames", f), ("telemetry", t), ("ends", done))]
+        made = stateful.matched_stream(streams[0], streams[1], 3600.0, ends=streams[2], delay_s=400 * 86400.0, crs=3857)
+        made.writeStream.format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/_progress").trigger(availableNow=True).start().awaitTermination()
+    return _rounded(spark.read.parquet(f"{path}/table"))

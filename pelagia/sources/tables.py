@@ -6,7 +6,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator, Sequence
-from urllib.parse import unquote
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -41,7 +41,7 @@ BLOCK = 8 << 20
 
 
 def file_hashes(spark: SparkSession, folder: str, whole: int = WHOLE_FILE, block: int = BLOCK) -> DataFrame:
-    """SHA-256 of each image file. Files up to ``whole`` bytes are values of a column; a larger one, of any size,
+    """SHA-256 of each image file that is not empty (Spark lists no empty ones). Files up to ``whole`` bytes are values of a column; a larger one, of any size,
     goes through the digest block by block in the task that has its path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", IMAGE_GLOB).option("recursiveFileLookup", "true").load(folder)
     small = files.where(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("sha256"))
@@ -60,11 +60,11 @@ def _streamed_digests(block: int):
 
 
 def streamed_digest(path: str, block: int = BLOCK) -> str:
-    """SHA-256 of a file of any size at a URI of a local or remote file system, read in blocks."""
-    uri = re.sub(r"^file:/+", "file:///", path)
-    system, place = fs.FileSystem.from_uri(uri)
+    """SHA-256 of a file of any size at a path as Spark names it, of a local or remote file system, read in blocks."""
+    local = re.match(r"file:|/", path)
+    system, place = (fs.LocalFileSystem(), "/" + re.sub(r"^file:", "", path).lstrip("/")) if local else fs.FileSystem.from_uri(quote(path, safe=":/@"))
     digest = hashlib.sha256()
-    with system.open_input_stream(unquote(place) if system.type_name == "local" else place) as stream:
+    with system.open_input_stream(place) as stream:
         while data := stream.read(block):
             digest.update(data)
     return digest.hexdigest()
@@ -257,7 +257,7 @@ def table_pairs(frames: DataFrame, cameras: DataFrame) -> DataFrame:
     tables of one folder never meet in pairs or in one task."""
     c = cameras.select("folder", F.col("name").alias("camera_table"))
     beginnings = lambda name: F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.lower(F.substring(name, F.lit(1), i)))
-    firsts = c.select("folder", "camera_table", F.explode(beginnings(F.col("camera_table"))).alias("_b")).groupBy("folder", "_b").agg(F.min("camera_table").alias("camera_table"))
+    firsts = c.select("folder", "camera_table", F.explode(beginnings(F.col("camera_table"))).alias("_b")).where("_b <> ''").groupBy("folder", "_b").agg(F.min("camera_table").alias("camera_table"))
     alone = c.groupBy("folder").agg(F.when(F.count("*") == 1, F.min("camera_table")).alias("_only"))
     asked = frames.select("folder", "name").distinct()
     tried = asked.select("folder", "name", F.explode(beginnings(F.col("name"))).alias("_b"))
