@@ -215,6 +215,19 @@ def test_line_bands_find_pairs(spark):
     assert found > 0.9  # pairs just above the threshold
 
 
+@pytest.mark.parametrize("size", [4, 5, 6, 8, 9, 12, 16, 24])
+def test_line_bands_find_pairs_of_short_lines(spark, size):
+    """At the threshold itself: a line and the same with characters more, sets of ``size`` and size / 0.8 shingles."""
+    rng = random.Random(size)
+    more = size // 4
+    whole = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(size + 4 + more)) for _ in range(1500)]
+    pairs = [(x[: size + 4], x) if k % 2 else (x[more:], x) for k, x in enumerate(whole)]
+    lines = spark.createDataFrame([(2 * k + i, x) for k, p in enumerate(pairs) for i, x in enumerate(p)], "doc bigint, line string")
+    keys = {r["doc"]: set(r["keys"]) for r in line_dedup.signatures(lines).collect()}
+    found = np.mean([bool(keys[2 * k] & keys[2 * k + 1]) for k in range(len(pairs)) if 2 * k in keys and 2 * k + 1 in keys])
+    assert found > 0.9
+
+
 @pytest.mark.parametrize("split", [2, 3000])
 def test_suffix_array_and_repeats(spark, monkeypatch, split):
     rng = random.Random(5)
