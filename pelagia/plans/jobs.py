@@ -123,23 +123,48 @@ def cross_reference(frames: DataFrame, telemetry: DataFrame, earlier: DataFrame
     return fr.appended(earlier, fr.matched_frames(frames, telemetry, earlier, **options))
 
 
-def cross_reference_tables(frames: DataFrame, raw: DataFrame, path: str, earlier: DataFrame | None = None, camera: dict[str, float] | None = None, **options) -> DataFrame:
-    """E3 from a raw metadata table to files: frame, camera and matched-row tables as CSV below ``path``, a folder for
-    each deployment. The position and time columns must be there, and both tables must have rows. Returns the totals
-    of the run."""
+def _cross_referenced(frames: DataFrame, raw: DataFrame, path: str, earlier: DataFrame | None, camera: dict[str, float] | None, options: dict) -> tuple[DataFrame, DataFrame | None]:
+    """The frame table and the cameras of a run whose tables are written below ``path``; where every frame is in the
+    ``earlier`` table, that table, and no cameras: the telemetry is not read then."""
     resolved = schema.resolve_cross_reference(raw.columns, strict=True)
+    timeline.require_rows(frames, "frames")
+    if earlier is not None and fr.new_frames(frames, earlier).isEmpty():
+        return earlier, None
     track, _ = read_telemetry(raw, resolved)
     rows = scan_rows(track)
-    table = cross_reference(timeline.require_rows(frames, "frames"), track, earlier, segment_rows=rows, **options)
-    cameras = fr.camera_table(track, {"NCols": "camera_ncols", "NRows": "camera_nrows", "FocalLength": "camera_focal_length", "PixelSize": "camera_pixel_size"}, camera or {})
+    table = tables.written(cross_reference(frames, track, earlier, segment_rows=rows, **options))
+    cameras = fr.camera_table(track, {"NCols": "camera_ncols", "NRows": "camera_nrows", "FocalLength": "camera_focal_length", "PixelSize": "camera_pixel_size"}, camera or {}).withColumn("CameraID", F.lit(options.get("camera_id", 1)))
     tables.write_in_order(table, f"{path}/frames", [DEP], ["ObjectID"], [c for c in table.columns if c != DEP])
-    tables.write_in_order(cameras.withColumn("CameraID", F.lit(options.get("camera_id", 1))), f"{path}/cameras", [DEP], ["CameraID"], ["CameraID", "NCols", "NRows", "FocalLength", "PixelSize"])
+    tables.write_in_order(cameras, f"{path}/cameras", [DEP], ["CameraID"], ["CameraID", "NCols", "NRows", "FocalLength", "PixelSize"])
     matched = fr.matched_source_rows(frames, raw.join(track.select(DEP, "row_no", "ts"), [DEP, "row_no"]), options.get("tolerance_s"), rows)
     tables.write_in_order(matched, f"{path}/matched", [DEP], ["row_no"], [c for c in raw.columns if c not in (DEP, "row_no")])
-    return fr.run_totals(table)
+    return table, cameras
 
 
-def image_sets(frames: DataFrame, cameras: DataFrame, inventory: DataFrame, hashes: DataFrame, headers: DataFrame, earlier: DataFrame | None = None, settings: str = "set", **fields) -> dict[str, DataFrame]:
+def cross_reference_tables(frames: DataFrame, raw: DataFrame, path: str, earlier: DataFrame | None = None, camera: dict[str, float] | None = None, **options) -> DataFrame:
+    """E3 from a raw metadata table to files: frame, camera and matched-row tables as CSV below ``path``, a folder for
+    each deployment. The position and time columns must be there, and both tables must have rows. Returns the totals
+    of the run. Where no frame is new nothing is read or written, and the totals are those of the earlier table."""
+    return fr.run_totals(_cross_referenced(frames, raw, path, earlier, camera, options)[0])
+
+
+def cross_reference_sets(frames: DataFrame, raw: DataFrame, path: str, inventory: DataFrame, hashes: DataFrame, headers: DataFrame, earlier: DataFrame | None = None, items: DataFrame | None = None, camera: dict[str, float] | None = None, layout: str | None = None, settings: str = "set", **options) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """E3 and then E4 of the same frames: the totals of the run and, where frames were new, the image sets of their
+    frame and camera tables, one set for each deployment, written below ``path``. ``inventory`` (set_id, path),
+    ``hashes`` (path, sha256), ``headers`` and the earlier ``items`` are as for ``image_sets``."""
+    table, cameras = _cross_referenced(frames, raw, path, earlier, camera, options)
+    totals = fr.run_totals(table)
+    if cameras is None:
+        return totals, {}
+    key = F.concat_ws("/", F.col(DEP).cast("string"), F.col("CameraID").cast("string"))
+    rows = table.select(F.col(DEP).alias("set_id"), F.col("ObjectID").alias("row_no"), F.col("Raster").alias("path"), F.col("Filename").alias("filename"), key.alias("camera_key"), *(f"`{c}`" for c in table.columns if c not in (DEP, "ObjectID", "Raster", "Filename")))
+    of_sets = cameras.select(F.col(DEP).alias("set_id"), F.lit(0).alias("row_no"), key.alias("camera_key"), "CameraID", "NCols", "NRows", "FocalLength", "PixelSize")
+    made = image_sets(rows, of_sets, inventory, hashes, headers, items, settings, camera_key="camera_key", pair=("Platform Latitude", "Platform Longitude"))
+    write_image_sets(made, f"{path}/sets", layout)
+    return totals, made
+
+
+def image_sets(frames: DataFrame, cameras: DataFrame, inventory: DataFrame, hashes: DataFrame, headers: DataFrame, earlier: DataFrame | None = None, settings: str = "set", camera_key: str = "camera_id", **fields) -> dict[str, DataFrame]:
     """``items``, ``documents``, ``lines``, ``per_image``, ``issues``, ``biigle``, ``skipped``, ``joined``, ``xml``,
     ``manifests`` and ``manifest_lines`` of image sets. ``frames`` has set_id, row_no, path, filename, any source columns and, where a set
     has several tables, table_no; ``headers`` has set_id, a map ``header`` and, likewise, table_no: the first table's
@@ -170,7 +195,7 @@ def image_sets(frames: DataFrame, cameras: DataFrame, inventory: DataFrame, hash
     xml = tables.image_xml(mapped.select("set_id", "filename", F.lit("iFDO").alias("domain"), F.lit(1).alias("version"), F.map_filter("item", lambda k, v: v.isNotNull()).alias("item")))
     return {
         "items": items, "documents": imageset.documents(folded, made), "lines": imageset.document_lines(folded, made), "per_image": imageset.per_image_documents(folded, made), "issues": issues, "biigle": biigle,
-        "skipped": skipped, "joined": fr.camera_join(rows, cameras), "xml": xml, "manifests": tables.manifests(rows.select("set_id", "filename", "path").distinct(), F.lit(settings)),
+        "skipped": skipped, "joined": fr.camera_join(rows, cameras, camera_key), "xml": xml, "manifests": tables.manifests(rows.select("set_id", "filename", "path").distinct(), F.lit(settings)),
         "manifest_lines": ordered.manifest_lines(rows.select("set_id", "filename", "path").distinct(), F.lit(settings)),
     }
 

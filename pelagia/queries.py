@@ -1062,6 +1062,23 @@ def e4b(spark, d):
     return _sets(spark, d)["issues"]
 
 
+@query("e3_image_sets", f"SELECT deployment_id AS set_id, filename, CASE WHEN hit THEN y END AS lat, CASE WHEN hit THEN x END AS lon FROM (SELECT f.deployment_id, f.filename, t.x, t.y, {_HIT} AS hit {_FRAME_TABLE} WHERE f.row_no % 4 <> 0)", "v_telemetry", "v_frames")
+def e3c(spark, d):
+    f, t = _frames(spark, d), _t(spark, d)
+    raw = t.select(DEP, "row_no", F.unix_micros("ts").cast("string").alias("UTC"), F.col("x").cast("string").alias("Sensor Longitude"), F.col("y").cast("string").alias("Sensor Latitude"))
+    there = f.where("row_no % 4 <> 0").select(F.col(DEP).alias("set_id"), F.concat(F.lit("img/"), F.col("filename")).alias("path")).distinct()
+    heads = f.select(F.col(DEP).alias("set_id")).distinct().select("set_id", F.create_map(F.lit("image-set-name"), F.lit("s")).alias("header"))
+    hashes = there.select("path", F.sha2("path", 256).alias("sha256"))
+    path = _fresh(spark)
+    options = {"camera": {"NCols": 640.0}, "tolerance_s": 3600.0}
+    totals, made = jobs.cross_reference_sets(f, raw, path, there, hashes, heads, **options)
+    done = tables.written(jobs.cross_reference(f, t, tolerance_s=3600.0))
+    again, nothing = jobs.cross_reference_sets(f, raw, f"{path}/again", there, hashes, heads, done, **options)
+    assert not nothing and sorted(map(tuple, again.collect())) == sorted(map(tuple, totals.collect()))
+    return made["items"].select("set_id", "filename", F.col("image-latitude").alias("lat"), F.col("image-longitude").alias("lon"))
+
+
+
 @query("s9_annotation_files", "SELECT deployment_id AS set_id, concat(row_no, '.tif') AS filename, strftime(ts, '%Y-%m-%d %H:%M:%S') AS taken_at, x AS lng, y AS lat, z AS gps_altitude, CASE WHEN row_no % 5 <> 0 THEN heading END AS \"SUB_heading\", 'x' AS manifest_settings FROM v_telemetry WHERE row_no % 10 <> 0", "v_telemetry")
 def s9(spark, d):
     path = _fresh(spark)
