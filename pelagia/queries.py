@@ -550,9 +550,9 @@ def j2b(spark, d):
     return table.select(DEP, "row_no", F.unix_micros("UTC").alias("time_us"), "x_text", F.unix_micros(n.any_time(F.col("Time"))).alias("second_us"), "x_text_2")
 
 
-@query("j3_camera_join", "SELECT f.row_no AS \"Frame_row_no\", c.pixel_size AS \"Camera_pixel_size\" FROM v_frames f LEFT JOIN v_cameras c ON CAST(CAST(trim(f.camera_id) AS DOUBLE) AS BIGINT) = CAST(c.camera_id AS BIGINT)", "v_frames", "v_cameras")
+@query("j3_camera_join", "SELECT f.deployment_id AS \"Frame_deployment_id\", f.row_no AS \"Frame_row_no\", f.filename AS \"Frame_filename\", f.camera_id AS \"Frame_camera_id\", c.row_no AS \"Camera_row_no\", c.camera_id AS \"Camera_camera_id\", c.ncols AS \"Camera_ncols\", c.nrows AS \"Camera_nrows\", c.focal_length AS \"Camera_focal_length\", c.pixel_size AS \"Camera_pixel_size\" FROM v_frames f LEFT JOIN v_cameras c ON CAST(CAST(trim(f.camera_id) AS DOUBLE) AS BIGINT) = CAST(c.camera_id AS BIGINT)", "v_frames", "v_cameras")
 def j3(spark, d):
-    return frames.camera_join(_frames(spark, d), view(spark, d, "v_cameras")).select("Frame_row_no", "Camera_pixel_size")
+    return frames.camera_join(_frames(spark, d), view(spark, d, "v_cameras"))
 
 
 @query("j4_table_pairs", "SELECT CAST(deployment_id % 7 AS VARCHAR) AS folder, concat('dive', deployment_id, '_frames') AS name, (SELECT c FROM (SELECT concat('dive', o.deployment_id, '_cameras') AS c, length(p) AS size FROM (SELECT DISTINCT deployment_id FROM v_telemetry) o, (SELECT unnest([left(concat('dive', t.deployment_id, '_frames'), i) FOR i IN range(1, 40)]) AS p) x WHERE o.deployment_id % 2 = 0 AND o.deployment_id % 7 = t.deployment_id % 7 AND length(p) <= length(concat('dive', o.deployment_id, '_cameras')) AND starts_with(concat('dive', o.deployment_id, '_cameras'), p)) ORDER BY size DESC, c LIMIT 1) AS camera_table FROM (SELECT DISTINCT deployment_id FROM v_telemetry) t", "v_telemetry")
@@ -767,10 +767,10 @@ def p21(spark, d):
     return frames.rewritten_paths(rows, ["image"], "new")
 
 
-@query("p22_rename_plan", "SELECT set_id, name, CASE WHEN nn IS NULL THEN 'skipped' WHEN row_number() OVER (PARTITION BY set_id, nn ORDER BY name) > 1 THEN 'error' ELSE 'renamed' END AS status FROM (SELECT deployment_id AS set_id, filename AS name, CASE WHEN filename LIKE '%\\_%' ESCAPE '\\' THEN concat('ROV1_', split_part(filename, '_', 2)) END AS nn FROM (SELECT DISTINCT deployment_id, filename FROM v_frames))", "v_frames")
+@query("p22_rename_plan", "SELECT set_id, name, nn AS new_name, CASE WHEN nn IS NULL THEN 'skipped' WHEN row_number() OVER (PARTITION BY set_id, nn ORDER BY name) > 1 THEN 'error' ELSE 'renamed' END AS status FROM (SELECT deployment_id AS set_id, filename AS name, CASE WHEN filename LIKE '%\\_%' ESCAPE '\\' THEN concat('ROV1_', split_part(filename, '_', 2)) END AS nn FROM (SELECT DISTINCT deployment_id, filename FROM v_frames))", "v_frames")
 def p22(spark, d):
     files = _frames(spark, d).select(F.col(DEP).alias("set_id"), F.col("filename").alias("name")).distinct()
-    return frames.rename_plan(files, "ROV1").select("set_id", "name", "status")
+    return frames.rename_plan(files, "ROV1")
 
 
 def _matched(spark, d):
@@ -803,11 +803,11 @@ def p23(spark, d):
 
 
 # --- aggregates --------------------------------------------------------------------------------------------------
-@query("a8_header_defaults", "SELECT deployment_id AS set_id, strftime(date_trunc('millisecond', min(ts)), '%Y-%m-%d %H:%M:%S.%g') AS first_time, round(avg(y), 6) AS lat, round(min(x), 6) AS low_lon, 'EPSG:4326' AS crs FROM v_telemetry GROUP BY 1", "v_telemetry")
+@query("a8_header_defaults", "SELECT deployment_id AS set_id, strftime(date_trunc('millisecond', min(ts)), '%Y-%m-%d %H:%M:%S.%g') AS first_time, round(avg(y), 6) AS lat, round(avg(x), 6) AS lon, round(avg(z), 6) AS altitude, 'EPSG:4326' AS crs, round(min(y), 6) AS low_lat, round(max(y), 6) AS high_lat, round(min(x), 6) AS low_lon, round(max(x), 6) AS high_lon FROM v_telemetry GROUP BY 1", "v_telemetry")
 def a8(spark, d):
-    items = imageset.item_fields(_items(spark, d), ["set_id", "row_no"], ("Latitude", "Longitude"))
-    h = imageset.header_defaults(items)
-    return h.select("set_id", F.col("image-datetime").alias("first_time"), F.round("image-latitude", 6).alias("lat"), F.round("image-set-min-longitude-degrees", 6).alias("low_lon"), F.col("image-coordinate-reference-system").alias("crs"))
+    h = imageset.header_defaults(imageset.item_fields(_items(spark, d), ["set_id", "row_no"], ("Latitude", "Longitude")))
+    numbers = {"lat": "latitude", "lon": "longitude", "altitude": "altitude-meters", "low_lat": "set-min-latitude-degrees", "high_lat": "set-max-latitude-degrees", "low_lon": "set-min-longitude-degrees", "high_lon": "set-max-longitude-degrees"}
+    return h.select("set_id", F.col("image-datetime").alias("first_time"), F.col("image-coordinate-reference-system").alias("crs"), *(F.round(f"image-{c}", 6).alias(n) for n, c in numbers.items()))
 
 
 _A9 = "SELECT deployment_id AS set_id, count(*) OVER (PARTITION BY deployment_id) AS n_items, concat('first', deployment_id) AS name, concat(row_no, '.tif') AS filename, y AS latitude FROM v_telemetry"
@@ -1090,6 +1090,34 @@ def s9(spark, d):
     return rows.join(images, ["set_id", "filename"]).join(settings, "set_id").select("set_id", "filename", "taken_at", "lng", "lat", "gps_altitude", "SUB_heading", "manifest_settings")
 
 
+@query("e4_skipped", "SELECT deployment_id AS set_id, concat(row_no, '.tif') AS filename FROM v_telemetry WHERE row_no % 10 = 0", "v_telemetry")
+def e4c(spark, d):
+    return _sets(spark, d)["skipped"]
+
+
+@query("e4_joined", "SELECT t.deployment_id AS set_id, t.row_no, concat('a/', t.row_no, '.tif') AS path, t.row_no % 12 AS frame_camera, c.row_no AS camera_row, c.camera_id, c.ncols, c.nrows, c.focal_length, c.pixel_size FROM v_telemetry t LEFT JOIN v_cameras c ON CAST(c.camera_id AS BIGINT) = t.row_no % 12 WHERE t.row_no % 10 <> 0", "v_telemetry", "v_cameras")
+def e4d(spark, d):
+    made = _sets(spark, d)["joined"]
+    return made.select(F.col("Frame_set_id").alias("set_id"), F.col("Frame_row_no").alias("row_no"), F.col("Frame_path").alias("path"), F.col("Frame_camera_id").alias("frame_camera"), F.col("Camera_row_no").alias("camera_row"), *(F.col(f"Camera_{c}").alias(c) for c in ("camera_id", "ncols", "nrows", "focal_length", "pixel_size")))
+
+
+@query("e4_xml", "SELECT deployment_id AS set_id, concat(row_no, '.tif') AS filename, strftime(date_trunc('millisecond', ts), '%Y-%m-%d %H:%M:%S.%g') AS taken, md5(concat(deployment_id, '/', row_no, '.tif')) AS id, sha256(concat('a/', row_no, '.tif')) AS sha256 FROM v_telemetry WHERE row_no % 10 <> 0", "v_telemetry")
+def e4e(spark, d):
+    items = tables.xml_items(_sets(spark, d)["xml"].withColumn("source_no", F.lit(0)), "iFDO")
+    at = lambda k: F.element_at("item", F.lit(k))
+    return items.select("set_id", "filename", at("image-datetime").alias("taken"), F.replace(at("image-uuid"), F.lit("-"), F.lit("")).alias("id"), at("image-hash-sha256").alias("sha256"))
+
+
+@query("e4_document_files", "SELECT deployment_id AS set_id, count(*) OVER (PARTITION BY deployment_id) + 2 AS n_lines, row_number() OVER (PARTITION BY deployment_id ORDER BY concat(row_no, '.tif')) AS place, concat(row_no, '.tif') AS filename FROM v_telemetry WHERE row_no % 10 <> 0", "v_telemetry")
+def e4f(spark, d):
+    path = _fresh(spark)
+    tables.write_documents(_sets(spark, d)["lines"], path)
+    lines = ordered.read_in_order(spark, path)
+    n = lines.groupBy("set_id").agg(F.count("*").alias("n_lines"))
+    each = lines.select("set_id", "place", F.regexp_extract("value", r'^,?"([^"]+[.]tif)":\{', 1).alias("filename")).where("filename <> ''")
+    return each.join(n, "set_id").select(F.col("set_id").cast("bigint"), "n_lines", "place", "filename")
+
+
 _E5 = {
     "set_id": "deployment_id", "row_no": "row_no", "Name": "concat(row_no, '.tif')", "ImagePath": "concat('a/', row_no, '.tif')", "CameraHeading": "round(heading, 6)", "CameraPitch": "0.0", "CameraRoll": "0.0", "CameraHeight": "200.0", "height_source": "'category'", "HorizontalFieldOfView": "60.0",
     "VerticalFieldOfView": "40.0", "NearDistance": "1.0", "FarDistance": "500.0", "OrientedImageryType": "'Nadir'", "x": "x", "y": "y", "z": "0.0", "SourceHorizontalSRS": "NULL::VARCHAR", "SourceVerticalSRS": "NULL::VARCHAR", "CameraID": "NULL::VARCHAR",
