@@ -22,9 +22,11 @@ THRESHOLD = 0.8
 #: REGISTERS, so any two of the bands, which follow by shifting, share exactly one register.
 REGISTERS = 21
 FIRST_BAND = (3, 6, 7, 12, 14)
-#: Bands in use: all that are different. A pair at exactly the threshold misses them all with a probability of 0.06 for
-#: sets of 4 and 5 shingles, and of 0.02 or less from 9 shingles on.
-BANDS = REGISTERS
+#: Bands of a line. Registers of small sets often hold the same shingle, so their bands tell less: a line whose
+#: registers hold fewer than FEW different shingles has all REGISTERS bands. A pair at exactly the threshold misses all
+#: bands with a probability of 0.06 for sets of 4 and 5 shingles, and of 0.05 to 0.08 from 9 shingles on.
+BANDS = 12
+FEW = 11
 #: Parity bits of a line, 64 in each word; more bits rule out more pairs below the threshold.
 PARITY_WORDS = 16
 _CODE = 4  # bytes of a character in UTF-32
@@ -71,7 +73,9 @@ def signatures(lines: DataFrame, bands: int = BANDS) -> DataFrame:
     nearest = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"r{i}") for i, m in enumerate(_marks(REGISTERS))]
     signed = hashed.groupBy("id").agg(F.min("doc").alias("doc"), F.count_if(F.col("at") == 1).alias("n"), *nearest)
     band = lambda b: F.xxhash64(F.lit(b), *(f"r{(place + b) % REGISTERS}" for place in FIRST_BAND))
-    return signed.select("id", "doc", "n", F.array(*map(band, range(bands))).alias("keys"))
+    held = F.array_distinct(F.array(*(F.col(f"r{i}").bitwiseXOR(F.lit(m)) for i, m in enumerate(_marks(REGISTERS)))))
+    more = F.when(F.size(held) < FEW, F.array(*map(band, range(bands, REGISTERS)))).otherwise(F.array().cast("array<bigint>"))
+    return signed.select("id", "doc", "n", F.concat(F.array(*map(band, range(bands))), more).alias("keys"))
 
 
 def _lines_of(held: DataFrame, wanted: DataFrame) -> DataFrame:
