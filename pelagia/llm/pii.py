@@ -34,18 +34,31 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Entries that are folded at a time: a fold copies what it has gathered with every entry, so long arrays are folded in
+#: pieces of this many, and then the pieces.
+FOLD = 64
+
+
+def _pieces(entries: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(entries) / FOLD).cast("int") - 1, F.lit(0))), lambda i: F.slice(entries, i * FOLD + 1, FOLD))
+
+
+def _starts(steps: Column) -> Column:
+    """Where each match (g, m: the lengths of the gap before it and of itself) starts: running sums."""
+    whole = lambda part: F.aggregate(part, F.lit(0), lambda s, x: s + x["g"] + x["m"])
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    before = lambda pieces: F.aggregate(pieces, none, lambda s, part: F.struct((s["at"] + whole(part)).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+    within = lambda part, at: F.aggregate(part, F.struct(at.alias("at"), F.array().cast("array<int>").alias("all")), lambda s, x: F.struct((s["at"] + x["g"] + x["m"]).alias("at"), F.concat(s["all"], F.array(s["at"] + x["g"])).alias("all")), lambda s: s["all"])
+    return _let(_pieces(steps), lambda pieces: F.flatten(F.zip_with(pieces, before(pieces), within)))
+
+
 def _placed(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of the leftmost matches; the gaps between them are what a split leaves."""
 
     def places(pair: Column) -> Column:
-        gap, found = F.transform(pair["gaps"], F.length), F.transform(pair["found"], F.length)
-        starts = F.aggregate(
-            F.zip_with(F.slice(gap, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-            lambda s, x: F.struct((s["at"] + x["g"] + x["m"]).alias("at"), F.concat(s["all"], F.array(s["at"] + x["g"])).alias("all")),
-            lambda s: s["all"],
-        )
-        return F.zip_with(starts, pair["found"], lambda s, m: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("value")))
+        found = F.transform(pair["found"], F.length)
+        steps = F.zip_with(F.slice(F.transform(pair["gaps"], F.length), F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+        return F.zip_with(_let(steps, _starts), pair["found"], lambda s, m: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("value")))
 
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
     matches = _let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda found: F.when(F.size(found) == 0, empty).otherwise(_let(F.struct(F.split(text, pattern, -1).alias("gaps"), found.alias("found")), places)))
@@ -88,7 +101,7 @@ def _term(word: Column) -> Column:
 
 
 def _pairs_of(spans: Column) -> Column:
-    return F.array_distinct(F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
+    return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value")))
 
 
 def text_terms(found: DataFrame, texts: int, support: int) -> tuple[DataFrame, DataFrame]:
@@ -97,7 +110,7 @@ def text_terms(found: DataFrame, texts: int, support: int) -> tuple[DataFrame, D
     text, spans; ``t`` stands for the text."""
     held = found.where(F.size("spans") > 0)
     reps = held.groupBy("t").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
-    each = held.join(reps, ["t", "row"]).select("t", "copies", "row", F.explode(_pairs_of(F.col("spans"))).alias("v"))
+    each = held.join(reps, ["t", "row"]).select("t", "copies", "row", F.explode(_pairs_of(F.col("spans"))).alias("v")).distinct()
     values = each.groupBy("v").agg(F.sum("copies").alias("n_value"), F.count("*").alias("texts")).where((F.col("texts") >= support) & (F.col("n_value") < texts))
     values = materialise(values.select("v", "n_value"))
     wanted = each.join(values.select("v"), "v", "left_semi").groupBy("row", "copies").agg(F.collect_list("v").alias("vs"))
@@ -129,14 +142,13 @@ def told_places(found: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFra
     """``row, _terms``: the spans of disclosing terms at all their places in every text that holds the value."""
     told = terms.select("t", "term", F.explode("vs").alias("v")).join(pairs, ["v", "term"], "left_semi").groupBy("t").agg(F.collect_set("term").alias("told"))
     held = found.where(F.size("spans") > 0).join(materialise(told).hint("merge"), "t")
-    pieces = held.select("row", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), 0)).alias("at", "piece"))
+    # words that touch a base span hold its mark
+    pieces = held.select("row", F.posexplode(F.regexp_extract_all(_masked(F.col("text"), F.col("spans")), F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), 0)).alias("at", "piece"))
     ends = Window.partitionBy("row").orderBy("at")
-    words = pieces.select("row", F.regexp_extract("piece", _WORD, 0).alias("word"), F.sum(F.length("piece")).over(ends).cast("int").alias("end"))
+    words = pieces.select("row", F.regexp_extract("piece", _WORD, 0).alias("word"), F.sum(F.length("piece")).over(ends).cast("int").alias("end")).where(~F.contains("word", F.lit("\ue000")))
     words = words.select("row", (F.col("end") - F.length("word")).alias("start"), "end", _term(F.col("word")).alias("term"))
     words = words.join(held.select("row", F.explode("told").alias("term")), ["row", "term"])
-    words = words.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value")))).alias("places"))
-    free = lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    return words.join(found.select("row", "spans"), "row").select("row", F.filter("places", free).alias("_terms"))
+    return words.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value")))).alias("_terms"))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, support: int = SUPPORT) -> DataFrame:
@@ -162,16 +174,56 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return done.select("held", "spans", _sanitised(text, F.col("spans")).alias("sanitised")).select("held.*", "spans", "sanitised")
 
 
-def _sanitised(text: Column, spans: Column, mark: str | None = None) -> Column:
-    """The text with each span as ``mark``, or as its kind in brackets."""
+def _apart(spans: Column, cut: bool) -> Column:
+    """Spans by place, longer first, without those that begin within an earlier one; with ``cut`` these begin where it
+    ends, where something of them is left."""
     order = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    one = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
+    kind = "array<struct<kind:string,start:int,end:int>>"
 
     def step(s: Column, x: Column) -> Column:
-        next_one = F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), *([F.lit(mark)] if mark else [F.lit("["), x["kind"], F.lit("]")])).alias("out"))
-        return F.when(x["start"] >= s["at"], next_one).otherwise(s)
+        start = F.greatest(x["start"], s["at"]) if cut else x["start"]
+        kept = F.struct(x["kind"].alias("kind"), start.alias("start"), x["end"].alias("end"))
+        fits = (start >= s["at"]) & (x["end"] > start)
+        return F.when(fits, F.struct(x["end"].alias("at"), F.concat(s["all"], F.array(kept)).alias("all"))).otherwise(s)
+
+    def piece(s: Column, part: Column) -> Column:
+        got = F.aggregate(part, F.struct(s["at"].alias("at"), F.array().cast(kind).alias("all")), step)
+        return _let(got, lambda g: F.struct(g["at"].alias("at"), F.concat(s["all"], F.array(g["all"])).alias("all")))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("all"))
+    return F.flatten(F.aggregate(_let(F.transform(order, one), _pieces), none, piece, lambda s: s["all"]))
+
+
+#: A character before every piece that is decoded, so that none begins with what could be taken for a byte order mark.
+_GUARD = b"\x00\x00\x00x"
+
+
+def _replaced(text: Column, spans: Column, mark) -> Column:
+    """The text with each of some spans that are apart and in order as ``mark(span)``. Pieces are cut from the text in a
+    code of four bytes a character, so that none is looked for from the beginning."""
+
+    def joined(s: Column) -> Column:
+        cut = lambda start, end: F.substring(F.decode(F.concat(F.lit(_GUARD), F.substring(s["coded"], start * 4 + 1, (end - start) * 4)), "UTF-32"), F.lit(2), end - start)
+        before = lambda i: F.coalesce(F.get(s["spans"], i - 1)["end"], F.lit(0))
+        pieces = F.transform(s["spans"], lambda x, i: F.concat(cut(before(i), x["start"]), mark(x)))
+        last = F.element_at(s["spans"], -1)["end"]
+        return F.concat(F.array_join(pieces, ""), cut(last, (F.octet_length(s["coded"]) / 4).cast("int")))
+
+    held = F.struct(F.encode(text, "UTF-32").alias("coded"), spans.alias("spans"))
+    return F.when(F.size(spans) == 0, text).otherwise(_let(held, joined))
+
+
+def _sanitised(text: Column, spans: Column, mark: str | None = None) -> Column:
+    """The text with each span as ``mark``, or as its kind in brackets."""
+    to = lambda x: F.lit(mark) if mark else F.concat(F.lit("["), x["kind"], F.lit("]"))
+    return F.when(F.size(spans) == 0, text).otherwise(_let(_apart(spans, False), lambda kept: _replaced(text, kept, to)))
+
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(order, state, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))))
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with each character of a span as a private one; what the text itself has of that is a blank."""
+    clean = F.translate(text, "\ue000", " ")
+    return F.when(F.size(spans) == 0, clean).otherwise(_let(_apart(spans, True), lambda kept: _replaced(clean, kept, lambda x: F.repeat(F.lit("\ue000"), x["end"] - x["start"]))))
 
 
 def _written(spans: Column) -> Column:

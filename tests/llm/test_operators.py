@@ -348,6 +348,25 @@ def test_pii_base_and_terms(spark):
     assert pii.personal_data(empty(spark)).count() == 0
 
 
+def test_pii_of_a_text_with_very_many_matches(spark):
+    """A text of over 1 MB: offsets, the base digest and the sanitised text of 20,000 addresses among numbers; what
+    surrounds them has characters of every length, marks of byte order and the private character of the mask."""
+    rng = random.Random(22)
+    parts = [rng.choice([f"u{rng.randrange(10**6)}@ex{k}.org", str(rng.randrange(10**9)), "é\U0001f40d\ufeff", "\ufeffa\ue000b", "(Wu)"]) for k in range(100_000)]
+    text = "\ufeff" + " ".join(parts)
+    spans = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found = pii.personal_data(docs(spark, [(1, text), (2, text), (3, text + " x"), *EDGE])).where("doc_id IN (1, 3)")
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert len(text) > 10**6 and len(spans) > 15_000
+    assert [(s["start"], s["end"]) for s in got[1]["spans"] if s["kind"] == "email"] == spans
+    order, out, at = sorted(((s["start"], -s["end"], s["kind"]) for s in got[1]["spans"])), [], 0
+    for start, end, kind in order:
+        if start >= at:
+            out += [text[at:start], f"[{kind}]"]
+            at = -end
+    assert got[1]["sanitised"] == "".join(out) + text[at:]
+
+
 def test_pii_terms_of_the_whole_text(spark):
     rng = random.Random(16)
     rows = [(k, f"Quorvex\n\nby Wu, {k}\nmail <w@quorvex.org> or quorvex.\n{prose(rng, 30)}\n\n(QUORVEX) and Wu") for k in range(8)]
