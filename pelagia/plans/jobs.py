@@ -43,9 +43,9 @@ def read_telemetry(raw: DataFrame, resolved: dict[str, str | None], keep: Sequen
     return track, dict(seen.get)
 
 
-def scan_rows(track: DataFrame) -> int | None:
-    """How a job scans: whole deployments where the largest one fits a task, else segments of so many rows."""
-    return SEGMENT_ROWS if largest_group(track, DEP) > SEGMENT_ROWS else None
+def scan_rows(track: DataFrame, key: str = DEP) -> int | None:
+    """How a job scans: whole deployments (or sets) where the largest one fits a task, else segments of so many rows."""
+    return SEGMENT_ROWS if largest_group(track, key) > SEGMENT_ROWS else None
 
 
 def inspect(track: DataFrame, videos: DataFrame | None = None, segment_rows: int | None = None) -> DataFrame:
@@ -218,14 +218,15 @@ def write_image_sets(made: dict[str, DataFrame], path: str, layout: str | None =
     tables.write_documents(made["manifest_lines"], f"{path}/manifests")
 
 
-def imagery_tables(frames: DataFrame, category: str, present: DataFrame | None = None, heading_offset: float = 0.0, sources: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
+def imagery_tables(frames: DataFrame, category: str, present: DataFrame | None = None, heading_offset: float = 0.0, sources: tuple[DataFrame, DataFrame, DataFrame] | None = None, segment_rows: int | None = None) -> dict[str, DataFrame]:
     """E5: ``catalogue`` and ``oriented`` rows of frames (set_id, row_no, path, x, y, heading, ...). Images that are
     in the dataset already (``present``: path) are left out of the oriented rows; sets in a geographic system are
-    rejected, as the boxes are in metres. ``sources``, as ``enrichment_sources`` gives them, add ``ifdo_*`` columns."""
+    rejected, as the boxes are in metres. ``sources``, as ``enrichment_sources`` gives them, add ``ifdo_*`` columns.
+    ``segment_rows`` (``scan_rows`` of the frames by set) resolves headings of long sets in segments."""
     if sources is not None:
         named = frames if "filename" in frames.columns else frames.withColumn("filename", imageset.basename(F.col("path")))
         frames = imagery.item_columns(imagery.enriched(named, *sources), imagery.item_keys(*sources))
-    turned = timeline.carried_heading(frames.withColumn(DEP, F.col("set_id")), offset=heading_offset).drop(DEP)
+    turned = timeline.carried_heading(frames.withColumn(DEP, F.col("set_id")), offset=heading_offset, segment_rows=segment_rows).drop(DEP)
     fine = turned.where(~is_geographic(F.col("srs"))) if "srs" in frames.columns else turned
     new = fine.withColumns({"Raster": F.col("path"), "PerspectiveX": F.col("x"), "PerspectiveY": F.col("y")})
     oriented = imagery.oriented_rows(imagery.new_images(new, present) if present is not None else new, category, extra=sources is not None)

@@ -1144,7 +1144,7 @@ def e5b(spark, d):
 @query("e5_systems", "SELECT deployment_id AS set_id, row_no, CASE WHEN deployment_id % 5 IN (1, 2, 3) THEN 'rejected' ELSE 'catalogue' END AS went FROM v_telemetry", "v_telemetry")
 def e5c(spark, d):
     srs = F.get(F.array(F.lit("3857"), F.lit("4326"), F.lit("4269;5773"), F.lit('GEOGCS["WGS 84"]'), F.lit(None)), (F.col("set_id") % 5).cast("int"))
-    made = jobs.imagery_tables(_boxes(spark, d).drop("xMin", "xMax", "yMin", "yMax").withColumn("srs", srs), "Nadir")
+    made = jobs.imagery_tables(_boxes(spark, d).drop("xMin", "xMax", "yMin", "yMax").withColumn("srs", srs), "Nadir", segment_rows=50)
     row = F.regexp_extract("Name", r"^(\d+)", 1).cast("bigint").alias("row_no")
     return made["catalogue"].select("set_id", row, F.lit("catalogue").alias("went")).union(made["rejected"].select("set_id", "row_no", F.lit("rejected")))
 

@@ -126,8 +126,15 @@ def write_table(df: DataFrame, path: str, columns: Sequence[str] | None = None,
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors share: below ``spark.checkpoint.dir``, else in the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/pelagia-work"
+    """A folder that all executors share: below ``spark.checkpoint.dir``, else in the warehouse. A warehouse of one
+    machine is refused on a cluster."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.startswith("file:") and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{warehouse}/pelagia-work"
 
 
 def written(df: DataFrame) -> DataFrame:
