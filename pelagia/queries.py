@@ -1031,6 +1031,33 @@ def s8(spark, d):
     return every.groupBy(DEP, "kind").agg(F.count("*").alias("n"), F.sum("number").alias("total"))
 
 
+_P23_FILES = {k: v.replace("t.z", "NULL::DOUBLE").replace("t.heading", "NULL::DOUBLE").replace("t.roll", "NULL::DOUBLE") for k, v in _P23.items()}
+
+
+def _frame_files(spark, d, **options) -> str:
+    """The tables of a cross-reference run as files."""
+    path = _fresh(spark)
+    raw = _t(spark, d).select(DEP, "row_no", F.unix_micros("ts").cast("string").alias("UTC"), F.col("x").alias("Longitude"), F.col("y").alias("Latitude"), F.col("pitch").alias("Pitch"))
+    jobs.cross_reference_tables(_frames(spark, d), raw, path, camera={"NCols": 640.0}, tolerance_s=3600.0, **options)
+    return path
+
+
+@query("s8_frame_files", f"SELECT {_columns({'ObjectID': 'row_number() OVER (PARTITION BY f.deployment_id ORDER BY f.filename, f.row_no)', **_P23_FILES})} {_FRAME_TABLE}", "v_telemetry", "v_frames")
+def s8b(spark, d):
+    path = _frame_files(spark, d, crs=3857)
+    made = _matched(spark, d)
+    kinds = {c: k for c, k in made.dtypes if c != DEP}
+    read = spark.read.csv(f"{path}/frames", header=True, schema=", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), f"{DEP} bigint"]))
+    return _rounded(read.select(made.columns))
+
+
+@query("s8_matched_files", f"SELECT f.deployment_id, epoch_us(t.ts) AS us, t.x, t.y, t.pitch, count(*) AS n_frames {_FRAME_TABLE} WHERE {_HIT} GROUP BY ALL", "v_telemetry", "v_frames")
+def s8c(spark, d):
+    path = _frame_files(spark, d)
+    read = spark.read.csv(f"{path}/matched", header=True, schema=f"us bigint, x double, y double, pitch double, {DEP} bigint")
+    return read.groupBy(DEP, "us", "x", "y", "pitch").agg(F.count("*").alias("n_frames"))
+
+
 def _sets(spark, d, **options):
     rows = _items(spark, d).withColumn("path", F.concat(F.lit("a/"), F.col("filename"))).withColumn("camera_id", F.col("row_no") % 12)
     inventory = rows.where("row_no % 10 <> 0").select("set_id", "path")
