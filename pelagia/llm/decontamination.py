@@ -62,6 +62,38 @@ def qgrams(codes: np.ndarray, q: int) -> np.ndarray:
         part, width = part[:-width] * powers(width + 1)[width] + part[width:], 2 * width
 
 
+class Short:
+    """The items of one length below q: their different texts by the hash of the whole."""
+
+    def __init__(self, items: list[int], codes: list[np.ndarray]) -> None:
+        self.size = len(codes[items[0]])
+        same: dict[bytes, list[int]] = {}
+        for i in items:
+            same.setdefault(np.asarray(codes[i], np.uint32).tobytes(), []).append(i)
+        texts = np.array([np.frombuffer(b, np.uint32) for b in same])
+        keys = np.array([qgrams(t, self.size)[0] for t in texts], np.uint64)
+        order = np.argsort(keys)
+        self.key, self.text = keys[order], texts[order]
+        self.items = [list(same.values())[k] for k in order]
+
+    def first_places(self, codes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """text, item and place (in all texts) of the first occurrence of each item in each text."""
+        grams, found = qgrams(codes, self.size), {}
+        for begin in range(0, len(grams), CHUNK):
+            part = grams[begin : begin + CHUNK]
+            slot = np.minimum(np.searchsorted(self.key, part), len(self.key) - 1)
+            at = np.flatnonzero(self.key[slot] == part)
+            slot, at = slot[at], at + begin
+            doc = np.searchsorted(ends, at, "right")
+            real = (codes[at[:, None] + np.arange(self.size)] == self.text[slot]).all(axis=1) & (at + self.size < ends[doc])
+            pair, first = np.unique(doc[real] * len(self.key) + slot[real], return_index=True)
+            for p, a in zip(pair.tolist(), at[real][first].tolist(), strict=True):
+                found.setdefault(p, a)
+        for p, a in found.items():
+            for i in self.items[p % len(self.key)]:
+                yield p // len(self.key), i, a
+
+
 @dataclass
 class Items:
     """The benchmark texts of one pass, and where their q-grams stand."""
@@ -80,7 +112,7 @@ class Items:
         self.bound = size - self.q + 1 - self.q * self.budget
         self.width = 2 * self.budget + 1
         long = [i for i, c in enumerate(self.codes) if len(c) >= self.q]
-        self.short = [i for i, c in enumerate(self.codes) if 0 < len(c) < self.q]
+        self.short = [Short([i for i, c in enumerate(self.codes) if len(c) == n], self.codes) for n in sorted({len(c) for c in self.codes}) if 0 < n < self.q]
         grams = [qgrams(self.codes[i], self.q) for i in long]
         keys = np.concatenate([*grams, np.zeros(0, np.uint64)])
         order = np.argsort(keys, kind="stable")
@@ -189,12 +221,9 @@ def _matches(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, in
                 best[key] = min(best.get(key, found), found)
         for (text, i), (edits, start, end) in best.items():
             yield text, i, edits, start, end
-    for i in items.short:
-        pattern = "".join(map(chr, items.codes[i]))
-        for text, part in enumerate(parts):
-            at = "".join(map(chr, part)).find(pattern)
-            if at >= 0:
-                yield text, i, 0, at, at + len(pattern)
+    for short in items.short:
+        for text, i, at in short.first_places(codes, ends):
+            yield text, i, 0, at - int(starts[text]), at - int(starts[text]) + short.size
 
 
 def _found(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int]]:

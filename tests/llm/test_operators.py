@@ -305,6 +305,55 @@ def test_decontamination_of_long_items_and_rare_letters(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"], r["edits"] == 0) for r in got} == {(1, 1, True), (3, 2, False), (4, 3, True), (5, 4, True)}
 
 
+def _least_edits(pattern, text):
+    """Edits of the best region of ``text``, by the whole table."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern):
+        new = [i + 1]
+        for j, d in enumerate(text):
+            new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination_against_every_alignment(spark):
+    """The whole result, every document against every item: items of 1 to 90 characters, many of them of under q, equal
+    items of different ids, passages with more and fewer edits than the budget, and texts of one letter."""
+    rng = random.Random(31)
+    items = [(k, prose(rng, rng.choice([2, 4, 8, 14]))[: rng.choice([17, 25, 40, 90])]) for k in range(14)]
+    items += [(50 + k, "".join(rng.choice("abt e\U0001f40d") for _ in range(rng.randrange(1, 8)))) for k in range(25)]
+    items += [(80, items[20][1]), (81, "aaaaaaaaaaaa")]
+    rows = [(0, ""), (1, None), (2, "a" * 40), (3, "t")]
+    for k in range(10, 40):
+        c = list(rng.choice(items[:14])[1])
+        for _ in range(rng.randrange(0, 2 + len(c) // 10)):
+            c[rng.randrange(len(c))] = rng.choice(["", "q", "xz"])
+        rows.append((k, prose(rng, rng.choice([0, 3, 12])) + "".join(c) + prose(rng, 3)))
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontamination.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    expected = {}
+    for d, text in rows:
+        for i, item in items:
+            budget = min(int(len(item) * decontamination.EDIT_RATE), max(0, (len(item) - decontamination.Q) // decontamination.Q))
+            edits = _least_edits(decontamination.plain(item).tolist(), decontamination.plain(text or "").tolist())
+            if text and edits <= budget:
+                expected[d, i] = edits
+    assert got == expected and any(e > 0 for e in got.values())
+
+
+def test_decontamination_of_a_text_of_a_megabyte(spark):
+    """First places of 800 short items, and one long passage, in a text of over 1 MB beside short ones."""
+    rng = random.Random(33)
+    text = prose(rng, 160_000)
+    passage = prose(rng, 60)
+    text = text[:700_000] + passage + text[700_000:]
+    shorts = sorted({"".join(rng.choice("abcdefghilnorstw ") for _ in range(rng.randrange(2, 8))) for _ in range(800)})
+    items = [(k, s) for k, s in enumerate(shorts)] + [(9000, passage)]
+    rows = [(1, text), (2, "tree"), (3, text[:5000])]
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["end"]) for r in decontamination.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert len(text) > 10**6
+    assert got == {(d, i): (t.find(s), t.find(s) + len(s)) for d, t in rows for i, s in items if s in t}
+
+
 def test_alignment_band_against_full_table():
     rng = random.Random(7)
     for _ in range(40):
