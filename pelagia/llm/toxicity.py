@@ -27,23 +27,33 @@ LOOK_ALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "h", "€": "e", "£": "l",
 }
+# Letters of other scripts that look like Latin ones (lower case).
+OTHER_LETTERS = {
+    "а": "a", "в": "b", "е": "e", "һ": "h", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "с": "c", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w",
+    "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɡ": "g", "ɑ": "a",
+}
 #: Negative log-likelihoods of the channel's acts: a look-alike for a letter, a repeated letter, a spaced word's gap.
 SWAP, REPEAT, GAP, KEEP = 1.5, 2.0, 0.7, 6.0
 #: The same for a mark, not a blank, between two single characters that hides nothing.
 DIVIDED = 3.0
+#: The same for digits and exclamation marks behind a word that are no letters of it.
+BEHIND = 3.0
 
-# Symbols of the language model: 0 word boundary, 1-26 letters, 27 digit, 28 other ASCII, 29 other letters.
-SYMBOLS = 30
+# Symbols of the language model, one a code point: 0 word boundary, 1-26 letters, 27 digit, 28 other ASCII and marks,
+# 29 other Latin letters, 30 Greek and Cyrillic, 31 all else.
+SYMBOLS = 32
 _SYMBOL = np.full(256, 28, np.int64)
 _SYMBOL[[9, 10, 11, 12, 13, 32]] = 0
 _SYMBOL[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _SYMBOL[ord("A") : ord("Z") + 1] = np.arange(1, 27)
 _SYMBOL[ord("0") : ord("9") + 1] = 27
-_SYMBOL[128:] = 29
+# first bytes of longer code points; those that follow count for nothing
+_SYMBOL[0xC3:0xCE], _SYMBOL[0xCE:0xD5], _SYMBOL[0xD5:] = 29, 30, 31
 
 
 def _symbol(ch: str) -> int:
-    return int(_SYMBOL[ord(ch)]) if ord(ch) < 128 else 29
+    code = ord(ch)
+    return int(_SYMBOL[code]) if code < 128 else 28 if code < 0xC0 else 29 if code < 0x380 else 30 if code < 0x540 else 31
 
 
 def character_counts(docs: DataFrame) -> DataFrame:
@@ -53,7 +63,9 @@ def character_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             total = np.zeros(SYMBOLS**3, np.int64)
             for _, _, data, offsets in blocks(batch.column("text")):
-                at = np.insert(_SYMBOL[data], np.repeat(offsets, 2), 0)
+                lead = (data & 0xC0) != 0x80
+                places = np.concatenate([[0], np.cumsum(lead)])[offsets]
+                at = np.insert(_SYMBOL[data[lead]], np.repeat(places, 2), 0)
                 total += np.bincount((at[:-2] * SYMBOLS + at[1:-1]) * SYMBOLS + at[2:], minlength=SYMBOLS**3)
             cell = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
@@ -73,8 +85,10 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
 
 def _lattice(stretch: str) -> list[list[tuple[str, float]]]:
-    """For each place of the stretch the readings and their channel costs."""
+    """For each place of the stretch the readings and their channel costs. Letters of other scripts stand for Latin
+    ones in words with a Latin letter only."""
     places: list[list[tuple[str, float]]] = []
+    foreign = {i for word in _WORD.finditer(stretch) if _LATIN.search(word[0]) for i in range(*word.span()) if stretch[i] in OTHER_LETTERS}
     i = 0
     while i < len(stretch):
         ch = stretch[i]
@@ -82,8 +96,8 @@ def _lattice(stretch: str) -> list[list[tuple[str, float]]]:
         while j < len(stretch) and stretch[j] == ch:
             j += 1
         run = j - i
-        letters = LOOK_ALIKES.get(ch, "")
-        if ch.isalpha():
+        letters = OTHER_LETTERS[ch] if i in foreign else LOOK_ALIKES.get(ch, "")
+        if ch.isalpha() and i not in foreign:
             readings = [(ch * min(run, 2), REPEAT * (run > 2)), (ch, REPEAT)] if run > 1 else [(ch, 0.0)]
         elif letters:
             readings = [(ch * run, KEEP)] + [(x * k, SWAP + (REPEAT if k < run else 0.0)) for x in letters for k in {1, min(run, 2)}]
@@ -122,22 +136,32 @@ def _viterbi(places: list[list[tuple[str, float]]], costs: np.ndarray) -> tuple[
 #: Letters and digits of any script; the marks that look like letters; the marks that divide letters.
 _ALNUM, _MARKS, _DIVIDERS = r"[^\W_]", r"@$!|+(*#€£", r".\-_"
 _LETTER = r"[^\W\d_]"
-_DIVIDER = rf"(?:[ \t]+(?:[{_DIVIDERS}]+[ \t]+)?|[{_DIVIDERS}*]+[ \t]*)"
+_OTHER = "".join(OTHER_LETTERS)
+#: A Latin letter beside a look-alike of another script; words between dividers.
+_MIXED, _LATIN, _WORD = rf"(?:[a-z][{_OTHER}]|[{_OTHER}][a-z])", re.compile("[a-z]"), re.compile(rf"[^{_DIVIDERS}\s]+")
+_DIVIDER = rf"(?:[ \t]+(?:[{_DIVIDERS}]+[ \t]+)?|[{_DIVIDERS}*]+[ \t]*|[/,;:~])"
 _SINGLE = rf"(?:{_ALNUM}|[{_MARKS}])"
 #: Where the channel may have acted: single characters in a row; runs of letters, look-alikes and dividers that are
 #: not plain words. Every other mark, and white space, ends a run.
 _SPACED = re.compile(rf"(?<!{_ALNUM})(?<!{_ALNUM}[{_DIVIDERS}*'’/:@]){_SINGLE}(?:{_DIVIDER}{_SINGLE}(?!{_ALNUM})){{2,}}")
 _RUN = rf"[\w{_MARKS}.\-]"
-_STRETCH = re.compile(rf"(?P<spaced>{_SPACED.pattern})|(?<!{_RUN})(?![{_MARKS}](?:{_SPACED.pattern}))(?={_RUN}*?(?:[\d_{_MARKS}.\-]|({_LETTER})\2\2)){_RUN}+")
+_STRETCH = re.compile(rf"(?P<spaced>{_SPACED.pattern})|(?<!{_RUN})(?![{_MARKS}](?:{_SPACED.pattern}))(?={_RUN}*?(?:[\d_{_MARKS}.\-]|{_MIXED}|({_LETTER})\2\2)){_RUN}+")
 #: What makes a run suspicious: letters around or behind or before look-alikes or dividers, or a letter three times.
-_HIDDEN = re.compile(rf"{_LETTER}[\d{_MARKS}{_DIVIDERS}]+{_LETTER}|^[\d{_MARKS}]+{_LETTER}|{_LETTER}[\d@$!|+(]$|({_LETTER})\1\1")
+_HIDDEN = re.compile(rf"{_LETTER}[\d{_MARKS}{_DIVIDERS}]+{_LETTER}|^[\d{_MARKS}]+{_LETTER}|{_LETTER}[\d@$!|+(]$|{_MIXED}|({_LETTER})\1\1")
+_BEHIND = re.compile(r"[\d!]*?(!*)$")
+#: Marks without width between characters that Latin words are written with; the full-width forms of ASCII.
+_NO_WIDTH = "\u00ad\u034f\u200b\u200c\u200d\u2060\ufeff"
+_INVISIBLE = re.compile(rf"(?<=[\da-zA-Z{_MARKS}{_OTHER}])[{_NO_WIDTH}]+(?=[\da-zA-Z{_MARKS}{_OTHER}])")
+_FULL_WIDTH = {code: code - 0xFEE0 for code in range(0xFF01, 0xFF5F)}
+_DISGUISED = rf"[{_NO_WIDTH}\x{{ff01}}-\x{{ff5e}}]"
+
 #: Runs without any letter that are no words: numbers with their marks, one mark repeated.
 _NUMERAL = re.compile(rf"[{_MARKS}]*\d[\d.\-_]*[{_MARKS}]*")
 _SUSPECT = (
     r"\pL[0-9@$!|+(*#\x{20ac}\x{a3}._\-]+\pL|(?:^|[^\pL\pN])[0-9@$!|+(*#\x{20ac}\x{a3}]+\pL|\pL[0-9@$!|+(]|[^\x00-\x7f]{3}"
     r"|[@$!|+(*#\x{20ac}\x{a3}][0-9@$!|+(*#\x{20ac}\x{a3}]|[0-9][@$!|+(*#\x{20ac}\x{a3}]"
-    r"|(?:^|[^\pL\pN])[\pL\pN@$!|+(*#\x{20ac}\x{a3}][ \t.\-_*]+[\pL\pN@$!|+(*#\x{20ac}\x{a3}][ \t.\-_*]+[\pL\pN@$!|+(*#\x{20ac}\x{a3}]|"
-) + "|".join(f"{c}{{3}}" for c in "abcdefghijklmnopqrstuvwxyz")
+    r"|(?:^|[^\pL\pN])[\pL\pN@$!|+(*#\x{20ac}\x{a3}][ \t.\-_*/,;:~]+[\pL\pN@$!|+(*#\x{20ac}\x{a3}][ \t.\-_*/,;:~]+[\pL\pN@$!|+(*#\x{20ac}\x{a3}]|"
+) + f"{_MIXED}|" + "|".join(f"{c}{{3}}" for c in "abcdefghijklmnopqrstuvwxyz")
 
 
 def _decode_spaced(stretch: str, costs: np.ndarray) -> str:
@@ -167,7 +191,25 @@ def decode(stretch: str, costs: np.ndarray) -> str:
         hidden = _HIDDEN.search(core)
     else:
         hidden = len(set(core)) > 1 and len(core) > 2 and any(ch in LOOK_ALIKES and not ch.isdigit() for ch in core) and not _NUMERAL.fullmatch(core)
-    return head + _viterbi(_lattice(core), costs)[1] + tail if hidden else stretch
+    return head + _reading(core, costs) + tail if hidden else stretch
+
+
+def _reading(core: str, costs: np.ndarray) -> str:
+    """The cheapest reading of a run, whole or without the digits and exclamation marks behind it."""
+    found = [_viterbi(_lattice(core), costs)]
+    behind = _BEHIND.search(core)
+    for end in {behind.start(), behind.start(1)} - {0, len(core)}:
+        cost, read = _viterbi(_lattice(core[:end]), costs)
+        found.append((cost + BEHIND, read + core[end:]))
+    return min(found, key=lambda f: f[0])[1]
+
+
+def _undisguised(texts: pa.Array) -> pa.Array:
+    """Full-width forms as ASCII; marks without width out of words in Latin letters."""
+    some = pc.match_substring_regex(texts, _DISGUISED)
+    if not pc.any(some).as_py():
+        return texts
+    return pc.replace_with_mask(texts, some, pa.array([_INVISIBLE.sub("", t.translate(_FULL_WIDTH)) for t in texts.filter(some).to_pylist()], texts.type))
 
 
 def restorer(costs: np.ndarray):
@@ -192,7 +234,7 @@ def restorer(costs: np.ndarray):
         return read(stretch)
 
     def restore(texts: pa.Array) -> pa.Array:
-        texts = pc.utf8_lower(pc.fill_null(texts, ""))
+        texts = pc.utf8_lower(_undisguised(pc.fill_null(texts, "")))
         suspects = np.flatnonzero(pc.match_substring_regex(texts, _SUSPECT).to_numpy(zero_copy_only=False))
         if not len(suspects):
             return texts

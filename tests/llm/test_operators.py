@@ -516,6 +516,32 @@ def test_toxicity_reads_hidden_words(spark, hidden, read):
     assert restore(pa.array([f"the {hidden} stone"])).to_pylist() == [f"the {read} stone"]
 
 
+@pytest.mark.parametrize(
+    ("hidden", "read"),
+    [("\u0456d\u0456\u043et", "idiot"), ("m\u043er\u043en", "moron"), ("\uff53\uff54\uff55\uff50\uff49\uff44", "stupid"), ("\uff2d\uff10\uff52\uff10\uff2e", "moron"), ("s\u200bt\u200bu\u2060p\u00adid", "stupid"), ("i/d/i/o/t", "idiot"),
+     ("i,d,i,o,t", "idiot"), ("5tup!d!", "stupid!"), ("m0r0n123", "moron123"), ("1d10t!", "idiot!"), ("stone!", "stone!"), ("road 1/2/3 a, b, c and 1,2,3", "road 1/2/3 a, b, c and 1,2,3"),
+     ("\u0434\u043e\u0440\u043e\u0433\u0430 usb-\u043a\u0430\u0431\u0435\u043b\u044c \u03bf\u03b4\u03cc\u03c2", "\u0434\u043e\u0440\u043e\u0433\u0430 usb-\u043a\u0430\u0431\u0435\u043b\u044c \u03bf\u03b4\u03cc\u03c2"), ("\u0645\u06cc\u200c\u0631\u0648\u0645", "\u0645\u06cc\u200c\u0631\u0648\u0645")],
+)
+def test_toxicity_reads_disguised_letters(spark, hidden, read):
+    """Letters of other scripts in Latin words, full-width forms, marks without width, more dividers, and digits or
+    marks behind a word; whole words of other scripts stay."""
+    rng = random.Random(15)
+    words = [*WORDS, "stupid", "idiot", "moron", "ass", "1/2", "3,4", "2019", "so!", "hill,", "usb-cable", "caf\u00e9", "\u0434\u043e\u0440\u043e\u0433\u0430"]
+    restore = toxicity.restorer(toxicity.character_model(spark.createDataFrame([(" ".join(rng.choice(words) for _ in range(20_000)),)], "text string")))
+    assert restore(pa.array([f"the {hidden} hand", None])).to_pylist() == [f"the {read} hand", ""]
+
+
+def test_character_counts_are_of_code_points(spark):
+    texts = ["a\u00e9 \u20ac\u0436\u4e00", "", None, "\u00a3 z9"]
+    held = spark.createDataFrame([(t,) for t in texts], "text string").select(F.coalesce("text", F.lit("")).alias("text"))
+    expected = collections.Counter()
+    for t in texts:
+        at = [0, 0, *(toxicity._symbol(c) for c in t or ""), 0, 0]
+        expected.update(zip(at, at[1:], at[2:], strict=False))
+    got = {(r["cell"] // toxicity.SYMBOLS**2, r["cell"] // toxicity.SYMBOLS % toxicity.SYMBOLS, r["cell"] % toxicity.SYMBOLS): r["n"] for r in toxicity.character_counts(held).collect()}
+    assert all(got[k] == n for k, n in expected.items() if k[1:] != (0, 0) and k[:2] != (0, 0))
+
+
 def test_first_fit_decreasing_against_a_plain_search():
     rng = np.random.default_rng(11)
     for n in (0, 1, 2, 50, 200):
