@@ -108,13 +108,13 @@ def build_video_metadata(track: DataFrame, deployments: DataFrame, interval_s: f
 
 
 def video_metadata_table(raw: DataFrame, deployments: DataFrame, path: str, mappings: Sequence[tuple[str, str]] = (), columns: dict[str, str] | None = None, **options) -> DataFrame:
-    """E2 from a raw log to files: the table as CSV below ``path``, a folder for each deployment, rows in order of
-    time. Returns the mappings that were dropped, with reasons."""
+    """E2 from a raw log to files: the table as CSV below ``path``, rows in order of time, a folder for each deployment
+    where they are few (``write_in_order``). Returns the mappings that were dropped, with reasons."""
     good, bad = schema.checked_mappings(mappings, raw.columns, list(profiles.VIDEO_FIELDS))
     track, _ = read_telemetry(raw, schema.resolve_telemetry(raw.columns, columns), [source for source, _ in good])
     rows = scan_rows(track)
     table = build_video_metadata(track, deployments, mappings=[(f"_src{i}", target) for i, (_, target) in enumerate(good)], segment_rows=rows, **options)
-    tables.write_in_order(table, path, [DEP], ["Precision Time Stamp", "ObjectID"], [c for c in table.columns if c != DEP], ranged=rows is not None)
+    tables.write_in_order(table, path, [DEP], ["Precision Time Stamp", "ObjectID"], [c for c in table.columns if c != DEP], ranged=rows is not None, folders=tables.few_keys(track, [DEP]))
     return raw.sparkSession.createDataFrame(bad, "source string, target string, reason string")
 
 
@@ -134,16 +134,17 @@ def _cross_referenced(frames: DataFrame, raw: DataFrame, path: str, earlier: Dat
     rows = scan_rows(track)
     table = tables.written(cross_reference(frames, track, earlier, segment_rows=rows, **options))
     cameras = fr.camera_table(track, {"NCols": "camera_ncols", "NRows": "camera_nrows", "FocalLength": "camera_focal_length", "PixelSize": "camera_pixel_size"}, camera or {}).withColumn("CameraID", F.lit(options.get("camera_id", 1)))
-    tables.write_in_order(table, f"{path}/frames", [DEP], ["ObjectID"], [c for c in table.columns if c != DEP])
-    tables.write_in_order(cameras, f"{path}/cameras", [DEP], ["CameraID"], ["CameraID", "NCols", "NRows", "FocalLength", "PixelSize"])
+    folders = tables.few_keys(table.select(DEP).union(track.select(DEP)), [DEP])
+    tables.write_in_order(table, f"{path}/frames", [DEP], ["ObjectID"], [c for c in table.columns if c != DEP], folders=folders)
+    tables.write_in_order(cameras, f"{path}/cameras", [DEP], ["CameraID"], ["CameraID", "NCols", "NRows", "FocalLength", "PixelSize"], folders=folders)
     matched = fr.matched_source_rows(frames, raw.join(track.select(DEP, "row_no", "ts"), [DEP, "row_no"]), options.get("tolerance_s"), rows)
-    tables.write_in_order(matched, f"{path}/matched", [DEP], ["row_no"], [c for c in raw.columns if c not in (DEP, "row_no")])
+    tables.write_in_order(matched, f"{path}/matched", [DEP], ["row_no"], [c for c in raw.columns if c not in (DEP, "row_no")], folders=folders)
     return table, cameras
 
 
 def cross_reference_tables(frames: DataFrame, raw: DataFrame, path: str, earlier: DataFrame | None = None, camera: dict[str, float] | None = None, **options) -> DataFrame:
     """E3 from a raw metadata table to files: frame, camera and matched-row tables as CSV below ``path``, a folder for
-    each deployment. The position and time columns must be there, and both tables must have rows. Returns the totals
+    each deployment where they are few (``write_in_order``). The position and time columns must be there, and both tables must have rows. Returns the totals
     of the run. Where no frame is new nothing is read or written, and the totals are those of the earlier table."""
     return fr.run_totals(_cross_referenced(frames, raw, path, earlier, camera, options)[0])
 
@@ -209,12 +210,13 @@ def paired_cameras(frame_tables: DataFrame, camera_tables: DataFrame) -> DataFra
 
 def write_image_sets(made: dict[str, DataFrame], path: str, layout: str | None = None) -> None:
     """Documents of each set, or of each image where ``layout`` asks for that, annotation rows and manifests
-    below ``path``, a folder for each set."""
+    below ``path``, a folder for each set where they are few (``write_in_order``)."""
+    folders = tables.few_keys(made["items"], ["set_id"])
     if tables.document_format(layout) == "per-image":
-        tables.write_in_order(made["per_image"], f"{path}/documents", ["set_id"], ["name"], ["name", "document"], form="json")
+        tables.write_in_order(made["per_image"], f"{path}/documents", ["set_id"], ["name"], ["name", "document"], form="json", folders=folders)
     else:
         tables.write_documents(made["lines"], f"{path}/documents")
-    tables.write_in_order(made["biigle"], f"{path}/biigle", ["set_id"], ["filename"], ["filename", "taken_at", "lng", "lat", "gps_altitude", "distance_to_ground", "area", "SUB_heading"])
+    tables.write_in_order(made["biigle"], f"{path}/biigle", ["set_id"], ["filename"], ["filename", "taken_at", "lng", "lat", "gps_altitude", "distance_to_ground", "area", "SUB_heading"], folders=folders)
     tables.write_documents(made["manifest_lines"], f"{path}/manifests")
 
 

@@ -1,5 +1,6 @@
 """Groups, documents and files too large for a task: the forms in pieces give the rows of the plain ones."""
 
+import glob
 import hashlib
 import json
 import os
@@ -225,3 +226,29 @@ def test_one_read_counts_what_it_rejects(spark):
     assert seen == {"kept": 1, "no position": 2, "no time": 1} and track.count() == 1
     with pytest.raises(ValueError, match="no rows"):
         jobs.read_telemetry(raw.where("row_no > 0"), {"x": "X", "y": "Y", "time": "Time"})
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_many_keys_share_files(spark, tmp_path, monkeypatch, many):
+    """Files of more keys than get a folder follow the rows, and readers get the same table, lines and places."""
+    monkeypatch.setattr(tables, "FOLDERS", 20 if many else 100)
+    table = spark.range(400).select((F.col("id") % 40).alias("set_id"), F.format_string("i%03d", F.col("id")).alias("filename"), (F.col("id") * 0.5).alias("x y"))
+    for form in ("csv", "json"):
+        path = str(tmp_path / form)
+        tables.write_in_order(table, path, ["set_id"], ["filename"], form=form)
+        assert len(glob.glob(f"{path}/set_id=*")) == (0 if many else 40) and len(glob.glob(f"{path}/**/part*", recursive=True)) <= (4 if many else 40)
+        reader = spark.read.schema("filename string, `x y` double, set_id bigint")
+        read = reader.csv(path, header=True) if form == "csv" else reader.json(path)
+        assert rows(read) == rows(table)
+        kept = read.withColumn("at", F.monotonically_increasing_id()).orderBy("set_id", "at").select("set_id", "filename").collect()
+        assert kept == sorted(kept)
+    images = table.select("set_id", "filename", F.concat(F.lit("p/"), F.col("filename")).alias("path"))
+    tables.write_documents(ordered.manifest_lines(images, F.lit("s")), str(tmp_path / "m"))
+    assert len(glob.glob(str(tmp_path / "m/set_id=*"))) == (0 if many else 40)
+    lines = {}
+    for r in ordered.read_in_order(spark, str(tmp_path / "m")).collect():
+        lines.setdefault(r["set_id"], []).append((r["place"], r["value"]))
+    assert sorted(lines) == list(range(40))
+    for key, found in lines.items():
+        assert [p for p, _ in sorted(found)] == list(range(12))
+        assert [i["filename"] for i in json.loads("".join(v for _, v in sorted(found)))["images"]] == [f"i{i:03d}" for i in range(key, 400, 40)]
