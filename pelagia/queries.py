@@ -141,7 +141,8 @@ def s5(spark, d):
 def s11(spark, d):
     made = tables.manifests(view(spark, d, "v_files").select("set_id", n.basename(F.col("path")).alias("filename"), "path"), F.lit("default"))
     listed = F.from_json(F.get_json_object("manifest", "$.images"), "array<struct<filename:string,path:string>>")
-    return made.select("set_id", F.get_json_object("manifest", "$.n_images").cast("bigint").alias("n_images"), F.get_json_object("manifest", "$.settings").alias("settings"), F.explode(listed).alias("i")).select("set_id", "n_images", "i.filename", "i.path", "settings")
+    read = made.select("set_id", F.get_json_object("manifest", "$.n_images").cast("bigint").alias("n_images"), F.get_json_object("manifest", "$.settings").alias("settings"), listed.alias("images"))
+    return read.select("set_id", "n_images", "settings", F.explode("images").alias("i")).select("set_id", "n_images", "i.filename", "i.path", "settings")
 
 
 @query("s11_manifest_files", "SELECT set_id, count(*) OVER (PARTITION BY set_id) AS n_images, row_number() OVER (PARTITION BY set_id ORDER BY path) AS place, regexp_extract(path, '[^/]*$', 0) AS filename, path, 'default' AS settings FROM v_files", "v_files")
@@ -822,8 +823,8 @@ def _document_parts(spark, d):
 
 def _read_documents(docs):
     listed = F.from_json(F.get_json_object("document", "$.image-set-items"), "map<string,struct<`image-latitude`:double>>")
-    rows = docs.select("set_id", F.size(F.json_object_keys(F.get_json_object("document", "$.image-set-items"))).cast("bigint").alias("n_items"), F.get_json_object("document", "$.image-set-header.image-set-name").alias("name"), F.explode(listed).alias("filename", "item"))
-    return rows.select("set_id", "n_items", "name", "filename", F.col("item.image-latitude").alias("latitude"))
+    rows = docs.select("set_id", F.size(F.json_object_keys(F.get_json_object("document", "$.image-set-items"))).cast("bigint").alias("n_items"), F.get_json_object("document", "$.image-set-header.image-set-name").alias("name"), listed.alias("items"))
+    return rows.select("set_id", "n_items", "name", F.explode("items").alias("filename", "item")).select("set_id", "n_items", "name", "filename", F.col("item.image-latitude").alias("latitude"))
 
 
 @query("a9_documents", _A9, "v_telemetry")
@@ -1070,8 +1071,8 @@ def e4(spark, d):
     parts = {"latitude": "double", "longitude": "double", "altitude-meters": "double", "datetime": "string", "camera-pitch-degrees": "double", "uuid": "string", "hash-sha256": "string"}
     listed = F.from_json(F.get_json_object("document", "$.image-set-items"), f"map<string,struct<{','.join(f'`image-{c}`:{k}' for c, k in parts.items())}>>")
     head = lambda f: F.get_json_object("document", f"$.image-set-header.{f}")
-    rows = _sets(spark, d)["documents"].select("set_id", F.col("n_items").cast("bigint").alias("n_items"), head("image-set-name").alias("name"), F.round(head("image-set-min-latitude-degrees").cast("double"), 6).alias("low_latitude"), F.explode(listed).alias("filename", "i"))
-    return rows.select("set_id", "n_items", "name", "low_latitude", "filename", *(F.col("i")[f"image-{c}"].alias(a) for c, a in zip(parts, ("latitude", "longitude", "altitude", "taken", "pitch", "id", "sha256"), strict=True))).withColumn("id", F.replace("id", F.lit("-"), F.lit("")))
+    rows = _sets(spark, d)["documents"].select("set_id", F.col("n_items").cast("bigint").alias("n_items"), head("image-set-name").alias("name"), F.round(head("image-set-min-latitude-degrees").cast("double"), 6).alias("low_latitude"), listed.alias("items"))
+    return rows.select("set_id", "n_items", "name", "low_latitude", F.explode("items").alias("filename", "i")).select("set_id", "n_items", "name", "low_latitude", "filename", *(F.col("i")[f"image-{c}"].alias(a) for c, a in zip(parts, ("latitude", "longitude", "altitude", "taken", "pitch", "id", "sha256"), strict=True))).withColumn("id", F.replace("id", F.lit("-"), F.lit("")))
 
 
 @query("e4_rerun", "SELECT deployment_id AS set_id, concat(row_no, '.tif') AS filename, CASE WHEN row_no % 4 = 0 THEN 'old' ELSE md5(concat(deployment_id, '/', row_no, '.tif')) END AS id, CASE WHEN row_no % 3 <> 0 THEN y END AS latitude FROM v_telemetry WHERE row_no % 10 <> 0 AND (row_no % 3 <> 0 OR row_no % 4 = 0)", "v_telemetry")

@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pelagia import queries
 from pelagia.operators import asof, quality, quantiles, segments, timeline
 from pelagia.operators.timeline import DEP
 from pelagia.plans import jobs
@@ -252,3 +253,18 @@ def test_many_keys_share_files(spark, tmp_path, monkeypatch, many):
     for key, found in lines.items():
         assert [p for p, _ in sorted(found)] == list(range(12))
         assert [i["filename"] for i in json.loads("".join(v for _, v in sorted(found)))["images"]] == [f"i{i:03d}" for i in range(key, 400, 40)]
+
+
+@pytest.mark.parametrize("name", ["s11_manifest", "s10_document_files", "e4_image_sets"])
+def test_a_document_is_read_once(spark, name):
+    """No text of a whole set is parsed again for each of its rows: nothing above the generator parses JSON."""
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "json" not in plan[: plan.index("Generate")].lower()
+
+
+def test_entries_of_xml(spark):
+    text = '<PAMDataset><Metadata domain="iFDO"><MDI key="a>b">&lt;1&gt;</MDI><MDI key="e"/><MDI key="k">old</MDI>\n<MDI key="k">&amp;lt;</MDI></Metadata></PAMDataset>'
+    texts = spark.createDataFrame([("s", "a", 0, text), ("s", "b", 0, text.replace("iFDO", "x")), ("s", "c", 0, "<PAMDataset/>"), ("s", "d", 0, None)], "set_id string, filename string, source_no int, xml string")
+    found = tables.xml_items(texts, "iFDO")
+    assert [(r["filename"], r["item"]) for r in found.collect()] == [("a", {"a>b": "<1>", "e": "", "k": "&lt;"})]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
