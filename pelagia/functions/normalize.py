@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Texts that stand for a missing value, in lower case.
 NULL_TEXTS = ("", "nan", "none", "null", "n/a", "na", "-", "unknown")
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_COUNT = r"^[0-9]{1,17}$"
 _ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
 # Accepted forms besides ISO 8601, in order: pattern of the text, format.
 _FORMATS = (
@@ -43,9 +44,11 @@ def clean(value: Column) -> Column:
 
 
 def to_number(value: Column) -> Column:
-    """Double, null where the text is no number."""
+    """Double, null where the text is no number. Plain numbers are known by one pattern."""
+    plain = value.cast("string")
     text = F.regexp_replace(_text(value), r"(?<=[0-9])_(?=[0-9])", "")
-    return F.when(is_null_like(value), None).when(text.rlike(_NUMBER) | text.rlike(r"^(?i)[+-]?inf(inity)?$"), text.try_cast("double"))
+    other = F.when(is_null_like(value), None).when(text.rlike(_NUMBER) | text.rlike(r"^(?i)[+-]?inf(inity)?$"), text.try_cast("double"))
+    return F.when(plain.rlike(_NUMBER), plain.try_cast("double")).when(plain.isNotNull(), other)
 
 
 def first_number(values: Sequence[Column]) -> Column:
@@ -66,11 +69,16 @@ def join_key(value: Column) -> Column:
 
 def epoch_time(value: Column) -> Column:
     """Numeric epoch in microseconds above 1e14, milliseconds above 1e11, else seconds."""
-    n = to_number(value)
-    exact = _text(value).try_cast("bigint").cast("double") == n
-    whole = F.when(exact, _text(value).try_cast("bigint"))
-    micros = F.when(n > 1e14, F.coalesce(whole, F.floor(n))).when(n > 1e11, F.coalesce(whole * 1000, F.floor(n * 1000))).otherwise(F.coalesce(whole * 1_000_000, F.floor(n * 1_000_000)))
-    return F.when(F.abs(n) < 2e17, F.timestamp_micros(micros))
+    plain = value.cast("string")
+    count = plain.try_cast("bigint")
+    plainly = F.when(count > 100_000_000_000_000, count).when(count > 100_000_000_000, count * 1000).otherwise(count * 1_000_000)
+    # one value of the number for all its uses
+    other = F.transform(F.array(F.struct(to_number(value).alias("n"), _text(value).try_cast("bigint").alias("k"))), lambda e: F.when(F.abs(e["n"]) < 2e17, F.timestamp_micros(_micros(e["n"], F.when(e["k"].cast("double") == e["n"], e["k"])))))
+    return F.when(plain.rlike(_COUNT), F.timestamp_micros(plainly)).when(plain.isNotNull(), F.get(other, F.lit(0)))
+
+
+def _micros(n: Column, whole: Column) -> Column:
+    return F.when(n > 1e14, F.coalesce(whole, F.floor(n))).when(n > 1e11, F.coalesce(whole * 1000, F.floor(n * 1000))).otherwise(F.coalesce(whole * 1_000_000, F.floor(n * 1_000_000)))
 
 
 def any_time(value: Column) -> Column:
