@@ -12,6 +12,8 @@ is not answered from what is left: it gets the status ``late``, for the batch jo
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,7 +27,7 @@ from pelagia.operators.frames import frame_rows
 from pelagia.operators.timeline import DEP
 
 FRAME, ROW, END = 0, 1, 2
-_STATE = "start bigint, fixed boolean, newest bigint, pruned bigint, t array<bigint>, no array<bigint>, v array<array<double>>, w_no array<bigint>, w_name array<string>, w_path array<string>, w_ms array<bigint>"
+_STATE = "start bigint, fixed boolean, newest bigint, pruned bigint, t binary, no binary, v binary, w_no array<bigint>, w_name array<string>, w_path array<string>, w_ms array<bigint>"
 _OUT = "row_no bigint, filename string, path string, elapsed_ms bigint, frame_us bigint, match_row_no bigint, match_us bigint, v array<double>, status string"
 
 
@@ -46,38 +48,41 @@ class _Deployment:
     """The state of one deployment: telemetry sorted by time and row, and the frames that wait."""
 
     def __init__(self, stored: tuple | None):
-        self.start, self.fixed, self.newest, self.pruned, t, no, v, *waiting = stored or (None, False, None, None, [], [], [], [], [], [], [])
-        self.rows = sorted(zip(t, no, (list(x) for x in v), strict=True), key=lambda r: r[:2])
+        self.start, self.fixed, self.newest, self.pruned, t, no, v, *waiting = stored or (None, False, None, None, b"", b"", b"", [], [], [], [])
+        times = np.frombuffer(t, np.int64).tolist()
+        values = np.frombuffer(v, np.float64).reshape(len(times), -1).tolist() if times else []
+        self.rows = list(zip(times, np.frombuffer(no, np.int64).tolist(), values, strict=True))
         self.waiting = list(zip(*waiting, strict=True)) if waiting[0] is not None and len(waiting[0]) else []
 
     def stored(self) -> tuple:
-        columns = list(zip(*self.rows, strict=True)) or [(), (), ()]
+        """The state as one row; telemetry as bytes of its numbers, a missing one as NaN."""
+        t, no, v = zip(*self.rows, strict=True) if self.rows else ((), (), ())
         waiting = list(zip(*self.waiting, strict=True)) or [(), (), (), ()]
-        return (self.start, self.fixed, self.newest, self.pruned, *map(list, columns), *map(list, waiting))
+        return (self.start, self.fixed, self.newest, self.pruned, np.array(t, np.int64).tobytes(), np.array(no, np.int64).tobytes(), np.array(v, np.float64).tobytes(), *map(list, waiting))
 
     def add(self, batch: pd.DataFrame) -> bool:
         """Take rows in; whether the deployment has ended."""
-        got = batch[batch["side"] == ROW]
-        self.rows += [(int(t), int(n), [None if pd.isna(x) else float(x) for x in v]) for t, n, v in zip(got["us"], got["row_no"], got["v"], strict=True)]
-        if len(got):
-            low, high = int(got["us"].min()), int(got["us"].max())
-            self.newest = high if self.newest is None else max(self.newest, high)
-            if not self.fixed:
-                self.start = low if self.start is None else min(self.start, low)
-        asked = batch[batch["side"] == FRAME]
-        names = {w[1] for w in self.waiting}
-        for n, name, path, ms in zip(asked["row_no"], asked["filename"], asked["path"], asked["elapsed_ms"], strict=True):
-            if name not in names:
+        ended, names = False, {w[1] for w in self.waiting}
+        for side, n, us, name, path, ms, v in zip(*(batch[c].tolist() for c in ("side", "row_no", "us", "filename", "path", "elapsed_ms", "v")), strict=True):
+            if side == ROW:
+                us = int(us)
+                self.rows.append((us, int(n), [math.nan if x is None else float(x) for x in v]))
+                self.newest = us if self.newest is None else max(self.newest, us)
+                if not self.fixed:
+                    self.start = us if self.start is None else min(self.start, us)
+            elif side == END:
+                ended = True
+            elif name not in names:
                 names.add(name)
-                self.waiting.append((int(n), name, path, None if pd.isna(ms) else int(ms)))
-        return bool((batch["side"] == END).any())
+                self.waiting.append((int(n), name, path, None if ms is None or ms != ms else int(ms)))
+        return ended
 
     def answered(self, ended: bool, delay: int, keep: int, patience: int) -> list[tuple]:
         """The frames whose answers are final now."""
         self.rows.sort(key=lambda r: r[:2])
         time = None if self.newest is None else self.newest - delay
         self.fixed = self.fixed or (self.start is not None and (ended or self.start <= time))
-        t = np.array([r[0] for r in self.rows], np.int64)
+        t = [r[0] for r in self.rows]
         out, left = [], []
         for n, name, path, ms in self.waiting:
             if ms is None:
@@ -89,7 +94,7 @@ class _Deployment:
                     left.append((n, name, path, ms))
             else:
                 at = self.start + 1000 * ms
-                i = int(np.searchsorted(t, at, "left"))
+                i = bisect_left(t, at)
                 final = ended or (i < len(t) and t[i] <= time) or time - at > patience
                 if self.pruned is not None and at < self.pruned:
                     out.append((n, name, path, ms, at, None, None, None, "late"))
@@ -98,18 +103,18 @@ class _Deployment:
                 else:
                     near = [self.rows[k] for k in (i - 1, i) if 0 <= k < len(t)]
                     best = min(near, key=lambda r: (abs(r[0] - at), r[0] >= at)) if near else (None, None, None)
-                    out.append((n, name, path, ms, at, best[1], best[0], best[2], "found"))
+                    out.append((n, name, path, ms, at, best[1], best[0], best[2] and [None if x != x else x for x in best[2]], "found"))
         self.waiting = left
         if self.fixed and self.rows:
             horizon = min([time - keep, *(self.start + 1000 * w[3] for w in left if w[3] is not None)])
-            first = max(int(np.searchsorted(t, horizon, "left")) - 1, 0)  # the row before may be the nearest
+            first = max(bisect_left(t, horizon) - 1, 0)  # the row before may be the nearest
             if first:
-                self.rows, self.pruned = self.rows[first:], int(t[first])
+                self.rows, self.pruned = self.rows[first:], t[first]
         return out
 
 
 def _matched(delay: int, keep: int, patience: int, idle_ms: int | None):
-    names = [c.split()[0] for c in _OUT.split(", ")]
+    names = [DEP, *(c.split()[0] for c in _OUT.split(", "))]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         deployment = _Deployment(state.get if state.exists else None)
@@ -121,11 +126,8 @@ def _matched(delay: int, keep: int, patience: int, idle_ms: int | None):
         state.update(deployment.stored())
         if idle_ms and not ended:
             state.setTimeoutDuration(idle_ms)
-        made = pd.DataFrame(out, columns=names)
-        for c in ("row_no", "elapsed_ms", "frame_us", "match_row_no", "match_us"):
-            made[c] = made[c].astype("Int64")
-        made.insert(0, DEP, key[0])
-        yield made
+        if out:
+            yield pd.DataFrame(dict(zip(names, ([key[0]] * len(out), *map(list, zip(*out, strict=True))), strict=True)), dtype=object)
 
     return run
 
