@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from .quantiles import quantiles, value_counts
 from .segments import carried, neighbours
 
 DEP = "deployment_id"
+#: Points that a task makes, about, where a track is resampled.
+POINTS = 500_000
 
 
 def track_order() -> WindowSpec:
@@ -156,12 +160,17 @@ def constant_z(track: DataFrame, z: float | None) -> DataFrame:
 def resampled(track: DataFrame, interval_s: float, segment_rows: int | None = None) -> DataFrame:
     """Rows at a fixed cadence from each deployment's first to last time. x, y, z are linear between the two
     samples around a point, other columns come from the earlier one, the heading is cleared. A point at a sample
-    belongs to the segment that ends there. Deployments without a time span stay as they are."""
+    belongs to the segment that ends there. Deployments without a time span stay as they are. Whole deployments are
+    dealt by the number of points that they will have, as few rows can become many."""
     step = F.lit(round(interval_s * 1e6)).cast("bigint")
     us = F.unix_micros("ts")
     whole = Window.partitionBy(DEP)
     columns = [c for c in track.columns if c not in (DEP, "row_no", "ts", "x", "y", "z", "heading")]
     if segment_rows is None:
+        spans = track.groupBy(DEP).agg(F.floor((F.max(us) - F.min(us)) / step).alias("_points"))
+        points = spans.agg(F.sum("_points")).first()[0] or 0
+        if points > POINTS:
+            track = track.repartition(max(math.ceil(points / POINTS), track.sparkSession.sparkContext.defaultParallelism), DEP)
         seg = track.select("*", us.alias("_t"), F.lead(us).over(track_order()).alias("_u"), *(F.lead(c).over(track_order()).alias(f"_{c}") for c in "xyz"), F.min(us).over(whole).alias("_t0"), F.max(us).over(whole).alias("_t1"), F.row_number().over(track_order()).alias("_n"))
     else:
         ends = track.groupBy(DEP).agg(F.min(us).alias("_t0"), F.max(us).alias("_t1"))

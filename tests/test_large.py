@@ -268,3 +268,24 @@ def test_entries_of_xml(spark):
     found = tables.xml_items(texts, "iFDO")
     assert [(r["filename"], r["item"]) for r in found.collect()] == [("a", {"a>b": "<1>", "e": "", "k": "&lt;"})]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
+
+
+def test_points_are_dealt_by_their_number(hot, monkeypatch):
+    """A track whose few rows become many is cut by the points, and windows over them keep that cut."""
+    named = hot.where("deployment_id IS NOT NULL")
+    whole = rows(timeline.track_heading(timeline.resampled(named, 3.0)))
+    monkeypatch.setattr(timeline, "POINTS", 40)
+    cut = timeline.track_heading(timeline.resampled(named, 3.0))
+    n = timeline.resampled(named, 3.0).count()
+    assert rows(cut) == whole and cut.rdd.getNumPartitions() >= n / 40 / 2
+
+
+def test_state_is_bytes():
+    """What a deployment keeps of its telemetry is a value for each column, not an object for each number."""
+    d = stateful._Deployment(None)
+    d.add(pd.DataFrame([event(stateful.ROW, n, n * 1_000_000) for n in (2, 1)] + [event(stateful.FRAME, 7, None, "a", 400)]))
+    d.answered(False, 10**9, 10**9, 10**9)
+    stored = d.stored()
+    assert [type(x) for x in stored[4:7]] == [bytes] * 3
+    again = stateful._Deployment(stored)
+    assert again.waiting == [(7, "a", "a", 400)] and again.answered(True, 0, 0, 0) == [(7, "a", "a", 400, 1_400_000, 1, 1_000_000, [1.0, None], "found")]
