@@ -3,7 +3,7 @@
 Lines are compared in lower case with single blanks, as sets of all their character shingles. Each register of a
 line's signature holds its shingle hash that is nearest to the register's mark, the least one under XOR with it. Bands
 are runs of registers of which any two share one register, so that few registers make many bands; equal bands propose
-pairs. A pair that sizes and parity bits do not rule out is verified by the Jaccard similarity of the sets. Texts are
+pairs. A pair that sizes and bitmaps do not rule out is verified by the Jaccard similarity of the sets. Texts are
 never shuffled for the signatures: the map side reduces each line to its registers.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, text_of
-from .similar import linked_classes, members, parity_words
+from .similar import bitmap_words, bits, linked_classes, members
 
 #: Every run of this many characters is a shingle; a shorter line is one shingle.
 SHINGLE = 5
@@ -27,8 +27,10 @@ FIRST_BAND = (3, 6, 7, 12, 14)
 #: bands with a probability of 0.06 for sets of 4 and 5 shingles, and of 0.05 to 0.08 from 9 shingles on.
 BANDS = 12
 FEW = 11
-#: Parity bits of a line, 64 in each word; more bits rule out more pairs below the threshold.
-PARITY_WORDS = 16
+#: Words of a line's bitmap, 64 bits in each; more bits rule out more pairs below the threshold.
+WORDS = 16
+#: Shingles that an aggregation takes in one row: most of its time goes to rows and buffers, not to the hashes.
+STRIDE = 4
 _CODE = 4  # bytes of a character in UTF-32
 #: White space within a line, and what tells that a text has other than single blanks.
 _WIDE, _HINTS = r"[\x20\x09\x0B-\x0D]+", ("  ", "\t", "\r", "\x0b", "\x0c")
@@ -58,6 +60,15 @@ def shingle_set(line: Column) -> Column:
     return F.array_distinct(_let(F.encode(line, "UTF-32"), hashes))
 
 
+def _strides(lines: DataFrame, *kept: str) -> DataFrame:
+    """The shingles of ``lines`` (id, coded, a line in UTF-32) as rows of STRIDE hashes ``h0``, ``h1`` and so on, with
+    their place ``at``, and the columns ``kept``. A row at the end of a line repeats its last shingle."""
+    last = F.greatest(F.octet_length("coded") - (SHINGLE * _CODE - 1), F.lit(1))
+    placed = lines.select(*kept, "id", "coded", F.explode(F.sequence(F.lit(1), last, F.lit(STRIDE * _CODE))).alias("at"))
+    hashes = (F.xxhash64(F.substring("coded", F.least(F.col("at") + i * _CODE, last), F.lit(SHINGLE * _CODE))) for i in range(STRIDE))
+    return placed.select(*kept, "id", "at", *(h.alias(f"h{i}") for i, h in enumerate(hashes)))
+
+
 def _marks(n: int) -> list[int]:
     """n 64-bit numbers whose leading bits are spread evenly, so that each register prefers other hashes."""
     return [((i * 2**64 // n) ^ (0x9E3779B97F4A7C15 * (i + 1) % 2**56)) - 2**63 for i in range(n)]
@@ -67,11 +78,9 @@ def signatures(lines: DataFrame, bands: int = BANDS) -> DataFrame:
     """``id, doc, n, keys``: each different line of ``lines`` (doc, line) with one row that has it, its occurrences
     and its band keys."""
     coded = lines.select("doc", F.xxhash64("line").alias("id"), F.encode("line", "UTF-32").alias("coded"))
-    starts = F.sequence(F.lit(1), F.greatest(F.octet_length("coded") - (SHINGLE - 1) * _CODE, F.lit(1)), F.lit(_CODE))
-    placed = coded.select("doc", "id", "coded", F.explode(starts).alias("at"))
-    hashed = placed.select("doc", "id", "at", F.xxhash64(F.substring("coded", F.col("at"), F.lit(SHINGLE * _CODE))).alias("h"))
-    nearest = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"r{i}") for i, m in enumerate(_marks(REGISTERS))]
-    signed = hashed.groupBy("id").agg(F.min("doc").alias("doc"), F.count_if(F.col("at") == 1).alias("n"), *nearest)
+    least = lambda m: F.least(*(F.col(f"h{i}").bitwiseXOR(F.lit(m)) for i in range(STRIDE)))
+    nearest = [F.min(least(m)).alias(f"r{i}") for i, m in enumerate(_marks(REGISTERS))]
+    signed = _strides(coded, "doc").groupBy("id").agg(F.min("doc").alias("doc"), F.count_if(F.col("at") == 1).alias("n"), *nearest)
     band = lambda b: F.xxhash64(F.lit(b), *(f"r{(place + b) % REGISTERS}" for place in FIRST_BAND))
     held = F.array_distinct(F.array(*(F.col(f"r{i}").bitwiseXOR(F.lit(m)) for i, m in enumerate(_marks(REGISTERS)))))
     more = F.when(F.size(held) < FEW, F.array(*map(band, range(bands, REGISTERS)))).otherwise(F.array().cast("array<bigint>"))
@@ -87,9 +96,11 @@ def _lines_of(held: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _facts(lines: DataFrame) -> DataFrame:
-    """``id``, the size ``n`` of each line's shingle set and its parity words."""
-    each = lines.select("id", F.explode(shingle_set(F.col("line"))).alias("h"))
-    return each.groupBy("id").agg(F.count("*").alias("n"), *parity_words(F.col("h"), PARITY_WORDS))
+    """``id``, bounds ``low`` and ``n`` of the size of each line's shingle set, and the words of its bitmap."""
+    places = F.greatest((F.octet_length("coded") / _CODE).cast("bigint") - (SHINGLE - 1), F.lit(1))
+    coded = lines.select("id", F.encode("line", "UTF-32").alias("coded")).select("id", "coded", places.alias("n"))
+    each = _strides(coded, "n").groupBy("id").agg(F.max("n").alias("n"), *bitmap_words([F.col(f"h{i}") for i in range(STRIDE)], WORDS))
+    return each.withColumn("low", sum((F.bit_count(b) for b in bits(WORDS)), F.lit(0)))
 
 
 def _verifier(lines: DataFrame, threshold: float):

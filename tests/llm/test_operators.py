@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pelagia.llm import decontamination, line_dedup, near_duplicates, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity, url_filter
+from pelagia.llm import decontamination, line_dedup, near_duplicates, packing, pii, quality_classifier, quality_rules, similar, suffix_dedup, toxicity, url_filter
 from pelagia.llm.components import components
 
 WORDS = "the of and a to in river stone light cold walk over green tree house near water long road bird song night field small open deep wind grass hill rain snow door hand".split()
@@ -215,6 +215,22 @@ def test_line_bands_find_pairs(spark):
     assert found > 0.9  # pairs just above the threshold
 
 
+def test_line_classes_of_small_buckets_in_one_round(spark, monkeypatch):
+    """Lines of small buckets get their class from all pairs at once; no later round moves them again."""
+    rng = random.Random(21)
+    token = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    lines = [x + y for x in (token(80) for _ in range(6)) for y in ("", "1", "22")]
+    lines += ["abc" * 20, "abc" * 400, token(3), token(4), token(5)]  # one set of shingles; lines of one shingle
+    moved = []
+    for name in ("_pivot_pairs", "_rest"):
+        plain = getattr(similar, name)
+        monkeypatch.setattr(similar, name, lambda p, *rest, plain=plain: (moved.append(p.count()), plain(p, *rest))[1])
+    out = line_dedup.deduplicated_lines(docs(spark, list(enumerate(lines)))).collect()
+    kept = [r["text"] for r in out if r["text"]]
+    assert moved == [0, 0, 0]
+    assert len(kept) == 6 + 1 + 3 and sum(x.startswith("abcabc") for x in kept) == 1
+
+
 @pytest.mark.parametrize("size", [4, 5, 6, 8, 9, 12, 16, 24])
 def test_line_bands_find_pairs_of_short_lines(spark, size):
     """At the threshold itself: a line and the same with characters more, sets of ``size`` and size / 0.8 shingles."""
