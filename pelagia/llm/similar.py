@@ -3,8 +3,8 @@
 The pairs of small buckets are proposed at once. Members of a larger bucket are first held against pivots that an
 aggregation draws from it, round by round: first the member whose buckets are the largest, which in a group of copies
 is the one that they are copies of, then random ones. Most of a group falls into one class that way. Only then are
-members of different classes in one bucket held against each other. In all steps the sizes and the bits of two sets (a
-bitmap of a set or its parities) rule out pairs that cannot have the similarity, pairs that were proposed before are
+members of different classes in one bucket held against each other. In all steps the sizes and the bits of two sets
+(their parities) rule out pairs that cannot have the similarity, pairs that were proposed before are
 left out, and the caller verifies the rest exactly. Every side of a join on a hot key is written first, so that the
 join reads plain shuffles and Spark can split it.
 """
@@ -12,7 +12,6 @@ join reads plain shuffles and Spark can split it.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,14 +31,11 @@ def bits(n: int) -> list[str]:
     return [f"b{i}" for i in range(n)]
 
 
-def bitmap_words(hashes: list[Column], n: int) -> list[Column]:
-    """Aggregates over rows of several hashes of a set, repeated or not: n words of 64 bits (n a power of two), of
-    which each bit tells whether a hash falls to it. Two sets differ in at least as many elements as their bits differ,
-    and a set has at least as many elements as bits."""
-    none = F.lit(0).cast("bigint")
-    fall = [(F.shiftright(h, 6).bitwiseAND(n - 1), F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(63).cast("int"))) for h in hashes]
-    own = lambda k: reduce(Column.bitwiseOR, (F.when(word == k, bit).otherwise(none) for word, bit in fall))
-    return [F.bit_or(own(k)).alias(b) for k, b in enumerate(bits(n))]
+def parity_words(h: Column, n: int) -> list[Column]:
+    """Aggregates over the different hashes ``h`` of a set: n words of 64 bits (n a power of two), of which each bit
+    is the parity of how many hashes fall to it. Two sets differ in at least as many elements as their bits differ."""
+    bit, word = F.expr("shiftleft(1L, cast(h & 63 AS int))"), F.shiftright(h, 6).bitwiseAND(n - 1)
+    return [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(b) for k, b in enumerate(bits(n))]
 
 
 def members(placed: DataFrame) -> DataFrame:
@@ -49,9 +45,9 @@ def members(placed: DataFrame) -> DataFrame:
 
 
 def _sizes_fit(mine: str, other: str, threshold: float) -> Column:
-    """False only for pairs whose sizes differ too much for the similarity, by their bounds."""
-    n, m = F.lit(threshold) * F.col(f"{mine}.low"), F.lit(threshold) * F.col(f"{other}.low")
-    return (F.col(f"{mine}.n") >= m) & (F.col(f"{other}.n") >= n)
+    """False only for pairs whose sizes differ too much for the similarity."""
+    n, m = F.col(f"{mine}.n"), F.col(f"{other}.n")
+    return F.least(n, m) >= F.lit(threshold) * F.greatest(n, m)
 
 
 def _bits_fit(mine: str, other: str, names: list[str], threshold: float) -> Column:
@@ -83,7 +79,7 @@ def _small_pairs(member: DataFrame, known: DataFrame, names: list[str], threshol
 def _pivot_pairs(placed: DataFrame, known: DataFrame, names: list[str], threshold: float, by_score: bool) -> DataFrame:
     """The members of buckets that still hold several classes, each with members drawn as pivots: one row for each
     member and pivot at most, so the bits join the pairs afterwards."""
-    one = F.struct("id", "class", "n", "low")
+    one = F.struct("id", "class", "n")
     draws = [F.max_by(one, F.struct("score", "id"))] if by_score else [F.min_by(one, F.xxhash64("id", "key", "class", F.lit(i))) for i in range(2)]
     draws = [d.alias(f"p{i}") for i, d in enumerate(draws)]
     lead = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), *draws).where("low < high")
@@ -117,10 +113,9 @@ def _between(links: DataFrame, label: DataFrame) -> DataFrame:
 
 def linked_classes(member: DataFrame, facts: DataFrame, verify: Verify, threshold: float) -> DataFrame:
     """``id, class`` of every row of ``facts``: the least id that links of the similarity lead to. ``member`` has id,
-    key and the bucket's number of rows, every id in several buckets; ``facts`` has id, the set's size ``n``, or
-    bounds ``low`` and ``n`` of it, and the words of its parity bits or of its bitmap."""
-    facts = facts if "low" in facts.columns else facts.withColumn("low", F.col("n"))
-    names = [c for c in facts.columns if c not in ("id", "n", "low")]
+    key and the bucket's number of rows, every id in several buckets; ``facts`` has id, the set's size ``n`` and
+    its parity words."""
+    names = [c for c in facts.columns if c not in ("id", "n")]
     known = materialise(facts.join(member.groupBy("id").agg(F.sum("c").alias("score")), "id"))
     label, seen = known.select("id", F.col("id").alias("class")), None
     large = member.where(F.col("c") > SMALL).select("id", "key")
@@ -129,7 +124,7 @@ def linked_classes(member: DataFrame, facts: DataFrame, verify: Verify, threshol
         lambda p: _pivot_pairs(p, known, names, threshold, False),
         lambda p: _rest(p, known, names, threshold),
     ):
-        placed = materialise(large.join(label, "id").join(known.select("id", "n", "low", "score"), "id"))
+        placed = materialise(large.join(label, "id").join(known.select("id", "n", "score"), "id"))
         pairs = propose(placed)
         fresh = pairs if seen is None else pairs.join(seen.hint("merge"), ["u", "v"], "left_anti")
         merged = materialise(components(_between(verify(fresh), label), "cu", "cv"))
