@@ -199,9 +199,9 @@ def s1(spark, d):
 @query("s1_row_numbers", "SELECT deployment_id, row_no, row_number() OVER (PARTITION BY deployment_id ORDER BY row_no) - 1 AS file_row FROM v_telemetry_raw", "v_telemetry_raw")
 def s1b(spark, d):
     path = _fresh(spark)
-    rows = view(spark, d, "v_telemetry_raw").repartition("deployment_id").sortWithinPartitions("deployment_id", "row_no")
-    rows.select("deployment_id", F.col("row_no").alias("no"), "time_text", "x_text").write.option("header", "true").partitionBy("deployment_id").csv(path)
-    return tables.read_log(spark, path).select(F.col("deployment_id").cast("bigint"), F.col("no").cast("bigint").alias("row_no"), F.col("row_no").alias("file_row"))
+    rows = view(spark, d, "v_telemetry_raw").select(DEP, F.col("row_no").alias("no"), "time_text", "x_text")
+    tables.write_in_order(rows, path, [DEP], ["no"])
+    return tables.read_log(spark, path, [DEP]).select(F.col(DEP).cast("bigint"), F.col("no").cast("bigint").alias("row_no"), F.col("row_no").alias("file_row"))
 
 
 @query("s6_document_items", "SELECT deployment_id AS set_id, concat(row_no, '.tif') AS filename, CASE WHEN row_no % 2 = 0 THEN 1 ELSE 2 END AS source_no, CASE WHEN row_no % 2 = 0 THEN 'map' ELSE 'list' END AS quality FROM v_telemetry", "v_telemetry")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = ["source_file", "_block"]
@@ -24,3 +24,16 @@ def numbered(placed: DataFrame, name: str = "row_no", within: Sequence[str] = ("
     before = F.sum("_rows").over(Window.partitionBy(*within).orderBy(*BLOCK)) - F.col("_rows")
     starts = counted.select(*keys, "_first", before.alias("_before"))
     return placed.join(starts, keys).select(*placed.columns, (F.col("_before") + F.col("_mono") - F.col("_first")).alias(name))
+
+
+def numbered_within(placed: DataFrame, within: Sequence[Column], name: str = "row_no") -> DataFrame:
+    """S1 for files that hold rows of many groups, one after another or mixed: each group's rows with their numbers from
+    0 in order of the files, without gaps; nulls are a group too. A group's rows of one split are ranked in that split,
+    so a long group is never sorted as a whole."""
+    held = placed.withColumn("_group", F.struct(*within))
+    keys = ["_group", *BLOCK]
+    counted = held.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy("_group").orderBy(*BLOCK)) - F.col("_rows")
+    starts = counted.select(*keys, before.alias("_before"))
+    ranked = held.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_mono")))
+    return ranked.join(starts, keys).select(*placed.columns, (F.col("_before") + F.col("_rank") - 1).alias(name))

@@ -289,3 +289,47 @@ def test_state_is_bytes():
     assert [type(x) for x in stored[4:7]] == [bytes] * 3
     again = stateful._Deployment(stored)
     assert again.waiting == [(7, "a", "a", 400)] and again.answered(True, 0, 0, 0) == [(7, "a", "a", 400, 1_400_000, 1, 1_000_000, [1.0, None], "found")]
+
+
+def test_logs_that_share_files(spark, tmp_path):
+    """Rows are numbered in their own log, whether the logs of a file come one after another or mixed, in few splits or
+    many, and where some have no name."""
+    rng = random.Random(5)
+    (tmp_path / "in").mkdir()
+    want, seen = [], {}
+    for part in ("p0", "p1", "p2"):
+        lines = []
+        for _ in range(200):
+            log = rng.choice(["a", "b", "", "d"])
+            seen[log] = seen.get(log, -1) + 1
+            lines.append(f"{len(want)},{log}")
+            want.append((log or None, seen[log]))
+        (tmp_path / f"in/{part}.csv").write_text(" no,log \n" + "\n".join(lines) + "\n")
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("128m", "99"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            read = tables.read_log(spark, str(tmp_path / "in"), ["log"])
+            assert read.columns == ["no", "log", "source_file", "row_no"]
+            assert [(r["log"], r["row_no"]) for r in sorted(read.collect(), key=lambda r: int(r["no"]))] == want
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_row_numbers_of_many_logs(spark, tmp_path, monkeypatch, many):
+    """More deployments than get a folder share files, so that the number of files follows the rows."""
+    monkeypatch.setattr(tables, "FOLDERS", 20 if many else 100)
+    monkeypatch.setattr(queries, "_fresh", lambda spark: str(tmp_path / "log"))
+    user = F.when(F.col("id") % 41 != 0, F.col("id") % 41)
+    events = spark.range(500).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + 60 * F.col("id")).alias("ts"), user.alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.5).alias("value"))
+    events.union(events.where("event_id % 7 = 0")).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted((str(r["deployment_id"]), r["file_row"], r["row_no"]) for r in queries.QUERIES["s1_row_numbers"](spark, str(tmp_path)).collect())
+    logs = {}
+    for n in range(500):
+        logs.setdefault(str(n % 41 or None), []).extend([n] * (1 + (n % 7 == 0)))
+    assert got == sorted((log, i, n) for log, ns in logs.items() for i, n in enumerate(ns))
+    files = glob.glob(str(tmp_path / "log/**/part*.csv"), recursive=True)
+    assert len(files) <= 4 if many else len(files) == 41
