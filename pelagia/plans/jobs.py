@@ -171,7 +171,7 @@ def image_sets(frames: DataFrame, cameras: DataFrame, inventory: DataFrame, hash
     has several tables, table_no; ``headers`` has set_id, a map ``header`` and, likewise, table_no: the first table's
     header and the last table's item count. ``earlier`` items (set_id, filename, uuid and item fields) give images
     their ids, and stay where the image is still there but not made anew."""
-    found = fr.existing_images(frames, inventory)
+    found = tables.written(fr.existing_images(frames, inventory))  # read for the items and again for each output of the frames
     skipped = found.where("not image_found").select("set_id", "filename")
     rows = found.where("image_found")
     rows = rows if "table_no" in frames.columns else rows.withColumn("table_no", F.lit(0))
@@ -213,7 +213,7 @@ def write_image_sets(made: dict[str, DataFrame], path: str, layout: str | None =
     below ``path``, a folder for each set where they are few (``write_in_order``)."""
     folders = tables.few_keys(made["items"], ["set_id"])
     if tables.document_format(layout) == "per-image":
-        tables.write_in_order(made["per_image"], f"{path}/documents", ["set_id"], ["name"], ["name", "document"], form="json", folders=folders)
+        tables.write_in_order(made["per_image"], f"{path}/documents", ["set_id"], ["name"], ["name", "document"], form="json", folders=folders, packed=True)
     else:
         tables.write_documents(made["lines"], f"{path}/documents")
     tables.write_in_order(made["biigle"], f"{path}/biigle", ["set_id"], ["filename"], ["filename", "taken_at", "lng", "lat", "gps_altitude", "distance_to_ground", "area", "SUB_heading"], folders=folders)

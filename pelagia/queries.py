@@ -1062,7 +1062,7 @@ def s8c(spark, d):
 def _sets(spark, d, **options):
     rows = _items(spark, d).withColumn("path", F.concat(F.lit("a/"), F.col("filename"))).withColumn("camera_id", F.col("row_no") % 12)
     inventory = rows.where("row_no % 10 <> 0").select("set_id", "path")
-    hashes = inventory.select("path", F.sha2("path", 256).alias("sha256")).distinct()
+    hashes = inventory.select("path").distinct().select("path", F.sha2("path", 256).alias("sha256"))
     return jobs.image_sets(rows, view(spark, d, "v_cameras"), inventory, hashes, _headers(spark, d), pair=("Latitude", "Longitude"), **options)
 
 

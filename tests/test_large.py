@@ -333,3 +333,43 @@ def test_row_numbers_of_many_logs(spark, tmp_path, monkeypatch, many):
     assert got == sorted((log, i, n) for log, ns in logs.items() for i, n in enumerate(ns))
     files = glob.glob(str(tmp_path / "log/**/part*.csv"), recursive=True)
     assert len(files) <= 4 if many else len(files) == 41
+
+
+def _shuffle_files(spark):
+    """The data files of shuffles that lie on the disks of the session."""
+    return {f for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for f in glob.glob(f"{d.getPath()}/*/shuffle_*.data")}
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_files_of_image_sets_take_little_disk(spark, tmp_path, monkeypatch, many):
+    """Documents that repeat their header are packed, in files of bounded rows; the frames meet the inventory once; what
+    the writes shuffle goes with them."""
+    monkeypatch.setattr(tables, "FOLDERS", 3 if many else 100)
+    monkeypatch.setattr(tables, "PACKED_ROWS", 30, raising=False)
+    frames = spark.range(400).select((F.col("id") % 8).alias("set_id"), F.col("id").alias("row_no"), F.format_string("a/i%03d.tif", F.col("id")).alias("path"), F.format_string("i%03d.tif", F.col("id")).alias("filename"), F.lit(1).alias("camera_id"), F.lit("5.5").alias("Latitude"), F.lit("6.5").alias("Longitude"), F.lit(None).alias("no; type"))
+    inventory = frames.where("row_no % 10 <> 0").select("set_id", "path")
+    heads = frames.select("set_id").distinct().select("set_id", F.create_map(F.lit("image-set-name"), F.concat(F.lit("s"), F.col("set_id")), F.lit("image-abstract"), F.lit("long " * 400)).alias("header"))
+    cameras = spark.createDataFrame([(0, "1")], "row_no bigint, camera_id string")
+    before = _shuffle_files(spark)
+    made = jobs.image_sets(frames, cameras, inventory, inventory.select("path", F.sha2("path", 256).alias("sha256")).distinct(), heads, pair=("Latitude", "Longitude"))
+    assert "Join" not in made["skipped"]._jdf.queryExecution().optimizedPlan().toString()
+    jobs.write_image_sets(made, str(tmp_path / "out"), "per-image")
+    left = sum(os.path.getsize(f) for f in _shuffle_files(spark) - before)
+    documents = glob.glob(str(tmp_path / "out/documents/**/part*"), recursive=True)
+    read = spark.read.json(str(tmp_path / "out/documents"), schema="name string, document string, set_id bigint").collect()
+    assert len(read) == 360 and len({(r["set_id"], r["name"]) for r in read}) == 360
+    for r in read:
+        doc = json.loads(r["document"])
+        assert doc["image-set-header"]["image-set-name"] == f"s{r['set_id']}" and [f"{n}.ifdo.json" for n in doc["image-set-items"]] == [r["name"]]
+    assert sum(map(os.path.getsize, documents)) * 8 < sum(len(r["document"]) for r in read) and len(documents) >= 360 / 30
+    assert left < 20_000  # what two counts of sets have shuffled
+    joined = made["joined"].where("Frame_row_no = 1").first()
+    assert joined["Frame_path"] == "a/i001.tif" and joined["Frame_no; type"] is None and joined["Camera_row_no"] == 0
+
+
+def test_written_frames_have_any_columns(spark):
+    df = spark.createDataFrame([(1, "a", 2.0, None), (2, None, None, [1])], "`x y` int, `X Y` string, `a,;{}()=.b` double, l array<int>").select("*", F.lit(None).alias("none"))
+    got = tables.written(df)
+    assert got.columns == df.columns and [str(f.dataType) for f in got.schema] == [str(f.dataType) for f in df.schema]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+    assert tables.written(df.limit(0)).count() == 0
